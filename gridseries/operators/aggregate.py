@@ -48,36 +48,64 @@ def cell_grid(spark: SparkSession, layout: TileLayout, tile_id: int | None = Non
 
 
 def _arrow_partials(series: DataFrame, keys: list[str], cells_per_tile: int) -> DataFrame:
-    """Per task: one ``(keys, tile_id, pos, v)`` row per cell of every tile it saw."""
-    key_fields = [series.schema[k] for k in keys]
-    out_schema = T.StructType(key_fields + [
-        T.StructField("tile_id", T.IntegerType(), False),
-        T.StructField("sums", T.ArrayType(T.DoubleType(), False), False),
-    ])
+    """Per task: one ``(keys, tile_id, pos, v)`` row per cell of every tile it saw.
+
+    Runs on Arrow record batches (``mapInArrow``; batches are capped by
+    ``spark.sql.execution.arrow.maxBytesPerBatch``): the flat cell buffer of a
+    batch is viewed as a (records x cells) matrix and summed per group with
+    ``np.add.reduceat``.  NaN stays NaN (no pandas null masking); NULL cells add
+    nothing, as in the ``explode`` form.
+    """
     cols = keys + ["tile_id"]
+    slim = series.select(*keys, F.col("tile_id").cast("int").alias("tile_id"), "cells")
+    out_schema = T.StructType([slim.schema[c] for c in cols]
+                              + [T.StructField("sums", T.ArrayType(T.DoubleType(), False), False)])
 
     def run(batches):
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
         acc: dict = {}
-        for pdf in batches:
-            if pdf.empty:
+        key_types = None
+        for b in batches:
+            if b.num_rows == 0:
                 continue
-            for gkey, grp in pdf.groupby(cols, sort=False, dropna=False):
-                mat = np.stack(grp["cells"].to_numpy()).astype(np.float64, copy=False)
-                part = mat.sum(axis=0)
-                gkey = gkey if isinstance(gkey, tuple) else (gkey,)
-                if gkey in acc:
-                    acc[gkey] += part
+            cells = b.column(len(cols))
+            if cells.null_count:
+                b = b.filter(pc.is_valid(cells))
+                cells = b.column(len(cols))
+                if b.num_rows == 0:
+                    continue
+            key_types = [b.schema.field(i).type for i in range(len(cols))]
+            lens = pc.list_value_length(cells).to_numpy(zero_copy_only=False)
+            if not (lens == cells_per_tile).all():
+                raise ValueError(f"tile arrays must hold {cells_per_tile} cells")
+            vals = cells.flatten()
+            if vals.null_count:
+                vals = pc.fill_null(vals, 0)
+            mat = vals.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(b.num_rows, cells_per_tile)
+            kdf = b.select(list(range(len(cols)))).to_pandas()
+            codes = kdf.groupby(list(kdf.columns), sort=False, dropna=False).ngroup().to_numpy()
+            order = np.argsort(codes, kind="stable")
+            sc = codes[order]
+            starts = np.flatnonzero(np.r_[True, sc[1:] != sc[:-1]])
+            sums = np.add.reduceat(mat[order], starts, axis=0)
+            firsts = order[starts]
+            for key, part in zip(kdf.iloc[firsts].itertuples(index=False, name=None), sums):
+                if key in acc:
+                    acc[key] += part
                 else:
-                    acc[gkey] = part
+                    acc[key] = part
         if acc:
-            rows = [list(k) + [v.tolist()] for k, v in acc.items()]
-            yield pd.DataFrame(rows, columns=cols + ["sums"])
-
-    slim = series.select(*keys, F.col("tile_id").cast("int").alias("tile_id"), "cells")
-    part = slim.mapInPandas(run, out_schema)
+            ks = list(acc)
+            arrays = [pa.array([k[j] for k in ks], type=key_types[j]) for j in range(len(cols))]
+            flat = np.concatenate([acc[k] for k in ks])
+            offsets = np.arange(0, (len(ks) + 1) * cells_per_tile, cells_per_tile, dtype=np.int32)
+            arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=pa.float64())))
+            yield pa.RecordBatch.from_arrays(arrays, names=cols + ["sums"])
+
+    part = slim.mapInArrow(run, out_schema)
     return part.select(*keys, "tile_id", F.posexplode("sums").alias("pos", "v")) \
         .select(*keys, "tile_id", F.col("pos").cast("int").alias("pos"), "v")
 

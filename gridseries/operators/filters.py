@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,8 +88,6 @@ def map_tiles(series: DataFrame, f) -> DataFrame:
 
 
 def _vectorized(fn, return_type: str, names):
-    import pandas as pd
-
     def wrapped(time_id: pd.Series, cells: pd.Series) -> pd.Series:
         return fn(time_id, cells)
 
