@@ -31,7 +31,7 @@ def band_entries(meta) -> Column:
 def band_value(meta, key: str) -> Column:
     """Value of ``key`` in a band's metadata; the last duplicate wins; NULL if absent."""
     hits = F.filter(band_entries(meta), lambda e: e["k"] == F.lit(key))
-    return F.when(F.size(hits) > 0, F.element_at(hits, -1)["v"])
+    return F.try_element_at(hits, F.lit(-1))["v"]
 
 
 def band_time(meta, key: str = TIME_KEY) -> Column:
@@ -39,6 +39,5 @@ def band_time(meta, key: str = TIME_KEY) -> Column:
 
     A missing key is an error (ANSI casts also fail on text that is no number).
     """
-    v = band_value(meta, key)
-    return F.when(v.isNull(), F.raise_error(F.lit(f"band metadata has no {key}"))) \
-        .otherwise(v.cast("double").cast("int"))
+    v = F.coalesce(band_value(meta, key), F.raise_error(F.lit(f"band metadata has no {key}")).cast("string"))
+    return v.cast("double").cast("int")

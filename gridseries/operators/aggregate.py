@@ -162,8 +162,11 @@ def time_count(series: DataFrame, distinct: bool | None = None) -> DataFrame:
 
 
 def divide_by_count(values: Column, n: Column) -> Column:
-    """``values / n``, NaN when ``n`` is 0 (ANSI division by zero would raise)."""
-    return F.when(n == 0, F.lit(NAN)).otherwise(values / n)
+    """``values / n``, NaN when ``n`` is 0 (ANSI division by zero would raise).
+
+    ``n`` appears once, so a scalar subquery behind it runs once.
+    """
+    return F.coalesce(F.try_divide(values, n), F.lit(NAN))
 
 
 def mosaic_mean(series: DataFrame, layout: TileLayout, method: str = "explode",

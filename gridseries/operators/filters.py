@@ -26,6 +26,36 @@ def filter_time(series: DataFrame, start: int | None = None, end: int | None = N
     return series.filter(cond) if (start is not None or end is not None) else series
 
 
+def filter_time_ts(df: DataFrame, ts_col: str, start: int | None = None, end: int | None = None,
+                   time_col: str = "time_id") -> DataFrame:
+    """Time window on a table that carries a timestamp, with Parquet pushdown.
+
+    ``time_id`` is derived from ``ts_col``, so a predicate on it cannot reach
+    the scan.  A conservative range on the timestamp itself can:
+    ``T0 + (start - 1) days < ts < T0 + (end + 1) days`` holds for every row
+    of the window (time ids cut toward zero), and the exact ``time_id``
+    predicate on top removes the few extra rows at the edges.
+    """
+    import datetime as dt
+
+    from gridseries.functions.timeid import EPOCH, time_id
+
+    epoch = dt.datetime.fromisoformat(EPOCH)
+    kind = "TIMESTAMP_NTZ" if df.schema[ts_col].dataType.typeName() == "timestamp_ntz" else "TIMESTAMP"
+    ts = F.col(ts_col)
+    cond = F.lit(True)
+    if start is not None:
+        lo = epoch + dt.timedelta(days=int(start) - 1)
+        cond = cond & (ts > F.expr(f"{kind}'{lo.isoformat(sep=' ')}'"))
+    if end is not None:
+        hi = epoch + dt.timedelta(days=int(end) + 1)
+        cond = cond & (ts < F.expr(f"{kind}'{hi.isoformat(sep=' ')}'"))
+    out = df.filter(cond) if (start is not None or end is not None) else df
+    if time_col not in out.columns:
+        out = out.withColumn(time_col, time_id(ts_col))
+    return filter_time(out, start, end)
+
+
 def part_bounds(splits: list[int], start: int | None, end: int | None, n_parts: int | None = None) -> tuple[int, int]:
     """First and last time part a window can touch."""
     n_parts = len(splits) + 1 if n_parts is None else n_parts

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from gridseries.functions.bandmeta import TIME_KEY, band_time
 from gridseries.functions.timeid import time_id
 from gridseries.model import Extent, TileLayout
+from gridseries.operators.filters import filter_time_ts
 from gridseries.operators.tiling import cell_to_tile, tile_bands
 
 # Fixed values of the fixtures.
@@ -31,6 +32,7 @@ SHIP_LAYOUT = TileLayout(tile_cols=4, tile_rows=2, pixel_cols=4, pixel_rows=4)
 SHIP_COLS = 16
 SHIP_ROWS = 8
 SHIP_K = 64
+SHIP_WINDOW = (17000, 17999)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,9 +63,15 @@ def emb_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tile_bands(b, EMB_LAYOUT, EMB_COLS, keep=("time_id", "label"))
 
 
-def ship_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F-SHIP in long form: ``time_id, tile_id, pos, v`` (summed quantity per cell and day)."""
-    li = table(spark, sf_dir, "lineitem")
+def ship_series(spark: SparkSession, sf_dir: str, window: tuple | None = None) -> DataFrame:
+    """F-SHIP in long form: ``time_id, tile_id, pos, v`` (summed quantity per cell and day).
+
+    A ``window`` (start, end) is applied on ``l_shipdate`` before the
+    aggregation, so it reaches the Parquet scan.
+    """
+    li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
+    if window is not None:
+        li = filter_time_ts(li, "l_shipdate", *window)
     r = F.col("l_suppkey") % SHIP_ROWS
     c = F.col("l_partkey") % SHIP_COLS
     tile, pos = cell_to_tile(r, c, SHIP_LAYOUT)

@@ -150,6 +150,10 @@ FROM {_FIRST}""",
     "mosaic_sum_ship": _ship("""
 SELECT g.cell_row, g.cell_col, ROUND(COALESCE(SUM(s.v), 0.0), 6) AS sum_v
 FROM ship_grid g LEFT JOIN ship s USING (cell_row, cell_col) GROUP BY g.cell_row, g.cell_col"""),
+    "mosaic_sum_ship_window": _ship("""
+SELECT g.cell_row, g.cell_col, ROUND(COALESCE(SUM(s.v), 0.0), 6) AS sum_v
+FROM ship_grid g LEFT JOIN (SELECT * FROM ship WHERE time_id BETWEEN 17000 AND 17999) s USING (cell_row, cell_col)
+GROUP BY g.cell_row, g.cell_col"""),
     "time_count": "SELECT COUNT(*) AS time_count FROM embeddings WHERE vec_id BETWEEN 100 AND 200",
     "mosaic_mean": _emb(f"SELECT cell_row, cell_col, ROUND(mean_v, 6) AS mean_v FROM ({_MEAN})"),
     "mosaic_mean_ship": _ship("""

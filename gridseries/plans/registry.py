@@ -247,6 +247,11 @@ def q_mosaic_sum_ship(spark, d):
         .select("cell_row", "cell_col", _r("sum_v").alias("sum_v"))
 
 
+def q_mosaic_sum_ship_window(spark, d):
+    s = fx.ship_series(spark, d, window=fx.SHIP_WINDOW)
+    return agg.mosaic_sum(s, fx.SHIP_LAYOUT).select("cell_row", "cell_col", _r("sum_v").alias("sum_v"))
+
+
 def q_time_count(spark, d):
     return agg.time_count(_emb_window(spark, d))
 
@@ -356,6 +361,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tile_sum_catalog": q_tile_sum_catalog,
     "mosaic_sum": q_mosaic_sum,
     "mosaic_sum_ship": q_mosaic_sum_ship,
+    "mosaic_sum_ship_window": q_mosaic_sum_ship_window,
     "time_count": q_time_count,
     "mosaic_mean": q_mosaic_mean,
     "mosaic_mean_ship": q_mosaic_mean_ship,

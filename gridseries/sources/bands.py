@@ -59,6 +59,16 @@ def check_extents(bands: DataFrame) -> DataFrame:
     ).select("path_idx", "n_bands", ((F.col("lo") == first) & (F.col("hi") == first)).alias("extent_ok"))
 
 
+def grid_summary(bands: DataFrame) -> DataFrame:
+    """One aggregate pass: first band's grid, smallest and largest grid, band count.
+
+    All inputs agree with the first band exactly when ``lo == first == hi``.
+    """
+    g = _grid_struct()
+    return bands.agg(F.min_by(g, F.struct("path_idx", "band")).alias("first"),
+                     F.min(g).alias("lo"), F.max(g).alias("hi"), F.count(F.lit(1)).alias("n_bands"))
+
+
 def time_bounds(series: DataFrame) -> DataFrame:
     """Min and max time id over all bands."""
     return series.agg(F.min("time_id").alias("min_time"), F.max("time_id").alias("max_time"))

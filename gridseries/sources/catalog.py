@@ -50,18 +50,30 @@ def to_records(series: DataFrame) -> DataFrame:
                          F.col("time_id").cast("int"), "cells")
 
 
-def write_catalog(series: DataFrame, out: str, mode: str = "errorifexists") -> str:
+def writer_tasks(spark: SparkSession, n_groups: int, total_bytes: int, target_bytes: int = 128 << 20) -> int:
+    """Writer task count: about ``target_bytes`` of cells per task, never more
+    tasks than (tile, part) groups, never fewer than the cluster's cores.
+
+    At scale this is one block-sized group per task; on small inputs it avoids
+    paying task start-up for a few kilobytes each.
+    """
+    by_size = -(-int(total_bytes) // int(target_bytes))
+    cores = spark.sparkContext.defaultParallelism
+    return max(1, min(int(n_groups), max(by_size, cores)))
+
+
+def write_catalog(series: DataFrame, out: str, mode: str = "errorifexists", n_tasks: int | None = None) -> str:
     """Write a series with ``part`` as one directory per tile and time part.
 
-    ``repartition(tile_id, part)`` sends each (tile, part) to one task, which
-    writes it as one file sorted by time; parts are sized by the split rule to
-    about a block each, so the files neither explode in number nor grow
-    unbounded.
+    Each (tile, part) is shuffled to one task, which writes it as one file
+    sorted by time; parts are sized by the split rule to about a block each.
+    ``n_tasks`` (see ``writer_tasks``) fixes the shuffle width, so adaptive
+    execution cannot merge all groups into a few long-running writer tasks.
     """
     path = f"{out.rstrip('/')}/cells"
-    (to_records(series)
-     .repartition("tile_id", "part")
-     .sortWithinPartitions("tile_id", "part", "time_id")
+    rec = to_records(series)
+    rec = rec.repartition(int(n_tasks), "tile_id", "part") if n_tasks else rec.repartition("tile_id", "part")
+    (rec.sortWithinPartitions("tile_id", "part", "time_id")
      .write.mode(mode).partitionBy("tile_id", "part").parquet(path))
     return path
 

@@ -15,8 +15,8 @@ from gridseries.functions.bandmeta import TIME_KEY, band_time
 from gridseries.model import CellType, Extent, GridMetadata, TileLayout
 from gridseries.operators.parts import attach_parts, blocks_per_part, time_parts
 from gridseries.operators.tiling import tile_bands
-from gridseries.sources.bands import check_extents, infer_grid
-from gridseries.sources.catalog import Catalog, open_catalog, write_catalog
+from gridseries.sources.bands import check_extents, grid_summary
+from gridseries.sources.catalog import Catalog, open_catalog, write_catalog, writer_tasks
 from gridseries.sources.metadata import metadata_frame, write_metadata
 
 DEFAULT_BLOCK_SIZE = 128 * 1024 * 1024
@@ -28,16 +28,18 @@ def timed_bands(bands: DataFrame, time_key: str = TIME_KEY) -> DataFrame:
 
 
 def plan_ingest(bands: DataFrame, tile_cols: int, tile_rows: int):
-    """Grid checks on the driver-visible summary; returns (extent, cols, rows, cell_type, layout)."""
-    g = infer_grid(bands).first()
+    """Grid checks from one aggregate row: (extent, cols, rows, cell_type, layout, n_bands)."""
+    s = grid_summary(bands).first()
+    g = s["first"]
     if g is None:
         raise ValueError("no bands to ingest")
+    if s["lo"] != g or s["hi"] != g:
+        bad = check_extents(bands).filter(~F.col("extent_ok")).select("path_idx").limit(1).collect()
+        where = bad[0]["path_idx"] if bad else "?"
+        raise ValueError(f"Raster extents don't match: input {where} differs from the first input")
     layout = TileLayout.for_raster(int(g["cols"]), int(g["rows"]), tile_cols, tile_rows)
-    bad = check_extents(bands).filter(~F.col("extent_ok")).select("path_idx").limit(1).collect()
-    if bad:
-        raise ValueError(f"Raster extents don't match: input {bad[0]['path_idx']} differs from the first input")
     extent = Extent(g["xmin"], g["ymin"], g["xmax"], g["ymax"])
-    return extent, int(g["cols"]), int(g["rows"]), CellType(g["cell_type"]), layout
+    return extent, int(g["cols"]), int(g["rows"]), CellType(g["cell_type"]), layout, int(s["n_bands"])
 
 
 def ingest(bands: DataFrame, out: str, tile_cols: int, tile_rows: int, k: int | None = None,
@@ -49,7 +51,7 @@ def ingest(bands: DataFrame, out: str, tile_cols: int, tile_rows: int, k: int |
     ``block_size`` bytes of one tile.
     """
     spark = bands.sparkSession
-    extent, cols, rows, cell_type, layout = plan_ingest(bands, tile_cols, tile_rows)
+    extent, cols, rows, cell_type, layout, time_count = plan_ingest(bands, tile_cols, tile_rows)
     timed = timed_bands(bands, time_key).select("time_id", F.col("cells").cast(f"array<{cell_type.spark_type.simpleString()}>").alias("cells"))
     if k is None:
         k = blocks_per_part(block_size, layout.pixel_cols, layout.pixel_rows, cell_type.bytes)
@@ -57,9 +59,9 @@ def ingest(bands: DataFrame, out: str, tile_cols: int, tile_rows: int, k: int |
     # the shared folder), then reused for the split points and the part join.
     parts = time_parts(timed, k).checkpoint(eager=True)
     splits = [int(r["time_id"]) for r in parts.filter("is_split").orderBy("time_id").collect()]
-    time_count = timed.count()
     meta = GridMetadata(time_count, tuple(splits), extent, layout, cell_type)
     tiles = tile_bands(timed, layout, cols)
-    write_catalog(attach_parts(tiles, parts), out, mode)
+    n_tasks = writer_tasks(spark, layout.n_tiles * (len(splits) + 1), time_count * cols * rows * cell_type.bytes)
+    write_catalog(attach_parts(tiles, parts), out, mode, n_tasks=n_tasks)
     write_metadata(metadata_frame(spark, meta), out, mode)
     return open_catalog(spark, out)
