@@ -80,10 +80,16 @@ def write_catalog(series: DataFrame, out: str, mode: str = "errorifexists", n_ta
 
 def open_catalog(spark: SparkSession, out: str) -> Catalog:
     """Open a catalog; an error when its metadata is absent."""
+    from gridseries.session import path_exists
+
     meta = load_metadata(spark, out)
     schema = record_schema(meta.cell_type.spark_type)
-    series = spark.read.schema(schema).parquet(f"{out.rstrip('/')}/cells")
-    return Catalog(out, meta, series.select(*RECORD_COLUMNS))
+    root = out.rstrip("/")
+    series = spark.read.schema(schema).parquet(f"{root}/cells").select(*RECORD_COLUMNS)
+    if path_exists(spark, f"{root}/stream/_spark_metadata"):
+        # steps appended by ``gridseries.streaming``; the sink's log lists committed files only
+        series = series.unionByName(spark.read.schema(schema).parquet(f"{root}/stream").select(*RECORD_COLUMNS))
+    return Catalog(out, meta, series)
 
 
 def scan_tile(catalog: Catalog, tile_id: int) -> DataFrame:
