@@ -110,8 +110,21 @@ def _arrow_partials(series: DataFrame, keys: list[str], cells_per_tile: int) ->
         .select(*keys, "tile_id", F.col("pos").cast("int").alias("pos"), "v")
 
 
+ARROW_MIN_CELLS = 1024
+
+
+def choose_method(series: DataFrame, layout: TileLayout, method: str) -> str:
+    """``auto``: the Arrow form for array series with big tiles, where it ran
+    about twice as fast as ``explode`` (180 x 180 tiles); ``explode`` otherwise."""
+    if method != "auto":
+        return method
+    if "cells" in series.columns and layout.cells_per_tile >= ARROW_MIN_CELLS:
+        return "arrow"
+    return "explode"
+
+
 def tile_sum(series: DataFrame, layout: TileLayout, tile_id: int | None = None, keys=(),
-             method: str = "explode", fill: bool = True) -> DataFrame:
+             method: str = "auto", fill: bool = True) -> DataFrame:
     """Cell-by-cell DOUBLE sum over all records: ``keys, tile_id, pos, sum_v``.
 
     ``tile_id`` restricts to one tile (a partition filter on a catalog).
@@ -120,6 +133,7 @@ def tile_sum(series: DataFrame, layout: TileLayout, tile_id: int | None = None,
     key values present in the data appear.
     """
     keys = list(keys)
+    method = choose_method(series, layout, method)
     if tile_id is not None:
         series = series.filter(F.col("tile_id") == F.lit(int(tile_id)))
     if method == "arrow":
@@ -142,7 +156,7 @@ def mosaic(tile_values: DataFrame, layout: TileLayout, value_cols=("sum_v",), ke
     return tile_values.select(*keys, row.alias("cell_row"), col.alias("cell_col"), *value_cols)
 
 
-def mosaic_sum(series: DataFrame, layout: TileLayout, method: str = "explode", keys=()) -> DataFrame:
+def mosaic_sum(series: DataFrame, layout: TileLayout, method: str = "auto", keys=()) -> DataFrame:
     """Whole-raster cell sums in long form: ``keys, cell_row, cell_col, sum_v``."""
     return mosaic(tile_sum(series, layout, keys=keys, method=method), layout, keys=keys)
 
@@ -169,7 +183,7 @@ def divide_by_count(values: Column, n: Column) -> Column:
     return F.coalesce(F.try_divide(values, n), F.lit(NAN))
 
 
-def mosaic_mean(series: DataFrame, layout: TileLayout, method: str = "explode",
+def mosaic_mean(series: DataFrame, layout: TileLayout, method: str = "auto",
                 distinct: bool | None = None) -> DataFrame:
     """Per-cell mean: the cell sum divided by the series' time count.
 
@@ -188,7 +202,7 @@ def min_max(raster: DataFrame, value_col: str) -> DataFrame:
     return raster.filter(~F.isnan(v)).agg(F.min(v).alias("min_v"), F.max(v).alias("max_v"))
 
 
-def local_add(series: DataFrame, layout: TileLayout, keys, method: str = "explode") -> DataFrame:
+def local_add(series: DataFrame, layout: TileLayout, keys, method: str = "auto") -> DataFrame:
     """Cell-by-cell sum of the records of each group: ``keys, cell_row, cell_col, sum_v``.
 
     Map-side partial aggregation bounds what a hot group sends through the

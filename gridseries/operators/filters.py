@@ -103,18 +103,32 @@ def map_tiles(series: DataFrame, f) -> DataFrame:
 
     ``f`` is either a dict ``{column: Column}`` of replacement expressions (JVM
     side), or a Python function over a pandas batch of records that returns a
-    batch with the same columns (run with ``mapInPandas``; narrow, so the input
-    partitioning is kept).
+    batch with the same columns.  The Python form runs on Arrow batches
+    (``mapInArrow``; narrow, so the input partitioning is kept) and converts
+    back without pandas' null masking, so NaN cells stay NaN.
     """
     if isinstance(f, dict):
         return series.withColumns(f)
     schema = series.schema
+    names = schema.names
 
     def run(batches):
-        for pdf in batches:
-            yield f(pdf)
-
-    return series.mapInPandas(run, schema)
+        import pyarrow as pa
+
+        for b in batches:
+            out = f(b.to_pandas())
+            arrays = []
+            for i, name in enumerate(names):
+                typ = b.schema.field(i).type
+                col = out[name]
+                if pa.types.is_list(typ):
+                    vals = [None if v is None else list(v) for v in col.tolist()]
+                    arrays.append(pa.array(vals, type=typ, from_pandas=False))
+                else:
+                    arrays.append(pa.array(col.to_numpy(), type=typ, from_pandas=False))
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return series.mapInArrow(run, schema)
 
 
 def _vectorized(fn, return_type: str, names):

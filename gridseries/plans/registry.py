@@ -100,10 +100,11 @@ def q_time_bounds(spark, d):
 # --- catalog -------------------------------------------------------------------
 
 def _catalog_summary(series: DataFrame) -> DataFrame:
-    ex = series.select("tile_id", "part", "time_id", F.posexplode("cells").alias("pos", "v"))
-    return ex.groupBy("tile_id", "part").agg(
-        F.count_distinct("time_id").alias("n_records"), F.min("time_id").alias("min_time"),
-        F.max("time_id").alias("max_time"), _r(F.sum(F.col("v").cast("double"))).alias("sum_v"))
+    """Per (tile, part): records, time range and cell total, aggregated per record (no explode)."""
+    rec_sum = F.aggregate("cells", F.lit(0.0), lambda a, c: a + c.cast("double"))
+    return series.groupBy("tile_id", "part").agg(
+        F.count(F.lit(1)).alias("n_records"), F.min("time_id").alias("min_time"),
+        F.max("time_id").alias("max_time"), _r(F.sum(rec_sum)).alias("sum_v"))
 
 
 def q_write_catalog(spark, d):

@@ -75,4 +75,22 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hpath))
 
 
-__all__ = ["build_session", "shared_dir", "new_output_path", "path_exists"]
+READER_BATCH_BYTES = 32 << 20
+
+
+def guard_reader_batch(spark: SparkSession, row_bytes: int, target_bytes: int = READER_BATCH_BYTES) -> int:
+    """Keep one vectorized Parquet batch near ``target_bytes`` for rows of ``row_bytes``.
+
+    Catalog rows hold whole tiles (e.g. 512 x 512 floats = 1 MB); at the
+    default 4,096 rows per batch one task would need gigabytes.  The session
+    setting is lowered, never raised.
+    """
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    current = int(spark.conf.get(key, "4096"))
+    wanted = max(1, min(current, int(target_bytes) // max(1, int(row_bytes))))
+    if wanted < current:
+        spark.conf.set(key, str(wanted))
+    return wanted
+
+
+__all__ = ["guard_reader_batch", "build_session", "shared_dir", "new_output_path", "path_exists"]

@@ -80,9 +80,10 @@ def write_catalog(series: DataFrame, out: str, mode: str = "errorifexists", n_ta
 
 def open_catalog(spark: SparkSession, out: str) -> Catalog:
     """Open a catalog; an error when its metadata is absent."""
-    from gridseries.session import path_exists
+    from gridseries.session import guard_reader_batch, path_exists
 
     meta = load_metadata(spark, out)
+    guard_reader_batch(spark, meta.layout.cells_per_tile * meta.cell_type.bytes)
     schema = record_schema(meta.cell_type.spark_type)
     root = out.rstrip("/")
     series = spark.read.schema(schema).parquet(f"{root}/cells").select(*RECORD_COLUMNS)

@@ -18,6 +18,7 @@ from gridseries.operators.tiling import tile_bands
 from gridseries.sources.bands import check_extents, grid_summary
 from gridseries.sources.catalog import Catalog, open_catalog, write_catalog, writer_tasks
 from gridseries.sources.metadata import metadata_frame, write_metadata
+from gridseries.session import guard_reader_batch, new_output_path
 
 DEFAULT_BLOCK_SIZE = 128 * 1024 * 1024
 
@@ -52,12 +53,16 @@ def ingest(bands: DataFrame, out: str, tile_cols: int, tile_rows: int, k: int |
     """
     spark = bands.sparkSession
     extent, cols, rows, cell_type, layout, time_count = plan_ingest(bands, tile_cols, tile_rows)
+    guard_reader_batch(spark, cols * rows * cell_type.bytes)  # band rows hold whole rasters
     timed = timed_bands(bands, time_key).select("time_id", F.col("cells").cast(f"array<{cell_type.spark_type.simpleString()}>").alias("cells"))
     if k is None:
         k = blocks_per_part(block_size, layout.pixel_cols, layout.pixel_rows, cell_type.bytes)
-    # One row per distinct time id: materialised once (reliable checkpoint in
-    # the shared folder), then reused for the split points and the part join.
-    parts = time_parts(timed, k).checkpoint(eager=True)
+    # One row per distinct time id, written once to the shared folder (cuts the
+    # lineage, survives executor loss) and reused for the split points and the
+    # part join.
+    parts_path = new_output_path(spark, "time-parts")
+    time_parts(timed, k).write.parquet(parts_path)
+    parts = spark.read.parquet(parts_path)
     splits = [int(r["time_id"]) for r in parts.filter("is_split").orderBy("time_id").collect()]
     meta = GridMetadata(time_count, tuple(splits), extent, layout, cell_type)
     tiles = tile_bands(timed, layout, cols)

@@ -104,3 +104,28 @@ def test_sum_plan_aggregates_partially(spark):
     plan = A.tile_sum(s, fx.EMB_LAYOUT)._jdf.queryExecution().executedPlan().toString()
     assert "partial_sum" in plan and "Exchange" in plan
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_auto_method_picks_by_tile_size(spark):
+    big = TileLayout(1, 1, 64, 32)
+    s = _series(spark, [(0, 1, [1.0] * 2048), (0, 2, [2.0] * 2048)])
+    assert A.choose_method(s, big, "auto") == "arrow"
+    assert A.choose_method(s, ONE, "auto") == "explode"
+    long = spark.createDataFrame([(0, 1, 0, 1.0)], "tile_id int, time_id int, pos int, v double")
+    assert A.choose_method(long, big, "auto") == "explode"
+    got = A.tile_sum(s, big).agg(F.min("sum_v"), F.max("sum_v"), F.count(F.lit(1))).first()
+    assert tuple(got) == (3.0, 3.0, 2048)
+
+
+def test_reader_batch_guard(spark):
+    from gridseries.session import guard_reader_batch
+
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    old = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "4096")
+        assert guard_reader_batch(spark, 1 << 20) == 32
+        assert spark.conf.get(key) == "32"
+        assert guard_reader_batch(spark, 16) == 32  # never raised
+    finally:
+        spark.conf.set(key, old)

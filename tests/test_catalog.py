@@ -100,6 +100,7 @@ def test_map_tiles_python_keeps_partitioning(spark, emb_cat):
     m = map_tiles(emb_cat.series, shift)
     assert m.agg(F.min("time_id")).first()[0] == 1
     assert "Exchange" not in _plan(m)
+    assert m.count() == emb_cat.series.count()
 
 
 def test_derived_series_written_back(spark, emb_cat, out_dir):
@@ -134,3 +135,16 @@ def test_read_bands_from_files(spark, out_dir):
     assert both.count() == 500
     first = infer_grid(both).first()
     assert (first["cols"], first["rows"]) == (8, 8)
+
+
+def test_map_tiles_python_keeps_nan(spark):
+    import numpy as np
+
+    s = spark.createDataFrame([(0, 1, [1.0, float("nan")])], "tile_id int, time_id int, cells array<double>")
+
+    def double(pdf):
+        pdf["cells"] = pdf["cells"].apply(lambda a: np.asarray(a) * 2)
+        return pdf
+
+    got = map_tiles(s, double).first()["cells"]
+    assert got[0] == 2.0 and got[1] != got[1]
