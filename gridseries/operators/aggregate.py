@@ -25,6 +25,7 @@ from gridseries.model import TileLayout
 from gridseries.operators.tiling import tile_to_cell
 
 NAN = float("nan")
+ARROW_ACC_BYTES = 256 << 20   # per-task budget of partial sums in the Arrow form
 
 
 def to_long(series: DataFrame, keys=()) -> DataFrame:
@@ -61,6 +62,8 @@ def _arrow_partials(series: DataFrame, keys: list[str], cells_per_tile: int) ->
     out_schema = T.StructType([slim.schema[c] for c in cols]
                               + [T.StructField("sums", T.ArrayType(T.DoubleType(), False), False)])
 
+    max_groups = max(1, ARROW_ACC_BYTES // (8 * cells_per_tile))
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -68,6 +71,16 @@ def _arrow_partials(series: DataFrame, keys: list[str], cells_per_tile: int) ->
 
         acc: dict = {}
         key_types = None
+
+        def flush():
+            ks = list(acc)
+            arrays = [pa.array([k[j] for k in ks], type=key_types[j]) for j in range(len(cols))]
+            flat = np.concatenate([acc[k] for k in ks])
+            offsets = np.arange(0, (len(ks) + 1) * cells_per_tile, cells_per_tile, dtype=np.int32)
+            arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=pa.float64())))
+            acc.clear()
+            return pa.RecordBatch.from_arrays(arrays, names=cols + ["sums"])
+
         for b in batches:
             if b.num_rows == 0:
                 continue
@@ -97,13 +110,11 @@ def _arrow_partials(series: DataFrame, keys: list[str], cells_per_tile: int) ->
                     acc[key] += part
                 else:
                     acc[key] = part
+            if len(acc) >= max_groups:
+                # high-cardinality keys: emit partials early, memory stays bounded
+                yield flush()
         if acc:
-            ks = list(acc)
-            arrays = [pa.array([k[j] for k in ks], type=key_types[j]) for j in range(len(cols))]
-            flat = np.concatenate([acc[k] for k in ks])
-            offsets = np.arange(0, (len(ks) + 1) * cells_per_tile, cells_per_tile, dtype=np.int32)
-            arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=pa.float64())))
-            yield pa.RecordBatch.from_arrays(arrays, names=cols + ["sums"])
+            yield flush()
 
     part = slim.mapInArrow(run, out_schema)
     return part.select(*keys, "tile_id", F.posexplode("sums").alias("pos", "v")) \
@@ -156,6 +167,18 @@ def mosaic(tile_values: DataFrame, layout: TileLayout, value_cols=("sum_v",), ke
     return tile_values.select(*keys, row.alias("cell_row"), col.alias("cell_col"), *value_cols)
 
 
+def tile_arrays(tile_values: DataFrame, value_col: str = "sum_v", keys=()) -> DataFrame:
+    """Long per-cell values -> one row per tile with its cells row-major in an array.
+
+    A group is one tile (``pixel_cols x pixel_rows`` values), so it is bounded;
+    the whole raster is never gathered into one row.
+    """
+    keys = list(keys)
+    packed = tile_values.groupBy(*keys, "tile_id").agg(
+        F.array_sort(F.collect_list(F.struct("pos", F.col(value_col).alias("x")))).alias("cells"))
+    return packed.select(*keys, "tile_id", F.transform("cells", lambda e: e["x"]).alias("cells"))
+
+
 def mosaic_sum(series: DataFrame, layout: TileLayout, method: str = "auto", keys=()) -> DataFrame:
     """Whole-raster cell sums in long form: ``keys, cell_row, cell_col, sum_v``."""
     return mosaic(tile_sum(series, layout, keys=keys, method=method), layout, keys=keys)

@@ -129,3 +129,21 @@ def test_reader_batch_guard(spark):
         assert guard_reader_batch(spark, 16) == 32  # never raised
     finally:
         spark.conf.set(key, old)
+
+
+def test_arrow_flushes_partials_for_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(A, "ARROW_ACC_BYTES", 8 * 2 * 3)   # room for 3 groups of a 2-cell tile
+    s = spark.createDataFrame([(0, t, t % 7, [1.0, float(t)]) for t in range(50)],
+                              "tile_id int, time_id int, g int, cells array<double>").repartition(2)
+    a = A.tile_sum(s, ONE, keys=["g"], method="arrow").orderBy("g", "pos").collect()
+    b = A.tile_sum(s, ONE, keys=["g"], method="explode").orderBy("g", "pos").collect()
+    assert [tuple(r) for r in a] == [tuple(r) for r in b] and len(a) == 14
+
+
+def test_tile_arrays_round_trip(spark):
+    s = fx.emb_series(spark, SF001)
+    sums = A.tile_sum(s, fx.EMB_LAYOUT)
+    arrays = {r["tile_id"]: r["cells"] for r in A.tile_arrays(sums).collect()}
+    assert len(arrays) == 8 and all(len(v) == 8 for v in arrays.values())
+    longs = {(r["tile_id"], r["pos"]): r["sum_v"] for r in sums.collect()}
+    assert all(arrays[t][p] == v for (t, p), v in longs.items())
