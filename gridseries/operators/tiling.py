@@ -88,6 +88,44 @@ def tile_bands(bands: DataFrame, layout: TileLayout, cols: int | None = None, ke
     return bands.select(*keep, F.inline(tiles))
 
 
+def tile_strips(strips: DataFrame, layout: TileLayout, cols: int | None = None, keep=("time_id",)) -> DataFrame:
+    """Array form from rasters delivered as row strips (for rasters too big for one row).
+
+    ``strips`` rows hold ``row0`` (first raster row of the strip, INT) and
+    ``cells`` (``k x cols`` values, row-major) for any strip height ``k``.  Each
+    strip is cut into the pieces of the tiles it crosses; pieces are then
+    gathered per (time step, tile) and stacked by their first row.  A group is
+    one tile, so no task ever holds more than a tile per record.
+    """
+    cols = cols or layout.cols
+    pr, pc, tcols = layout.pixel_rows, layout.pixel_cols, layout.tile_cols
+    keep = list(keep)
+    src = F.col("cells")
+    height = (F.size(src) / cols).cast("int")
+    first_tr = F.floor(F.col("row0") / pr).cast("int")
+    last_tr = F.floor((F.col("row0") + height - 1) / pr).cast("int")
+
+    def pieces_for_tile_row(tr: Column) -> Column:
+        lo = F.greatest(F.col("row0"), tr * pr)                   # first raster row inside both
+        hi = F.least(F.col("row0") + height, (tr + 1) * pr)       # one past the last
+
+        def piece(tc: Column) -> Column:
+            def strip_row(r: Column) -> Column:
+                return F.slice(src, ((r - F.col("row0")) * cols + tc * pc + 1).cast("int"), F.lit(pc))
+
+            return F.struct((tr * tcols + tc).cast("int").alias("tile_id"), (lo - tr * pr).cast("int").alias("r"),
+                            F.flatten(F.transform(F.sequence(lo, hi - 1), strip_row)).alias("piece"))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(tcols - 1)), piece)
+
+    pieces = strips.select(*keep, F.inline(F.flatten(F.transform(F.sequence(first_tr, last_tr), pieces_for_tile_row))))
+    grouped = pieces.groupBy(*keep, "tile_id").agg(
+        F.array_sort(F.collect_list(F.struct("r", "piece"))).alias("ps"))
+    tile = F.flatten(F.transform("ps", lambda x: x["piece"]))
+    ok = F.assert_true(F.size(tile) == F.lit(layout.cells_per_tile), F.lit("strips do not cover the tile exactly"))
+    return grouped.select(*keep, "tile_id", F.when(ok.isNull(), tile).alias("cells"))
+
+
 def tile_bands_long(bands: DataFrame, layout: TileLayout, keep=("time_id",)) -> DataFrame:
     """Long form: one row per (band, cell) with ``tile_id``, ``pos`` and ``v``."""
     exploded = bands.select(*keep, F.posexplode("cells").alias("idx", "v"))

@@ -7,6 +7,10 @@ Band table columns (one Parquet table per source file, or one table with
     xmin, ymin, xmax, ymax DOUBLE, cols INT, rows INT, cell_type STRING,
     cells ARRAY<numeric> (row-major, cols x rows)
 
+Rasters too big for one row may come as row strips instead: add
+``row0 INT`` (first raster row of the strip) and put ``k x cols`` cells in
+each row; ingest then assembles tiles per time step and tile.
+
 Decoding raster files (NetCDF/GeoTIFF) is not part of the library; any
 reader that produces this table feeds the ingest.
 """
@@ -65,8 +69,10 @@ def grid_summary(bands: DataFrame) -> DataFrame:
     All inputs agree with the first band exactly when ``lo == first == hi``.
     """
     g = _grid_struct()
+    # with strips (``row0``) a band is counted once, by its strip at row 0
+    n = F.count_if(F.col("row0") == 0) if "row0" in bands.columns else F.count(F.lit(1))
     return bands.agg(F.min_by(g, F.struct("path_idx", "band")).alias("first"),
-                     F.min(g).alias("lo"), F.max(g).alias("hi"), F.count(F.lit(1)).alias("n_bands"))
+                     F.min(g).alias("lo"), F.max(g).alias("hi"), n.alias("n_bands"))
 
 
 def time_bounds(series: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from gridseries.functions.bandmeta import TIME_KEY, band_time
 from gridseries.model import CellType, Extent, GridMetadata, TileLayout
 from gridseries.operators.parts import attach_parts, blocks_per_part, time_parts
-from gridseries.operators.tiling import tile_bands
+from gridseries.operators.tiling import tile_bands, tile_strips
 from gridseries.sources.bands import check_extents, grid_summary
 from gridseries.sources.catalog import Catalog, open_catalog, write_catalog, writer_tasks
 from gridseries.sources.metadata import metadata_frame, write_metadata
@@ -53,8 +53,11 @@ def ingest(bands: DataFrame, out: str, tile_cols: int, tile_rows: int, k: int |
     """
     spark = bands.sparkSession
     extent, cols, rows, cell_type, layout, time_count = plan_ingest(bands, tile_cols, tile_rows)
-    guard_reader_batch(spark, cols * rows * cell_type.bytes)  # band rows hold whole rasters
-    timed = timed_bands(bands, time_key).select("time_id", F.col("cells").cast(f"array<{cell_type.spark_type.simpleString()}>").alias("cells"))
+    strips = "row0" in bands.columns
+    # band rows hold whole rasters (strips: assume about a tile row high)
+    guard_reader_batch(spark, cols * (layout.pixel_rows if strips else rows) * cell_type.bytes)
+    cell_cast = F.col("cells").cast(f"array<{cell_type.spark_type.simpleString()}>").alias("cells")
+    timed = timed_bands(bands, time_key).select("time_id", *(["row0"] if strips else []), cell_cast)
     if k is None:
         k = blocks_per_part(block_size, layout.pixel_cols, layout.pixel_rows, cell_type.bytes)
     # One row per distinct time id, written once to the shared folder (cuts the
@@ -65,7 +68,7 @@ def ingest(bands: DataFrame, out: str, tile_cols: int, tile_rows: int, k: int |
     parts = spark.read.parquet(parts_path)
     splits = [int(r["time_id"]) for r in parts.filter("is_split").orderBy("time_id").collect()]
     meta = GridMetadata(time_count, tuple(splits), extent, layout, cell_type)
-    tiles = tile_bands(timed, layout, cols)
+    tiles = tile_strips(timed, layout, cols) if strips else tile_bands(timed, layout, cols)
     n_tasks = writer_tasks(spark, layout.n_tiles * (len(splits) + 1), time_count * cols * rows * cell_type.bytes)
     write_catalog(attach_parts(tiles, parts), out, mode, n_tasks=n_tasks)
     write_metadata(metadata_frame(spark, meta), out, mode)

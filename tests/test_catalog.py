@@ -148,3 +148,14 @@ def test_map_tiles_python_keeps_nan(spark):
 
     got = map_tiles(s, double).first()["cells"]
     assert got[0] == 2.0 and got[1] != got[1]
+
+
+def test_ingest_from_row_strips(spark, emb_cat, out_dir):
+    bands = fx.emb_bands(spark, SF001)
+    strips = bands.select(*[c for c in bands.columns if c != "cells"],
+                          F.explode(F.array(F.lit(0), F.lit(3), F.lit(6))).alias("row0"), "cells") \
+        .withColumn("cells", F.slice("cells", F.col("row0") * 8 + 1, F.least(F.lit(3), 8 - F.col("row0")) * 8))
+    c = ingest(strips, out_dir, 4, 2, k=64)
+    assert c.meta.time_count == 500 and c.meta.splits == emb_cat.meta.splits
+    assert c.series.exceptAll(emb_cat.series).count() == 0
+    assert c.series.count() == emb_cat.series.count()

@@ -63,3 +63,26 @@ def test_tile_extents_row_zero_on_top(spark):
     ext = {r["tile_id"]: r for r in tile_extents(spark, Extent(-180.0, -90.0, 180.0, 90.0), LAYOUT).collect()}
     assert (ext[0]["xmin"], ext[0]["ymin"], ext[0]["xmax"], ext[0]["ymax"]) == (-180.0, 0.0, -90.0, 90.0)
     assert (ext[7]["xmin"], ext[7]["ymin"], ext[7]["xmax"], ext[7]["ymax"]) == (90.0, -90.0, 180.0, 0.0)
+
+
+@pytest.mark.parametrize("height", [1, 3, 4, 8])
+def test_strips_give_the_same_tiles(spark, height):
+    from gridseries.operators.tiling import tile_strips
+
+    bands = _raster(spark, 4)
+    starts = list(range(0, 8, height))
+    strips = bands.select("time_id", F.explode(F.array(*[F.lit(s) for s in starts])).alias("row0"), "cells") \
+        .select("time_id", "row0", F.slice("cells", F.col("row0") * 8 + 1,
+                                            F.least(F.lit(height), 8 - F.col("row0")) * 8).alias("cells"))
+    a = tile_strips(strips, LAYOUT, 8).select("time_id", "tile_id", "cells")
+    b = tile_bands(bands, LAYOUT, 8).select("time_id", "tile_id", "cells")
+    assert a.count() == b.count() == 32
+    assert a.exceptAll(b).count() == 0
+
+
+def test_strips_missing_rows_error(spark):
+    from gridseries.operators.tiling import tile_strips
+
+    strips = _raster(spark, 1).select("time_id", F.lit(0).alias("row0"), F.slice("cells", 1, 24).alias("cells"))
+    with pytest.raises(Exception, match="cover"):
+        tile_strips(strips, LAYOUT, 8).collect()
