@@ -88,18 +88,15 @@ def tile_bands(bands: DataFrame, layout: TileLayout, cols: int | None = None, ke
     return bands.select(*keep, F.inline(tiles))
 
 
-def tile_strips(strips: DataFrame, layout: TileLayout, cols: int | None = None, keep=("time_id",)) -> DataFrame:
-    """Array form from rasters delivered as row strips (for rasters too big for one row).
+def strip_pieces(strips: DataFrame, layout: TileLayout, cols: int | None = None, keep=("time_id",)) -> DataFrame:
+    """Row strips -> one row per (strip, tile crossed): ``keep, tile_id, r, piece``.
 
     ``strips`` rows hold ``row0`` (first raster row of the strip, INT) and
-    ``cells`` (``k x cols`` values, row-major) for any strip height ``k``.  Each
-    strip is cut into the pieces of the tiles it crosses; pieces are then
-    gathered per (time step, tile) and stacked by their first row.  A group is
-    one tile, so no task ever holds more than a tile per record.
+    ``cells`` (``k x cols`` values, row-major) for any strip height ``k``;
+    ``r`` is the first row of the piece inside its tile.
     """
     cols = cols or layout.cols
     pr, pc, tcols = layout.pixel_rows, layout.pixel_cols, layout.tile_cols
-    keep = list(keep)
     src = F.col("cells")
     height = (F.size(src) / cols).cast("int")
     first_tr = F.floor(F.col("row0") / pr).cast("int")
@@ -118,7 +115,17 @@ def tile_strips(strips: DataFrame, layout: TileLayout, cols: int | None = None,
 
         return F.transform(F.sequence(F.lit(0), F.lit(tcols - 1)), piece)
 
-    pieces = strips.select(*keep, F.inline(F.flatten(F.transform(F.sequence(first_tr, last_tr), pieces_for_tile_row))))
+    return strips.select(*keep, F.inline(F.flatten(F.transform(F.sequence(first_tr, last_tr), pieces_for_tile_row))))
+
+
+def assemble_pieces(pieces: DataFrame, layout: TileLayout, keep=("time_id",)) -> DataFrame:
+    """Gather the pieces of each (keep, tile) and stack them by first row into the tile's cells.
+
+    A group is one tile, so no task ever holds more than a tile per record.
+    If ``pieces`` is already hash-partitioned on a subset of the group keys
+    (e.g. ``tile_id, part`` before a catalog write), no further shuffle is planned.
+    """
+    keep = list(keep)
     grouped = pieces.groupBy(*keep, "tile_id").agg(
         F.array_sort(F.collect_list(F.struct("r", "piece"))).alias("ps"))
     tile = F.flatten(F.transform("ps", lambda x: x["piece"]))
@@ -126,6 +133,11 @@ def tile_strips(strips: DataFrame, layout: TileLayout, cols: int | None = None,
     return grouped.select(*keep, "tile_id", F.when(ok.isNull(), tile).alias("cells"))
 
 
+def tile_strips(strips: DataFrame, layout: TileLayout, cols: int | None = None, keep=("time_id",)) -> DataFrame:
+    """Array form from rasters delivered as row strips (for rasters too big for one row)."""
+    return assemble_pieces(strip_pieces(strips, layout, cols, keep), layout, keep)
+
+
 def tile_bands_long(bands: DataFrame, layout: TileLayout, keep=("time_id",)) -> DataFrame:
     """Long form: one row per (band, cell) with ``tile_id``, ``pos`` and ``v``."""
     exploded = bands.select(*keep, F.posexplode("cells").alias("idx", "v"))

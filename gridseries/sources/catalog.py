@@ -62,17 +62,25 @@ def writer_tasks(spark: SparkSession, n_groups: int, total_bytes: int, target_by
     return max(1, min(int(n_groups), max(by_size, cores)))
 
 
-def write_catalog(series: DataFrame, out: str, mode: str = "errorifexists", n_tasks: int | None = None) -> str:
+def cluster_for_write(series: DataFrame, n_tasks: int | None = None) -> DataFrame:
+    """Hash-partition records on ``(tile_id, part)``: the catalog's write layout."""
+    return series.repartition(int(n_tasks), "tile_id", "part") if n_tasks else series.repartition("tile_id", "part")
+
+
+def write_catalog(series: DataFrame, out: str, mode: str = "errorifexists", n_tasks: int | None = None,
+                  clustered: bool = False) -> str:
     """Write a series with ``part`` as one directory per tile and time part.
 
     Each (tile, part) is shuffled to one task, which writes it as one file
     sorted by time; parts are sized by the split rule to about a block each.
     ``n_tasks`` (see ``writer_tasks``) fixes the shuffle width, so adaptive
     execution cannot merge all groups into a few long-running writer tasks.
+    ``clustered=True``: the input is already partitioned by ``cluster_for_write``.
     """
     path = f"{out.rstrip('/')}/cells"
     rec = to_records(series)
-    rec = rec.repartition(int(n_tasks), "tile_id", "part") if n_tasks else rec.repartition("tile_id", "part")
+    if not clustered:
+        rec = cluster_for_write(rec, n_tasks)
     (rec.sortWithinPartitions("tile_id", "part", "time_id")
      .write.mode(mode).partitionBy("tile_id", "part").parquet(path))
     return path

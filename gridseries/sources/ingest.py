@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from gridseries.functions.bandmeta import TIME_KEY, band_time
 from gridseries.model import CellType, Extent, GridMetadata, TileLayout
 from gridseries.operators.parts import attach_parts, blocks_per_part, time_parts
-from gridseries.operators.tiling import tile_bands, tile_strips
+from gridseries.operators.tiling import assemble_pieces, strip_pieces, tile_bands
 from gridseries.sources.bands import check_extents, grid_summary
-from gridseries.sources.catalog import Catalog, open_catalog, write_catalog, writer_tasks
+from gridseries.sources.catalog import Catalog, cluster_for_write, open_catalog, write_catalog, writer_tasks
 from gridseries.sources.metadata import metadata_frame, write_metadata
 from gridseries.session import guard_reader_batch, new_output_path
 
@@ -68,8 +68,14 @@ def ingest(bands: DataFrame, out: str, tile_cols: int, tile_rows: int, k: int |
     parts = spark.read.parquet(parts_path)
     splits = [int(r["time_id"]) for r in parts.filter("is_split").orderBy("time_id").collect()]
     meta = GridMetadata(time_count, tuple(splits), extent, layout, cell_type)
-    tiles = tile_strips(timed, layout, cols) if strips else tile_bands(timed, layout, cols)
     n_tasks = writer_tasks(spark, layout.n_tiles * (len(splits) + 1), time_count * cols * rows * cell_type.bytes)
-    write_catalog(attach_parts(tiles, parts), out, mode, n_tasks=n_tasks)
+    if strips:
+        # pieces go straight to their writer task; the per-tile assembly then
+        # runs inside it (the (tile_id, part) partitioning satisfies the grouping)
+        pieces = attach_parts(strip_pieces(timed, layout, cols), parts)
+        records = assemble_pieces(cluster_for_write(pieces, n_tasks), layout, keep=("time_id", "part"))
+        write_catalog(records, out, mode, clustered=True)
+    else:
+        write_catalog(attach_parts(tile_bands(timed, layout, cols), parts), out, mode, n_tasks=n_tasks)
     write_metadata(metadata_frame(spark, meta), out, mode)
     return open_catalog(spark, out)
