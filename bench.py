@@ -19,7 +19,8 @@ from gridseries.plans import registry as R  # noqa: E402
 from gridseries.session import build_session  # noqa: E402
 
 HEADLINE = [
-    "mosaic_sum", "mosaic_mean", "tile_sum", "tile_sum_arrow", "tile_sum_catalog", "prune_parts",
+    "mosaic_sum", "mosaic_sum_arrow", "mosaic_sum_catalog", "mosaic_mean", "mosaic_mean_arrow", "mosaic_mean_catalog",
+    "tile_sum", "tile_sum_arrow", "tile_sum_catalog", "prune_parts",
     "series_by_part", "local_add", "mosaic_sum_ship", "mosaic_mean_ship", "assign_part",
     "split_points_ship", "time_id", "write_catalog",
 ]

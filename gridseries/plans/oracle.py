@@ -147,6 +147,9 @@ FROM {_FIRST}""",
     "tile_sum_catalog": _emb(
         "SELECT tile_id, pos, ROUND(SUM(v), 6) AS sum_v FROM emb_win WHERE tile_id = 0 GROUP BY tile_id, pos"),
     "mosaic_sum": _emb("SELECT cell_row, cell_col, ROUND(SUM(v), 6) AS sum_v FROM emb_win GROUP BY cell_row, cell_col"),
+    "mosaic_sum_arrow": _emb("SELECT cell_row, cell_col, ROUND(SUM(v), 6) AS sum_v FROM emb_win GROUP BY cell_row, cell_col"),
+    "mosaic_sum_catalog": _emb(
+        "SELECT cell_row, cell_col, ROUND(SUM(v), 6) AS sum_v FROM emb_win GROUP BY cell_row, cell_col"),
     "mosaic_sum_ship": _ship("""
 SELECT g.cell_row, g.cell_col, ROUND(COALESCE(SUM(s.v), 0.0), 6) AS sum_v
 FROM ship_grid g LEFT JOIN ship s USING (cell_row, cell_col) GROUP BY g.cell_row, g.cell_col"""),
@@ -156,6 +159,8 @@ FROM ship_grid g LEFT JOIN (SELECT * FROM ship WHERE time_id BETWEEN 17000 AND 1
 GROUP BY g.cell_row, g.cell_col"""),
     "time_count": "SELECT COUNT(*) AS time_count FROM embeddings WHERE vec_id BETWEEN 100 AND 200",
     "mosaic_mean": _emb(f"SELECT cell_row, cell_col, ROUND(mean_v, 6) AS mean_v FROM ({_MEAN})"),
+    "mosaic_mean_arrow": _emb(f"SELECT cell_row, cell_col, ROUND(mean_v, 6) AS mean_v FROM ({_MEAN})"),
+    "mosaic_mean_catalog": _emb(f"SELECT cell_row, cell_col, ROUND(mean_v, 6) AS mean_v FROM ({_MEAN})"),
     "mosaic_mean_ship": _ship("""
 SELECT g.cell_row, g.cell_col,
        ROUND(COALESCE(SUM(s.v), 0.0) / (SELECT COUNT(DISTINCT time_id) FROM ship), 6) AS mean_v

@@ -243,6 +243,17 @@ def q_mosaic_sum(spark, d):
     return agg.mosaic_sum(_emb_window(spark, d), fx.EMB_LAYOUT).select("cell_row", "cell_col", _r("sum_v").alias("sum_v"))
 
 
+def q_mosaic_sum_arrow(spark, d):
+    return agg.mosaic_sum(_emb_window(spark, d), fx.EMB_LAYOUT, method="arrow") \
+        .select("cell_row", "cell_col", _r("sum_v").alias("sum_v"))
+
+
+def q_mosaic_sum_catalog(spark, d):
+    c = emb_catalog(spark, d)
+    return agg.mosaic_sum(c.window(*fx.EMB_WINDOW), fx.EMB_LAYOUT) \
+        .select("cell_row", "cell_col", _r("sum_v").alias("sum_v"))
+
+
 def q_mosaic_sum_ship(spark, d):
     return agg.mosaic_sum(fx.ship_series(spark, d), fx.SHIP_LAYOUT) \
         .select("cell_row", "cell_col", _r("sum_v").alias("sum_v"))
@@ -261,6 +272,17 @@ def q_mosaic_mean(spark, d):
     return agg.mosaic_mean(_emb_window(spark, d), fx.EMB_LAYOUT).select("cell_row", "cell_col", _r("mean_v").alias("mean_v"))
 
 
+def q_mosaic_mean_arrow(spark, d):
+    return agg.mosaic_mean(_emb_window(spark, d), fx.EMB_LAYOUT, method="arrow") \
+        .select("cell_row", "cell_col", _r("mean_v").alias("mean_v"))
+
+
+def q_mosaic_mean_catalog(spark, d):
+    c = emb_catalog(spark, d)
+    return agg.mosaic_mean(c.window(*fx.EMB_WINDOW), fx.EMB_LAYOUT) \
+        .select("cell_row", "cell_col", _r("mean_v").alias("mean_v"))
+
+
 def q_mosaic_mean_ship(spark, d):
     return agg.mosaic_mean(fx.ship_series(spark, d), fx.SHIP_LAYOUT) \
         .select("cell_row", "cell_col", _r("mean_v").alias("mean_v"))
@@ -361,10 +383,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tile_sum_arrow": q_tile_sum_arrow,
     "tile_sum_catalog": q_tile_sum_catalog,
     "mosaic_sum": q_mosaic_sum,
+    "mosaic_sum_arrow": q_mosaic_sum_arrow,
+    "mosaic_sum_catalog": q_mosaic_sum_catalog,
     "mosaic_sum_ship": q_mosaic_sum_ship,
     "mosaic_sum_ship_window": q_mosaic_sum_ship_window,
     "time_count": q_time_count,
     "mosaic_mean": q_mosaic_mean,
+    "mosaic_mean_arrow": q_mosaic_mean_arrow,
+    "mosaic_mean_catalog": q_mosaic_mean_catalog,
     "mosaic_mean_ship": q_mosaic_mean_ship,
     "min_max": q_min_max,
     "local_add": q_local_add,
