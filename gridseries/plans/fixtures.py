@@ -19,6 +19,7 @@ from gridseries.functions.timeid import time_id
 from gridseries.model import Extent, TileLayout
 from gridseries.operators.filters import filter_time_ts
 from gridseries.operators.tiling import cell_to_tile, tile_bands
+from gridseries.session import session_cached
 
 # Fixed values of the fixtures.
 EMB_EXTENT = Extent(-180.0, -90.0, 180.0, 90.0)
@@ -36,11 +37,17 @@ SHIP_WINDOW = (17000, 17999)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A driver table; its relation (file listing, schema) is built once per session."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    return session_cached(spark, ("table", path), lambda: spark.read.parquet(path))
 
 
 def emb_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F-EMB as a decoded band table (see ``gridseries.sources.bands``)."""
+    return session_cached(spark, ("emb_bands", sf_dir), lambda: _emb_bands(spark, sf_dir))
+
+
+def _emb_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return e.select(
         F.floor(F.col("vec_id") / EMB_BANDS_PER_INPUT).cast("int").alias("path_idx"),
@@ -59,8 +66,11 @@ def emb_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def emb_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F-EMB in array form: ``time_id, label, tile_id, cells`` (one row per tile and step)."""
-    b = emb_bands(spark, sf_dir).withColumn("time_id", band_time("metadata"))
-    return tile_bands(b, EMB_LAYOUT, EMB_COLS, keep=("time_id", "label"))
+    def build():
+        b = emb_bands(spark, sf_dir).withColumn("time_id", band_time("metadata"))
+        return tile_bands(b, EMB_LAYOUT, EMB_COLS, keep=("time_id", "label"))
+
+    return session_cached(spark, ("emb_series", sf_dir), build)
 
 
 def ship_series(spark: SparkSession, sf_dir: str, window: tuple | None = None) -> DataFrame:

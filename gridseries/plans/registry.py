@@ -34,15 +34,16 @@ _catalogs: dict = {}
 
 
 def emb_catalog(spark: SparkSession, sf_dir: str) -> cat.Catalog:
-    """F-EMB ingested once per session and input (k = 64 steps per part)."""
+    """F-EMB ingested once per session and input (k = 64 steps per part), opened once."""
     key = (spark.sparkContext.applicationId, sf_dir)
     with _lock:
-        path = _catalogs.get(key)
-        if path is None or not path_exists(spark, f"{path}/metadata.json"):
+        handle = _catalogs.get(key)
+        if handle is None or not path_exists(spark, f"{handle.path}/metadata.json"):
             path = new_output_path(spark, "emb-catalog")
-            ingest(fx.emb_bands(spark, sf_dir), path, fx.EMB_LAYOUT.tile_cols, fx.EMB_LAYOUT.tile_rows, k=fx.EMB_K)
-            _catalogs[key] = path
-    return cat.open_catalog(spark, path)
+            handle = ingest(fx.emb_bands(spark, sf_dir), path, fx.EMB_LAYOUT.tile_cols, fx.EMB_LAYOUT.tile_rows,
+                            k=fx.EMB_K)
+            _catalogs[key] = handle
+    return handle
 
 
 def _long(series: DataFrame, *keys) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import SparkSession
@@ -75,6 +76,23 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hpath))
 
 
+_memo: dict = {}
+_memo_lock = threading.RLock()
+
+
+def session_cached(spark: SparkSession, key, factory):
+    """Build a DataFrame / handle once per session (plans and file listings, not data).
+
+    Inputs and catalogs are immutable once written, so their relations and
+    metadata can be reused by every query of the session.
+    """
+    k = (spark.sparkContext.applicationId, key)
+    with _memo_lock:
+        if k not in _memo:
+            _memo[k] = factory()
+        return _memo[k]
+
+
 READER_BATCH_BYTES = 32 << 20
 
 
@@ -93,4 +111,4 @@ def guard_reader_batch(spark: SparkSession, row_bytes: int, target_bytes: int =
     return wanted
 
 
-__all__ = ["guard_reader_batch", "build_session", "shared_dir", "new_output_path", "path_exists"]
+__all__ = ["guard_reader_batch", "session_cached", "build_session", "shared_dir", "new_output_path", "path_exists"]
