@@ -44,13 +44,19 @@ def filter_time_ts(df: DataFrame, ts_col: str, start: int | None = None, end: in
     kind = "TIMESTAMP_NTZ" if df.schema[ts_col].dataType.typeName() == "timestamp_ntz" else "TIMESTAMP"
     ts = F.col(ts_col)
     cond = F.lit(True)
-    if start is not None:
-        lo = epoch + dt.timedelta(days=int(start) - 1)
-        cond = cond & (ts > F.expr(f"{kind}'{lo.isoformat(sep=' ')}'"))
-    if end is not None:
-        hi = epoch + dt.timedelta(days=int(end) + 1)
-        cond = cond & (ts < F.expr(f"{kind}'{hi.isoformat(sep=' ')}'"))
-    out = df.filter(cond) if (start is not None or end is not None) else df
+    def bound(days: int):
+        try:
+            return (epoch + dt.timedelta(days=days)).isoformat(sep=" ")
+        except OverflowError:   # beyond the calendar: no bound on this side
+            return None
+
+    lo = bound(int(start) - 1) if start is not None else None
+    hi = bound(int(end) + 1) if end is not None else None
+    if lo is not None:
+        cond = cond & (ts > F.expr(f"{kind}'{lo}'"))
+    if hi is not None:
+        cond = cond & (ts < F.expr(f"{kind}'{hi}'"))
+    out = df.filter(cond) if (lo is not None or hi is not None) else df
     if time_col not in out.columns:
         out = out.withColumn(time_col, time_id(ts_col))
     return filter_time(out, start, end)
@@ -87,7 +93,7 @@ def filter_series(series: DataFrame, predicate) -> DataFrame:
     """
     if isinstance(predicate, Column):
         return series.filter(predicate)
-    fn = _vectorized(predicate, "boolean", ("time_id", "cells"))
+    fn = _vectorized(predicate, "boolean")
     return series.filter(fn(F.col("time_id"), F.col("cells")))
 
 
@@ -131,7 +137,7 @@ def map_tiles(series: DataFrame, f) -> DataFrame:
     return series.mapInArrow(run, schema)
 
 
-def _vectorized(fn, return_type: str, names):
+def _vectorized(fn, return_type: str):
     def wrapped(time_id: pd.Series, cells: pd.Series) -> pd.Series:
         return fn(time_id, cells)
 

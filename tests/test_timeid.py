@@ -53,3 +53,19 @@ def test_matches_duckdb_on_shipdates(spark):
         f" FROM '{SF01}/lineitem.parquet'").fetchall())
     assert mine == theirs
     assert min(t for _, t in mine) == 16436
+
+
+def test_timestamp_window_pushdown_is_exact(spark):
+    from gridseries.operators.filters import filter_time, filter_time_ts
+
+    stamps = [dt.datetime(1949, 12, 30, 13), dt.datetime(1949, 12, 31, 0), dt.datetime(1950, 1, 1, 0),
+              dt.datetime(1950, 1, 1, 11, 59), dt.datetime(1950, 1, 1, 12), dt.datetime(1950, 1, 2, 11, 59),
+              dt.datetime(1950, 1, 2, 12), dt.datetime(2049, 1, 1, 0), dt.datetime(2049, 1, 1, 12)]
+    df = spark.createDataFrame([(s,) for s in stamps], "ts timestamp_ntz")
+    full = df.withColumn("time_id", time_id("ts"))
+    for a, b in [(-1, 0), (0, 0), (0, 1), (1, 1), (-5, 36160), (36159, 36160), (-10**7, 10**7), (None, 0), (1, None)]:
+        got = sorted(r["ts"] for r in filter_time_ts(df, "ts", a, b).collect())
+        want = sorted(r["ts"] for r in filter_time(full, a, b).collect())
+        assert got == want, (a, b)
+    plan = filter_time_ts(df, "ts", 10, 20)._jdf.queryExecution().optimizedPlan().toString()
+    assert "ts#" in plan
