@@ -27,9 +27,17 @@ def _col(c) -> Column:
 
 
 def time_ranks(series: DataFrame, time_col: str = "time_id") -> DataFrame:
-    """Distinct time ids with their 1-based ascending rank: ``(time_id, rn)``."""
+    """Distinct time ids with their 1-based ascending rank: ``(time_id, rn)``.
+
+    The distinct ids (one row per time step: small) are checkpointed once in the
+    shared folder, so the source is scanned once although both the bucket
+    counts and the in-bucket ranks are derived from them.
+    """
+    from gridseries.session import shared_dir
+
+    shared_dir(series.sparkSession)   # a checkpoint dir exists (set only if unset)
     d = series.select(_col(time_col).cast("int").alias("time_id")).distinct() \
-        .withColumn("bucket", F.floor(F.col("time_id") / RANK_BUCKET))
+        .withColumn("bucket", F.floor(F.col("time_id") / RANK_BUCKET)).checkpoint(eager=True)
     counts = d.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
