@@ -64,6 +64,24 @@ def _emb_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def emb_input_paths(spark: SparkSession, sf_dir: str) -> list[str]:
+    """F-EMB written once per session as one band folder per input (``path_idx``).
+
+    The folders sit in the shared scratch folder; reading them back with
+    ``read_bands`` restores ``path_idx`` from the order of the paths.
+    """
+    def build():
+        from gridseries.session import new_output_path
+
+        root = new_output_path(spark, "emb-inputs")
+        emb_bands(spark, sf_dir).drop("label").write.partitionBy("path_idx").parquet(root)
+        n = table(spark, sf_dir, "embeddings").agg(F.max("vec_id").alias("m")).first()["m"]
+        n_inputs = int(n) // EMB_BANDS_PER_INPUT + 1 if n is not None else 0
+        return [f"{root}/path_idx={i}" for i in range(n_inputs)]
+
+    return session_cached(spark, ("emb_inputs", sf_dir), build)
+
+
 def emb_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F-EMB in array form: ``time_id, label, tile_id, cells`` (one row per tile and step)."""
     def build():

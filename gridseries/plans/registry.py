@@ -24,7 +24,7 @@ from gridseries.operators.tiling import check_layout, tile_extents_of
 from gridseries.plans import fixtures as fx
 from gridseries.sources import catalog as cat
 from gridseries.sources import metadata as md
-from gridseries.sources.bands import check_extents, infer_grid, time_bounds
+from gridseries.sources.bands import check_extents, infer_grid, read_bands, time_bounds
 from gridseries.sources.ingest import ingest, timed_bands
 from gridseries.session import new_output_path, path_exists
 
@@ -57,7 +57,7 @@ def _r(c) -> F.Column:
 # --- sources and ingest checks -------------------------------------------------
 
 def q_read_bands(spark, d):
-    b = fx.emb_bands(spark, d)
+    b = read_bands(spark, fx.emb_input_paths(spark, d))
     return b.select("path_idx", "band", F.size("metadata").alias("n_meta"), F.size("cells").alias("n_cells"),
                     "cell_type", _r(F.aggregate("cells", F.lit(0.0), lambda a, c: a + c.cast("double"))).alias("cells_sum"))
 
@@ -110,7 +110,8 @@ def _catalog_summary(series: DataFrame) -> DataFrame:
 
 def q_write_catalog(spark, d):
     path = new_output_path(spark, "emb-write")
-    c = ingest(fx.emb_bands(spark, d), path, fx.EMB_LAYOUT.tile_cols, fx.EMB_LAYOUT.tile_rows, k=fx.EMB_K)
+    bands = read_bands(spark, fx.emb_input_paths(spark, d))
+    c = ingest(bands, path, fx.EMB_LAYOUT.tile_cols, fx.EMB_LAYOUT.tile_rows, k=fx.EMB_K)
     return _catalog_summary(c.series)
 
 
