@@ -13,5 +13,10 @@ Layout of the package:
 """
 
 from gridseries.model import CellType, Extent, GridMetadata, RasterExtent, TileLayout
+from gridseries.session import build_session
+from gridseries.sources.bands import read_bands
+from gridseries.sources.catalog import Catalog, open_catalog
+from gridseries.sources.ingest import ingest
 
-__all__ = ["CellType", "Extent", "GridMetadata", "RasterExtent", "TileLayout"]
+__all__ = ["CellType", "Extent", "GridMetadata", "RasterExtent", "TileLayout", "Catalog", "build_session",
+           "ingest", "open_catalog", "read_bands"]

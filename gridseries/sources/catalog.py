@@ -23,7 +23,12 @@ RECORD_COLUMNS = ("tile_id", "part", "time_id", "cells")
 
 @dataclass
 class Catalog:
-    """An opened catalog: metadata on the driver, every tile's series as one DataFrame."""
+    """An opened catalog: metadata on the driver, every tile's series as one DataFrame.
+
+    The methods mirror a raster series: ``filter``/``map_tiles``/``cache``
+    return a new Catalog over the derived series; ``sum``/``mean``/
+    ``time_count``/``min_max`` return DataFrames (long form, nothing collected).
+    """
     path: str
     meta: GridMetadata
     series: DataFrame
@@ -34,6 +39,46 @@ class Catalog:
     def window(self, start: int | None = None, end: int | None = None) -> DataFrame:
         return prune_parts(self.series, list(self.meta.splits), start, end)
 
+    def _derive(self, series: DataFrame) -> "Catalog":
+        return Catalog(self.path, self.meta, series)
+
+    def between(self, start: int | None = None, end: int | None = None) -> "Catalog":
+        """The catalog restricted to a time window (parts pruned)."""
+        return self._derive(self.window(start, end))
+
+    def filter(self, predicate) -> "Catalog":
+        from gridseries.operators.filters import filter_series
+
+        return self._derive(filter_series(self.series, predicate))
+
+    def map_tiles(self, f) -> "Catalog":
+        from gridseries.operators.filters import map_tiles
+
+        return self._derive(map_tiles(self.series, f))
+
+    def cache(self) -> "Catalog":
+        return self._derive(cache_series(self.series))
+
+    def time_count(self) -> DataFrame:
+        from gridseries.operators.aggregate import time_count
+
+        return time_count(self.series)
+
+    def sum(self, method: str = "auto") -> DataFrame:
+        from gridseries.operators.aggregate import mosaic_sum
+
+        return mosaic_sum(self.series, self.meta.layout, method=method)
+
+    def mean(self, method: str = "auto") -> DataFrame:
+        from gridseries.operators.aggregate import mosaic_mean
+
+        return mosaic_mean(self.series, self.meta.layout, method=method)
+
+    def min_max(self, method: str = "auto") -> DataFrame:
+        from gridseries.operators.aggregate import min_max
+
+        return min_max(self.mean(method), "mean_v")
+
 
 def record_schema(cell_type: T.DataType) -> T.StructType:
     return T.StructType([

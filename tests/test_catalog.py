@@ -159,3 +159,20 @@ def test_ingest_from_row_strips(spark, emb_cat, out_dir):
     assert c.meta.time_count == 500 and c.meta.splits == emb_cat.meta.splits
     assert c.series.exceptAll(emb_cat.series).count() == 0
     assert c.series.count() == emb_cat.series.count()
+
+
+def test_catalog_api_mirrors_raster_series(spark, emb_cat):
+    win = emb_cat.between(100, 200)
+    assert win.time_count().first()[0] == 101
+    s = {(r["cell_row"], r["cell_col"]): r["sum_v"] for r in win.sum().collect()}
+    m = {(r["cell_row"], r["cell_col"]): r["mean_v"] for r in win.mean().collect()}
+    assert len(s) == 64 and all(abs(m[k] - s[k] / 101) < 1e-12 for k in s)
+    lo, hi = win.min_max().first()
+    assert lo == min(m.values()) and hi == max(m.values())
+    kept = win.filter(F.col("time_id") > 150)
+    assert kept.time_count().first()[0] == 50
+    shifted = win.map_tiles({"time_id": F.col("time_id") + 1000})
+    assert shifted.series.agg(F.min("time_id")).first()[0] == 1100
+    cached = win.cache()
+    assert cached.series.count() == 101 * 8
+    cached.series.unpersist()
