@@ -11,8 +11,10 @@ summation order):
   Whole-stage codegen, spills like any aggregate.  Works for both forms.
 * ``arrow``: array form only; each task stacks the tile arrays of an Arrow
   batch into a numpy matrix and adds them up per tile, emitting one partial
-  array per (group, tile) and task; the few partial rows then go through the
-  same final aggregate.  Fewer rows through the hash table for big tiles.
+  array per (group, tile) and task.  Without group keys the partial arrays
+  themselves are shuffled by tile and added up by numpy in the final tasks
+  (8 bytes per cell cross the network, no per-cell hash aggregate); with keys
+  they are exploded into the same final aggregate as ``explode``.
 """
 
 from __future__ import annotations
@@ -116,8 +118,69 @@ def _arrow_partials(series: DataFrame, keys: list[str], cells_per_tile: int) ->
         if acc:
             yield flush()
 
-    part = slim.mapInArrow(run, out_schema)
-    return part.select(*keys, "tile_id", F.posexplode("sums").alias("pos", "v")) \
+    return slim.mapInArrow(run, out_schema)
+
+
+def _arrow_final(partials: DataFrame, layout: TileLayout, tile_id: int | None, fill: bool) -> DataFrame:
+    """Sum the per-task partial arrays of each tile: arrays cross the shuffle, not cells.
+
+    Partials are hash-partitioned by ``tile_id`` into a fixed number of tasks
+    sized so that the tiles of one task fit ``ARROW_ACC_BYTES``; each task adds
+    up, batch by batch, the arrays of its tiles.  A NULL array is a zero
+    marker: with ``fill`` every tile of the layout gets one, so tiles without
+    records come out as 0.0.
+    """
+    spark = partials.sparkSession
+    cpt = layout.cells_per_tile
+    if fill:
+        ids = spark.range(1).select(F.lit(int(tile_id)).alias("tile_id")) if tile_id is not None \
+            else spark.range(layout.n_tiles).select(F.col("id").cast("int").alias("tile_id"))
+        partials = partials.unionByName(ids.select("tile_id", F.lit(None).cast("array<double>").alias("sums")))
+    n_tiles = 1 if tile_id is not None else layout.n_tiles
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, min(n_tiles, max(width, -(-n_tiles * cpt * 8 // ARROW_ACC_BYTES))))
+    schema = T.StructType([T.StructField("tile_id", T.IntegerType(), False),
+                           T.StructField("sums", T.ArrayType(T.DoubleType(), False), False)])
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        acc: dict = {}
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            tiles = b.column(0).to_numpy(zero_copy_only=False)
+            arrs = b.column(1)
+            valid = pc.is_valid(arrs).to_numpy(zero_copy_only=False)
+            for t in np.unique(tiles):
+                acc.setdefault(int(t), np.zeros(cpt, dtype=np.float64))
+            if valid.any():
+                vb = b.filter(pa.array(valid))
+                vt = vb.column(0).to_numpy(zero_copy_only=False)
+                mat = vb.column(1).flatten().to_numpy(zero_copy_only=False).reshape(vb.num_rows, cpt)
+                order = np.argsort(vt, kind="stable")
+                st = vt[order]
+                starts = np.flatnonzero(np.r_[True, st[1:] != st[:-1]])
+                for t, part in zip(st[starts], np.add.reduceat(mat[order], starts, axis=0)):
+                    acc[int(t)] += part
+        if acc:
+            ks = list(acc)
+            flat = np.concatenate([acc[k] for k in ks])
+            offsets = np.arange(0, (len(ks) + 1) * cpt, cpt, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ks, type=pa.int32()),
+                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=pa.float64()))],
+                names=["tile_id", "sums"])
+
+    summed = partials.select("tile_id", "sums").repartition(n, "tile_id").mapInArrow(run, schema)
+    return summed.select("tile_id", F.posexplode("sums").alias("pos", "sum_v")) \
+        .select("tile_id", F.col("pos").cast("int").alias("pos"), "sum_v")
+
+
+def _explode_partials(partials: DataFrame, keys: list[str]) -> DataFrame:
+    return partials.select(*keys, "tile_id", F.posexplode("sums").alias("pos", "v")) \
         .select(*keys, "tile_id", F.col("pos").cast("int").alias("pos"), "v")
 
 
@@ -150,7 +213,10 @@ def tile_sum(series: DataFrame, layout: TileLayout, tile_id: int | None = None,
     if method == "arrow":
         if "cells" not in series.columns:
             raise ValueError("the arrow form needs array series (a 'cells' column)")
-        cells = _arrow_partials(series, keys, layout.cells_per_tile)
+        partials = _arrow_partials(series, keys, layout.cells_per_tile)
+        if not keys:
+            return _arrow_final(partials, layout, tile_id, fill)
+        cells = _explode_partials(partials, keys)
     elif method == "explode":
         cells = to_long(series, keys).select(*keys, "tile_id", "pos", "v")
     else:
