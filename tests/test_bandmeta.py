@@ -21,7 +21,8 @@ def test_second_item_only(spark):
     assert df.select(band_time("m")).first()[0] == -2
 
 
-@pytest.mark.parametrize("entries", [["K"], ["K="], ["A=1"], ["NETCDF_DIM_Time=abc"]])
+@pytest.mark.parametrize("entries", [["K"], ["K="], ["A=1"], ["NETCDF_DIM_Time=abc"], ["NETCDF_DIM_Time=NaN"],
+                                     ["NETCDF_DIM_Time=1e12"]])
 def test_errors(spark, entries):
     df = _meta(spark, entries + (["NETCDF_DIM_Time=3"] if entries[0].startswith("K") else []))
     with pytest.raises(Exception):
