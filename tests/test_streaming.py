@@ -34,3 +34,17 @@ def test_stream_appends_later_bands(spark, out_dir):
     q2 = append_bands_stream(spark, f"{arriving}/*", base)
     q2.awaitTermination(300)
     assert open_catalog(spark, base).series.count() == 500 * 8
+
+
+def test_stream_rejects_other_grids(spark, out_dir):
+    bands = fx.emb_bands(spark, SF001)
+    base = f"{out_dir}/catalog"
+    ingest(bands.filter("path_idx = 0"), base, 4, 2, k=64)
+    bands.filter("path_idx = 1").drop("label").withColumn("xmax", F.lit(181.0)).write.parquet(f"{out_dir}/bad")
+    q = append_bands_stream(spark, f"{out_dir}/bad", base)
+    try:
+        q.awaitTermination(300)
+    except Exception:
+        pass
+    assert q.exception() is not None and "differs from the catalog" in str(q.exception())
+    assert open_catalog(spark, base).series.count() == 250 * 8
