@@ -112,8 +112,11 @@ def cluster_for_write(series: DataFrame, n_tasks: int | None = None) -> DataFram
     return series.repartition(int(n_tasks), "tile_id", "part") if n_tasks else series.repartition("tile_id", "part")
 
 
+MAX_FILE_BYTES = 256 << 20
+
+
 def write_catalog(series: DataFrame, out: str, mode: str = "errorifexists", n_tasks: int | None = None,
-                  clustered: bool = False) -> str:
+                  clustered: bool = False, record_bytes: int | None = None) -> str:
     """Write a series with ``part`` as one directory per tile and time part.
 
     Each (tile, part) is shuffled to one task, which writes it as one file
@@ -121,13 +124,17 @@ def write_catalog(series: DataFrame, out: str, mode: str = "errorifexists", n_ta
     ``n_tasks`` (see ``writer_tasks``) fixes the shuffle width, so adaptive
     execution cannot merge all groups into a few long-running writer tasks.
     ``clustered=True``: the input is already partitioned by ``cluster_for_write``.
+    ``record_bytes`` (cells x cell bytes) caps files at ``MAX_FILE_BYTES``, so a
+    part that holds many steps (k = 0, or a huge k) rolls over into several files.
     """
     path = f"{out.rstrip('/')}/cells"
     rec = to_records(series)
     if not clustered:
         rec = cluster_for_write(rec, n_tasks)
-    (rec.sortWithinPartitions("tile_id", "part", "time_id")
-     .write.mode(mode).partitionBy("tile_id", "part").parquet(path))
+    w = rec.sortWithinPartitions("tile_id", "part", "time_id").write.mode(mode)
+    if record_bytes:
+        w = w.option("maxRecordsPerFile", max(1, MAX_FILE_BYTES // int(record_bytes)))
+    w.partitionBy("tile_id", "part").parquet(path)
     return path
 
 

@@ -176,3 +176,11 @@ def test_catalog_api_mirrors_raster_series(spark, emb_cat):
     cached = win.cache()
     assert cached.series.count() == 101 * 8
     cached.series.unpersist()
+
+
+def test_big_parts_roll_over_into_several_files(spark, out_dir, monkeypatch):
+    monkeypatch.setattr(cat, "MAX_FILE_BYTES", 8 * 4 * 100)   # 100 records of 8 float cells per file
+    c = ingest(fx.emb_bands(spark, SF001), out_dir, 4, 2, k=0)
+    assert c.meta.splits == () and c.series.count() == 500 * 8
+    files = [f for f in c.series.inputFiles() if "tile_id=0/" in f]
+    assert len(files) == 5
