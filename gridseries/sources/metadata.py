@@ -18,17 +18,20 @@ from pyspark.sql import types as T
 
 from gridseries.model import CellType, Extent, GridMetadata, TileLayout
 
+# Key names of the metadata JSON.
+METADATA_KEYS = ("timeCount", "splits", "extent", "tileLayout", "cellType")
 EXTENT_KEYS = ("xmin", "ymin", "xmax", "ymax")
 LAYOUT_KEYS = ("tileCols", "tileRows", "pixelCols", "pixelRows")
 
 _EXTENT_SCHEMA = T.StructType([T.StructField(k, T.DoubleType()) for k in EXTENT_KEYS])
 _LAYOUT_SCHEMA = T.StructType([T.StructField(k, T.DoubleType()) for k in LAYOUT_KEYS])
+_K_COUNT, _K_SPLITS, _K_EXTENT, _K_LAYOUT, _K_CELL = METADATA_KEYS
 _METADATA_SCHEMA = T.StructType([
-    T.StructField("timeCount", T.DoubleType()),
-    T.StructField("splits", T.ArrayType(T.DoubleType())),
-    T.StructField("extent", _EXTENT_SCHEMA),
-    T.StructField("tileLayout", _LAYOUT_SCHEMA),
-    T.StructField("cellType", T.DoubleType()),
+    T.StructField(_K_COUNT, T.DoubleType()),
+    T.StructField(_K_SPLITS, T.ArrayType(T.DoubleType())),
+    T.StructField(_K_EXTENT, _EXTENT_SCHEMA),
+    T.StructField(_K_LAYOUT, _LAYOUT_SCHEMA),
+    T.StructField(_K_CELL, T.DoubleType()),
 ])
 
 
@@ -78,11 +81,11 @@ def layout_from_json(text) -> Column:
 def metadata_struct(time_count, splits, extent, layout, cell_type) -> Column:
     """Typed metadata struct with the JSON key names."""
     return F.struct(
-        _col(time_count).cast("int").alias("timeCount"),
-        _col(splits).cast("array<int>").alias("splits"),
-        _col(extent).alias("extent"),
-        _col(layout).alias("tileLayout"),
-        _col(cell_type).cast("int").alias("cellType"),
+        _col(time_count).cast("int").alias(_K_COUNT),
+        _col(splits).cast("array<int>").alias(_K_SPLITS),
+        _col(extent).alias(_K_EXTENT),
+        _col(layout).alias(_K_LAYOUT),
+        _col(cell_type).cast("int").alias(_K_CELL),
     )
 
 
@@ -93,16 +96,16 @@ def metadata_to_json(meta) -> Column:
 def metadata_from_json(text) -> Column:
     """JSON text -> typed metadata struct, failing on any missing key."""
     m = F.from_json(_col(text), _METADATA_SCHEMA)
-    splits = _require(m["splits"], "splits")
-    splits = F.transform(splits, lambda s: _require(s, "splits element").cast("int"))
-    ext = _require(m["extent"], "extent")
-    lay = _require(m["tileLayout"], "tileLayout")
+    splits = _require(m[_K_SPLITS], _K_SPLITS)
+    splits = F.transform(splits, lambda s: _require(s, f"{_K_SPLITS} element").cast("int"))
+    ext = _require(m[_K_EXTENT], _K_EXTENT)
+    lay = _require(m[_K_LAYOUT], _K_LAYOUT)
     return F.struct(
-        _require(m["timeCount"], "timeCount").cast("int").alias("timeCount"),
-        splits.alias("splits"),
-        F.struct(*[_require(ext[k], f"extent.{k}").alias(k) for k in EXTENT_KEYS]).alias("extent"),
-        F.struct(*[_require(lay[k], f"tileLayout.{k}").cast("int").alias(k) for k in LAYOUT_KEYS]).alias("tileLayout"),
-        _require(m["cellType"], "cellType").cast("int").alias("cellType"),
+        _require(m[_K_COUNT], _K_COUNT).cast("int").alias(_K_COUNT),
+        splits.alias(_K_SPLITS),
+        F.struct(*[_require(ext[k], f"{_K_EXTENT}.{k}").alias(k) for k in EXTENT_KEYS]).alias(_K_EXTENT),
+        F.struct(*[_require(lay[k], f"{_K_LAYOUT}.{k}").cast("int").alias(k) for k in LAYOUT_KEYS]).alias(_K_LAYOUT),
+        _require(m[_K_CELL], _K_CELL).cast("int").alias(_K_CELL),
     )
 
 
@@ -143,13 +146,13 @@ def read_metadata(spark: SparkSession, out: str) -> DataFrame:
 
 def to_record(row) -> GridMetadata:
     """Parsed metadata struct (a Row) -> driver-side record."""
-    e, l = row["extent"], row["tileLayout"]
+    e, l = row[_K_EXTENT], row[_K_LAYOUT]
     return GridMetadata(
-        time_count=int(row["timeCount"]),
-        splits=tuple(int(s) for s in row["splits"]),
-        extent=Extent(e["xmin"], e["ymin"], e["xmax"], e["ymax"]),
-        layout=TileLayout(l["tileCols"], l["tileRows"], l["pixelCols"], l["pixelRows"]),
-        cell_type=CellType.from_code(row["cellType"]),
+        time_count=int(row[_K_COUNT]),
+        splits=tuple(int(s) for s in row[_K_SPLITS]),
+        extent=Extent(*[e[k] for k in EXTENT_KEYS]),
+        layout=TileLayout(*[l[k] for k in LAYOUT_KEYS]),
+        cell_type=CellType.from_code(row[_K_CELL]),
     )
 
 
