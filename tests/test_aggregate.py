@@ -147,3 +147,12 @@ def test_tile_arrays_round_trip(spark):
     assert len(arrays) == 8 and all(len(v) == 8 for v in arrays.values())
     longs = {(r["tile_id"], r["pos"]): r["sum_v"] for r in sums.collect()}
     assert all(arrays[t][p] == v for (t, p), v in longs.items())
+
+
+def test_arrow_single_tile_and_empty_tile(spark):
+    s = fx.emb_series(spark, SF001)
+    a = A.tile_sum(s, fx.EMB_LAYOUT, tile_id=3, method="arrow").select("tile_id", "pos", F.round("sum_v", 9).alias("x"))
+    b = A.tile_sum(s, fx.EMB_LAYOUT, tile_id=3, method="explode").select("tile_id", "pos", F.round("sum_v", 9).alias("x"))
+    assert a.count() == 8 and a.exceptAll(b).count() == 0
+    empty = A.tile_sum(filter_time(s, 10**6, None), fx.EMB_LAYOUT, tile_id=5, method="arrow").collect()
+    assert sorted((r["tile_id"], r["pos"], r["sum_v"]) for r in empty) == [(5, p, 0.0) for p in range(8)]
