@@ -26,18 +26,22 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def time_ranks(series: DataFrame, time_col: str = "time_id") -> DataFrame:
+def time_ranks(series: DataFrame, time_col: str = "time_id", materialize: bool = True) -> DataFrame:
     """Distinct time ids with their 1-based ascending rank: ``(time_id, rn)``.
 
-    The distinct ids (one row per time step: small) are checkpointed once in the
-    shared folder, so the source is scanned once although both the bucket
-    counts and the in-bucket ranks are derived from them.
+    With ``materialize`` the distinct ids (one row per time step: small) are
+    checkpointed once in the shared folder, so the source is scanned once
+    although both the bucket counts and the in-bucket ranks are derived from
+    them.  Callers that write the result themselves and read only a small
+    column of the source may skip it (the source is then scanned twice).
     """
     from gridseries.session import shared_dir
 
-    shared_dir(series.sparkSession)   # a checkpoint dir exists (set only if unset)
     d = series.select(_col(time_col).cast("int").alias("time_id")).distinct() \
-        .withColumn("bucket", F.floor(F.col("time_id") / RANK_BUCKET)).checkpoint(eager=True)
+        .withColumn("bucket", F.floor(F.col("time_id") / RANK_BUCKET))
+    if materialize:
+        shared_dir(series.sparkSession)   # a checkpoint dir exists (set only if unset)
+        d = d.checkpoint(eager=True)
     counts = d.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
@@ -47,9 +51,9 @@ def time_ranks(series: DataFrame, time_col: str = "time_id") -> DataFrame:
         .select("time_id", (F.col("offset") + F.col("rn_in")).cast("long").alias("rn"))
 
 
-def time_parts(series: DataFrame, k: int, time_col: str = "time_id") -> DataFrame:
+def time_parts(series: DataFrame, k: int, time_col: str = "time_id", materialize: bool = True) -> DataFrame:
     """``(time_id, part, is_split)`` for every distinct time id of the series."""
-    r = time_ranks(series, time_col)
+    r = time_ranks(series, time_col, materialize)
     if k <= 0:
         return r.select("time_id", F.lit(0).alias("part"), F.lit(False).alias("is_split"))
     return r.select("time_id",

@@ -23,13 +23,20 @@ from pyspark.sql import functions as F
 GRID_FIELDS = ("xmin", "ymin", "xmax", "ymax", "cols", "rows", "cell_type")
 
 
-def read_bands(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """All bands of all inputs in order; ``path_idx`` is the index in ``paths``."""
+def read_bands(spark: SparkSession, paths: list[str], schema=None) -> DataFrame:
+    """All bands of all inputs in order; ``path_idx`` is the index in ``paths``.
+
+    The schema is taken from the first input (or given) and imposed on the
+    others, so opening many inputs does not read every footer on the driver;
+    an input with incompatible column types fails when it is read.
+    """
     if not paths:
         raise ValueError("no input paths")
+    if schema is None:
+        schema = spark.read.parquet(paths[0]).schema
     out = None
     for i, p in enumerate(paths):
-        df = spark.read.parquet(p)
+        df = spark.read.schema(schema).parquet(p)
         if "path_idx" not in df.columns:
             df = df.withColumn("path_idx", F.lit(i))
         out = df if out is None else out.unionByName(df)

@@ -64,7 +64,7 @@ def ingest(bands: DataFrame, out: str, tile_cols: int, tile_rows: int, k: int |
     # lineage, survives executor loss) and reused for the split points and the
     # part join.
     parts_path = new_output_path(spark, "time-parts")
-    time_parts(timed, k).write.parquet(parts_path)
+    time_parts(timed.select("time_id"), k, materialize=False).write.parquet(parts_path)
     parts = spark.read.parquet(parts_path)
     splits = [int(r["time_id"]) for r in parts.filter("is_split").orderBy("time_id").collect()]
     meta = GridMetadata(time_count, tuple(splits), extent, layout, cell_type)
