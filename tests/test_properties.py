@@ -80,3 +80,29 @@ def test_metadata_json_round_trip(spark, n, splits, ext, lay, ct):
     text = md.metadata_frame(spark, meta).select(md.metadata_to_json("metadata").alias("j"))
     back = text.select(md.metadata_from_json("j").alias("metadata")).first()["metadata"]
     assert md.to_record(back) == meta
+
+
+@SETTINGS
+@given(st.integers(1, 3), st.integers(1, 3), st.integers(1, 4), st.integers(1, 4),
+       st.lists(st.integers(1, 5), min_size=1, max_size=12))
+def test_strips_of_any_height_rebuild_tiles(spark, tc, tr, pc, pr, heights):
+    from gridseries.operators.tiling import tile_strips
+
+    lay = TileLayout(tc, tr, pc, pr)
+    # cut the raster rows into consecutive strips of the drawn heights (cycled until covered)
+    starts, r, i = [], 0, 0
+    while r < lay.rows:
+        h = min(heights[i % len(heights)], lay.rows - r)
+        starts.append((r, h))
+        r, i = r + h, i + 1
+    n = lay.cols * lay.rows
+    bands = spark.range(2).select(F.col("id").cast("int").alias("time_id"),
+                                  F.transform(F.sequence(F.lit(0), F.lit(n - 1)),
+                                              lambda j: (j + F.col("id") * 1000).cast("double")).alias("cells"))
+    parts = F.array(*[F.struct(F.lit(s).alias("row0"), F.lit(h).alias("h")) for s, h in starts])
+    strips = bands.select("time_id", F.inline(parts), "cells") \
+        .select("time_id", "row0", F.slice("cells", F.col("row0") * lay.cols + 1, F.col("h") * lay.cols).alias("cells"))
+    a = tile_strips(strips, lay, lay.cols).select("time_id", "tile_id", "cells")
+    b = tile_bands(bands, lay, lay.cols).select("time_id", "tile_id", "cells")
+    assert a.count() == b.count() == 2 * lay.n_tiles
+    assert a.exceptAll(b).count() == 0
