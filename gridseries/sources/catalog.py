@@ -39,6 +39,11 @@ class Catalog:
     def window(self, start: int | None = None, end: int | None = None) -> DataFrame:
         return prune_parts(self.series, list(self.meta.splits), start, end)
 
+    def create_view(self, name: str) -> str:
+        """Register the series as a temporary view for ``spark.sql`` (same plan, same pruning)."""
+        self.series.createOrReplaceTempView(name)
+        return name
+
     def _derive(self, series: DataFrame) -> "Catalog":
         return Catalog(self.path, self.meta, series)
 

@@ -184,3 +184,16 @@ def test_big_parts_roll_over_into_several_files(spark, out_dir, monkeypatch):
     assert c.meta.splits == () and c.series.count() == 500 * 8
     files = [f for f in c.series.inputFiles() if "tile_id=0/" in f]
     assert len(files) == 5
+
+
+def test_sql_view_keeps_pruning(spark, emb_cat):
+    emb_cat.create_view("emb_series_view")
+    q = spark.sql("""
+        SELECT tile_id, count(*) AS n, sum(aggregate(cells, 0D, (a, c) -> a + c)) AS s
+        FROM emb_series_view
+        WHERE part BETWEEN 1 AND 3 AND time_id BETWEEN 100 AND 200
+        GROUP BY tile_id""")
+    rows = q.collect()
+    assert len(rows) == 8 and all(r["n"] == 101 for r in rows)
+    plan = _plan(q)
+    assert "PartitionFilters" in plan and "GreaterThanOrEqual(time_id,100)" in plan
