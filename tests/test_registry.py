@@ -22,7 +22,7 @@ def con():
 
 def _norm(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else round(v, 6)
+        return "nan" if math.isnan(v) else v
     return v
 
 
