@@ -132,15 +132,17 @@ def part_ranges_local(splits: list[int]) -> list[tuple[int, int, int]]:
     return out
 
 
-def attach_parts(series: DataFrame, parts: DataFrame, broadcast_limit: int = 2_000_000) -> DataFrame:
+def attach_parts(series: DataFrame, parts: DataFrame, broadcast_limit: int = 2_000_000,
+                 max_rows: int | None = None) -> DataFrame:
     """Add ``part`` to a series by an equi-join on ``time_id`` with ``time_parts``.
 
     The part table has one row per distinct time id; it is broadcast only when
-    its counted size is under ``broadcast_limit`` rows, otherwise both sides
-    shuffle on ``time_id``.
+    its size is under ``broadcast_limit`` rows, otherwise both sides shuffle on
+    ``time_id``.  The size is counted unless the caller passes a proven upper
+    bound ``max_rows`` (e.g. the number of bands).
     """
     p = parts.select("time_id", "part")
-    n = p.count()
+    n = max_rows if max_rows is not None else p.count()
     if n <= broadcast_limit:
         p = F.broadcast(p)
     return series.join(p, "time_id")

@@ -73,11 +73,11 @@ def ingest(bands: DataFrame, out: str, tile_cols: int, tile_rows: int, k: int |
     if strips:
         # pieces go straight to their writer task; the per-tile assembly then
         # runs inside it (the (tile_id, part) partitioning satisfies the grouping)
-        pieces = attach_parts(strip_pieces(timed, layout, cols), parts)
+        pieces = attach_parts(strip_pieces(timed, layout, cols), parts, max_rows=time_count)
         records = assemble_pieces(cluster_for_write(pieces, n_tasks), layout, keep=("time_id", "part"))
         write_catalog(records, out, mode, clustered=True, record_bytes=record_bytes)
     else:
-        write_catalog(attach_parts(tile_bands(timed, layout, cols), parts), out, mode, n_tasks=n_tasks,
+        write_catalog(attach_parts(tile_bands(timed, layout, cols), parts, max_rows=time_count), out, mode, n_tasks=n_tasks,
                       record_bytes=record_bytes)
     write_metadata(metadata_frame(spark, meta), out, mode)
     return open_catalog(spark, out)
