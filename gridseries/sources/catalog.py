@@ -143,11 +143,16 @@ def write_catalog(series: DataFrame, out: str, mode: str = "errorifexists", n_ta
     return path
 
 
-def open_catalog(spark: SparkSession, out: str) -> Catalog:
-    """Open a catalog; an error when its metadata is absent."""
+def open_catalog(spark: SparkSession, out: str, meta: GridMetadata | None = None) -> Catalog:
+    """Open a catalog; an error when its metadata is absent.
+
+    ``meta``: the record just written by the caller (ingest), which saves
+    reading it back.
+    """
     from gridseries.session import guard_reader_batch, path_exists
 
-    meta = load_metadata(spark, out)
+    if meta is None:
+        meta = load_metadata(spark, out)
     guard_reader_batch(spark, meta.layout.cells_per_tile * meta.cell_type.bytes)
     schema = record_schema(meta.cell_type.spark_type)
     root = out.rstrip("/")

@@ -80,4 +80,4 @@ def ingest(bands: DataFrame, out: str, tile_cols: int, tile_rows: int, k: int |
         write_catalog(attach_parts(tile_bands(timed, layout, cols), parts, max_rows=time_count), out, mode, n_tasks=n_tasks,
                       record_bytes=record_bytes)
     write_metadata(metadata_frame(spark, meta), out, mode)
-    return open_catalog(spark, out)
+    return open_catalog(spark, out, meta)
