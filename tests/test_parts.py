@@ -78,3 +78,14 @@ def test_blocks_per_part_uses_long_math():
     assert P.blocks_per_part(64 * 1024 * 1024, 720, 360, 4) == 64
     assert P.blocks_per_part(2 ** 40, 100000, 100000, 8) == 13
     assert P.blocks_per_part(10, 100, 100, 8) == 0
+
+
+def test_attach_parts_large_table_uses_shuffle_join(spark):
+    series = spark.range(300).select((F.col("id") % 100).cast("int").alias("time_id"), F.col("id").alias("x"))
+    parts = P.time_parts(series, 7)
+    small = P.attach_parts(series, parts)
+    big = P.attach_parts(series, parts, broadcast_limit=10)   # counted 100 rows > 10: no broadcast hint
+    assert small.exceptAll(big).count() == 0 and big.count() == 300
+    assert {r["part"] for r in big.filter("time_id = 99").collect()} == {99 // 7}
+    hinted = P.attach_parts(series, parts, max_rows=5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in hinted.lower()
