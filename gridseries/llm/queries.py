@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridseries.llm import bpe
+from gridseries.llm import bpe, simhash
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -22,4 +22,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-QUERIES["op4_byte_bpe"] = op4_byte_bpe
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash components of all documents, 4-word shingles, 4 bits."""
+    return simhash.near_duplicates(spark, _table(spark, sf_dir, "documents"))
+
+
+for _query in (op4_byte_bpe, op5_simhash):
+    QUERIES[_query.__name__] = _query
