@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridseries.llm import bpe, simhash
+from gridseries.llm import bpe, line_dedup, quality_rules, simhash
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -15,6 +16,30 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boilerplate lines of each source taken out of every document."""
+    done = line_dedup.drop_boilerplate(_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", F.col("__n_lines").cast("long").alias("n_lines"),
+                       F.col("__n_dropped").cast("long").alias("n_dropped"),
+                       F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
+
+
+ORACLE["op3_line_dedup"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT r, source, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM d),
+k AS (SELECT r, source, pos, line, trim(line, ' ' || chr(9) || chr(13)) AS key FROM l),
+n AS (SELECT source, key, count(DISTINCT r) AS n_pages FROM k WHERE key <> '' GROUP BY source, key),
+t AS (SELECT source, count(*) AS host_pages FROM d GROUP BY source),
+bad AS (SELECT n.source, n.key FROM n JOIN t ON n.source IS NOT DISTINCT FROM t.source
+        WHERE n_pages >= {line_dedup.MIN_PAGES} AND n_pages > host_pages * CAST({line_dedup.RATIO} AS DOUBLE)),
+m AS (SELECT k.r, k.pos, k.line, bad.key IS NOT NULL AS gone
+      FROM k LEFT JOIN bad ON k.source IS NOT DISTINCT FROM bad.source AND k.key = bad.key)
+SELECT any_value(d.doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       md5(coalesce(string_agg(m.line, chr(10) ORDER BY m.pos) FILTER (NOT gone), '')) AS kept_md5
+FROM m JOIN d USING (r) GROUP BY d.r
+"""
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Round trip of every whole text through the multi-language byte-level vocabulary."""
     done = bpe.encode(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
@@ -27,5 +52,31 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark, _table(spark, sf_dir, "documents"))
 
 
-for _query in (op4_byte_bpe, op5_simhash):
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base columns of every document and the verdict of the cascade."""
+    return quality_rules.apply_rules(spark, _table(spark, sf_dir, "documents"))
+
+
+ORACLE["op10_quality_rules"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+           list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+b AS (SELECT r, doc_id, text, w, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+      length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+      list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls,
+      length(regexp_replace(text, '[^\p{Lu}]+', '', 'g')) AS capitals,
+      len(list_filter(w, lambda x: regexp_matches(x, '\p{L}'))) AS lettered FROM d),
+win AS (SELECT r, i, array_to_string(w[i : i + 7], ' ') AS g
+        FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM win) WHERE n > 1),
+rep AS (SELECT r, sum(least(8, i - last)) AS n FROM
+        (SELECT r, i, lag(i, 1, -8) OVER (PARTITION BY r ORDER BY i) AS last FROM twice) GROUP BY r),
+c AS (SELECT b.*, len(ls) - len(list_distinct(ls)) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words FROM b LEFT JOIN rep USING (r)),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR n_symbols * 10 > n_words * 5 OR n_dup_lines * 10 > len(ls) * 5 OR word_chars < n_words * 2
+            OR word_chars > n_words * 20 OR lettered * 10 < n_words * 5 OR capitals * 2 > word_chars) AS kept FROM f
+"""
+
+for _query in (op3_line_dedup, op4_byte_bpe, op5_simhash, op10_quality_rules):
     QUERIES[_query.__name__] = _query
