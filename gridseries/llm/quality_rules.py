@@ -60,17 +60,27 @@ def base_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .withColumn("__words", F.array_remove(F.split("text", SPACES), "")).withColumn("n_words", F.size("__words").cast("long")) \
         .withColumn("word_chars", F.length(F.array_join("__words", "")).cast("long")) \
         .withColumn("n_symbols", F.length(F.regexp_replace("text", SYMBOLS.replace("[", "[^") + "+", "")).cast("long")) \
-        .withColumn("__lines", lines).withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long")) \
-        .withColumn("__h", F.when(F.col("n_words") > WINDOW, F.expr(
-            f"transform(sequence(1, size(__words) - {WINDOW - 1}), i -> xxhash64(slice(__words, i, {WINDOW})))"))) \
-        .withColumn("__s", F.when(F.size(F.array_distinct("__h")) < F.size("__h"), F.expr(
-            "array_sort(transform(__h, (x, i) -> struct(x AS h, i AS i)))")))
-    found = "transform(filter(__s, (e, k) -> (k > 0 AND e.h = get(__s, k - 1).h) OR (k + 1 < size(__s) AND e.h = get(__s, k + 1).h)), e -> e.i)"
-    return d.withColumn("__at", F.expr(f"array_sort({found})")).withColumn("n_repeat_words", F.coalesce(F.expr(
+        .withColumn("__lines", lines).withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
+    # hashes of runs of 1, 2, 4, ... words, each from two of half the length
+    d = d.withColumn("__h", F.when(F.col("n_words") > WINDOW, F.transform("__words", lambda w: F.xxhash64(w))))
+    step = 1
+    while step < WINDOW:
+        d = d.withColumn("__h", F.expr(
+            f"zip_with(slice(__h, 1, size(__h) - {step}), slice(__h, {step + 1}, size(__h) - {step}), (x, y) -> xxhash64(x, y))"))
+        step *= 2
+    d = d \
+        .withColumn("__s", F.when(F.size(F.array_distinct("__h")) < F.size("__h"), F.array_sort(F.transform(
+            "__h", lambda x, i: F.struct(x.alias("h"), i.cast("int").alias("i")))))) \
+        .withColumn("__eq", F.expr("zip_with(slice(__s, 1, size(__s) - 1), slice(__s, 2, size(__s) - 1), (x, y) -> x.h = y.h)"))
+    flags = "zip_with(array_prepend(__eq, false), array_append(__eq, false), (x, y) -> x OR y)"
+    d = d.withColumn("__at", F.expr(f"array_sort(array_compact(zip_with(__s, {flags}, (e, f) -> CASE WHEN f THEN e.i END)))"))
+    covered = F.coalesce(F.expr(
         f"aggregate(__at, struct(-{WINDOW} AS last, 0L AS n), (a, p) -> struct(p AS last, a.n + least({WINDOW}, p - a.last) AS n), a -> a.n)"),
-        F.lit(0)).cast("long")) \
+        F.lit(0)).cast("long")
+    # rand() keeps the optimizer from moving a later filter below this column, which would repeat its whole expression
+    return d.withColumn("n_repeat_words", F.when(F.rand() >= 0, covered)) \
         .withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))) \
-        .drop("__lines", "__h", "__s", "__at")
+        .drop("__lines", "__h", "__s", "__eq", "__at")
 
 
 def cascade_order(spark: SparkSession, docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text",
@@ -79,7 +89,7 @@ def cascade_order(spark: SparkSession, docs: DataFrame, rules: list[Rule], id_co
     shared_dir(spark)
     view = doc_view(docs, id_col, text_col)
     sample = view.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(sample_rows)
-    sample = base_columns(sample).filter(~F.col("base_failed")).checkpoint()
+    sample = base_columns(sample).checkpoint().filter(~F.col("base_failed"))
 
     def took(what: Column) -> tuple[float, int]:
         best, got = float("inf"), 0
