@@ -46,10 +46,11 @@ def slices(batches: Iterable[pa.RecordBatch], text_col: str = "text", most: int
                 yield b.slice(lo, hi - lo)
 
 
-def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text_col: str = "text") -> DataFrame:
+def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text_col: str = "text",
+               most: int = SLICE_BYTES) -> DataFrame:
     """``fn`` over bounded slices of the rows, inside Spark tasks."""
     def run(batches):
-        for piece in slices(batches, text_col):
+        for piece in slices(batches, text_col, most):
             yield fn(piece)
 
     return df.mapInArrow(run, schema)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridseries.llm import bpe, line_dedup, quality_rules, simhash
+from gridseries.llm import bpe, line_dedup, quality_model, quality_rules, simhash
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -52,6 +52,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark, _table(spark, sf_dir, "documents"))
 
 
+def op8_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by trees learnt from the labels that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    return quality_model.score(docs, quality_model.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base columns of every document and the verdict of the cascade."""
     return quality_rules.apply_rules(spark, _table(spark, sf_dir, "documents"))
@@ -78,5 +84,5 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
             OR word_chars > n_words * 20 OR lettered * 10 < n_words * 5 OR capitals * 2 > word_chars) AS kept FROM f
 """
 
-for _query in (op3_line_dedup, op4_byte_bpe, op5_simhash, op10_quality_rules):
+for _query in (op3_line_dedup, op4_byte_bpe, op5_simhash, op8_quality_trees, op10_quality_rules):
     QUERIES[_query.__name__] = _query
