@@ -226,12 +226,12 @@ def keep(docs: DataFrame, model: Trees, text_col: str = "text", threshold: float
     return filter_rows(docs, lambda texts: model.score(statistics(texts)) >= threshold, text_col)
 
 
-def filter_rows(docs: DataFrame, wanted: Callable[[list[str]], np.ndarray], text_col: str = "text") -> DataFrame:
+def filter_rows(docs: DataFrame, wanted: Callable[[list[str]], np.ndarray], text_col: str = "text", most: int = SLICE) -> DataFrame:
     """The rows whose text passes ``wanted`` (called with a bounded slice of texts, nulls as empty texts)."""
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields])
 
     def run(batches):
-        for b in slices(batches, text_col, SLICE):
+        for b in slices(batches, text_col, most):
             texts = [t or "" for t in b.column(text_col).to_pylist()]
             yield b.filter(pa.array(wanted(texts)))
 

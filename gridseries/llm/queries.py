@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridseries.llm import bpe, line_dedup, quality_model, quality_rules, simhash
+from gridseries.llm import bpe, decontaminate, line_dedup, quality_model, quality_rules, simhash
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -16,6 +16,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item of which a window occurs in it."""
+    return decontaminate.leaked_items(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boilerplate lines of each source taken out of every document."""
     done = line_dedup.drop_boilerplate(_table(spark, sf_dir, "documents"))
@@ -84,5 +89,5 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
             OR word_chars > n_words * 20 OR lettered * 10 < n_words * 5 OR capitals * 2 > word_chars) AS kept FROM f
 """
 
-for _query in (op3_line_dedup, op4_byte_bpe, op5_simhash, op8_quality_trees, op10_quality_rules):
+for _query in (op1_decontaminate, op3_line_dedup, op4_byte_bpe, op5_simhash, op8_quality_trees, op10_quality_rules):
     QUERIES[_query.__name__] = _query
