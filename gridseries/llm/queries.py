@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridseries.llm import bpe, decontaminate, line_dedup, quality_model, quality_rules, simhash
+from gridseries.llm import bpe, chat_format, decontaminate, line_dedup, quality_model, quality_rules, simhash
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -63,6 +63,26 @@ def op8_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score(docs, quality_model.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of every conversation from the perspective of each of its participants."""
+    return chat_format.segments(_table(spark, sf_dir, "conversations"))
+
+
+ORACLE["op9_chat_format"] = f"""
+WITH s AS (SELECT DISTINCT conv_id, turn, coalesce(role, '{chat_format.UNKNOWN}') AS role, coalesce(text, '') AS text FROM conversations),
+p AS (SELECT DISTINCT conv_id, role AS perspective FROM s WHERE role <> 'system'),
+r AS (SELECT s.*, p.perspective, CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN role
+      ELSE 'user name=' || role END AS speaker FROM s JOIN p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
+g AS (SELECT *, '{chat_format.BEGIN}' || speaker || chr(10) AS head FROM r),
+h AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS segment FROM g),
+o AS (SELECT *, row_number() OVER w - 1 AS seq, CAST(sum(length(segment)) OVER w AS BIGINT) AS char_end FROM h
+      WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, perspective, seq, turn, speaker, segment, char_end - length(segment) AS char_start, char_end,
+       CASE WHEN speaker = 'assistant' THEN char_end - length(segment) + length(head) END AS mask_start,
+       CASE WHEN speaker = 'assistant' THEN char_end - 1 END AS mask_end FROM o
+"""
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base columns of every document and the verdict of the cascade."""
     return quality_rules.apply_rules(spark, _table(spark, sf_dir, "documents"))
@@ -89,5 +109,5 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
             OR word_chars > n_words * 20 OR lettered * 10 < n_words * 5 OR capitals * 2 > word_chars) AS kept FROM f
 """
 
-for _query in (op1_decontaminate, op3_line_dedup, op4_byte_bpe, op5_simhash, op8_quality_trees, op10_quality_rules):
+for _query in (op1_decontaminate, op3_line_dedup, op4_byte_bpe, op5_simhash, op8_quality_trees, op9_chat_format, op10_quality_rules):
     QUERIES[_query.__name__] = _query
