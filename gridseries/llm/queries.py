@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridseries.llm import bpe, chat_format, decontaminate, line_dedup, quality_model, quality_rules, simhash, token_counts
+from gridseries.llm import bpe, chat_format, decontaminate, line_dedup, quality_model, quality_rules, secret_scan, simhash, token_counts
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -62,6 +62,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every secret candidate of every document, scored by the forest."""
+    return secret_scan.scan(spark, _table(spark, sf_dir, "documents"))
+
+
 def op8_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document by trees learnt from the labels that are not held out."""
     docs = _table(spark, sf_dir, "documents")
@@ -114,5 +119,5 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
             OR word_chars > n_words * 20 OR lettered * 10 < n_words * 5 OR capitals * 2 > word_chars) AS kept FROM f
 """
 
-for _query in (op1_decontaminate, op3_line_dedup, op4_byte_bpe, op5_simhash, op6_token_counts, op8_quality_trees, op9_chat_format, op10_quality_rules):
+for _query in (op1_decontaminate, op3_line_dedup, op4_byte_bpe, op5_simhash, op6_token_counts, op7_secret_scan, op8_quality_trees, op9_chat_format, op10_quality_rules):
     QUERIES[_query.__name__] = _query
