@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridseries.llm import bpe, chat_format, decontaminate, line_dedup, quality_model, quality_rules, secret_scan, simhash, token_counts
+from gridseries.llm import bpe, chat_format, decontaminate, line_dedup, quality_model, quality_rules, secret_scan, simhash, suffix_dedup, token_counts
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -21,6 +21,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaked_items(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 50-byte strings that a document of smaller id has."""
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boilerplate lines of each source taken out of every document."""
     done = line_dedup.drop_boilerplate(_table(spark, sf_dir, "documents"))
@@ -119,5 +124,5 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
             OR word_chars > n_words * 20 OR lettered * 10 < n_words * 5 OR capitals * 2 > word_chars) AS kept FROM f
 """
 
-for _query in (op1_decontaminate, op3_line_dedup, op4_byte_bpe, op5_simhash, op6_token_counts, op7_secret_scan, op8_quality_trees, op9_chat_format, op10_quality_rules):
+for _query in (op1_decontaminate, op2_suffix_dedup, op3_line_dedup, op4_byte_bpe, op5_simhash, op6_token_counts, op7_secret_scan, op8_quality_trees, op9_chat_format, op10_quality_rules):
     QUERIES[_query.__name__] = _query
