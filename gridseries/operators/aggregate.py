@@ -1,20 +1,23 @@
 """Cell-by-cell aggregates over time.
 
 Sums are DOUBLE whatever the cell type, NaN carries through (missing = NaN,
-never NULL), and a cell with no record in the window sums to 0.0.
+never NULL), NULL cells add 0.0, NULL arrays add nothing, an array of another
+length than the tile's is an error, and a cell with no record in the window
+sums to 0.0.
 
-Physical forms of the cell sum (both give the same numbers up to float
-summation order):
+Physical forms of the cell sum (the same rules and errors in both; they differ
+only in float summation order):
 
 * ``explode``: ``posexplode(cells)`` feeding a partial hash aggregate on
   ``(tile_id, pos)``; only one row per cell and task crosses the shuffle.
   Whole-stage codegen, spills like any aggregate.  Works for both forms.
 * ``arrow``: array form only; each task stacks the tile arrays of an Arrow
   batch into a numpy matrix and adds them up per tile, emitting one partial
-  array per (group, tile) and task.  Without group keys the partial arrays
-  themselves are shuffled by tile and added up by numpy in the final tasks
-  (8 bytes per cell cross the network, no per-cell hash aggregate); with keys
-  they are exploded into the same final aggregate as ``explode``.
+  array per (group, tile) and task, cut into blocks of ``POS_BLOCK`` cells.
+  Without group keys the blocks are shuffled by (tile, block) and added up by
+  numpy: the width of that shuffle follows the raster's cells, not the number
+  of tiles.  With keys they are exploded into the same final aggregate as
+  ``explode``.
 """
 
 from __future__ import annotations
@@ -28,13 +31,22 @@ from gridseries.operators.tiling import tile_to_cell
 
 NAN = float("nan")
 ARROW_ACC_BYTES = 256 << 20   # per-task budget of partial sums in the Arrow form
+POS_BLOCK = 1024              # cells of a tile that are added up together in the last stage
 
 
-def to_long(series: DataFrame, keys=()) -> DataFrame:
-    """Array or long series -> ``keys, tile_id, time_id, pos, v`` with DOUBLE ``v``."""
+def to_long(series: DataFrame, keys=(), cells_per_tile: int | None = None) -> DataFrame:
+    """Array or long series -> ``keys, tile_id, time_id, pos, v`` with DOUBLE ``v``.
+
+    With ``cells_per_tile`` an array of another length is an error.
+    """
     keys = list(keys)
     if "cells" in series.columns:
-        ex = series.select(*keys, "tile_id", "time_id", F.posexplode("cells").alias("pos", "v"))
+        cells = F.col("cells")
+        if cells_per_tile is not None:
+            ok = F.assert_true(cells.isNull() | (F.size(cells) == F.lit(cells_per_tile)),
+                               F.lit(f"tile arrays must hold {cells_per_tile} cells"))
+            cells = F.when(ok.isNull(), cells)
+        ex = series.select(*keys, "tile_id", "time_id", F.posexplode(cells).alias("pos", "v"))
         return ex.select(*keys, "tile_id", "time_id", F.col("pos").cast("int").alias("pos"),
                          F.col("v").cast("double").alias("v"))
     return series.select(*keys, "tile_id", "time_id", F.col("pos").cast("int").alias("pos"),
@@ -50,21 +62,36 @@ def cell_grid(spark: SparkSession, layout: TileLayout, tile_id: int | None = Non
     return ids.select(F.floor(F.col("id") / n).cast("int").alias("tile_id"), (F.col("id") % n).cast("int").alias("pos"))
 
 
+def _group_codes(columns):
+    """Group number of every row, from Arrow key columns (dictionary codes; NULL is a value of its own)."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    codes = np.zeros(len(columns[0]), np.int64)
+    for c in columns:
+        d = c.dictionary_encode()
+        own = np.asarray(pc.fill_null(d.indices, -1), dtype=np.int64) + 1
+        codes = np.unique(codes * (len(d.dictionary) + 1) + own, return_inverse=True)[1]
+    return codes
+
+
 def _arrow_partials(series: DataFrame, keys: list[str], cells_per_tile: int) -> DataFrame:
-    """Per task: one ``(keys, tile_id, pos, v)`` row per cell of every tile it saw.
+    """Per task: ``(keys, tile_id, block, sums)``, one row per block of cells of every (keys, tile) it saw.
 
     Runs on Arrow record batches (``mapInArrow``; batches are capped by
     ``spark.sql.execution.arrow.maxBytesPerBatch``): the flat cell buffer of a
     batch is viewed as a (records x cells) matrix and summed per group with
-    ``np.add.reduceat``.  NaN stays NaN (no pandas null masking); NULL cells add
-    nothing, as in the ``explode`` form.
+    ``np.add.reduceat``.  Keys stay in Arrow, so NULL keys and large integers
+    keep their values.  NaN stays NaN; NULL cells add 0.0, as in ``explode``.
     """
     cols = keys + ["tile_id"]
     slim = series.select(*keys, F.col("tile_id").cast("int").alias("tile_id"), "cells")
     out_schema = T.StructType([slim.schema[c] for c in cols]
-                              + [T.StructField("sums", T.ArrayType(T.DoubleType(), False), False)])
+                              + [T.StructField("block", T.IntegerType(), False),
+                                 T.StructField("sums", T.ArrayType(T.DoubleType(), False), True)])
 
     max_groups = max(1, ARROW_ACC_BYTES // (8 * cells_per_tile))
+    cuts = list(range(0, cells_per_tile, POS_BLOCK))
 
     def run(batches):
         import numpy as np
@@ -75,13 +102,17 @@ def _arrow_partials(series: DataFrame, keys: list[str], cells_per_tile: int) ->
         key_types = None
 
         def flush():
-            ks = list(acc)
-            arrays = [pa.array([k[j] for k in ks], type=key_types[j]) for j in range(len(cols))]
-            flat = np.concatenate([acc[k] for k in ks])
-            offsets = np.arange(0, (len(ks) + 1) * cells_per_tile, cells_per_tile, dtype=np.int32)
-            arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=pa.float64())))
+            for i, lo in enumerate(cuts):
+                ks = list(acc)
+                size = min(POS_BLOCK, cells_per_tile - lo)
+                arrays = [pa.array([k[j] for k in ks], type=key_types[j]) for j in range(len(cols))]
+                flat = np.concatenate([acc[k][lo : lo + size] for k in ks])
+                offsets = np.arange(len(ks) + 1, dtype=np.int64) * size
+                arrays.append(pa.array(np.full(len(ks), i, np.int32)))
+                arrays.append(pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(flat, type=pa.float64()))
+                              .cast(pa.list_(pa.float64())))
+                yield pa.RecordBatch.from_arrays(arrays, names=cols + ["block", "sums"])
             acc.clear()
-            return pa.RecordBatch.from_arrays(arrays, names=cols + ["sums"])
 
         for b in batches:
             if b.num_rows == 0:
@@ -100,88 +131,81 @@ def _arrow_partials(series: DataFrame, keys: list[str], cells_per_tile: int) ->
             if vals.null_count:
                 vals = pc.fill_null(vals, 0)
             mat = vals.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(b.num_rows, cells_per_tile)
-            kdf = b.select(list(range(len(cols)))).to_pandas()
-            codes = kdf.groupby(list(kdf.columns), sort=False, dropna=False).ngroup().to_numpy()
+            codes = _group_codes([b.column(i) for i in range(len(cols))])
             order = np.argsort(codes, kind="stable")
             sc = codes[order]
             starts = np.flatnonzero(np.r_[True, sc[1:] != sc[:-1]])
             sums = np.add.reduceat(mat[order], starts, axis=0)
-            firsts = order[starts]
-            for key, part in zip(kdf.iloc[firsts].itertuples(index=False, name=None), sums):
+            firsts = b.select(list(range(len(cols)))).take(pa.array(order[starts]))
+            for key, part in zip(zip(*[c.to_pylist() for c in firsts.columns]), sums):
                 if key in acc:
                     acc[key] += part
                 else:
                     acc[key] = part
             if len(acc) >= max_groups:
                 # high-cardinality keys: emit partials early, memory stays bounded
-                yield flush()
+                yield from flush()
         if acc:
-            yield flush()
+            yield from flush()
 
     return slim.mapInArrow(run, out_schema)
 
 
 def _arrow_final(partials: DataFrame, layout: TileLayout, tile_id: int | None, fill: bool) -> DataFrame:
-    """Sum the per-task partial arrays of each tile: arrays cross the shuffle, not cells.
+    """Sum the per-task partial blocks: arrays cross the shuffle, not cells.
 
-    Partials are hash-partitioned by ``tile_id`` into a fixed number of tasks
-    sized so that the tiles of one task fit ``ARROW_ACC_BYTES``; each task adds
-    up, batch by batch, the arrays of its tiles.  A NULL array is a zero
-    marker: with ``fill`` every tile of the layout gets one, so tiles without
-    records come out as 0.0.
+    A block's dense number decides its task, so the shuffle is as wide as the
+    raster has blocks (up to ``spark.sql.shuffle.partitions``, more where the
+    sums of a task would pass ``ARROW_ACC_BYTES``), whatever the tile count.
+    A NULL array is a zero marker: with ``fill`` every block of the layout gets
+    one, so tiles without records come out as 0.0.
     """
     spark = partials.sparkSession
     cpt = layout.cells_per_tile
+    per_tile = -(-cpt // POS_BLOCK)
     if fill:
-        ids = spark.range(1).select(F.lit(int(tile_id)).alias("tile_id")) if tile_id is not None \
-            else spark.range(layout.n_tiles).select(F.col("id").cast("int").alias("tile_id"))
-        partials = partials.unionByName(ids.select("tile_id", F.lit(None).cast("array<double>").alias("sums")))
-    n_tiles = 1 if tile_id is not None else layout.n_tiles
+        first, n_tiles = (int(tile_id), 1) if tile_id is not None else (0, layout.n_tiles)
+        ids = spark.range(first * per_tile, (first + n_tiles) * per_tile)
+        partials = partials.unionByName(ids.select(
+            F.floor(F.col("id") / per_tile).cast("int").alias("tile_id"), (F.col("id") % per_tile).cast("int").alias("block"),
+            F.lit(None).cast("array<double>").alias("sums")))
+    n_blocks = per_tile * (1 if tile_id is not None else layout.n_tiles)
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = max(1, min(n_tiles, max(width, -(-n_tiles * cpt * 8 // ARROW_ACC_BYTES))))
-    schema = T.StructType([T.StructField("tile_id", T.IntegerType(), False),
+    n = max(1, min(n_blocks, max(width, -(-n_blocks * POS_BLOCK * 8 // ARROW_ACC_BYTES))))
+    schema = T.StructType([T.StructField("tile_id", T.IntegerType(), False), T.StructField("block", T.IntegerType(), False),
                            T.StructField("sums", T.ArrayType(T.DoubleType(), False), False)])
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
-        import pyarrow.compute as pc
 
         acc: dict = {}
         for b in batches:
-            if b.num_rows == 0:
-                continue
-            tiles = b.column(0).to_numpy(zero_copy_only=False)
-            arrs = b.column(1)
-            valid = pc.is_valid(arrs).to_numpy(zero_copy_only=False)
-            for t in np.unique(tiles):
-                acc.setdefault(int(t), np.zeros(cpt, dtype=np.float64))
-            if valid.any():
-                vb = b.filter(pa.array(valid))
-                vt = vb.column(0).to_numpy(zero_copy_only=False)
-                mat = vb.column(1).flatten().to_numpy(zero_copy_only=False).reshape(vb.num_rows, cpt)
-                order = np.argsort(vt, kind="stable")
-                st = vt[order]
-                starts = np.flatnonzero(np.r_[True, st[1:] != st[:-1]])
-                for t, part in zip(st[starts], np.add.reduceat(mat[order], starts, axis=0)):
-                    acc[int(t)] += part
-        if acc:
-            ks = list(acc)
-            flat = np.concatenate([acc[k] for k in ks])
-            offsets = np.arange(0, (len(ks) + 1) * cpt, cpt, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ks, type=pa.int32()),
-                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=pa.float64()))],
-                names=["tile_id", "sums"])
+            for t, i, sums in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                part = sums.values.to_numpy(zero_copy_only=False) if sums.is_valid else 0.0
+                if (t, i) in acc:
+                    acc[t, i] += part
+                else:
+                    acc[t, i] = _zeros(cpt, i) + part
+        for (t, i), v in acc.items():
+            yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([i], pa.int32()),
+                                              pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v))],
+                                             names=["tile_id", "block", "sums"])
+
+    number = F.pmod(F.col("tile_id") * per_tile + F.col("block"), F.lit(n)).cast("int")
+    summed = partials.select("tile_id", "block", "sums").repartitionById(n, number).mapInArrow(run, schema)
+    return _cells(summed, []).withColumnRenamed("v", "sum_v")
+
+
+def _zeros(cells_per_tile: int, block: int):
+    import numpy as np
 
-    summed = partials.select("tile_id", "sums").repartition(n, "tile_id").mapInArrow(run, schema)
-    return summed.select("tile_id", F.posexplode("sums").alias("pos", "sum_v")) \
-        .select("tile_id", F.col("pos").cast("int").alias("pos"), "sum_v")
+    return np.zeros(min(POS_BLOCK, cells_per_tile - block * POS_BLOCK))
 
 
-def _explode_partials(partials: DataFrame, keys: list[str]) -> DataFrame:
-    return partials.select(*keys, "tile_id", F.posexplode("sums").alias("pos", "v")) \
-        .select(*keys, "tile_id", F.col("pos").cast("int").alias("pos"), "v")
+def _cells(partials: DataFrame, keys: list[str]) -> DataFrame:
+    """Blocks of sums -> one row per cell."""
+    return partials.select(*keys, "tile_id", "block", F.posexplode("sums").alias("i", "v")) \
+        .select(*keys, "tile_id", (F.col("block") * POS_BLOCK + F.col("i")).cast("int").alias("pos"), "v")
 
 
 ARROW_MIN_CELLS = 1024
@@ -189,7 +213,8 @@ ARROW_MIN_CELLS = 1024
 
 def choose_method(series: DataFrame, layout: TileLayout, method: str) -> str:
     """``auto``: the Arrow form for array series with big tiles, where it ran
-    about twice as fast as ``explode`` (180 x 180 tiles); ``explode`` otherwise."""
+    about twice as fast as ``explode`` (180 x 180 tiles); ``explode`` otherwise.
+    Only the plan depends on it: both follow the same rules."""
     if method != "auto":
         return method
     if "cells" in series.columns and layout.cells_per_tile >= ARROW_MIN_CELLS:
@@ -216,9 +241,10 @@ def tile_sum(series: DataFrame, layout: TileLayout, tile_id: int | None = None,
         partials = _arrow_partials(series, keys, layout.cells_per_tile)
         if not keys:
             return _arrow_final(partials, layout, tile_id, fill)
-        cells = _explode_partials(partials, keys)
+        cells = _cells(partials, keys)
     elif method == "explode":
-        cells = to_long(series, keys).select(*keys, "tile_id", "pos", "v")
+        cells = to_long(series, keys, layout.cells_per_tile) \
+            .select(*keys, "tile_id", "pos", F.coalesce("v", F.lit(0.0)).alias("v"))
     else:
         raise ValueError(f"unknown method {method!r}")
     if fill and not keys:
@@ -273,14 +299,15 @@ def divide_by_count(values: Column, n: Column) -> Column:
 
 
 def mosaic_mean(series: DataFrame, layout: TileLayout, method: str = "auto",
-                distinct: bool | None = None) -> DataFrame:
+                distinct: bool | None = None, count: DataFrame | None = None) -> DataFrame:
     """Per-cell mean: the cell sum divided by the series' time count.
 
     The count is a scalar subquery (one row), so no join or cross product is
     planned.  Dense series divide by tile 0's record count; sparse long series
-    by the number of distinct time ids (see ``time_count``).
+    by the number of distinct time ids (see ``time_count``).  ``count``: a
+    one-row ``time_count`` that the caller has from a cheaper source.
     """
-    n = time_count(series, distinct).scalar()
+    n = (time_count(series, distinct) if count is None else count).scalar()
     sums = mosaic_sum(series, layout, method=method)
     return sums.select("cell_row", "cell_col", divide_by_count(F.col("sum_v"), n).alias("mean_v"))
 

@@ -117,18 +117,51 @@ def test_auto_method_picks_by_tile_size(spark):
     assert tuple(got) == (3.0, 3.0, 2048)
 
 
-def test_reader_batch_guard(spark):
-    from gridseries.session import guard_reader_batch
+def test_reader_batch_is_scoped(spark):
+    from gridseries.session import guarded_reader, reader_batch
 
     key = "spark.sql.parquet.columnarReaderBatchSize"
-    old = spark.conf.get(key)
-    try:
-        spark.conf.set(key, "4096")
-        assert guard_reader_batch(spark, 1 << 20) == 32
+    old = spark.conf.get(key, "4096")
+    assert reader_batch(1 << 20) == 32 and reader_batch(16) == 4096 and reader_batch(1 << 40) == 1
+    with guarded_reader(spark, 1 << 20):
         assert spark.conf.get(key) == "32"
-        assert guard_reader_batch(spark, 16) == 32  # never raised
+        with guarded_reader(spark, 16):
+            assert spark.conf.get(key) == "32"  # never raised
+    assert spark.conf.get(key, "4096") == old
+
+
+@pytest.mark.parametrize("method", ["explode", "arrow"])
+def test_same_rules_for_null_keys_big_keys_and_null_cells(spark, method):
+    big = 2**53 + 1
+    s = spark.createDataFrame([(0, 1, None, [1.0, None]), (0, 2, None, [2.0, None]), (0, 3, big, [None, None]), (0, 4, big + 1, [5.0, float("nan")]),
+                               (0, 5, big, None), (0, 6, 7, None)], "tile_id int, time_id int, g bigint, cells array<double>")
+    got = {(r["g"], r["pos"]): str(r["sum_v"]) for r in A.tile_sum(s, ONE, keys=["g"], method=method).collect()}
+    assert got == {(None, 0): "3.0", (None, 1): "0.0", (big, 0): "0.0", (big, 1): "0.0", (big + 1, 0): "5.0", (big + 1, 1): "nan"}
+    whole = {r["pos"]: str(r["sum_v"]) for r in A.tile_sum(s, ONE, method=method).collect()}
+    assert whole == {0: "8.0", 1: "nan"}
+
+
+@pytest.mark.parametrize("method", ["explode", "arrow"])
+@pytest.mark.parametrize("cells", [[1.0], [1.0, 2.0, 3.0]])
+def test_wrong_tile_length_is_an_error_in_both_forms(spark, method, cells):
+    s = _series(spark, [(0, 1, [1.0, 2.0]), (0, 2, cells)])
+    with pytest.raises(Exception, match="tile arrays must hold 2 cells"):
+        A.tile_sum(s, ONE, method=method).collect()
+
+
+def test_last_stage_spreads_over_blocks_of_one_tile(spark):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    layout = TileLayout(1, 1, 180, 180)
+    s = _series(spark, [(0, t, [float(t)] * 32400) for t in range(1, 4)])
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "200")
+        df = A.tile_sum(s, layout, method="arrow")
+        plan = df._jdf.queryExecution().executedPlan().toString()
     finally:
-        spark.conf.set(key, old)
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    width = -(-32400 // A.POS_BLOCK)
+    assert width == 32 and f", {width})" in plan and "REPARTITION" in plan
+    assert tuple(df.agg(F.min("sum_v"), F.max("sum_v"), F.count_distinct("pos")).first()) == (6.0, 6.0, 32400)
 
 
 def test_arrow_flushes_partials_for_many_groups(spark, monkeypatch):
