@@ -113,9 +113,9 @@ class TileLayout:
         if tile_cols <= 0 or tile_rows <= 0:
             raise ValueError("tile counts must be positive")
         if cols % tile_cols:
-            raise ValueError(f"Tile columns ({tile_cols}) does not evenly divide {cols} raster columns")
+            raise ValueError(f"{cols} raster columns cannot be cut into {tile_cols} equal tiles")
         if rows % tile_rows:
-            raise ValueError(f"Tile rows ({tile_rows}) does not evenly divide {rows} raster rows")
+            raise ValueError(f"{rows} raster rows cannot be cut into {tile_rows} equal tiles")
         return cls(tile_cols, tile_rows, cols // tile_cols, rows // tile_rows)
 
 

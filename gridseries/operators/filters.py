@@ -119,24 +119,38 @@ def map_tiles(series: DataFrame, f) -> DataFrame:
     names = schema.names
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
         for b in batches:
-            out = f(b.to_pandas())
+            # nullable integers keep their type: pandas would make them doubles
+            out = f(b.to_pandas(types_mapper=_nullable))
             arrays = []
             for i, name in enumerate(names):
-                typ = b.schema.field(i).type
-                col = out[name]
+                typ, col = b.schema.field(i).type, out[name]
                 if pa.types.is_list(typ):
-                    vals = [None if v is None else list(v) for v in col.tolist()]
-                    arrays.append(pa.array(vals, type=typ, from_pandas=False))
+                    rows = [np.zeros(0) if v is None else np.asarray(v) for v in col.tolist()]
+                    none = np.array([v is None for v in col.tolist()], bool)
+                    offsets = pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rows])]), pa.int32())
+                    flat = pa.array(np.concatenate(rows) if rows else np.zeros(0), from_pandas=False).cast(typ.value_type)
+                    arrays.append(pa.ListArray.from_arrays(offsets, flat, mask=pa.array(none)) if none.any()
+                                  else pa.ListArray.from_arrays(offsets, flat))
                 else:
-                    arrays.append(pa.array(col.to_numpy(), type=typ, from_pandas=False))
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+                    arrays.append(pa.Array.from_pandas(col, type=typ) if pa.types.is_integer(typ)
+                                  else pa.array(col.to_numpy(), type=typ, from_pandas=False))
+            yield pa.RecordBatch.from_arrays([a.cast(b.schema.field(i).type) for i, a in enumerate(arrays)], names=names)
 
     return series.mapInArrow(run, schema)
 
 
+def _nullable(arrow_type):
+    """The pandas type for an Arrow integer that can hold missing values."""
+    import pyarrow as pa
+
+    return {pa.int8(): pd.Int8Dtype(), pa.int16(): pd.Int16Dtype(), pa.int32(): pd.Int32Dtype(),
+            pa.int64(): pd.Int64Dtype()}.get(arrow_type)
+
+
 def _vectorized(fn, return_type: str):
     def wrapped(time_id: pd.Series, cells: pd.Series) -> pd.Series:
         return fn(time_id, cells)

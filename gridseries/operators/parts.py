@@ -5,11 +5,12 @@ inclusive upper bound of a part.  With splits ``s0 < s1 < ...`` the part of a
 time id ``t`` is the number of splits below ``t``; part ``i`` covers
 ``(s[i-1] + 1, s[i])`` with open ends at the INT limits.
 
-Ranks are computed without a single-partition window: distinct ids are
+Ranks are computed without a window over all time ids: distinct ids are
 grouped into fixed buckets of ``RANK_BUCKET`` consecutive ids (so a group never
 exceeds that many rows), ranked inside the bucket, and offset by the running
-count of the buckets before.  The bucket table has at most
-``2**32 / RANK_BUCKET`` rows (INT range), which bounds its broadcast.
+count of the buckets before.  Only the bucket table, at most
+``2**32 / RANK_BUCKET`` rows (INT range), passes through one window and is
+broadcast.
 """
 
 from __future__ import annotations
@@ -80,7 +81,7 @@ def splits_array(splits: DataFrame) -> list[int]:
 
 
 def blocks_per_part(block_size: int, cols: int, rows: int, cell_bytes: int) -> int:
-    """Time steps per part so that one part of one tile fills a block: long math."""
+    """Time steps per part so that one part of one tile fills a block: long math (0: a step is larger than a block)."""
     per_step = int(cols) * int(rows) * int(cell_bytes)
     return int(block_size) // per_step if per_step > 0 else 0
 
@@ -88,7 +89,8 @@ def blocks_per_part(block_size: int, cols: int, rows: int, cell_bytes: int) -> i
 def assign_part(time, splits) -> Column:
     """Part of a time id: number of splits strictly below it.
 
-    ``splits`` is a Python list (sorted) or an ARRAY<INT> column.
+    ``splits`` is a Python list (sorted) or an ARRAY<INT> column; for whole
+    series prefer ``attach_parts``, a join instead of a look-up per row.
     """
     t = _col(time)
     if isinstance(splits, Column):
@@ -122,32 +124,15 @@ def part_ranges(splits: DataFrame) -> DataFrame:
         F.coalesce(F.max("hi"), F.lit(INT_MAX)).alias("part_max"))
 
 
-def part_ranges_local(splits: list[int]) -> list[tuple[int, int, int]]:
-    """Driver-side part ranges from a split list (metadata only)."""
-    out = []
-    for i in range(len(splits) + 1):
-        lo = INT_MIN if i == 0 else splits[i - 1] + 1
-        hi = INT_MAX if i == len(splits) else splits[i]
-        out.append((i, lo, hi))
-    return out
-
-
-def attach_parts(series: DataFrame, parts: DataFrame, broadcast_limit: int = 2_000_000,
-                 max_rows: int | None = None) -> DataFrame:
+def attach_parts(series: DataFrame, parts: DataFrame) -> DataFrame:
     """Add ``part`` to a series by an equi-join on ``time_id`` with ``time_parts``.
 
-    The part table has one row per distinct time id; it is broadcast only when
-    its size is under ``broadcast_limit`` rows, otherwise both sides shuffle on
-    ``time_id``.  The size is counted unless the caller passes a proven upper
-    bound ``max_rows`` (e.g. the number of bands).
+    No hint: the part table has one row per distinct time id, and Spark broadcasts
+    it when its measured size allows, else both sides shuffle on ``time_id`` (a
+    time id holds as many rows as the raster has tiles; skew is split by AQE).
     """
-    p = parts.select("time_id", "part")
-    n = max_rows if max_rows is not None else p.count()
-    if n <= broadcast_limit:
-        p = F.broadcast(p)
-    return series.join(p, "time_id")
+    return series.join(parts.select("time_id", "part"), "time_id")
 
 
 __all__ = ["INT_MIN", "INT_MAX", "time_ranks", "time_parts", "split_points", "splits_array",
-           "blocks_per_part", "assign_part", "assign_part_value", "part_ranges", "part_ranges_local",
-           "attach_parts"]
+           "blocks_per_part", "assign_part", "assign_part_value", "part_ranges", "attach_parts"]

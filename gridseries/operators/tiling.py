@@ -25,9 +25,9 @@ def check_layout(grid: DataFrame, tile_cols: int, tile_rows: int) -> DataFrame:
     """
     tc, tr = F.lit(tile_cols), F.lit(tile_rows)
     ok_c = F.assert_true(F.col("cols") % tc == 0,
-                         F.format_string(f"Tile columns ({tile_cols}) does not evenly divide %d raster columns", F.col("cols")))
+                         F.format_string(f"%d raster columns cannot be cut into {tile_cols} equal tiles", F.col("cols")))
     ok_r = F.assert_true(F.col("rows") % tr == 0,
-                         F.format_string(f"Tile rows ({tile_rows}) does not evenly divide %d raster rows", F.col("rows")))
+                         F.format_string(f"%d raster rows cannot be cut into {tile_rows} equal tiles", F.col("rows")))
     return grid.select(
         tc.cast("int").alias("tile_cols"),
         tr.cast("int").alias("tile_rows"),
@@ -129,7 +129,12 @@ def assemble_pieces(pieces: DataFrame, layout: TileLayout, keep=("time_id",)) ->
     grouped = pieces.groupBy(*keep, "tile_id").agg(
         F.array_sort(F.collect_list(F.struct("r", "piece"))).alias("ps"))
     tile = F.flatten(F.transform("ps", lambda x: x["piece"]))
-    ok = F.assert_true(F.size(tile) == F.lit(layout.cells_per_tile), F.lit("strips do not cover the tile exactly"))
+    # each piece must begin where the one before ends; -1 once one does not
+    rows = F.aggregate("ps", F.lit(0), lambda upto, x: F.when(
+        (upto == x["r"]) & (F.size(x["piece"]) % layout.pixel_cols == 0),
+        upto + (F.size(x["piece"]) / layout.pixel_cols).cast("int")).otherwise(F.lit(-1)))
+    ok = F.assert_true((rows == F.lit(layout.pixel_rows)) & (F.size(tile) == F.lit(layout.cells_per_tile)),
+                       F.lit("strips do not cover the tile exactly"))
     return grouped.select(*keep, "tile_id", F.when(ok.isNull(), tile).alias("cells"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import threading
 import uuid
+import warnings
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -37,9 +39,9 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide scratch folder: ``spark.checkpoint.dir`` of the session.
 
-    On a cluster this must name shared storage (HDFS, object store).  Only when
-    nothing is configured (unit tests on one machine) a fresh local folder is
-    set as the checkpoint dir.
+    On a cluster this must name shared storage (HDFS, object store), and it is
+    an error if it is unset.  Only a session that runs on one machine (a local
+    master, as in tests) gets a fresh local folder.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
@@ -48,6 +50,8 @@ def shared_dir(spark: SparkSession) -> str:
         return d.rsplit("/", 1)[0] if _looks_generated(d) else d
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         conf = tempfile.mkdtemp(prefix="gridseries-ckpt-")
     sc.setCheckpointDir(conf)
     return conf
@@ -93,22 +97,45 @@ def session_cached(spark: SparkSession, key, factory):
         return _memo[k]
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder through its Hadoop file system, if it is there."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(hpath, True)
+
+
 READER_BATCH_BYTES = 32 << 20
+_BATCH_KEY = "spark.sql.parquet.columnarReaderBatchSize"
 
 
-def guard_reader_batch(spark: SparkSession, row_bytes: int, target_bytes: int = READER_BATCH_BYTES) -> int:
-    """Keep one vectorized Parquet batch near ``target_bytes`` for rows of ``row_bytes``.
+def reader_batch(row_bytes: int, current: int = 4096, target_bytes: int = READER_BATCH_BYTES) -> int:
+    """Rows per vectorized Parquet batch that keep it near ``target_bytes`` for rows of ``row_bytes``; never above ``current``."""
+    return max(1, min(int(current), int(target_bytes) // max(1, int(row_bytes))))
+
+
+@contextmanager
+def guarded_reader(spark: SparkSession, row_bytes: int):
+    """Jobs started inside read rows of ``row_bytes`` in bounded batches; the session's setting comes back afterwards.
 
     Catalog rows hold whole tiles (e.g. 512 x 512 floats = 1 MB); at the
-    default 4,096 rows per batch one task would need gigabytes.  The session
-    setting is lowered, never raised.
+    default 4,096 rows per batch one task would need gigabytes.
     """
-    key = "spark.sql.parquet.columnarReaderBatchSize"
-    current = int(spark.conf.get(key, "4096"))
-    wanted = max(1, min(current, int(target_bytes) // max(1, int(row_bytes))))
-    if wanted < current:
-        spark.conf.set(key, str(wanted))
-    return wanted
+    before = spark.conf.get(_BATCH_KEY, "4096")
+    spark.conf.set(_BATCH_KEY, str(reader_batch(row_bytes, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_KEY, before)
+
+
+def check_reader(spark: SparkSession, row_bytes: int) -> None:
+    """Warn when a session's batch size would make batches of tiles far larger than intended."""
+    batch = int(spark.conf.get(_BATCH_KEY, "4096"))
+    if batch > reader_batch(row_bytes, batch):
+        warnings.warn(f"{_BATCH_KEY}={batch} makes batches of {batch * row_bytes >> 20} MB for this catalog; "
+                      f"set it to {reader_batch(row_bytes, batch)} or read inside guarded_reader()", stacklevel=3)
 
 
-__all__ = ["guard_reader_batch", "session_cached", "build_session", "shared_dir", "new_output_path", "path_exists"]
+__all__ = ["check_reader", "guarded_reader", "reader_batch", "remove_path", "session_cached", "build_session", "shared_dir",
+           "new_output_path", "path_exists"]

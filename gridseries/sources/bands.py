@@ -17,6 +17,8 @@ reader that produces this table feeds the ingest.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +26,12 @@ GRID_FIELDS = ("xmin", "ymin", "xmax", "ymax", "cols", "rows", "cell_type")
 
 
 def read_bands(spark: SparkSession, paths: list[str], schema=None) -> DataFrame:
-    """All bands of all inputs in order; ``path_idx`` is the index in ``paths``.
+    """All bands of all inputs in order; ``path_idx`` is always the position in ``paths``.
 
+    One relation over all inputs: planning does not grow with a union.  The
+    position comes from each row's file path, cut to as many levels as the input
+    has and joined to the table of inputs (one equi-join per distinct depth; a
+    stored ``path_idx`` column is ignored).  An input named twice counts twice.
     The schema is taken from the first input (or given) and imposed on the
     others, so opening many inputs does not read every footer on the driver;
     an input with incompatible column types fails when it is read.
@@ -34,13 +40,23 @@ def read_bands(spark: SparkSession, paths: list[str], schema=None) -> DataFrame:
         raise ValueError("no input paths")
     if schema is None:
         schema = spark.read.parquet(paths[0]).schema
-    out = None
-    for i, p in enumerate(paths):
-        df = spark.read.schema(schema).parquet(p)
-        if "path_idx" not in df.columns:
-            df = df.withColumn("path_idx", F.lit(i))
-        out = df if out is None else out.unionByName(df)
-    return out
+    whole = [_qualified(spark, p) for p in paths]
+    rows = spark.read.schema(schema).parquet(*dict.fromkeys(paths))
+    rows = rows.select(*[c for c in rows.columns if c != "path_idx"], F.col("_metadata.file_path").alias("__file"))
+    rows = rows.withColumn("__file", F.regexp_replace("__file", "^file:/+", "file:/"))
+    found = None
+    for depth in sorted({p.count("/") for p in whole}):
+        inputs = spark.createDataFrame([(p, i) for i, p in enumerate(whole) if p.count("/") == depth], "__root string, path_idx int")
+        part = rows.join(inputs, F.substring_index("__file", "/", depth + 1) == F.col("__root")).drop("__root", "__file")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path as the scan reports it: an encoded URI with scheme and authority, without a slash at its end."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return re.sub("^file:/+", "file:/", fs.makeQualified(hpath).toUri().toString().rstrip("/"))
 
 
 def _grid_struct() -> Column:

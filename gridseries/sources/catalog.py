@@ -7,37 +7,71 @@ row groups whose ``time_id`` range meets the window (Parquet statistics).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import replace
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridseries.model import GridMetadata
-from gridseries.operators.filters import prune_parts
+from gridseries.model import CellType, GridMetadata
+from gridseries.operators.filters import part_bounds, prune_parts
+from gridseries.session import check_reader, path_exists, remove_path
 from gridseries.sources.metadata import load_metadata
 
 RECORD_COLUMNS = ("tile_id", "part", "time_id", "cells")
 
 
-@dataclass
 class Catalog:
     """An opened catalog: metadata on the driver, every tile's series as one DataFrame.
 
     The methods mirror a raster series: ``filter``/``map_tiles``/``cache``
     return a new Catalog over the derived series; ``sum``/``mean``/
     ``time_count``/``min_max`` return DataFrames (long form, nothing collected).
+
+    ``series`` is built on first use; ``tile`` and ``window`` of an opened
+    catalog list only the folders they read.
     """
-    path: str
-    meta: GridMetadata
-    series: DataFrame
+
+    def __init__(self, path: str, meta: GridMetadata, series: DataFrame | None = None, spark: SparkSession | None = None):
+        self.path, self.meta, self._series, self.spark = path, meta, series, spark or series.sparkSession
+        self.stored = series is None
+
+    @property
+    def series(self) -> DataFrame:
+        if self._series is None:
+            self._series = _stored(self.spark, self.path, self.meta)
+        return self._series
 
     def tile(self, tile_id: int) -> DataFrame:
         return scan_tile(self, tile_id)
 
     def window(self, start: int | None = None, end: int | None = None) -> DataFrame:
-        return prune_parts(self.series, list(self.meta.splits), start, end)
+        splits = list(self.meta.splits)
+        if not self.stored or start is not None and end is not None and start > end:
+            return prune_parts(self.series, splits, start, end)
+        lo, hi = part_bounds(splits, start, end)
+        return prune_parts(_stored(self.spark, self.path, self.meta, parts=(lo, hi)), splits, start, end)
+
+    def extents(self) -> DataFrame:
+        """Bounds of every tile, from the metadata."""
+        from gridseries.operators.tiling import tile_extents
+
+        return tile_extents(self.spark, self.meta.extent, self.meta.layout)
+
+    def write(self, out: str, mode: str = "errorifexists") -> "Catalog":
+        """Write this (derived) series as a catalog of its own: cells, then metadata; time steps are counted anew."""
+        from gridseries.operators.aggregate import time_count
+        from gridseries.sources.metadata import metadata_frame, write_metadata
+
+        prepare_output(self.spark, out, mode)
+        cell_type = CellType.from_spark(self.series.schema["cells"].dataType.elementType)
+        write_catalog(self.series, out, record_bytes=self.meta.layout.cells_per_tile * cell_type.bytes)
+        cells = self.spark.read.schema(record_schema(cell_type.spark_type)).parquet(f"{out.rstrip('/')}/cells")
+        n = int(time_count(cells).first()[0])
+        meta = replace(self.meta, time_count=n, cell_type=cell_type)
+        write_metadata(metadata_frame(self.spark, meta), out)
+        return open_catalog(self.spark, out, meta)
 
     def create_view(self, name: str) -> str:
         """Register the series as a temporary view for ``spark.sql`` (same plan, same pruning)."""
@@ -64,6 +98,9 @@ class Catalog:
     def cache(self) -> "Catalog":
         return self._derive(cache_series(self.series))
 
+    def uncache(self) -> "Catalog":
+        return self._derive(uncache_series(self.series))
+
     def time_count(self) -> DataFrame:
         from gridseries.operators.aggregate import time_count
 
@@ -79,9 +116,12 @@ class Catalog:
 
         return mosaic_mean(self.series, self.meta.layout, method=method)
 
-    def min_max(self, method: str = "auto") -> DataFrame:
+    def min_max(self, method: str = "auto", of: str = "mean") -> DataFrame:
+        """Min and max over the cells of the mean raster, or of the sum raster (``of="sum"``)."""
         from gridseries.operators.aggregate import min_max
 
+        if of == "sum":
+            return min_max(self.sum(method), "sum_v")
         return min_max(self.mean(method), "mean_v")
 
 
@@ -112,16 +152,43 @@ def writer_tasks(spark: SparkSession, n_groups: int, total_bytes: int, target_by
     return max(1, min(int(n_groups), max(by_size, cores)))
 
 
-def cluster_for_write(series: DataFrame, n_tasks: int | None = None) -> DataFrame:
-    """Hash-partition records on ``(tile_id, part)``: the catalog's write layout."""
+def cluster_for_write(series: DataFrame, n_tasks: int | None = None, n_parts: int | None = None) -> DataFrame:
+    """The catalog's write layout: every ``(tile_id, part)`` in one task.
+
+    With ``n_parts`` the dense number ``tile_id * n_parts + part`` decides the
+    task, so groups spread evenly; else they are hashed.
+    """
+    if n_tasks and n_parts:
+        number = F.col("tile_id").cast("long") * n_parts + F.least(F.col("part"), F.lit(n_parts - 1))
+        return series.repartitionById(int(n_tasks), F.pmod(number, F.lit(int(n_tasks))).cast("int"))
     return series.repartition(int(n_tasks), "tile_id", "part") if n_tasks else series.repartition("tile_id", "part")
 
 
 MAX_FILE_BYTES = 256 << 20
+MODES = ("errorifexists", "error", "overwrite")
+
+
+def prepare_output(spark: SparkSession, out: str, mode: str) -> None:
+    """Make room for a whole new catalog at ``out``.
+
+    ``overwrite`` removes the old one first, its metadata before anything else,
+    so a write that breaks off leaves no readable catalog and no old stream
+    rows stay behind.  Appending is the business of ``gridseries.streaming``,
+    which keeps to the stored splits; other modes are refused.
+    """
+    if mode not in MODES:
+        raise ValueError(f"mode {mode!r}: a catalog is written whole ({', '.join(MODES)}); append steps with gridseries.streaming")
+    root = out.rstrip("/")
+    if mode != "overwrite":
+        if path_exists(spark, f"{root}/metadata.json") or path_exists(spark, f"{root}/cells"):
+            raise FileExistsError(f"a catalog exists at {out}")
+        return
+    for name in ("metadata.json", "stream", "_stream_checkpoint", "cells"):
+        remove_path(spark, f"{root}/{name}")
 
 
 def write_catalog(series: DataFrame, out: str, mode: str = "errorifexists", n_tasks: int | None = None,
-                  clustered: bool = False, record_bytes: int | None = None) -> str:
+                  clustered: bool = False, record_bytes: int | None = None, n_parts: int | None = None) -> str:
     """Write a series with ``part`` as one directory per tile and time part.
 
     Each (tile, part) is shuffled to one task, which writes it as one file
@@ -132,10 +199,12 @@ def write_catalog(series: DataFrame, out: str, mode: str = "errorifexists", n_ta
     ``record_bytes`` (cells x cell bytes) caps files at ``MAX_FILE_BYTES``, so a
     part that holds many steps (k = 0, or a huge k) rolls over into several files.
     """
+    if mode not in MODES:
+        raise ValueError(f"mode {mode!r} is not one of {', '.join(MODES)}")
     path = f"{out.rstrip('/')}/cells"
     rec = to_records(series)
     if not clustered:
-        rec = cluster_for_write(rec, n_tasks)
+        rec = cluster_for_write(rec, n_tasks, n_parts)
     w = rec.sortWithinPartitions("tile_id", "part", "time_id").write.mode(mode)
     if record_bytes:
         w = w.option("maxRecordsPerFile", max(1, MAX_FILE_BYTES // int(record_bytes)))
@@ -143,28 +212,57 @@ def write_catalog(series: DataFrame, out: str, mode: str = "errorifexists", n_ta
     return path
 
 
+def _stored(spark: SparkSession, out: str, meta: GridMetadata, tile_id: int | None = None,
+            parts: tuple[int, int] | None = None) -> DataFrame:
+    """The stored series, or only the folders of one tile or of a range of parts."""
+    schema = record_schema(meta.cell_type.spark_type)
+    root = out.rstrip("/")
+    cells = f"{root}/cells"
+    reader = spark.read.schema(schema).option("basePath", cells)
+    whole = tile_id is None and (parts is None or parts[1] - parts[0] + 1 >= meta.n_parts)
+    if whole:
+        series = reader.parquet(cells)
+    elif tile_id is not None:
+        if not path_exists(spark, f"{cells}/tile_id={int(tile_id)}"):
+            return spark.createDataFrame([], schema).select(*RECORD_COLUMNS)
+        series = reader.parquet(f"{cells}/tile_id={int(tile_id)}")
+    else:
+        names = ",".join(f"part={i}" for i in range(parts[0], parts[1] + 1))
+        pattern = f"{cells}/tile_id=*/{{{names}}}"
+        series = reader.parquet(pattern) if _any_path(spark, pattern) else spark.createDataFrame([], schema)
+    series = series.select(*RECORD_COLUMNS)
+    if path_exists(spark, f"{root}/stream/_spark_metadata"):
+        # steps appended by ``gridseries.streaming``; the sink's log lists committed files only
+        more = spark.read.schema(schema).parquet(f"{root}/stream").select(*RECORD_COLUMNS)
+        if tile_id is not None:
+            more = more.filter(F.col("tile_id") == F.lit(int(tile_id)))
+        series = series.unionByName(more)
+    return series
+
+
+def _any_path(spark: SparkSession, pattern: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(pattern)
+    found = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hpath)
+    return found is not None and len(found) > 0
+
+
 def open_catalog(spark: SparkSession, out: str, meta: GridMetadata | None = None) -> Catalog:
-    """Open a catalog; an error when its metadata is absent.
+    """Open a catalog; an error when its metadata is absent.  Cell folders are listed when a series is asked for.
 
     ``meta``: the record just written by the caller (ingest), which saves
     reading it back.
     """
-    from gridseries.session import guard_reader_batch, path_exists
-
     if meta is None:
         meta = load_metadata(spark, out)
-    guard_reader_batch(spark, meta.layout.cells_per_tile * meta.cell_type.bytes)
-    schema = record_schema(meta.cell_type.spark_type)
-    root = out.rstrip("/")
-    series = spark.read.schema(schema).parquet(f"{root}/cells").select(*RECORD_COLUMNS)
-    if path_exists(spark, f"{root}/stream/_spark_metadata"):
-        # steps appended by ``gridseries.streaming``; the sink's log lists committed files only
-        series = series.unionByName(spark.read.schema(schema).parquet(f"{root}/stream").select(*RECORD_COLUMNS))
-    return Catalog(out, meta, series)
+    check_reader(spark, meta.layout.cells_per_tile * meta.cell_type.bytes)
+    return Catalog(out, meta, spark=spark)
 
 
 def scan_tile(catalog: Catalog, tile_id: int) -> DataFrame:
-    """The series of one tile (a partition filter: only its directory is listed and read)."""
+    """The series of one tile: of an opened catalog only the tile's folder is listed and read."""
+    if catalog.stored:
+        return _stored(catalog.spark, catalog.path, catalog.meta, tile_id=tile_id)
     return catalog.series.filter(F.col("tile_id") == F.lit(int(tile_id)))
 
 
@@ -182,5 +280,14 @@ def part_summary(series: DataFrame) -> DataFrame:
 
 
 def cache_series(series: DataFrame) -> DataFrame:
-    """Keep a series in executor memory (spilling to disk) for repeated queries."""
+    """Keep a series in executor memory (spilling to disk) for repeated queries, until ``uncache_series``.
+
+    The kept rows belong to this plan: every later query of the session that
+    contains it reads them.
+    """
     return series.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def uncache_series(series: DataFrame) -> DataFrame:
+    """Release what ``cache_series`` keeps."""
+    return series.unpersist()

@@ -16,9 +16,9 @@ from gridseries.model import CellType, Extent, GridMetadata, TileLayout
 from gridseries.operators.parts import attach_parts, blocks_per_part, time_parts
 from gridseries.operators.tiling import assemble_pieces, strip_pieces, tile_bands
 from gridseries.sources.bands import check_extents, grid_summary
-from gridseries.sources.catalog import Catalog, cluster_for_write, open_catalog, write_catalog, writer_tasks
+from gridseries.sources.catalog import Catalog, cluster_for_write, open_catalog, prepare_output, write_catalog, writer_tasks
 from gridseries.sources.metadata import metadata_frame, write_metadata
-from gridseries.session import guard_reader_batch, new_output_path
+from gridseries.session import guarded_reader, new_output_path, remove_path
 
 DEFAULT_BLOCK_SIZE = 128 * 1024 * 1024
 
@@ -37,7 +37,7 @@ def plan_ingest(bands: DataFrame, tile_cols: int, tile_rows: int):
     if s["lo"] != g or s["hi"] != g:
         bad = check_extents(bands).filter(~F.col("extent_ok")).select("path_idx").limit(1).collect()
         where = bad[0]["path_idx"] if bad else "?"
-        raise ValueError(f"Raster extents don't match: input {where} differs from the first input")
+        raise ValueError(f"input {where} has another extent, size or cell type than the first input")
     layout = TileLayout.for_raster(int(g["cols"]), int(g["rows"]), tile_cols, tile_rows)
     extent = Extent(g["xmin"], g["ymin"], g["xmax"], g["ymax"])
     return extent, int(g["cols"]), int(g["rows"]), CellType(g["cell_type"]), layout, int(s["n_bands"])
@@ -49,35 +49,41 @@ def ingest(bands: DataFrame, out: str, tile_cols: int, tile_rows: int, k: int |
     """Cut every band into ``tile_cols x tile_rows`` tiles and write the catalog.
 
     ``k`` time steps go into one part; by default as many as fill
-    ``block_size`` bytes of one tile.
+    ``block_size`` bytes of one tile, one at least.  ``mode="overwrite"``
+    replaces the catalog at ``out``, appended steps included.
     """
     spark = bands.sparkSession
     extent, cols, rows, cell_type, layout, time_count = plan_ingest(bands, tile_cols, tile_rows)
+    prepare_output(spark, out, mode)
     strips = "row0" in bands.columns
-    # band rows hold whole rasters (strips: assume about a tile row high)
-    guard_reader_batch(spark, cols * (layout.pixel_rows if strips else rows) * cell_type.bytes)
     cell_cast = F.col("cells").cast(f"array<{cell_type.spark_type.simpleString()}>").alias("cells")
-    timed = timed_bands(bands, time_key).select("time_id", *(["row0"] if strips else []), cell_cast)
+    keep = ("path_idx", "band", "time_id")
+    timed = timed_bands(bands, time_key).select(*keep, *(["row0"] if strips else []), cell_cast)
     if k is None:
-        k = blocks_per_part(block_size, layout.pixel_cols, layout.pixel_rows, cell_type.bytes)
-    # One row per distinct time id, written once to the shared folder (cuts the
-    # lineage, survives executor loss) and reused for the split points and the
-    # part join.
-    parts_path = new_output_path(spark, "time-parts")
-    time_parts(timed.select("time_id"), k, materialize=False).write.parquet(parts_path)
-    parts = spark.read.parquet(parts_path)
-    splits = [int(r["time_id"]) for r in parts.filter("is_split").orderBy("time_id").collect()]
-    meta = GridMetadata(time_count, tuple(splits), extent, layout, cell_type)
-    n_tasks = writer_tasks(spark, layout.n_tiles * (len(splits) + 1), time_count * cols * rows * cell_type.bytes)
-    record_bytes = layout.cells_per_tile * cell_type.bytes
-    if strips:
-        # pieces go straight to their writer task; the per-tile assembly then
-        # runs inside it (the (tile_id, part) partitioning satisfies the grouping)
-        pieces = attach_parts(strip_pieces(timed, layout, cols), parts, max_rows=time_count)
-        records = assemble_pieces(cluster_for_write(pieces, n_tasks), layout, keep=("time_id", "part"))
-        write_catalog(records, out, mode, clustered=True, record_bytes=record_bytes)
-    else:
-        write_catalog(attach_parts(tile_bands(timed, layout, cols), parts, max_rows=time_count), out, mode, n_tasks=n_tasks,
-                      record_bytes=record_bytes)
-    write_metadata(metadata_frame(spark, meta), out, mode)
+        # at least one step per part: a step larger than a block must not put the whole series into one part
+        k = max(1, blocks_per_part(block_size, layout.pixel_cols, layout.pixel_rows, cell_type.bytes))
+    # band rows hold whole rasters (strips: assume about a tile row high)
+    with guarded_reader(spark, cols * (layout.pixel_rows if strips else rows) * cell_type.bytes):
+        # One row per distinct time id, written once to the shared folder (cuts the
+        # lineage, survives executor loss) and reused for the split points and the
+        # part join.
+        parts_path = new_output_path(spark, "time-parts")
+        time_parts(timed.select("time_id"), k, materialize=False).write.parquet(parts_path)
+        parts = spark.read.parquet(parts_path)
+        splits = [int(r["time_id"]) for r in parts.filter("is_split").orderBy("time_id").collect()]
+        meta = GridMetadata(time_count, tuple(splits), extent, layout, cell_type)
+        n_tasks = writer_tasks(spark, layout.n_tiles * meta.n_parts, time_count * cols * rows * cell_type.bytes)
+        record_bytes = layout.cells_per_tile * cell_type.bytes
+        if strips:
+            # pieces go straight to their writer task; the per-tile assembly then
+            # runs inside it (the (tile_id, part) partitioning satisfies the grouping);
+            # a band is one record, also where another has its time id
+            pieces = attach_parts(strip_pieces(timed, layout, cols, keep), parts)
+            records = assemble_pieces(cluster_for_write(pieces, n_tasks), layout, keep=(*keep, "part"))
+            write_catalog(records, out, clustered=True, record_bytes=record_bytes)
+        else:
+            write_catalog(attach_parts(tile_bands(timed, layout, cols), parts), out, n_tasks=n_tasks,
+                          record_bytes=record_bytes, n_parts=meta.n_parts)
+    write_metadata(metadata_frame(spark, meta), out)
+    remove_path(spark, parts_path)
     return open_catalog(spark, out, meta)

@@ -128,7 +128,9 @@ def metadata_frame(spark: SparkSession, meta: GridMetadata) -> DataFrame:
 
 
 def write_metadata(meta_df: DataFrame, out: str, mode: str = "errorifexists") -> str:
-    """Write the one-row ``metadata`` struct as one JSON line to ``out/metadata.json``."""
+    """Write the one-row ``metadata`` struct as one JSON line to ``out/metadata.json`` (a catalog has one record: no append)."""
+    if mode not in ("errorifexists", "error", "overwrite"):
+        raise ValueError(f"mode {mode!r}: a catalog has one metadata record")
     path = f"{out.rstrip('/')}/metadata.json"
     meta_df.select(metadata_to_json("metadata").alias("value")).coalesce(1).write.mode(mode).text(path)
     return path

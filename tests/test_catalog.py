@@ -57,12 +57,16 @@ def test_prune_parts_plan_and_result(spark, emb_cat):
     assert {r["part"] for r in pruned.select("part").distinct().collect()} == {1, 2, 3}
 
 
-def test_scan_tile_prunes_directories(emb_cat):
-    t = cat.scan_tile(emb_cat, 3)
-    plan = _plan(t)
-    pf = plan[plan.index("PartitionFilters"):].split("]", 1)[0]
-    assert "tile_id" in pf and "= 3)" in pf
-    assert t.select("tile_id").distinct().collect()[0][0] == 3
+def test_scan_tile_and_window_list_only_their_folders(spark, emb_cat):
+    fresh = cat.open_catalog(spark, emb_cat.path)
+    t = fresh.tile(3)
+    assert len(t.inputFiles()) == 8 and all("/tile_id=3/" in f for f in t.inputFiles())
+    assert t.select("tile_id").distinct().collect()[0][0] == 3 and t.count() == 500
+    w = fresh.window(100, 200)
+    assert len(w.inputFiles()) == 8 * 3 and {f.split("/part=")[1][0] for f in w.inputFiles()} == {"1", "2", "3"}
+    assert fresh._series is None  # the whole tree has not been listed
+    assert fresh.tile(99).count() == 0
+    assert cat.scan_tile(fresh.filter(F.col("time_id") < 10), 3).count() == 10
 
 
 def test_series_by_part(emb_cat):
@@ -80,7 +84,8 @@ def test_cache_series(emb_cat):
     c = cat.cache_series(emb_cat.series)
     assert c.count() == 4000
     assert c.storageLevel.useMemory
-    c.unpersist()
+    cat.uncache_series(c)
+    assert "InMemoryTableScan" not in _plan(emb_cat.series.filter("tile_id = 1"))
 
 
 def test_filter_series_python_predicate(spark, emb_cat):
@@ -115,9 +120,9 @@ def test_ingest_refuses_mismatched_inputs(spark, out_dir):
     bands = fx.emb_bands(spark, SF001)
     bad = bands.withColumn("xmax", F.when(F.col("path_idx") == 1, F.lit(181.0)).otherwise(F.col("xmax")))
     assert [r["extent_ok"] for r in check_extents(bad).orderBy("path_idx").collect()] == [True, False]
-    with pytest.raises(ValueError, match="extents"):
+    with pytest.raises(ValueError, match="another extent"):
         ingest(bad, out_dir, 4, 2, k=64)
-    with pytest.raises(ValueError, match="evenly"):
+    with pytest.raises(ValueError, match="equal tiles"):
         ingest(bands, out_dir, 3, 2, k=64)
 
 
@@ -133,6 +138,8 @@ def test_read_bands_from_files(spark, out_dir):
     bands.filter("band > 100").write.parquet(b)
     both = read_bands(spark, [a, b])
     assert both.count() == 500
+    assert {(r["path_idx"], r["n"]) for r in both.groupBy("path_idx").agg(F.count(F.lit(1)).alias("n")).collect()} == \
+        {(0, bands.filter("band <= 100").count()), (1, bands.filter("band > 100").count())}
     first = infer_grid(both).first()
     assert (first["cols"], first["rows"]) == (8, 8)
 
@@ -197,3 +204,91 @@ def test_sql_view_keeps_pruning(spark, emb_cat):
     assert len(rows) == 8 and all(r["n"] == 101 for r in rows)
     plan = _plan(q)
     assert "PartitionFilters" in plan and "GreaterThanOrEqual(time_id,100)" in plan
+
+
+def test_read_bands_numbers_inputs_by_position(spark, out_dir):
+    bands = fx.emb_bands(spark, SF001).drop("label").withColumn("path_idx", F.lit(0))
+    a, b, c = f"{out_dir}/a", f"{out_dir}/deep er/b", f"{out_dir}/c%20d/part=1"
+    for i, p in enumerate((a, b, c)):
+        bands.filter(F.col("band") == i + 1).limit(1).coalesce(1).write.parquet(p)
+    got = {(r["path_idx"], r["band"]) for r in read_bands(spark, [c, a, b, a]).collect()}
+    assert got == {(0, 3), (1, 1), (2, 2), (3, 1)}
+    one = [f for f in spark.read.parquet(a).inputFiles()][0]
+    assert {r["path_idx"] for r in read_bands(spark, [b, one]).collect()} == {0, 1}
+
+
+def test_read_bands_plans_many_inputs_at_once(spark, out_dir):
+    import time
+
+    fx.emb_bands(spark, SF001).drop("path_idx").limit(2).coalesce(1).write.parquet(out_dir)
+    t = time.time()
+    df = read_bands(spark, [out_dir] * 400)
+    assert "Union" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert time.time() - t < 30
+    assert df.select("path_idx").distinct().count() == 400
+
+
+def test_overwrite_replaces_appended_steps(spark, out_dir):
+    from gridseries.streaming.append import append_bands_stream
+
+    bands = fx.emb_bands(spark, SF001).drop("label")
+    first = ingest(bands.filter("path_idx = 0"), out_dir, 4, 2, k=64)
+    more = f"{out_dir}-more"
+    bands.filter("path_idx = 1").write.parquet(more)
+    append_bands_stream(spark, more, out_dir).awaitTermination(120)
+    assert cat.open_catalog(spark, out_dir).series.count() == 500 * 8
+    assert cat.open_catalog(spark, out_dir).tile(2).count() == 500
+    again = ingest(bands.filter("path_idx = 0"), out_dir, 4, 2, k=64, mode="overwrite")
+    assert again.series.count() == cat.open_catalog(spark, out_dir).series.count() == first.meta.time_count * 8
+
+
+def test_broken_overwrite_is_not_readable(spark, out_dir, monkeypatch):
+    from gridseries.sources import ingest as module
+
+    bands = fx.emb_bands(spark, SF001)
+    ingest(bands, out_dir, 4, 2, k=64)
+
+    def broken(*a, **b):
+        raise RuntimeError("stopped")
+
+    monkeypatch.setattr(module, "write_catalog", broken)
+    with pytest.raises(RuntimeError):
+        ingest(bands, out_dir, 4, 2, k=64, mode="overwrite")
+    with pytest.raises(FileNotFoundError):
+        cat.open_catalog(spark, out_dir)
+
+
+@pytest.mark.parametrize("mode", ["append", "ignore"])
+def test_other_write_modes_are_refused(spark, out_dir, mode):
+    bands = fx.emb_bands(spark, SF001)
+    with pytest.raises(ValueError, match=mode):
+        ingest(bands, out_dir, 4, 2, k=64, mode=mode)
+    with pytest.raises(ValueError, match=mode):
+        cat.write_catalog(fx.emb_series(spark, SF001).withColumn("part", F.lit(0)), out_dir, mode)
+    ingest(bands, out_dir, 4, 2, k=64)
+    with pytest.raises(FileExistsError):
+        ingest(bands, out_dir, 4, 2, k=64)
+
+
+def test_a_step_larger_than_a_block_still_makes_parts(spark, out_dir):
+    c = ingest(fx.emb_bands(spark, SF001).filter("path_idx = 0 and band <= 5"), out_dir, 4, 2, block_size=1)
+    assert len(c.meta.splits) == 5 and c.series.select("part").distinct().count() == 5
+
+
+def test_strips_keep_bands_of_one_time(spark, out_dir):
+    twice = fx.emb_strips(spark, SF001).filter("path_idx = 0 and band <= 3") \
+        .withColumn("metadata", F.array(F.lit("NETCDF_DIM_Time=9")))
+    c = ingest(twice, out_dir, 4, 2, k=64)
+    assert c.meta.time_count == 3 and c.series.count() == 3 * 8
+    whole = fx.emb_series(spark, SF001).filter("time_id < 3").select("tile_id", "cells")
+    assert c.series.select("tile_id", "cells").exceptAll(whole).count() == 0
+
+
+def test_derived_catalog_and_sum_bounds(spark, emb_cat, out_dir):
+    half = emb_cat.filter(F.col("time_id") % 2 == 0).map_tiles({"cells": F.transform("cells", lambda c: c.cast("double"))})
+    c = half.write(out_dir)
+    assert c.meta.time_count == 250 and c.meta.cell_type.name == "float64"
+    lo, hi = c.min_max(of="sum").first()
+    sums = [r["sum_v"] for r in half.sum().collect()]
+    assert abs(lo - min(sums)) < 1e-9 and abs(hi - max(sums)) < 1e-9
+    assert c.extents().count() == 8

@@ -12,7 +12,6 @@ def test_part_ranges_fixture(spark):
     s = spark.createDataFrame([(i, v) for i, v in enumerate(SPLITS)], "part int, split int")
     got = sorted(tuple(r) for r in P.part_ranges(s).collect())
     assert got == [(0, -2147483648, 100), (1, 101, 200), (2, 201, 400), (3, 401, 600), (4, 601, 2147483647)]
-    assert P.part_ranges_local(SPLITS) == got
 
 
 def test_part_ranges_without_splits(spark):
@@ -38,9 +37,9 @@ def test_assign_part_random(spark):
     got = [r[0] for r in df.select(P.assign_part("t", splits)).collect()]
     assert got == [P.assign_part_value(k, splits) for k in keys]
     # every time id falls in exactly one part range
-    for k, p in zip(keys, got):
-        lo, hi = P.part_ranges_local(splits)[p][1:]
-        assert lo <= k <= hi
+    rows = spark.createDataFrame(list(enumerate(splits)), "part int, split int")
+    ranges = {r["part"]: (r["part_min"], r["part_max"]) for r in P.part_ranges(rows).collect()}
+    assert all(ranges[p][0] <= k <= ranges[p][1] for k, p in zip(keys, got))
 
 
 @pytest.mark.parametrize("k,expected", [(0, []), (1, list(range(10))), (10, [9]), (11, [])])
@@ -80,12 +79,10 @@ def test_blocks_per_part_uses_long_math():
     assert P.blocks_per_part(10, 100, 100, 8) == 0
 
 
-def test_attach_parts_large_table_uses_shuffle_join(spark):
+def test_attach_parts_leaves_the_join_to_the_planner(spark):
     series = spark.range(300).select((F.col("id") % 100).cast("int").alias("time_id"), F.col("id").alias("x"))
     parts = P.time_parts(series, 7)
-    small = P.attach_parts(series, parts)
-    big = P.attach_parts(series, parts, broadcast_limit=10)   # counted 100 rows > 10: no broadcast hint
-    assert small.exceptAll(big).count() == 0 and big.count() == 300
-    assert {r["part"] for r in big.filter("time_id = 99").collect()} == {99 // 7}
-    hinted = P.attach_parts(series, parts, max_rows=5)._jdf.queryExecution().optimizedPlan().toString()
-    assert "broadcast" in hinted.lower()
+    out = P.attach_parts(series, parts)
+    assert out.count() == 300 and {r["part"] for r in out.filter("time_id = 99").collect()} == {99 // 7}
+    hints = spark.createDataFrame([(1, 0, False)], "time_id int, part int, is_split boolean")
+    assert "ResolvedHint" not in P.attach_parts(series, hints)._jdf.queryExecution().analyzed().toString()

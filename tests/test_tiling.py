@@ -45,7 +45,7 @@ def test_every_cell_in_exactly_one_tile(spark):
 
 def test_bad_layout_errors(spark):
     grid = spark.createDataFrame([(720, 360)], "cols int, rows int")
-    with pytest.raises(Exception, match="does not evenly divide"):
+    with pytest.raises(Exception, match="equal tiles"):
         check_layout(grid, 7, 2).collect()
     ok = check_layout(grid, 4, 2).first()
     assert tuple(ok) == (4, 2, 180, 180)
@@ -86,3 +86,14 @@ def test_strips_missing_rows_error(spark):
     strips = _raster(spark, 1).select("time_id", F.lit(0).alias("row0"), F.slice("cells", 1, 24).alias("cells"))
     with pytest.raises(Exception, match="cover"):
         tile_strips(strips, LAYOUT, 8).collect()
+
+
+def test_strips_with_a_gap_or_overlap_error(spark):
+    from gridseries.operators.tiling import tile_strips
+
+    one = _raster(spark, 1).select("time_id", "cells")
+    for rows in ([0, 1, 1, 3, 4, 5, 6, 7], [0, 1, 2, 2, 4, 5, 6, 7]):
+        strips = one.select("time_id", F.explode(F.array(*[F.lit(r) for r in rows])).alias("row0"), "cells") \
+            .withColumn("cells", F.slice("cells", F.col("row0") * 8 + 1, 8))
+        with pytest.raises(Exception, match="strips do not cover the tile exactly"):
+            tile_strips(strips, LAYOUT, 8).collect()
