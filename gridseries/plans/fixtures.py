@@ -24,10 +24,12 @@ from gridseries.session import session_cached
 # Fixed values of the fixtures.
 EMB_EXTENT = Extent(-180.0, -90.0, 180.0, 90.0)
 EMB_COLS = 8
+EMB_CELL_HEIGHT = 22.5  # degrees: the extent's height follows the number of rows in the data
 EMB_LAYOUT = TileLayout(tile_cols=4, tile_rows=2, pixel_cols=2, pixel_rows=4)
 EMB_BANDS_PER_INPUT = 250
 EMB_WINDOW = (100, 200)
 EMB_K = 64
+WIDE_LAYOUT = TileLayout(tile_cols=1, tile_rows=1, pixel_cols=64, pixel_rows=64)
 
 SHIP_LAYOUT = TileLayout(tile_cols=4, tile_rows=2, pixel_cols=4, pixel_rows=4)
 SHIP_COLS = 16
@@ -49,15 +51,16 @@ def emb_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _emb_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
+    rows = F.floor(F.size("embedding") / EMB_COLS)
     return e.select(
         F.floor(F.col("vec_id") / EMB_BANDS_PER_INPUT).cast("int").alias("path_idx"),
         ((F.col("vec_id") % EMB_BANDS_PER_INPUT) + 1).cast("int").alias("band"),
         F.array(F.concat(F.lit(f"{TIME_KEY}="), F.col("vec_id").cast("string")),
                 F.concat(F.lit("label="), F.col("label").cast("string"))).alias("metadata"),
         F.lit(EMB_EXTENT.xmin).alias("xmin"), F.lit(EMB_EXTENT.ymin).alias("ymin"),
-        F.lit(EMB_EXTENT.xmax).alias("xmax"), F.lit(EMB_EXTENT.ymax).alias("ymax"),
+        F.lit(EMB_EXTENT.xmax).alias("xmax"), (F.lit(EMB_EXTENT.ymin) + rows * EMB_CELL_HEIGHT).alias("ymax"),
         F.lit(EMB_COLS).alias("cols"),
-        F.floor(F.size("embedding") / EMB_COLS).cast("int").alias("rows"),
+        rows.cast("int").alias("rows"),
         F.lit("float32").alias("cell_type"),
         F.col("embedding").alias("cells"),
         F.col("label"),
@@ -108,6 +111,19 @@ def ship_series(spark: SparkSession, sf_dir: str, window: tuple | None = None) -
     return cells.groupBy("time_id", "tile_id", "pos").agg(F.sum("q").alias("v"))
 
 
+def ship_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct time ids of F-SHIP, straight from the ship dates (no cell aggregation)."""
+    return table(spark, sf_dir, "lineitem").select(time_id("l_shipdate").alias("time_id")).distinct()
+
+
+def emb_strips(spark: SparkSession, sf_dir: str, height: int = 3) -> DataFrame:
+    """F-EMB delivered as row strips of ``height`` rows (the last one lower)."""
+    b = emb_bands(spark, sf_dir)
+    rows = b.withColumn("row0", F.explode(F.sequence(F.lit(0), F.col("rows") - 1, F.lit(height))))
+    return rows.withColumn("cells", F.slice("cells", F.col("row0") * EMB_COLS + 1,
+                                            F.least(F.lit(height), F.col("rows") - F.col("row0")) * EMB_COLS))
+
+
 def events_timed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F-EVT: events with their time id."""
     ev = table(spark, sf_dir, "events")

@@ -73,9 +73,27 @@ _LAYOUT_JSON = '{"tileCols":4,"tileRows":2,"pixelCols":2,"pixelRows":4}'
 
 _SPLITS = "COALESCE((SELECT string_agg(CAST(time_id AS VARCHAR), ',' ORDER BY time_id) FROM emb_parts WHERE is_split), '')"
 
-_MEAN = """SELECT cell_row, cell_col, SUM(v) / (SELECT COUNT(*) FROM embeddings WHERE vec_id BETWEEN 100 AND 200) AS mean_v
+_MEAN = """SELECT cell_row, cell_col, SUM(v) / (SELECT COUNT(*) FROM embeddings) AS mean_v
+FROM emb_long GROUP BY cell_row, cell_col"""
+_MEAN_WINDOW = """SELECT cell_row, cell_col, SUM(v) / (SELECT COUNT(*) FROM embeddings WHERE vec_id BETWEEN 100 AND 200) AS mean_v
 FROM emb_win GROUP BY cell_row, cell_col"""
 
+
+def _tile_sum(rows: str) -> str:
+    return _emb(f"SELECT tile_id, pos, ROUND(SUM(v), 6) AS sum_v FROM {rows} GROUP BY tile_id, pos")
+
+
+def _raster_sum(rows: str) -> str:
+    return _emb(f"SELECT cell_row, cell_col, ROUND(SUM(v), 6) AS sum_v FROM {rows} GROUP BY cell_row, cell_col")
+
+
+def _raster_mean(mean: str) -> str:
+    return _emb(f"SELECT cell_row, cell_col, ROUND(mean_v, 6) AS mean_v FROM ({mean})")
+
+
+_LOCAL_ADD = _emb("""
+SELECT label, cell_row, cell_col, ROUND(SUM(v), 6) AS sum_v FROM emb_long GROUP BY label, cell_row, cell_col""")
+
 ORACLE: dict[str, str] = {
     "read_bands": """
 SELECT CAST(vec_id // 250 AS INTEGER) AS path_idx, CAST(vec_id % 250 + 1 AS INTEGER) AS band,
@@ -93,24 +111,28 @@ SELECT CAST(vec_id // 250 AS INTEGER) AS path_idx, CAST(vec_id % 250 + 1 AS INTE
        CAST(vec_id AS INTEGER) AS time_id FROM embeddings""",
     "infer_grid": f"""
 SELECT CAST(-180.0 AS DOUBLE) AS xmin, CAST(-90.0 AS DOUBLE) AS ymin, CAST(180.0 AS DOUBLE) AS xmax,
-       CAST(90.0 AS DOUBLE) AS ymax, 8 AS raster_cols, CAST(len(embedding) // 8 AS INTEGER) AS raster_rows,
-       'float32' AS cell_type
+       CAST(len(embedding) // 8 * 22.5 - 90.0 AS DOUBLE) AS ymax, 8 AS raster_cols,
+       CAST(len(embedding) // 8 AS INTEGER) AS raster_rows, 'float32' AS cell_type
 FROM {_FIRST}""",
     "check_extents": f"""
 SELECT CAST(vec_id // 250 AS INTEGER) AS path_idx, COUNT(*) AS n_bands,
        bool_and(len(embedding) = (SELECT len(embedding) FROM {_FIRST})) AS extent_ok
+FROM embeddings GROUP BY 1""",
+    "check_extents_deviating": """
+SELECT CAST(vec_id // 250 AS INTEGER) AS path_idx, COUNT(*) AS n_bands, bool_and((vec_id + 1) % 400 <> 0) AS extent_ok
 FROM embeddings GROUP BY 1""",
     "check_layout": f"""
 SELECT 4 AS tile_cols, 2 AS tile_rows, 2 AS pixel_cols, CAST(len(embedding) // 8 // 2 AS INTEGER) AS pixel_rows
 FROM {_FIRST}""",
     "tile_bands": _emb("SELECT tile_id, time_id, pos, v FROM emb_long"),
+    "tile_strips": _emb("SELECT tile_id, time_id, pos, v FROM emb_long"),
     "tile_extents": f"""
 SELECT CAST(t.range AS INTEGER) AS tile_id,
        CAST(-180.0 + (t.range % 4) * 90.0 AS DOUBLE) AS xmin,
-       CAST(90.0 - (t.range // 4 + 1) * 90.0 AS DOUBLE) AS ymin,
+       CAST(g.h - 90.0 - (t.range // 4 + 1) * g.h / 2 AS DOUBLE) AS ymin,
        CAST(-180.0 + (t.range % 4 + 1) * 90.0 AS DOUBLE) AS xmax,
-       CAST(90.0 - (t.range // 4) * 90.0 AS DOUBLE) AS ymax
-FROM {_FIRST} g, range(8) t""",
+       CAST(g.h - 90.0 - (t.range // 4) * g.h / 2 AS DOUBLE) AS ymax
+FROM (SELECT CAST(len(embedding) // 8 * 22.5 AS DOUBLE) AS h FROM {_FIRST}) g, range(8) t""",
     "time_bounds": """
 SELECT CAST(MIN(vec_id) AS INTEGER) AS min_time, CAST(MAX(vec_id) AS INTEGER) AS max_time FROM embeddings""",
     "write_catalog": _summary("v"),
@@ -124,32 +146,43 @@ SELECT CAST((SELECT COUNT(*) FROM embeddings) AS INTEGER) AS time_count, {_SPLIT
        4 AS cell_type"""),
     "extent_json": f"""
 SELECT CAST(vec_id // 250 AS INTEGER) AS path_idx, CAST(vec_id % 250 + 1 AS INTEGER) AS band,
-       '{_EXTENT_JSON}' AS extent_json,
-       CAST(-180.0 AS DOUBLE) AS xmin, CAST(-90.0 AS DOUBLE) AS ymin, CAST(180.0 AS DOUBLE) AS xmax,
-       CAST(90.0 AS DOUBLE) AS ymax
-FROM embeddings""",
+       '{{"xmin":' || xmin || ',"ymin":' || ymin || ',"xmax":' || xmax || ',"ymax":' || ymax || '}}' AS extent_json,
+       xmin, ymin, xmax, ymax
+FROM (SELECT vec_id, CAST(vec_id AS DOUBLE) * 0.5 - 180 AS xmin, CAST(label AS DOUBLE) * 0.25 - 90 AS ymin,
+             CAST(vec_id AS DOUBLE) * 0.5 AS xmax, CAST(label AS DOUBLE) + 0.75 AS ymax FROM embeddings)""",
     "layout_json": f"""
 SELECT '{{"tileCols":4,"tileRows":2,"pixelCols":2,"pixelRows":' || CAST(len(embedding) // 8 // 2 AS VARCHAR) || '}}'
        AS layout_json, 4 AS tile_cols, 2 AS tile_rows, 2 AS pixel_cols,
        CAST(len(embedding) // 8 // 2 AS INTEGER) AS pixel_rows
 FROM {_FIRST}""",
-    "metadata_equal": "SELECT COUNT(*) > 0 AS equal FROM (SELECT 1 FROM embeddings LIMIT 1)",
+    "metadata_equal": """
+WITH r AS (SELECT t, row_number() OVER (ORDER BY t) AS rn FROM (SELECT DISTINCT vec_id AS t FROM embeddings)),
+s AS (SELECT CAST(k AS INTEGER) AS k, coalesce(list(t ORDER BY t) FILTER (rn % k = 0), []) AS splits
+      FROM r, (VALUES (32), (64), (128)) v(k) GROUP BY k)
+SELECT k, splits = (SELECT splits FROM s WHERE k = 64) AS equal FROM s""",
     "open_catalog": _emb("SELECT tile_id, part, time_id, pos, v FROM emb_cat"),
     "scan_tile": _emb("SELECT part, time_id, pos, v FROM emb_cat WHERE tile_id = 0"),
     "to_records": _summary("v * 0.5"),
     "filter_time": _emb("SELECT tile_id, time_id, pos, v FROM emb_win"),
     "prune_parts": _emb("SELECT tile_id, time_id, pos, v FROM emb_win"),
+    "filter_series_python": _emb("SELECT tile_id, time_id FROM emb_long GROUP BY tile_id, time_id HAVING bool_or(v > 0.25)"),
+    "map_tiles_python": _emb("SELECT tile_id, time_id + 1 AS time_id, pos, v * 2 AS v FROM emb_long"),
     "filter_series": _emb("SELECT tile_id, time_id FROM emb_long GROUP BY tile_id, time_id HAVING bool_or(v > 0.25)"),
     "map_tiles": _emb("SELECT tile_id, time_id + 1 AS time_id, pos, v * 2 AS v FROM emb_long"),
     "map_cells": _emb("SELECT tile_id, time_id, pos, v * v AS v FROM emb_long"),
-    "tile_sum": _emb("SELECT tile_id, pos, ROUND(SUM(v), 6) AS sum_v FROM emb_win GROUP BY tile_id, pos"),
-    "tile_sum_arrow": _emb("SELECT tile_id, pos, ROUND(SUM(v), 6) AS sum_v FROM emb_win GROUP BY tile_id, pos"),
-    "tile_sum_catalog": _emb(
-        "SELECT tile_id, pos, ROUND(SUM(v), 6) AS sum_v FROM emb_win WHERE tile_id = 0 GROUP BY tile_id, pos"),
-    "mosaic_sum": _emb("SELECT cell_row, cell_col, ROUND(SUM(v), 6) AS sum_v FROM emb_win GROUP BY cell_row, cell_col"),
-    "mosaic_sum_arrow": _emb("SELECT cell_row, cell_col, ROUND(SUM(v), 6) AS sum_v FROM emb_win GROUP BY cell_row, cell_col"),
-    "mosaic_sum_catalog": _emb(
-        "SELECT cell_row, cell_col, ROUND(SUM(v), 6) AS sum_v FROM emb_win GROUP BY cell_row, cell_col"),
+    "tile_sum": _tile_sum("emb_long"),
+    "tile_sum_arrow": _tile_sum("emb_long"),
+    "tile_sum_catalog": _tile_sum("emb_long"),
+    "tile_sum_window": _tile_sum("emb_win"),
+    "mosaic_sum": _raster_sum("emb_long"),
+    "mosaic_sum_arrow": _raster_sum("emb_long"),
+    "mosaic_sum_catalog": _raster_sum("emb_long"),
+    "mosaic_sum_window": _raster_sum("emb_win"),
+    "mosaic_sum_catalog_window": _raster_sum("emb_win"),
+    "mosaic_sum_wide": """
+SELECT CAST(r.range AS INTEGER) AS cell_row, CAST(idx AS INTEGER) AS cell_col, ROUND(s, 6) AS sum_v
+FROM (SELECT idx, SUM(CAST(embedding[idx + 1] AS DOUBLE)) AS s
+      FROM (SELECT embedding, UNNEST(range(len(embedding))) AS idx FROM embeddings) GROUP BY idx), range(64) r""",
     "mosaic_sum_ship": _ship("""
 SELECT g.cell_row, g.cell_col, ROUND(COALESCE(SUM(s.v), 0.0), 6) AS sum_v
 FROM ship_grid g LEFT JOIN ship s USING (cell_row, cell_col) GROUP BY g.cell_row, g.cell_col"""),
@@ -157,18 +190,24 @@ FROM ship_grid g LEFT JOIN ship s USING (cell_row, cell_col) GROUP BY g.cell_row
 SELECT g.cell_row, g.cell_col, ROUND(COALESCE(SUM(s.v), 0.0), 6) AS sum_v
 FROM ship_grid g LEFT JOIN (SELECT * FROM ship WHERE time_id BETWEEN 17000 AND 17999) s USING (cell_row, cell_col)
 GROUP BY g.cell_row, g.cell_col"""),
-    "time_count": "SELECT COUNT(*) AS time_count FROM embeddings WHERE vec_id BETWEEN 100 AND 200",
-    "mosaic_mean": _emb(f"SELECT cell_row, cell_col, ROUND(mean_v, 6) AS mean_v FROM ({_MEAN})"),
-    "mosaic_mean_arrow": _emb(f"SELECT cell_row, cell_col, ROUND(mean_v, 6) AS mean_v FROM ({_MEAN})"),
-    "mosaic_mean_catalog": _emb(f"SELECT cell_row, cell_col, ROUND(mean_v, 6) AS mean_v FROM ({_MEAN})"),
+    "time_count": "SELECT COUNT(*) AS time_count FROM embeddings",
+    "time_count_window": "SELECT COUNT(*) AS time_count FROM embeddings WHERE vec_id BETWEEN 100 AND 200",
+    "mosaic_mean": _raster_mean(_MEAN),
+    "mosaic_mean_arrow": _raster_mean(_MEAN),
+    "mosaic_mean_catalog": _raster_mean(_MEAN),
+    "mosaic_mean_window": _raster_mean(_MEAN_WINDOW),
+    "mosaic_mean_catalog_window": _raster_mean(_MEAN_WINDOW),
     "mosaic_mean_ship": _ship("""
 SELECT g.cell_row, g.cell_col,
        ROUND(COALESCE(SUM(s.v), 0.0) / (SELECT COUNT(DISTINCT time_id) FROM ship), 6) AS mean_v
 FROM ship_grid g LEFT JOIN ship s USING (cell_row, cell_col) GROUP BY g.cell_row, g.cell_col"""),
     "min_max": _emb(f"""
 SELECT ROUND(MIN(mean_v), 6) AS min_v, ROUND(MAX(mean_v), 6) AS max_v FROM ({_MEAN}) WHERE NOT isnan(mean_v)"""),
-    "local_add": _emb("""
-SELECT label, cell_row, cell_col, ROUND(SUM(v), 6) AS sum_v FROM emb_long GROUP BY label, cell_row, cell_col"""),
+    "min_max_sum": _emb("""
+SELECT ROUND(MIN(s), 6) AS min_v, ROUND(MAX(s), 6) AS max_v
+FROM (SELECT SUM(v) AS s FROM emb_long GROUP BY cell_row, cell_col) WHERE NOT isnan(s)"""),
+    "local_add": _LOCAL_ADD,
+    "local_add_arrow": _LOCAL_ADD,
     "split_points": _emb("SELECT part, time_id AS split FROM emb_parts WHERE is_split"),
     "split_points_ship": _ship("SELECT part, time_id AS split FROM ship_parts WHERE is_split"),
     "assign_part": _ship("""

@@ -1,7 +1,8 @@
 """Every operator as a query over the driver's tables, with an equivalent SQL oracle.
 
 Each query takes ``(spark, sf_dir)`` and returns a DataFrame over the whole
-input tables.  Catalog queries ingest F-EMB into a fresh catalog below the
+input tables; where a time window is the feature, the name says so (``filter_time``,
+``prune_parts``, ``series_by_part`` and the ``_window`` forms).  Catalog queries ingest F-EMB into a fresh catalog below the
 session's shared folder (``spark.checkpoint.dir``) once per session and input.
 Float sums are rounded to 6 places on both sides (summation order differs).
 """
@@ -16,17 +17,16 @@ from pyspark.sql import functions as F
 
 from gridseries.functions.bandmeta import band_entries, band_time
 from gridseries.functions.timeid import range_length, time_date, time_id
-from gridseries.model import CellType, GridMetadata
 from gridseries.operators import aggregate as agg
 from gridseries.operators import filters as flt
-from gridseries.operators.parts import assign_part, part_ranges, split_points, splits_array
-from gridseries.operators.tiling import check_layout, tile_extents_of
+from gridseries.operators.parts import attach_parts, part_ranges, split_points, time_parts
+from gridseries.operators.tiling import check_layout, tile_extents_of, tile_strips
 from gridseries.plans import fixtures as fx
 from gridseries.sources import catalog as cat
 from gridseries.sources import metadata as md
 from gridseries.sources.bands import check_extents, infer_grid, read_bands, time_bounds
 from gridseries.sources.ingest import ingest, timed_bands
-from gridseries.session import new_output_path, path_exists
+from gridseries.session import new_output_path, path_exists, shared_dir
 
 R6 = 6
 _lock = threading.Lock()
@@ -82,6 +82,13 @@ def q_check_extents(spark, d):
     return check_extents(fx.emb_bands(spark, d))
 
 
+def q_check_extents_deviating(spark, d):
+    """Inputs with a band of another width are reported."""
+    b = fx.emb_bands(spark, d)
+    other = F.col("xmax") + F.when((F.col("path_idx") * fx.EMB_BANDS_PER_INPUT + F.col("band")) % 400 == 0, 1.0).otherwise(0.0)
+    return check_extents(b.withColumn("xmax", other))
+
+
 def q_check_layout(spark, d):
     return check_layout(infer_grid(fx.emb_bands(spark, d)), fx.EMB_LAYOUT.tile_cols, fx.EMB_LAYOUT.tile_rows)
 
@@ -90,6 +97,12 @@ def q_tile_bands(spark, d):
     return _long(fx.emb_series(spark, d)).select("tile_id", "time_id", "pos", "v")
 
 
+def q_tile_strips(spark, d):
+    strips = timed_bands(fx.emb_strips(spark, d))
+    tiles = tile_strips(strips, fx.EMB_LAYOUT, fx.EMB_COLS, keep=("path_idx", "band", "time_id"))
+    return _long(tiles).select("tile_id", "time_id", "pos", "v")
+
+
 def q_tile_extents(spark, d):
     return tile_extents_of(infer_grid(fx.emb_bands(spark, d)), fx.EMB_LAYOUT)
 
@@ -135,9 +148,11 @@ def q_read_metadata(spark, d):
 
 
 def q_extent_json(spark, d):
-    b = fx.emb_bands(spark, d)
-    j = b.select("path_idx", "band",
-                 md.extent_to_json(md.extent_struct("xmin", "ymin", "xmax", "ymax")).alias("extent_json"))
+    e = fx.table(spark, d, "embeddings")
+    per = fx.EMB_BANDS_PER_INPUT
+    j = e.select(F.floor(F.col("vec_id") / per).cast("int").alias("path_idx"), (F.col("vec_id") % per + 1).cast("int").alias("band"),
+                 md.extent_to_json(md.extent_struct(F.col("vec_id") * 0.5 - 180, F.col("label") * 0.25 - 90,
+                                                    F.col("vec_id") * 0.5, F.col("label") + 0.75)).alias("extent_json"))
     return j.select("path_idx", "band", "extent_json", md.extent_from_json("extent_json").alias("e")) \
         .select("path_idx", "band", "extent_json", *[F.col(f"e.{k}").alias(k) for k in md.EXTENT_KEYS])
 
@@ -151,24 +166,26 @@ def q_layout_json(spark, d):
         F.col("t.pixelCols").alias("pixel_cols"), F.col("t.pixelRows").alias("pixel_rows"))
 
 
-def _emb_metadata_frame(spark, d) -> DataFrame:
-    """The metadata record computed from F-EMB in Spark (no catalog involved)."""
+def _emb_metadata_frame(spark, d, k: int) -> DataFrame:
+    """The metadata record with k steps per part, computed from F-EMB in Spark (no catalog involved)."""
     timed = timed_bands(fx.emb_bands(spark, d))
-    splits = split_points(timed, fx.EMB_K).agg(F.array_sort(F.collect_list("split")).alias("splits"))
+    splits = split_points(timed, k).agg(F.array_sort(F.collect_list("split")).alias("splits"))
     g = infer_grid(fx.emb_bands(spark, d))
     n = timed.agg(F.count(F.lit(1)).alias("n"))
     lay = q_check_layout(spark, d)
-    return g.select(md.metadata_struct(
+    return g.select(F.lit(k).alias("k"), md.metadata_struct(
         n.scalar(), splits.scalar(), md.extent_struct("xmin", "ymin", "xmax", "ymax"),
         lay.select(md.layout_struct("tile_cols", "tile_rows", "pixel_cols", "pixel_rows")).scalar(),
         F.lit(4)).alias("metadata"))
 
 
 def q_metadata_equal(spark, d):
+    """The stored record against records computed with three part sizes: one is equal, two differ in the splits alone."""
     c = emb_catalog(spark, d)
     stored = md.read_metadata(spark, c.path).select(F.col("metadata").alias("stored"))
-    computed = _emb_metadata_frame(spark, d)
-    return computed.select(md.metadata_equal("metadata", stored.scalar()).alias("equal"))
+    computed = [_emb_metadata_frame(spark, d, k) for k in (fx.EMB_K // 2, fx.EMB_K, fx.EMB_K * 2)]
+    rows = computed[0].unionByName(computed[1]).unionByName(computed[2])
+    return rows.select("k", md.metadata_equal("metadata", stored.scalar()).alias("equal"))
 
 
 def q_open_catalog(spark, d):
@@ -184,11 +201,7 @@ def q_scan_tile(spark, d):
 def q_to_records(spark, d):
     c = emb_catalog(spark, d)
     derived = flt.map_cells(c.series, lambda v: v.cast("double") * F.lit(0.5))
-    out = new_output_path(spark, "emb-derived")
-    cat.write_catalog(cat.to_records(derived), out)
-    md.write_metadata(md.metadata_frame(spark, GridMetadata(
-        c.meta.time_count, c.meta.splits, c.meta.extent, c.meta.layout, CellType("float64"))), out)
-    back = cat.open_catalog(spark, out)
+    back = cat.Catalog(c.path, c.meta, cat.to_records(derived)).write(new_output_path(spark, "emb-derived"))
     return _catalog_summary(back.series)
 
 
@@ -209,6 +222,22 @@ def q_filter_series(spark, d):
     return flt.filter_series(s, F.exists("cells", lambda x: x > F.lit(0.25))).select("tile_id", "time_id")
 
 
+def q_filter_series_python(spark, d):
+    """The same predicate as an opaque Python function over batches."""
+    s = fx.emb_series(spark, d)
+    return flt.filter_series(s, lambda time_id, cells: cells.apply(lambda c: bool((c > 0.25).any()))).select("tile_id", "time_id")
+
+
+def q_map_tiles_python(spark, d):
+    """The same map as an opaque Python function over batches of records."""
+    s = fx.emb_series(spark, d).withColumn("cells", F.col("cells").cast("array<double>"))
+
+    def twice(pdf):
+        return pdf.assign(time_id=pdf["time_id"] + 1, cells=pdf["cells"].apply(lambda c: c * 2))
+
+    return _long(flt.map_tiles(s, twice)).select("tile_id", "time_id", "pos", "v")
+
+
 def q_map_tiles(spark, d):
     s = fx.emb_series(spark, d)
     m = flt.map_tiles(s, {"time_id": F.col("time_id") + 1,
@@ -227,79 +256,123 @@ def _emb_window(spark, d):
     return flt.filter_time(fx.emb_series(spark, d), *fx.EMB_WINDOW)
 
 
+def _tile(df: DataFrame) -> DataFrame:
+    return df.select("tile_id", "pos", _r("sum_v").alias("sum_v"))
+
+
+def _raster(df: DataFrame, value: str = "sum_v") -> DataFrame:
+    return df.select("cell_row", "cell_col", _r(value).alias(value))
+
+
 def q_tile_sum(spark, d):
-    return agg.tile_sum(_emb_window(spark, d), fx.EMB_LAYOUT).select("tile_id", "pos", _r("sum_v").alias("sum_v"))
+    return _tile(agg.tile_sum(fx.emb_series(spark, d), fx.EMB_LAYOUT))
 
 
 def q_tile_sum_arrow(spark, d):
-    return agg.tile_sum(_emb_window(spark, d), fx.EMB_LAYOUT, method="arrow") \
-        .select("tile_id", "pos", _r("sum_v").alias("sum_v"))
+    return _tile(agg.tile_sum(fx.emb_series(spark, d), fx.EMB_LAYOUT, method="arrow"))
+
+
+def q_tile_sum_window(spark, d):
+    return _tile(agg.tile_sum(_emb_window(spark, d), fx.EMB_LAYOUT))
 
 
 def q_tile_sum_catalog(spark, d):
-    c = emb_catalog(spark, d)
-    return agg.tile_sum(c.window(*fx.EMB_WINDOW), fx.EMB_LAYOUT, tile_id=0).select("tile_id", "pos", _r("sum_v").alias("sum_v"))
+    return _tile(agg.tile_sum(emb_catalog(spark, d).series, fx.EMB_LAYOUT))
 
 
 def q_mosaic_sum(spark, d):
-    return agg.mosaic_sum(_emb_window(spark, d), fx.EMB_LAYOUT).select("cell_row", "cell_col", _r("sum_v").alias("sum_v"))
+    return _raster(agg.mosaic_sum(fx.emb_series(spark, d), fx.EMB_LAYOUT))
 
 
 def q_mosaic_sum_arrow(spark, d):
-    return agg.mosaic_sum(_emb_window(spark, d), fx.EMB_LAYOUT, method="arrow") \
-        .select("cell_row", "cell_col", _r("sum_v").alias("sum_v"))
+    return _raster(agg.mosaic_sum(fx.emb_series(spark, d), fx.EMB_LAYOUT, method="arrow"))
+
+
+def q_mosaic_sum_window(spark, d):
+    return _raster(agg.mosaic_sum(_emb_window(spark, d), fx.EMB_LAYOUT))
+
+
+def q_mosaic_sum_wide(spark, d):
+    """One tile of 4,096 cells per step (an embedding row repeated 64-fold): its sum spreads over blocks of positions."""
+    b = fx.emb_bands(spark, d)
+    wide = b.select(band_time("metadata").alias("time_id"), F.lit(0).alias("tile_id"),
+                    F.flatten(F.array_repeat("cells", 64)).alias("cells"))
+    return _raster(agg.mosaic_sum(wide, fx.WIDE_LAYOUT))
 
 
 def q_mosaic_sum_catalog(spark, d):
-    c = emb_catalog(spark, d)
-    return agg.mosaic_sum(c.window(*fx.EMB_WINDOW), fx.EMB_LAYOUT) \
-        .select("cell_row", "cell_col", _r("sum_v").alias("sum_v"))
+    return _raster(emb_catalog(spark, d).sum())
+
+
+def q_mosaic_sum_catalog_window(spark, d):
+    return _raster(emb_catalog(spark, d).between(*fx.EMB_WINDOW).sum())
 
 
 def q_mosaic_sum_ship(spark, d):
-    return agg.mosaic_sum(fx.ship_series(spark, d), fx.SHIP_LAYOUT) \
-        .select("cell_row", "cell_col", _r("sum_v").alias("sum_v"))
+    return _raster(agg.mosaic_sum(fx.ship_series(spark, d), fx.SHIP_LAYOUT))
 
 
 def q_mosaic_sum_ship_window(spark, d):
     s = fx.ship_series(spark, d, window=fx.SHIP_WINDOW)
-    return agg.mosaic_sum(s, fx.SHIP_LAYOUT).select("cell_row", "cell_col", _r("sum_v").alias("sum_v"))
+    return _raster(agg.mosaic_sum(s, fx.SHIP_LAYOUT))
 
 
 def q_time_count(spark, d):
-    return agg.time_count(_emb_window(spark, d))
+    """Counted on the bands: every band has one record of the first tile."""
+    bands = fx.emb_bands(spark, d).select(F.lit(0).alias("tile_id"), band_time("metadata").alias("time_id"))
+    return agg.time_count(bands, distinct=False)
+
+
+def q_time_count_window(spark, d):
+    bands = fx.emb_bands(spark, d).select(F.lit(0).alias("tile_id"), band_time("metadata").alias("time_id"))
+    return agg.time_count(flt.filter_time(bands, *fx.EMB_WINDOW), distinct=False)
 
 
 def q_mosaic_mean(spark, d):
-    return agg.mosaic_mean(_emb_window(spark, d), fx.EMB_LAYOUT).select("cell_row", "cell_col", _r("mean_v").alias("mean_v"))
+    return _raster(agg.mosaic_mean(fx.emb_series(spark, d), fx.EMB_LAYOUT, count=q_time_count(spark, d)), "mean_v")
 
 
 def q_mosaic_mean_arrow(spark, d):
-    return agg.mosaic_mean(_emb_window(spark, d), fx.EMB_LAYOUT, method="arrow") \
-        .select("cell_row", "cell_col", _r("mean_v").alias("mean_v"))
+    return _raster(agg.mosaic_mean(fx.emb_series(spark, d), fx.EMB_LAYOUT, method="arrow", count=q_time_count(spark, d)), "mean_v")
+
+
+def q_mosaic_mean_window(spark, d):
+    return _raster(agg.mosaic_mean(_emb_window(spark, d), fx.EMB_LAYOUT, count=q_time_count_window(spark, d)), "mean_v")
 
 
 def q_mosaic_mean_catalog(spark, d):
-    c = emb_catalog(spark, d)
-    return agg.mosaic_mean(c.window(*fx.EMB_WINDOW), fx.EMB_LAYOUT) \
-        .select("cell_row", "cell_col", _r("mean_v").alias("mean_v"))
+    return _raster(emb_catalog(spark, d).mean(), "mean_v")
+
+
+def q_mosaic_mean_catalog_window(spark, d):
+    return _raster(emb_catalog(spark, d).between(*fx.EMB_WINDOW).mean(), "mean_v")
 
 
 def q_mosaic_mean_ship(spark, d):
-    return agg.mosaic_mean(fx.ship_series(spark, d), fx.SHIP_LAYOUT) \
-        .select("cell_row", "cell_col", _r("mean_v").alias("mean_v"))
+    days = fx.ship_days(spark, d).agg(F.count(F.lit(1)).alias("time_count"))
+    return _raster(agg.mosaic_mean(fx.ship_series(spark, d), fx.SHIP_LAYOUT, count=days), "mean_v")
 
 
 def q_min_max(spark, d):
-    m = agg.mosaic_mean(_emb_window(spark, d), fx.EMB_LAYOUT)
+    m = agg.mosaic_mean(fx.emb_series(spark, d), fx.EMB_LAYOUT, count=q_time_count(spark, d))
     return agg.min_max(m, "mean_v").select(_r("min_v").alias("min_v"), _r("max_v").alias("max_v"))
 
 
+def q_min_max_sum(spark, d):
+    m = emb_catalog(spark, d).min_max(of="sum")
+    return m.select(_r("min_v").alias("min_v"), _r("max_v").alias("max_v"))
+
+
 def q_local_add(spark, d):
     return agg.local_add(fx.emb_series(spark, d), fx.EMB_LAYOUT, ["label"]) \
         .select("label", "cell_row", "cell_col", _r("sum_v").alias("sum_v"))
 
 
+def q_local_add_arrow(spark, d):
+    return agg.local_add(fx.emb_series(spark, d), fx.EMB_LAYOUT, ["label"], method="arrow") \
+        .select("label", "cell_row", "cell_col", _r("sum_v").alias("sum_v"))
+
+
 # --- time parts -------------------------------------------------------------------------
 
 def q_split_points(spark, d):
@@ -307,13 +380,13 @@ def q_split_points(spark, d):
 
 
 def q_split_points_ship(spark, d):
-    return split_points(fx.ship_series(spark, d), fx.SHIP_K)
+    return split_points(fx.ship_days(spark, d), fx.SHIP_K)
 
 
 def q_assign_part(spark, d):
-    s = fx.ship_series(spark, d)
-    splits = splits_array(split_points(s, fx.SHIP_K))
-    p = s.withColumn("part", assign_part("time_id", splits))
+    """Every record's part by a join with the parts of the distinct days."""
+    parts = time_parts(fx.ship_days(spark, d), fx.SHIP_K)
+    p = attach_parts(fx.ship_series(spark, d), parts)
     return p.groupBy("part").agg(F.count(F.lit(1)).alias("n_rows"), F.min("time_id").alias("min_time"),
                                  F.max("time_id").alias("max_time"))
 
@@ -328,9 +401,13 @@ def q_series_by_part(spark, d):
 
 
 def q_cache_series(spark, d):
-    c = emb_catalog(spark, d)
-    cached = cat.cache_series(c.series)
-    return cached.groupBy("tile_id", "part").agg(F.count(F.lit(1)).alias("n_records"))
+    """Two queries over the kept series; the result is checkpointed and the memory given back."""
+    shared_dir(spark)
+    cached = emb_catalog(spark, d).cache()
+    cached.series.agg(F.count(F.lit(1))).first()
+    out = cached.series.groupBy("tile_id", "part").agg(F.count(F.lit(1)).alias("n_records")).checkpoint()
+    cached.uncache()
+    return out
 
 
 # --- time functions -------------------------------------------------------------------------
@@ -362,8 +439,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "band_time": q_band_time,
     "infer_grid": q_infer_grid,
     "check_extents": q_check_extents,
+    "check_extents_deviating": q_check_extents_deviating,
     "check_layout": q_check_layout,
     "tile_bands": q_tile_bands,
+    "tile_strips": q_tile_strips,
     "tile_extents": q_tile_extents,
     "time_bounds": q_time_bounds,
     "write_catalog": q_write_catalog,
@@ -378,23 +457,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "filter_time": q_filter_time,
     "prune_parts": q_prune_parts,
     "filter_series": q_filter_series,
+    "filter_series_python": q_filter_series_python,
+    "map_tiles_python": q_map_tiles_python,
     "map_tiles": q_map_tiles,
     "map_cells": q_map_cells,
     "tile_sum": q_tile_sum,
     "tile_sum_arrow": q_tile_sum_arrow,
+    "tile_sum_window": q_tile_sum_window,
     "tile_sum_catalog": q_tile_sum_catalog,
     "mosaic_sum": q_mosaic_sum,
     "mosaic_sum_arrow": q_mosaic_sum_arrow,
+    "mosaic_sum_window": q_mosaic_sum_window,
+    "mosaic_sum_wide": q_mosaic_sum_wide,
     "mosaic_sum_catalog": q_mosaic_sum_catalog,
+    "mosaic_sum_catalog_window": q_mosaic_sum_catalog_window,
     "mosaic_sum_ship": q_mosaic_sum_ship,
     "mosaic_sum_ship_window": q_mosaic_sum_ship_window,
     "time_count": q_time_count,
+    "time_count_window": q_time_count_window,
     "mosaic_mean": q_mosaic_mean,
     "mosaic_mean_arrow": q_mosaic_mean_arrow,
+    "mosaic_mean_window": q_mosaic_mean_window,
     "mosaic_mean_catalog": q_mosaic_mean_catalog,
+    "mosaic_mean_catalog_window": q_mosaic_mean_catalog_window,
     "mosaic_mean_ship": q_mosaic_mean_ship,
     "min_max": q_min_max,
+    "min_max_sum": q_min_max_sum,
     "local_add": q_local_add,
+    "local_add_arrow": q_local_add_arrow,
     "split_points": q_split_points,
     "split_points_ship": q_split_points_ship,
     "assign_part": q_assign_part,
