@@ -19,10 +19,10 @@ from gridseries.plans import registry as R  # noqa: E402
 from gridseries.session import build_session  # noqa: E402
 
 HEADLINE = [
-    "mosaic_sum", "mosaic_sum_arrow", "mosaic_sum_catalog", "mosaic_mean", "mosaic_mean_arrow", "mosaic_mean_catalog",
-    "tile_sum", "tile_sum_arrow", "tile_sum_catalog", "prune_parts",
-    "series_by_part", "local_add", "mosaic_sum_ship", "mosaic_mean_ship", "assign_part",
-    "split_points_ship", "time_id", "write_catalog",
+    "mosaic_sum", "mosaic_sum_arrow", "mosaic_sum_catalog", "mosaic_sum_wide", "mosaic_mean", "mosaic_mean_arrow",
+    "mosaic_mean_catalog", "mosaic_mean_window", "tile_sum", "tile_sum_arrow", "tile_sum_catalog", "tile_strips", "time_count",
+    "min_max", "prune_parts", "series_by_part", "local_add", "local_add_arrow", "mosaic_sum_ship", "mosaic_mean_ship",
+    "assign_part", "split_points_ship", "time_id", "read_bands", "write_catalog",
 ]
 
 

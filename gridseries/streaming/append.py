@@ -7,20 +7,27 @@ go to the open last part, so every part range stays valid and ``prune_parts``
 keeps working).  The output goes through Spark's file sink into
 ``<catalog>/stream``: its commit log makes each micro-batch exactly-once, so
 a failed and replayed batch never duplicates records.  ``open_catalog`` reads
-``cells`` and ``stream`` together.
+``cells`` and ``stream`` together; ``refresh_time_count`` brings the stored
+count up to date once an append is done.  Bands come whole: row strips of one
+band may arrive in different batches, so they are refused here and belong to
+``ingest``.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from gridseries.functions.bandmeta import TIME_KEY, band_time
+from gridseries.operators.aggregate import time_count
 from gridseries.operators.parts import assign_part
 from gridseries.operators.tiling import tile_bands
-from gridseries.sources.metadata import load_metadata
+from gridseries.sources.catalog import open_catalog
+from gridseries.sources.metadata import load_metadata, metadata_frame, write_metadata
 
 
 def band_schema(cell_type: T.DataType = T.FloatType()) -> T.StructType:
@@ -38,6 +45,8 @@ def band_schema(cell_type: T.DataType = T.FloatType()) -> T.StructType:
 
 def tiled_stream(bands: DataFrame, catalog_path: str, time_key: str = TIME_KEY) -> DataFrame:
     """Streaming (or batch) bands -> catalog records, checked against the catalog's grid."""
+    if "row0" in bands.columns:
+        raise ValueError("appended bands must be whole rasters; row strips go through ingest")
     spark = bands.sparkSession
     meta = load_metadata(spark, catalog_path)
     e, lay = meta.extent, meta.layout
@@ -64,3 +73,15 @@ def append_bands_stream(spark: SparkSession, band_dir: str, catalog_path: str, c
          .partitionBy("tile_id", "part").outputMode("append"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
+
+
+def refresh_time_count(spark: SparkSession, catalog_path: str) -> int:
+    """Count the first tile's records, appended ones included, and store that as the catalog's time count.
+
+    To be called between appends (the metadata record is replaced).
+    """
+    catalog = open_catalog(spark, catalog_path)
+    n = int(time_count(catalog.tile(0)).first()[0])
+    if n != catalog.meta.time_count:
+        write_metadata(metadata_frame(spark, replace(catalog.meta, time_count=n)), catalog_path, "overwrite")
+    return n

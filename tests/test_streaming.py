@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from gridseries.operators import aggregate as A
@@ -48,3 +49,19 @@ def test_stream_rejects_other_grids(spark, out_dir):
         pass
     assert q.exception() is not None and "differs from the catalog" in str(q.exception())
     assert open_catalog(spark, base).series.count() == 250 * 8
+
+
+def test_time_count_after_an_append_and_strips_refused(spark, out_dir):
+    from gridseries.plans import fixtures as fx
+    from gridseries.sources.catalog import open_catalog
+    from gridseries.sources.ingest import ingest
+    from gridseries.streaming.append import append_bands_stream, refresh_time_count, tiled_stream
+
+    bands = fx.emb_bands(spark, SF001).drop("label")
+    ingest(bands.filter("path_idx = 0"), out_dir, 4, 2, k=64)
+    bands.filter("path_idx = 1").write.parquet(f"{out_dir}-more")
+    append_bands_stream(spark, f"{out_dir}-more", out_dir).awaitTermination(120)
+    assert open_catalog(spark, out_dir).meta.time_count == 250
+    assert refresh_time_count(spark, out_dir) == open_catalog(spark, out_dir).meta.time_count == 500
+    with pytest.raises(ValueError, match="whole rasters"):
+        tiled_stream(fx.emb_strips(spark, SF001), out_dir)
