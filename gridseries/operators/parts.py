@@ -15,6 +15,8 @@ broadcast.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,6 +88,11 @@ def blocks_per_part(block_size: int, cols: int, rows: int, cell_bytes: int) -> i
     return int(block_size) // per_step if per_step > 0 else 0
 
 
+def int_array(values) -> Column:
+    """A list of ints as one literal (folded to an array constant when the query is planned)."""
+    return F.from_json(F.lit(json.dumps([int(v) for v in values])), "array<int>")
+
+
 def assign_part(time, splits) -> Column:
     """Part of a time id: number of splits strictly below it.
 
@@ -97,8 +104,7 @@ def assign_part(time, splits) -> Column:
         return F.size(F.filter(splits, lambda s: s < t)).cast("int")
     if len(splits) == 0:
         return F.lit(0)
-    arr = F.array(*[F.lit(int(s)) for s in splits])
-    return F.size(F.filter(arr, lambda s: s < t)).cast("int")
+    return F.size(F.filter(int_array(splits), lambda s: s < t)).cast("int")
 
 
 def assign_part_value(time: int, splits: list[int]) -> int:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridseries.model import CellType, Extent, GridMetadata, TileLayout
+from gridseries.operators.parts import int_array
 
 # Key names of the metadata JSON.
 METADATA_KEYS = ("timeCount", "splits", "extent", "tileLayout", "cellType")
@@ -119,7 +120,7 @@ def metadata_frame(spark: SparkSession, meta: GridMetadata) -> DataFrame:
     e, l = meta.extent, meta.layout
     row = spark.range(1).select(metadata_struct(
         F.lit(meta.time_count),
-        F.array(*[F.lit(int(s)) for s in meta.splits]) if meta.splits else F.array().cast("array<int>"),
+        int_array(meta.splits),
         extent_struct(F.lit(e.xmin), F.lit(e.ymin), F.lit(e.xmax), F.lit(e.ymax)),
         layout_struct(F.lit(l.tile_cols), F.lit(l.tile_rows), F.lit(l.pixel_cols), F.lit(l.pixel_rows)),
         F.lit(meta.cell_type.code),
