@@ -10,7 +10,7 @@ off the finished transform, and the smallest document of a run decides.
 
 Spark side: a whole corpus has no single transform, so documents become short
 strings that are dealt out by content.  Neighbouring windows whose smallest
-16-gram hash is the same form one string (up to 35 windows); equal substrings
+24-gram hash is the same form one string (up to 27 windows); equal substrings
 have equal hashes, so the strings of one hash range are a collection complete in
 itself.  Documents are grouped by id into groups of about ``GROUP_BYTES``.
 
@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from gridseries.llm.common import doc_view, ragged
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM + 1
 GROUP_BYTES, RANGE_BYTES, COLLECTION = 2 << 20, 32 << 20, 1 << 20
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -73,11 +73,7 @@ class Group:
             self.start = self.count = self.doc = np.zeros(0, np.int64)
             self.hash = np.zeros(0, np.uint64)
             return
-        h = (self.data.astype(np.uint64) + np.uint64(1)) * _MIX
-        step, power = 1, _ODD
-        while step < GRAM:
-            h = h[:-step] * np.uint64(power) + h[step:]
-            step, power = 2 * step, power * power % (1 << 64)
+        h = _gram_hashes(self.data)
         h ^= h >> np.uint64(32)
         h *= _MIX
         h ^= h >> np.uint64(29)
@@ -102,7 +98,9 @@ class Group:
         nth = np.arange(int(pieces.sum())) - np.repeat(first, pieces)
         self.start = np.repeat(start, pieces) + nth * SPAN
         self.count = np.minimum(SPAN, np.repeat(stop, pieces) - self.start)
-        self.hash = h[self.start]
+        # a smallest hash is small: mixed once more, so that ranges of hashes are even
+        self.hash = (h[self.start] ^ (h[self.start] >> np.uint64(31))) * _MIX
+        self.hash ^= self.hash >> np.uint64(30)
         self.doc = np.searchsorted(self.begin, self.start, side="right") - 1
         self.doc = _last_of_equal(self.begin, self.size, self.start, self.doc)
 
@@ -132,6 +130,21 @@ class Group:
                 [s for _, s in order], least, own, item)
 
 
+def _gram_hashes(data: np.ndarray) -> np.ndarray:
+    """A hash of every run of GRAM bytes, put together from runs of 1, 2, 4, ... bytes."""
+    part = (data.astype(np.uint64) + np.uint64(1)) * _MIX
+    out, size, step = None, 0, 1
+    while True:
+        if GRAM & step:
+            n = len(data) - size - step + 1
+            out = part[:n] if out is None else out[:n] * np.uint64(pow(_ODD, step, 1 << 64)) + part[size : size + n]
+            size += step
+        if 2 * step > GRAM:
+            return out.copy()
+        part = part[:-step] * np.uint64(pow(_ODD, step, 1 << 64)) + part[step:]
+        step *= 2
+
+
 def _last_of_equal(begin, size, start, doc):
     """The document that holds the byte: empty documents begin where the next one does."""
     return np.where(size[doc] > 0, doc, np.searchsorted(begin + size, start, side="right")) if len(doc) else doc
@@ -157,6 +170,8 @@ def build(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data = np.frombuffer(b"".join(strings), np.uint8).astype(np.uint8) + np.uint8(1)
     last = np.cumsum(length) - 1
     place = np.arange(m)
+    most = int(length.sum()) + m
+    front, old, who = np.zeros(most, bool), np.ones(most, bool), np.empty(most, np.int32)
     with tempfile.TemporaryFile() as bwt_file, tempfile.TemporaryFile() as lcp_file:
         data[last].tofile(bwt_file)
         np.zeros(m, np.uint8).tofile(lcp_file)
@@ -164,10 +179,11 @@ def build(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for j in range(1, int(length.max()) + 1):
             bwt, lcp = _read(bwt_file, n), _read(lcp_file, n)
             active = np.flatnonzero(length >= j)
-            front = np.zeros(n, bool)
-            front[place[active]] = True
+            at = place[active]
+            front[at] = True
+            who[at] = active
             order = np.argsort(bwt, kind="stable")
-            zeros = int(np.searchsorted(bwt[order], 1)) if n else 0
+            zeros = m - len(active)  # strings that are whole
             rank = np.flatnonzero(front[order])  # of the symbols now put in front, by (symbol, place)
             # common prefixes change for the new suffixes and for those right behind them
             behind = rank + 1
@@ -179,24 +195,23 @@ def build(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             if same.any():
                 pairs = np.stack([order[prev[same]] + 1, order[touched[same]] + 1], axis=1).ravel()
                 value[same] = np.minimum.reduceat(np.append(lcp, np.uint8(0)), pairs)[::2] + np.uint8(1)
+            string = who[order[rank]]
+            front[at] = False
             new = m + rank - zeros
-            old = np.ones(n + len(rank), bool)
             old[new] = False
-            who = np.empty(n, np.int64)
-            who[place[active]] = active
-            string = who[order[rank]]
-            if len(active) < m:  # whole strings already in place move back
+            n += len(rank)
+            if zeros:  # whole strings already in place move back
                 done = np.flatnonzero(length < j)
-                place[done] = np.flatnonzero(old)[place[done]]
+                place[done] = np.flatnonzero(old[:n])[place[done]]
             place[string] = new
             symbol = np.where(length[string] > j, data[np.maximum(last[string] - j, 0)], np.uint8(0)).astype(np.uint8)
-            n += len(rank)
-            for file, before, put, at in ((bwt_file, bwt, symbol, new), (lcp_file, lcp, value, m + touched - zeros)):
+            for file, before, put, where in ((bwt_file, bwt, symbol, new), (lcp_file, lcp, value, m + touched - zeros)):
                 after = np.empty(n, np.uint8)
-                after[old] = before
-                after[at] = put
+                after[old[:n]] = before
+                after[where] = put
                 file.seek(0)
                 after.tofile(file)
+            old[new] = True
         return _read(bwt_file, n), _read(lcp_file, n), place
 
 
@@ -360,8 +375,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             hit = ragged(flags, begin[item], n) | np.repeat(group.id_of[own] > least[item], n)
             at = np.repeat(group.start[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
             at = at[hit]
-            np.add.at(gone, at, 1)
-            np.add.at(gone, at + LENGTH, -1)
+            n = len(group.data) + 1
+            gone = np.bincount(at, minlength=n) - np.bincount(at + LENGTH, minlength=n)
         lost = np.cumsum(gone[:-1]) > 0
         out = []
         for i, raw, a, s in zip(group.ids, group.raw, group.begin.tolist(), group.size.tolist()):
