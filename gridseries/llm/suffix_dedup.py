@@ -41,6 +41,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -120,14 +121,25 @@ class Group:
         at = np.searchsorted(hashes, self.hash)
         own = np.flatnonzero(hashes[np.minimum(at, max(len(hashes) - 1, 0))] == self.hash) if len(hashes) else np.zeros(0, np.int64)
         text = self.data.tobytes()
-        keys = [(h, text[s : s + c + LENGTH - 1]) for h, s, c in zip(self.hash[own].tolist(), self.start[own].tolist(), self.count[own].tolist())]
-        order = sorted(set(keys))
-        number = {k: i for i, k in enumerate(order)}
-        item = np.fromiter(map(number.__getitem__, keys), np.int64, len(keys))
-        least = np.full(len(order), np.iinfo(np.int64).max)
+        begin = self.start[own]
+        keys = [text[a:b] for a, b in zip(begin.tolist(), (begin + self.count[own] + LENGTH - 1).tolist())]
+        strings, item, hash_of = _by_hash(sorted(set(keys)), keys, self.hash[own])
+        least = np.full(len(strings), np.iinfo(np.int64).max)
         np.minimum.at(least, item, self.id_of[own])
-        return (np.array([h for h, _ in order], np.uint64), np.array([len(s) - LENGTH + 1 for _, s in order], np.int64),
-                [s for _, s in order], least, own, item)
+        return (hash_of, np.fromiter(map(len, strings), np.int64, len(strings)) - LENGTH + 1, strings, least, own, item)
+
+
+def _by_hash(strings: list[bytes], keys: list[bytes], hashes: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The strings by hash (equal hashes in the order given), the place of each key among them, and their hashes.
+    A string's hash follows from its content."""
+    number = {k: i for i, k in enumerate(strings)}
+    item = np.fromiter(map(number.__getitem__, keys), np.int64, len(keys))
+    hash_of = np.zeros(len(strings), np.uint64)
+    hash_of[item] = hashes
+    order = np.argsort(hash_of, kind="stable")
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    return [strings[i] for i in order.tolist()], back[item], hash_of[order]
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -334,30 +346,38 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         known = [np.frombuffer(x, np.uint64) for x in told.column("hashes").to_pylist()]
         hashes, counts, strings, least, _, _ = group.items(np.unique(np.concatenate([group.shared_here(), *known])))
         part, g = _ranges(hashes, builds), t.column("g")[0].as_py()
-        return _batch([(int(part[a]), g, _blob(hashes[a:b]), _blob(counts[a:b].astype(np.uint8)), b"".join(strings[a:b]), _blob(least[a:b])) for a, b in _cuts(part)],
+        pack = zstandard.ZstdCompressor(level=1)
+        return _batch([(int(part[a]), g, _blob(hashes[a:b]), _blob(counts[a:b].astype(np.uint8)),
+                        pack.compress(b"".join(strings[a:b])), _blob(least[a:b])) for a, b in _cuts(part)],
                       "part g hashes counts text least", [pa.int64(), pa.int64(), *[pa.binary()] * 4])
 
     def judge(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
+        unpack = zstandard.ZstdDecompressor()
         keys: list = []
         for r in rows:
-            size = np.frombuffer(r["counts"], np.uint8).astype(np.int64) + LENGTH - 1
-            ends = np.cumsum(size)
-            keys += [(h, r["text"][e - s : e]) for h, s, e in zip(np.frombuffer(r["hashes"], np.uint64).tolist(), size.tolist(), ends.tolist())]
-        order = sorted(set(keys))
-        number = {k: i for i, k in enumerate(order)}
-        item = np.fromiter(map(number.__getitem__, keys), np.int64, len(keys))
+            text = unpack.decompress(r["text"])
+            ends = np.cumsum(np.frombuffer(r["counts"], np.uint8).astype(np.int64) + LENGTH - 1).tolist()
+            keys += [text[a:b] for a, b in zip([0, *ends], ends)]
+        hashes = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in rows])
+        strings, item, hash_of = _by_hash(list(dict.fromkeys(keys)), keys, hashes)
         asked = np.concatenate([np.frombuffer(r["least"], np.int64) for r in rows])
-        least = np.full(len(order), np.iinfo(np.int64).max)
+        least = np.full(len(strings), np.iinfo(np.int64).max)
         np.minimum.at(least, item, asked)
-        first, count = _firsts(np.array([h for h, _ in order], np.uint64), [s for _, s in order], least)
-        begin = np.cumsum(count) - count
-        flags = ragged(first, begin[item], count[item]) < np.repeat(asked, count[item])
-        out, at, cut = [], 0, np.concatenate([[0], np.cumsum(count[item])])
+        first, count = _firsts(hash_of, strings, least)
+        n = count[item]
+        flags = ragged(first, (np.cumsum(count) - count)[item], n) < np.repeat(asked, n)
+        out, at, cut = [], 0, np.concatenate([[0], np.cumsum(n)])
+        hit = np.add.reduceat(np.append(flags, False), cut[:-1]) > 0
         for r in rows:
-            n = len(r["counts"])
-            out.append((r["g"], r["part"], r["hashes"], _blob(flags[cut[at] : cut[at + n]])))
-            at += n
+            mine = np.frombuffer(r["hashes"], np.uint64)
+            m = len(mine)
+            # hashes none of whose windows starts in a smaller document need no answer
+            tell = np.isin(mine, np.unique(mine[hit[at : at + m]]))
+            if tell.any():
+                out.append((r["g"], r["part"], _blob(mine[tell]),
+                            _blob(np.packbits(flags[cut[at] : cut[at + m]][np.repeat(tell, n[at : at + m])]))))
+            at += m
         return _batch(out, "g part hashes flags", [pa.int64(), pa.int64(), pa.binary(), pa.binary()])
 
     def cut(t: pa.Table, told: pa.Table) -> pa.Table:
@@ -365,18 +385,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if not t.num_rows:
             return _batch([], names, types)
         group, rows = _open(t), _sorted(told, "part")
-        gone = np.zeros(len(group.data) + 1, np.int32)
-        if rows:
-            hashes = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in rows])
-            flags = np.concatenate([np.frombuffer(r["flags"], bool) for r in rows])
-            _, counts, _, least, own, item = group.items(np.unique(hashes))
-            begin = np.cumsum(counts) - counts
-            n = counts[item]
-            hit = ragged(flags, begin[item], n) | np.repeat(group.id_of[own] > least[item], n)
-            at = np.repeat(group.start[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            at = at[hit]
-            n = len(group.data) + 1
-            gone = np.bincount(at, minlength=n) - np.bincount(at + LENGTH, minlength=n)
+        told_hashes = [np.frombuffer(r["hashes"], np.uint64) for r in rows]
+        hashes, counts, _, least, own, item = group.items(np.unique(np.concatenate([group.shared_here(), *told_hashes])))
+        flags = np.zeros(int(counts.sum()), bool)  # of the items' windows, in order; answers come by rising hash
+        at = np.cumsum(counts) - counts
+        for r, mine in zip(rows, told_hashes):
+            which = np.flatnonzero(np.isin(hashes, mine))
+            n = counts[which]
+            place = np.repeat(at[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            flags[place] = np.unpackbits(np.frombuffer(r["flags"], np.uint8), count=len(place)).astype(bool)
+        n = counts[item]
+        hit = ragged(flags, at[item], n) | np.repeat(group.id_of[own] > least[item], n)
+        begin = np.repeat(group.start[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        begin = begin[hit]
+        size = len(group.data) + 1
+        gone = np.bincount(begin, minlength=size) - np.bincount(begin + LENGTH, minlength=size)
         lost = np.cumsum(gone[:-1]) > 0
         out = []
         for i, raw, a, s in zip(group.ids, group.raw, group.begin.tolist(), group.size.tolist()):
