@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gridseries.llm.common import Codes, Growing, doc_view, map_slices, ragged
 
 LIMIT = 2048
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 1_500_000
 FIT_ENTRIES = 400_000
 INF = 1 << 60
 
