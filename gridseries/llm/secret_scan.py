@@ -17,9 +17,9 @@ everything else is left to the forest.
 Spark side: one pass over the documents makes the findings (light rows, written
 once to the checkpoint folder); at most ``TRAIN_ROWS`` labelled ones, those of
 least hash, train the forest on the driver; scoring is a second pass over the
-findings only.  The dictionary comes from ``DICTIONARY_DOCS`` documents of least
-id hash; both bounds belong to the fitted model.  No text is cut: windows around
-a candidate are context, not limits.
+findings only.  The dictionary is counted over all documents before that (pieces
+are ``PIECE`` letters a-z, so counts and broadcast hold 26^4 short strings at
+most).  No text is cut: windows around a candidate are context, not limits.
 
 Defined cases: a null text has no findings; without labelled findings of both
 kinds every finding gets the smoothed share of secrets among them (0.5 without
@@ -44,7 +44,7 @@ from gridseries.llm.common import quoted, slices
 from gridseries.session import shared_dir
 
 LEAST, THRESHOLD = 16, 0.5
-TRAIN_ROWS, DICTIONARY_DOCS, DICTIONARY_PIECES = 5_000, 500, 50_000
+TRAIN_ROWS = 5_000
 TREES, DEPTH, BINS = 40, 6, 32
 PIECE = 4
 
@@ -171,14 +171,19 @@ def grow(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Forest:
     return forest
 
 
+def _count_pieces(texts: list[str], n: Counter) -> None:
+    """Adds the pieces of all words of the texts to ``n``; each distinct word is cut once."""
+    for w, c in Counter(w for t in texts for w in _WORD.findall(t)).items():
+        w = w.lower()
+        for i in range(len(w) - PIECE + 1):
+            n[w[i : i + PIECE]] += c
+
+
 def dictionary_pieces(texts: list[str]) -> set[str]:
-    """The pieces of ordinary words that occur at least three times, the most frequent ones."""
+    """The pieces of ordinary words that occur at least three times."""
     n: Counter = Counter()
-    for t in texts:
-        for w in _WORD.findall(t):
-            w = w.lower()
-            n.update(w[i : i + PIECE] for i in range(len(w) - PIECE + 1))
-    return {p for p, c in sorted(n.items(), key=lambda e: (-e[1], e[0]))[:DICTIONARY_PIECES] if c >= 3}
+    _count_pieces(texts, n)
+    return {p for p, c in n.items() if c >= 3}
 
 
 def findings(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
@@ -186,21 +191,15 @@ def findings(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
     path = quoted(path_col).cast("string") if path_col else F.lit("")
     view = docs.select(quoted(id_col).cast("long").alias("doc_id"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("text"),
                        F.coalesce(path, F.lit("")).alias("path"))
-    h = F.xxhash64("doc_id")
-    last = view.select(h.alias("h")).orderBy("h").limit(DICTIONARY_DOCS).agg(F.max("h")).first()[0]
 
     def pieces(batches):
+        n: Counter = Counter()  # 26^PIECE entries at most
         for b in slices(batches):
-            n: Counter = Counter()
-            for t in b.column("text").to_pylist():
-                for w in _WORD.findall(t):
-                    w = w.lower()
-                    n.update(w[i : i + PIECE] for i in range(len(w) - PIECE + 1))
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["piece", "n"])
-
-    counted = view.filter(h <= F.lit(last)).mapInArrow(pieces, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")) \
-        .filter("n >= 3").orderBy(F.desc("n"), "piece").limit(DICTIONARY_PIECES)
-    known = spark.sparkContext.broadcast({r.piece for r in counted.collect()})  # at most DICTIONARY_PIECES short strings
+            _count_pieces(b.column("text").to_pylist(), n)
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["piece", "n"])
+
+    counted = view.mapInArrow(pieces, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).filter("n >= 3")
+    known = spark.sparkContext.broadcast({r.piece for r in counted.select("piece").collect()})
 
     def run(batches):
         for b in slices(batches):

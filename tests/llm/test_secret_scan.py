@@ -51,3 +51,13 @@ def test_odd_tables(spark):
     assert [(r.doc_id, r.start, r["size"], r.is_secret) for r in out if r.doc_id == 10] == [(10, 0, 20, True)] * 2
     hand = spark.createDataFrame([(r.sha256, 0) for r in out], "sha256 string, label int")
     assert not any(r.is_secret for r in S.scan(spark, docs, labelled=hand).collect())
+
+
+def test_dictionary_counts_all_documents(spark):
+    word = lambda k: "".join(random.Random(k).choices("abcdefghijklmnopqrstuvwxyz", k=8))
+    rows = [(i, f"{word(i // 3)} is {word(i // 3)} in see {word(i // 3)}-{i:08d}", "src") for i in range(1500)]
+    found = S.findings(spark, spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    at = S.FEATURES.index("dictionary")
+    assert len(found) == len(rows)
+    for r in found:  # every document's word occurs nine times in the corpus
+        assert r.x[at] == 8 / 17
