@@ -1,8 +1,10 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
 A candidate is a run of at least ``LEAST`` characters of ``[A-Za-z0-9+/_-]`` (and
-``=`` at its end) with a digit in it or of an issued form, or any such run that is
-assigned to a name that sounds secret.  Each becomes a vector of its length, the transitions between
+``=`` at its end) with a digit in it or of an issued form, or any value, quoted or
+up to the next blank, of any length and characters, that is assigned to a name
+that sounds secret.  A run that is only part of such a value is a candidate of its
+own.  Each becomes a vector of its length, the transitions between
 its kinds of characters, the share covered by pieces of ordinary words, whether
 it stands in a path or URL (and what the document's own path says), and the
 words beside it.
@@ -56,6 +58,16 @@ PATH_HINTS = ("test", "example", "doc", "sample", "mock", "fixture")
 
 _RUN = re.compile(r"[A-Za-z0-9+/_\-]{%d,}={0,2}" % LEAST)
 _ASSIGNED = re.compile(r"([A-Za-z_\-]{2,30})[\"']?\s{0,3}(?:=|:|=>)\s{0,3}[\"'(]?$")
+# a name (whole run, so that the search is linear) with what may close it, and the sign of an assignment
+_NAMED = re.compile(r"(?<![A-Za-z0-9_\-])([A-Za-z0-9_\-]++)[\"'`\])\\]*+\s*+(=>|:=|={1,3}|:)\s*+")
+# a type between a name and its value, as in ``token: str = "x"``, and the scheme of a header
+_TYPE = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*+(?:\[[^\]\n]*+\])?[^\S\n]*+=(?!=)\s*+")
+_SCHEME = re.compile(r"(?:bearer|basic|token)[^\S\n]++", re.I)
+_VALUE = re.compile(
+    r"(?:[(\[]\s*+(?=[bBrRfFuU]{0,2}[\"'`]))?(?:[bBrRfFuU]{1,2}(?=[\"']))?"
+    r"(?:\"{3}(.+?)\"{3}|'{3}(.+?)'{3}|\"\"|''|``|\"((?:[^\"\\\n]|\\.)++)\"|'((?:[^'\\\n]|\\.)++)'|`([^`\n]++)`"
+    r"|\\\"([^\"\n]+?)\\\"|\\'([^'\n]+?)\\'|[\"'`]?(\S++))", re.S)
+_CLOSING = ".,;)]}\"'`"
 _WORD = re.compile(r"[A-Za-z]{3,}")
 KINDS = "lower upper digit mark".split()
 FEATURES = ["length", "entropy", "distinct", "hex", *[f"{a}_{b}" for a in KINDS for b in KINDS], *KINDS, "longest_letters", "longest_digits",
@@ -67,8 +79,8 @@ def _kind(c: str) -> int:
     return 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3
 
 
-def describe(text: str, start: int, end: int, dictionary: set[str], path: str) -> tuple[list[float], int | None]:
-    """The features of one candidate and its label by rule (None: unknown)."""
+def describe(text: str, start: int, end: int, dictionary: set[str], path: str, name: str | None = None) -> tuple[list[float], int | None]:
+    """The features of one candidate and its label by rule (None: unknown); ``name``: what it is assigned to, if known."""
     value = text[start:end]
     before, after = text[max(0, start - 60) : start], text[end : end + 40]
     n = len(value)
@@ -82,16 +94,17 @@ def describe(text: str, start: int, end: int, dictionary: set[str], path: str) -
         if low[i : i + PIECE] in dictionary:
             covered[i : i + PIECE] = True
     longest = lambda rx: max((len(x) for x in re.findall(rx, value)), default=0) / n
-    told = _ASSIGNED.search(before)
-    name = told[1].lower() if told else ""
+    if name is None and (told := _ASSIGNED.search(before)):
+        name = told[1]
+    assigned, name = name is not None, (name or "").lower()
     near = (before[-40:] + " " + after[:20]).lower()
     words = set(re.findall(r"[a-z0-9_]+", near))
     secret_name = any(s in name for s in SECRET_NAMES)
     in_path = before[-1:] in ("/", ".", "\\") or after[:1] in ("/", "\\") or bool(re.search(r"\w+://\S*$", before)) or bool(re.match(r"\.[a-z]{2,4}\b", after))
     at = before[-1:] == "@" or after[:1] == "@"
     x = [n, entropy, len(set(value)) / n, sum(c in "0123456789abcdef" for c in low) / n,
-         *[moves[a, b] / (n - 1) for a in range(4) for b in range(4)], *share, longest(r"[A-Za-z]+"), longest(r"[0-9]+"),
-         covered.mean(), told is not None, secret_name, any(s in near for s in SECRET_NAMES), bool(words & set(HARMLESS)),
+         *[moves[a, b] / max(n - 1, 1) for a in range(4) for b in range(4)], *share, longest(r"[A-Za-z]+"), longest(r"[0-9]+"),
+         covered.mean(), assigned, secret_name, any(s in near for s in SECRET_NAMES), bool(words & set(HARMLESS)),
          before[-1:] in ("'", '"') and after[:1] in ("'", '"'), in_path, value.count("/") / n, at, any(h in path.lower() for h in PATH_HINTS),
          bool(re.search(r"[A-Za-z]{2,}\W{0,2}$", before)), bool(re.match(r"\W{0,2}[A-Za-z]{2,}", after)), bool(re.search(r"\d{3}", before[-20:] + after[:20]))]
     harmless = bool(words & {"example", "sample", "dummy", "placeholder"})
@@ -106,15 +119,46 @@ def describe(text: str, start: int, end: int, dictionary: set[str], path: str) -
     return [float(v) for v in x], label
 
 
-def candidates(text: str):
-    """(start, end) of each candidate."""
+def _values(text: str):
+    """(start, end, name) of every value assigned to a name that sounds secret."""
+    low = text.lower()
+    if not any(s in low for s in SECRET_NAMES):
+        return
+    for m in _NAMED.finditer(text):
+        name = m[1].lower()
+        if not any(s in name for s in SECRET_NAMES):
+            continue
+        begins = [m.end()]
+        if m[2] == ":" and (typed := _TYPE.match(text, m.end())):
+            begins.append(typed.end())
+        if "auth" in name and (scheme := _SCHEME.match(text, m.end())):
+            begins.append(scheme.end())
+        for at in begins:
+            v = _VALUE.match(text, at)
+            if v and v.lastindex:
+                start, end = v.span(v.lastindex)
+                if v.lastindex == _VALUE.groups:  # up to a blank: without the marks that close the expression around it
+                    end = start + len(v[v.lastindex].rstrip(_CLOSING))
+                if text[start:end].strip():
+                    yield start, end, m[1]
+
+
+def _named_candidates(text: str) -> dict[tuple[int, int], str | None]:
+    """(start, end) of each candidate with the name it is assigned to, where that is known."""
+    found: dict[tuple[int, int], str | None] = {(a, b): name for a, b, name in _values(text)}
     for m in _RUN.finditer(text):
         if any("0" <= c <= "9" for c in m[0]) or ISSUED.fullmatch(m[0]):
-            yield m.span()
+            found.setdefault(m.span())
         else:
             told = _ASSIGNED.search(text[max(0, m.start() - 60) : m.start()])
             if told and any(s in told[1].lower() for s in SECRET_NAMES):
-                yield m.span()
+                found.setdefault(m.span())
+    return found
+
+
+def candidates(text: str):
+    """(start, end) of each candidate."""
+    yield from sorted(_named_candidates(text))
 
 
 class Forest:
@@ -205,8 +249,9 @@ def findings(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
         for b in slices(batches):
             rows = []
             for i, t, p in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("path").to_pylist()):
-                for start, end in candidates(t):
-                    x, label = describe(t, start, end, known.value, p)
+                named = _named_candidates(t)
+                for start, end in sorted(named):
+                    x, label = describe(t, start, end, known.value, p, named[start, end])
                     rows.append((i, start, end - start, hashlib.sha256(t[start:end].encode()).hexdigest(), x, label))
             yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "start", "size", "sha256", "x", "label"), r)) for r in rows], schema=pa.schema(
                 [("doc_id", pa.int64()), ("start", pa.int32()), ("size", pa.int32()), ("sha256", pa.string()), ("x", pa.list_(pa.float64())), ("label", pa.int32())]))
