@@ -5,7 +5,8 @@ item is cut into windows of ``WINDOW`` characters every ``STRIDE`` (the last one
 ends with the item; a shorter item is one window).  A document is contaminated
 by an item when some stretch of it aligns with a whole window at
 ``m * ERROR`` edits at most (m: the window's length; ERROR 1/16: 4 edits
-in 64 characters).
+in 64 characters).  So a verbatim stretch of ``WINDOW + STRIDE - 1`` characters
+(71) of an item is always found, wherever it begins, and a whole item always.
 
 Method: a stretch within k edits of a window shares at least m + 1 - q (k + 1)
 of its character q-grams, all of them between k + 1 neighbouring diagonals
@@ -15,7 +16,9 @@ that overlap by half, so every such run of diagonals lies whole within one band.
 Regions that reach the lemma's count are verified by banded alignment, all
 regions of a slice together.  Nothing is missed: the count is a bound, not a
 guess.  Windows of items shorter than ``WINDOW`` allow fewer edits where the bound
-would fall to zero; items of fewer than ``LEAST`` characters are not searched.
+would fall to zero (none below 30 characters).  Windows of fewer than ``GRAM``
+characters have no q-gram: they are looked up whole, by a hash of their length,
+and compared.
 
 Spark side: windows are made by Spark and dealt into blocks of bounded size by
 a hash; one block at a time is broadcast (``BLOCK_CHARS`` characters at most) and
@@ -41,7 +44,7 @@ from pyspark.sql import functions as F
 from gridseries.llm.common import doc_view, map_slices, quoted
 from gridseries.llm.quality_model import filter_rows
 
-WINDOW, STRIDE, GRAM, LEAST, ERROR = 64, 32, 10, 32, 1 / 16
+WINDOW, STRIDE, GRAM, LEAST, ERROR = 64, 8, 10, 1, 1 / 16
 #: Characters of benchmark windows broadcast together.
 BLOCK_CHARS = 8 << 20
 #: Document characters compared together, and q-gram hits counted together.
@@ -78,6 +81,12 @@ class Windows:
         self.hash, self.window, self.at = h[order], window[order].astype(np.int32), at[order].astype(np.int32)
         self.bits = np.zeros(1 << 22, bool)
         self.bits[(self.hash >> np.uint64(42)).astype(np.int64)] = True
+        self.short = []  # (length, hashes, windows by hash) of windows without a q-gram
+        for m in np.unique(self.length[self.length < gram]).tolist():
+            mine = np.flatnonzero(self.length == m)
+            h = np.array([gram_hashes(self.codes[i], m)[0] for i in mine], np.uint64)
+            by = np.argsort(h, kind="stable")
+            self.short.append((m, h[by], mine[by]))
         width = int(self.length.max())
         self.matrix = np.zeros((len(self.codes), width), np.uint32)
         self.matrix[np.arange(width) < self.length[:, None]] = flat
@@ -162,6 +171,23 @@ def verify(windows: Windows, codes: np.ndarray, doc: np.ndarray, window: np.ndar
     return own, cost[np.arange(n), best], first + best + windows.length[window]
 
 
+def short_matches(windows: Windows, codes: np.ndarray, doc: np.ndarray):
+    """(document number, window, edits, end) of the first place in each document where a window without a q-gram stands."""
+    for m, hashes, by in windows.short:
+        h = gram_hashes(codes, m)
+        distinct, first = np.unique(hashes, return_index=True)
+        at = np.minimum(np.searchsorted(distinct, h), len(distinct) - 1)
+        pos = np.flatnonzero((distinct[at] == h) & (doc[: len(h)] == doc[m - 1 :][: len(h)]))
+        _, new = np.unique(doc[pos] * len(distinct) + at[pos], return_index=True)
+        pos = pos[new]
+        lo = first[at[pos]]
+        n = np.append(first, len(by))[at[pos] + 1] - lo
+        window = by[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        pos = np.repeat(pos, n)
+        ok = (codes[pos[:, None] + np.arange(m)] == windows.matrix[window, :m]).all(axis=1)
+        yield doc[pos[ok]], window[ok], np.zeros(int(ok.sum()), np.int64), pos[ok] + m
+
+
 def matches_in(windows: Windows, texts: list[str], gram: int = GRAM):
     """(text number, window number, edits, end in the text) of every match."""
     parts = [text_codes(t) for t in texts]
@@ -172,7 +198,7 @@ def matches_in(windows: Windows, texts: list[str], gram: int = GRAM):
     doc = np.repeat(np.arange(len(parts)), size)
     start = np.cumsum(size) - size
     w, diagonal = regions(windows, codes, doc, gram)
-    out = []
+    out = [(d, w_, e, end - start[d]) for d, w_, e, end in short_matches(windows, codes, doc)]
     for lo in range(0, len(w), 4096):
         part = slice(lo, lo + 4096)
         own, edits, end = verify(windows, codes, doc, w[part], diagonal[part])

@@ -102,3 +102,16 @@ def test_odd_tables(spark):
     assert out.columns == odd_docs(spark).columns
     assert sorted(str(r.doc_id) for r in out.collect()) == ["1", "1", "2", "3", "4", "5", "None"]
     assert D.leaked_items(spark, no_docs(spark), items).count() == 0
+
+
+def test_stretches_of_71_characters_and_short_items(spark):
+    rng = random.Random(9)
+    pick = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    long = pick(400)
+    items = [(1, long), (2, "日本で一番高い山は何ですか"), (3, "Qué 9?"), (4, "qué  9?"), (5, "0123456789")]
+    docs = [(i, pick(30) + long[i : i + 71] + pick(30)) for i in range(330)]
+    docs += [(1000, "x日本で一番高い山は何ですか。 日本で一番高い山は何ですか"), (1001, "so qué\n9? yes"), (1002, "a 0123456789"), (1003, "日本で一番高い山"), (1004, "qué 9"), (1005, "")]
+    ddf, idf = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.least_edits for r in D.leaked_items(spark, ddf, idf).collect()}
+    assert got == {(i, 1): 0 for i in range(330)} | {(1000, 2): 0, (1001, 3): 0, (1001, 4): 0, (1002, 5): 0}
+    assert sorted(r.doc_id for r in D.decontaminate(spark, ddf, idf).collect()) == [1003, 1004, 1005]
