@@ -225,14 +225,14 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
 
 def _blocks(spark: SparkSession, items: DataFrame, id_col: str, text_col: str):
     """The windows in broadcasts of at most BLOCK_CHARS characters (checked; dealt finer until they are)."""
-    pieces = item_windows(items, id_col, text_col)
+    pieces = item_windows(items, id_col, text_col).distinct()  # repeated items count once, here and in the blocks
     most = BLOCK_CHARS // WINDOW
     n = max(1, -(-pieces.count() * 5 // (4 * most)))
     salt = F.xxhash64("item_id", "place", "piece")
     while n > 1 and pieces.groupBy(F.pmod(salt, F.lit(n))).count().agg(F.max("count")).first()[0] > most:
         n *= 2
     for i in range(n):
-        rows = pieces.filter(F.pmod(salt, F.lit(n)) == i).distinct().orderBy("item_id", "place", "piece").collect()
+        rows = pieces.filter(F.pmod(salt, F.lit(n)) == i).orderBy("item_id", "place", "piece").collect()
         if rows:
             windows = Windows([r.item_id for r in rows], [r.place for r in rows], [text_codes(r.piece) for r in rows])
             windows.build(GRAM)

@@ -1,5 +1,6 @@
 import random
 import re
+import signal
 
 import numpy as np
 
@@ -115,3 +116,20 @@ def test_stretches_of_71_characters_and_short_items(spark):
     got = {(r.doc_id, r.item_id): r.least_edits for r in D.leaked_items(spark, ddf, idf).collect()}
     assert got == {(i, 1): 0 for i in range(330)} | {(1000, 2): 0, (1001, 3): 0, (1001, 4): 0, (1002, 5): 0}
     assert sorted(r.doc_id for r in D.decontaminate(spark, ddf, idf).collect()) == [1003, 1004, 1005]
+
+
+def test_one_item_repeated_beyond_a_block(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK_CHARS", 10 * D.WINDOW)
+
+    def late(*_):
+        raise TimeoutError("the blocks are never small enough")
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.alarm(60)
+    try:
+        items = spark.createDataFrame([(7, "the same question, asked again and again")] * 50, "item_id long, text string")
+        docs = spark.createDataFrame([(1, "here: The same question,  asked again and again."), (2, "another")], "doc_id long, text string")
+        assert [tuple(r) for r in D.leaked_items(spark, docs, items).collect()] == [(1, 7, 1, 0)]
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, before)
