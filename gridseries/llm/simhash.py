@@ -36,8 +36,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridseries.llm.common import doc_view, map_slices, quoted
 from gridseries.llm.components import components
@@ -244,15 +245,28 @@ def links(fps: DataFrame, most: int = MAX_BITS, group_rows: int = GROUP_ROWS) ->
     return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_edges(most), "a long, b long")
 
 
+def _rooted(nodes: DataFrame, most: int, group_rows: int) -> DataFrame:
+    """``nodes`` (distinct column fp and others) with the root of each component."""
+    roots = components(links(nodes.select("fp"), most, group_rows))
+    return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def _row_keys(docs: DataFrame) -> list[Column]:
+    """Two hashes of a whole row, nulls included: rows with the same two are equal rows."""
+    parts = []
+    for f in docs.schema.fields:
+        c = quoted(f.name)
+        nested = isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))
+        parts += [c.isNull(), F.to_json(F.struct(c)) if nested else c]
+    return [F.xxhash64(F.lit(seed), *parts) for seed in (1, 2)]
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     shingle: int = SHINGLE, most: int = MAX_BITS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that links reach)."""
     shared_dir(spark)  # the checkpoint folder
     fps = fingerprints(docs, id_col, text_col, shingle).checkpoint()
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(nodes.select("fp"), most, group_rows))
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left") \
-        .select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), most, group_rows)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     member = rooted.join(least, "root").select("fp", "component_id")
     return fps.join(member, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -262,10 +276,23 @@ def deduplicate(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
                 shingle: int = SHINGLE, most: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row with the smallest id stays.
 
-    Of repeated rows with that id one stays; rows without an id stay.
+    Of several rows with that id the one of least row hash stays, so a re-run chooses the same; of the
+    component's rows without an id one stays too.
     """
-    keep = near_duplicates(spark, docs, id_col, text_col, shingle, most).select(F.col("component_id").alias("__id")) \
-        .filter("__id is not null").distinct()
-    named = docs.withColumn("__id", quoted(id_col).cast("long"))
-    first = named.join(keep, "__id", "left_semi").dropDuplicates(["__id"])
-    return first.unionByName(named.filter("__id is null")).drop("__id")
+    shared_dir(spark)
+    named = docs.withColumns(dict(zip(("__a", "__b"), _row_keys(docs))))
+    view = named.select(quoted(id_col).cast("long").alias("doc_id"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("text"), "__a", "__b")
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        fp = np.array([fingerprint(t, shingle) for t in b.column("text").to_pylist()], np.uint64)
+        return pa.RecordBatch.from_arrays([*[b.column(c) for c in ("doc_id", "__a", "__b")], pa.array(fp.view(np.int64))], ["doc_id", "a", "b", "fp"])
+
+    fps = map_slices(view, run, "doc_id long, a long, b long, fp long").checkpoint()
+    row = F.struct("doc_id", "a", "b")
+    has_id = F.col("doc_id").isNotNull()
+    least = fps.groupBy("fp").agg(F.min(F.when(has_id, row)).alias("with_id"), F.min(F.when(~has_id, row)).alias("without"))
+    first = _rooted(least, most, GROUP_ROWS).groupBy("root").agg(F.min("with_id").alias("with_id"), F.min("without").alias("without"))
+    keep = first.select(F.explode(F.array("with_id", "without")).alias("r")).filter("r is not null") \
+        .select(F.col("r.a").alias("__a"), F.col("r.b").alias("__b"))
+    # equal rows first: they are put together on the map side, so no key has many rows in the join
+    return named.dropDuplicates(["__a", "__b"]).join(keep, ["__a", "__b"], "left_semi").select(*[quoted(c) for c in docs.columns])

@@ -111,3 +111,16 @@ def test_deduplicate_keeps_one(spark):
     got = simhash.deduplicate(spark, odd_docs(spark))
     assert got.columns == odd_docs(spark).columns
     assert sorted(str(r.doc_id) for r in got.collect()) == ["1", "2", "5", "6", "None"]
+
+
+def test_deduplicate_by_row(spark):
+    texts = [" ".join(random.Random(k).choices([f"w{i}" for i in range(500)], k=60)) for k in range(3)]
+    rows = [(1, texts[0], [1, None]), (1, texts[1], [1]), (1, texts[1], [None, 1]), (None, texts[2], None), (None, texts[2], None), (None, texts[2], [2]),
+            (5, texts[0], None), (5, None, None), (None, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` array<int>")
+    got = simhash.deduplicate(spark, docs)
+    assert got.columns == docs.columns
+    out = sorted((str(r.doc_id), r.text or "") for r in got.collect())
+    assert out == sorted([("1", texts[0]), ("1", texts[1]), ("None", texts[2]), ("5", ""), ("None", "")])
+    chosen = {str(sorted(map(str, simhash.deduplicate(spark, docs.repartition(n)).collect()))) for n in (1, 5)}
+    assert len(chosen) == 1
