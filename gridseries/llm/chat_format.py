@@ -12,7 +12,9 @@ each takes in the whole: concatenated by ``seq`` they are the rendering
 
 Spark side: a conversation may be of any length.  Positions and character
 offsets are running sums in two levels: inside runs of ``CHUNK`` turn numbers,
-and over the totals of the runs; no task needs a whole conversation.
+cut again at a sampled one of every ``CHUNK_ROWS`` turns (so turns of one number,
+or without any, make many runs as well), and over the totals of the runs; no task
+needs a whole conversation.
 Participants are a distinct set, combined on the map side.  The result has
 turns x participants rows by definition.  No Python, no driver data.
 
@@ -35,6 +37,18 @@ CONTEXT_ROLES = ("system",)
 UNKNOWN = "unknown"
 BEGIN, END = "<|im_start|>", "<|im_end|>\n"
 CHUNK = 256
+CHUNK_ROWS = 1 << 14
+
+
+def _runs(said: DataFrame) -> DataFrame:
+    """``said`` with chunk, the bounded run of its conversation's order that a turn belongs to."""
+    said = said.withColumn("run", F.floor(F.col("turn") / CHUNK))
+    turn = F.struct("turn", "role", "text")
+    marks = said.filter(F.pmod(F.xxhash64("conv_id", "turn", "role", "text"), F.lit(CHUNK_ROWS)) == 0) \
+        .groupBy(F.col("conv_id").alias("mc"), F.col("run").alias("mr")).agg(F.collect_list(turn).alias("marks"))
+    return said.join(marks, F.col("conv_id").eqNullSafe(F.col("mc")) & F.col("run").eqNullSafe(F.col("mr")), "left") \
+        .withColumn("chunk", F.struct("run", F.when(F.col("marks").isNull(), 0).otherwise(F.size(F.filter("marks", lambda m: m <= turn))).alias("nth"))) \
+        .drop("mc", "mr", "marks", "run")
 
 
 def segments(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
@@ -47,14 +61,13 @@ def segments(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
                         F.coalesce(quoted(role_col).cast("string"), F.lit(UNKNOWN)).alias("role"),
                         F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("text")).distinct()
     speakers = said.filter(~F.col("role").isin(*context_roles)).select(F.col("conv_id").alias("c"), F.col("role").alias("perspective")).distinct()
-    rows = said.join(speakers, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c") \
+    rows = _runs(said).join(speakers, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c") \
         .withColumn("own", F.col("role") == F.col("perspective")) \
         .withColumn("speaker", F.when(F.col("own"), F.lit("assistant")).when(F.col("role").isin(*context_roles), F.col("role"))
                     .otherwise(F.concat(F.lit("user name="), F.col("role")))) \
         .withColumn("head", F.concat(F.lit(BEGIN), F.col("speaker"), F.lit("\n"))) \
         .withColumn("segment", F.concat("head", "text", F.lit(END))) \
-        .withColumn("size", F.length("segment").cast("long")) \
-        .withColumn("chunk", F.floor(F.col("turn") / CHUNK))
+        .withColumn("size", F.length("segment").cast("long"))
     inside = W.partitionBy("conv_id", "perspective", "chunk").orderBy("turn", "role", "text")
     placed = rows.withColumn("nth", F.row_number().over(inside) - 1) \
         .withColumn("upto", F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0)))

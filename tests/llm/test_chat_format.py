@@ -47,3 +47,12 @@ def test_one_long_conversation(spark):
 
 def test_empty(spark):
     assert C.segments(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_many_turns_of_one_number(spark, monkeypatch):
+    monkeypatch.setattr(C, "CHUNK_ROWS", 20, raising=False)
+    rows = [(None, n, f"p{i % 2}", f"turn {i}", "") for i in range(300) for n in (None, 3)] + [(1, 0, "p0", "a", "")]
+    check(spark, rows)
+    said = spark.createDataFrame(rows, SCHEMA).drop("segment")
+    sizes = [r["count"] for r in C._runs(said).groupBy("conv_id", "chunk").count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) < 200  # two turn numbers of 300 turns each
