@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridseries.llm import bpe, chat_format, decontaminate, line_dedup, quality_model, quality_rules, secret_scan, simhash, suffix_dedup, token_counts
+from gridseries.llm import bpe, chat_format, decontaminate, fill_middle, line_dedup, quality_model, quality_rules, secret_scan, simhash, suffix_dedup, token_counts
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -124,5 +124,30 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
             OR word_chars > n_words * 20 OR lettered * 10 < n_words * 5 OR capitals * 2 > word_chars) AS kept FROM f
 """
 
-for _query in (op1_decontaminate, op2_suffix_dedup, op3_line_dedup, op4_byte_bpe, op5_simhash, op6_token_counts, op7_secret_scan, op8_quality_trees, op9_chat_format, op10_quality_rules):
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-middle form of every document, cut at lines; digests of the output and of the text rebuilt from it."""
+    done = fill_middle.transform(_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(fill_middle.restored("output", "form"), 256).alias("restored_sha256"))
+
+
+ORACLE["op13_fill_middle"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS ls,
+           sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents),
+h AS (SELECT *, CAST('0x' || substr(s, 1, 8) AS BIGINT) % (len(ls) + 1) AS a, CAST('0x' || substr(s, 9, 8) AS BIGINT) % (len(ls) + 1) AS b,
+      CAST('0x' || substr(s, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(s, 25, 8) AS BIGINT) AS h4 FROM d),
+f AS (SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+      WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+      coalesce(array_to_string(ls[1 : least(a, b)], ''), '') AS p,
+      coalesce(array_to_string(ls[least(a, b) + 1 : greatest(a, b)], ''), '') AS m,
+      coalesce(array_to_string(ls[greatest(a, b) + 1 :], ''), '') AS x FROM h)
+SELECT doc_id, CAST(len(ls) AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || x || '<M>' || m
+              ELSE '<S>' || x || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM f
+"""
+
+for _query in (op1_decontaminate, op2_suffix_dedup, op3_line_dedup, op4_byte_bpe, op5_simhash, op6_token_counts, op7_secret_scan, op8_quality_trees, op9_chat_format, op10_quality_rules,
+               op13_fill_middle):
     QUERIES[_query.__name__] = _query
