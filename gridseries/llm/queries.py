@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridseries.llm import bpe, chat_format, decontaminate, fill_middle, line_dedup, quality_model, quality_rules, secret_scan, simhash, suffix_dedup, token_counts
+from gridseries.llm import bpe, chat_format, decontaminate, fill_middle, line_dedup, quality_model, quality_rules, secret_scan, sharding, simhash, suffix_dedup, token_counts
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -125,6 +125,12 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 """
 
 
+def op11_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of equally many rows, equal texts together where shards can hold them."""
+    done = sharding.balance(_table(spark, sf_dir, "documents"), 24)
+    return done.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fill-in-middle form of every document, cut at lines; digests of the output and of the text rebuilt from it."""
     done = fill_middle.transform(_table(spark, sf_dir, "documents"))
@@ -149,5 +155,5 @@ SELECT doc_id, CAST(len(ls) AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THE
 """
 
 for _query in (op1_decontaminate, op2_suffix_dedup, op3_line_dedup, op4_byte_bpe, op5_simhash, op6_token_counts, op7_secret_scan, op8_quality_trees, op9_chat_format, op10_quality_rules,
-               op13_fill_middle):
+               op11_balanced_shards, op13_fill_middle):
     QUERIES[_query.__name__] = _query
