@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridseries.llm import bpe, chat_format, decontaminate, fill_middle, line_dedup, quality_model, quality_rules, secret_scan, sharding, simhash, suffix_dedup, token_counts
+from gridseries.llm import bpe, chat_format, decontaminate, fill_middle, line_dedup, prefix_trie, quality_model, quality_rules, secret_scan, sharding, simhash, suffix_dedup, token_counts
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -131,6 +131,33 @@ def op11_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of the conversations rebuilt with shared openings."""
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"), shared_openings=True).drop("thi", "tlo")
+
+
+ORACLE["op12_prefix_trie"] = r"""
+WITH tab AS (SELECT list(list_reduce(list_concat([CAST(i AS BIGINT)], [0, 0, 0, 0, 0, 0, 0, 0]),
+               lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) ORDER BY i) AS t FROM range(256) r(i)),
+said AS (SELECT conv_id, turn, {'r': coalesce(role, ''), 'x': coalesce(text, '')} AS m FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(m ORDER BY turn NULLS FIRST, m.r, m.x) AS ms FROM said GROUP BY conv_id),
+h AS (SELECT conv_id, ms, conv_id - conv_id % 20 AS base,
+        xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))),
+            lambda a, d: xor(a // 256, t[xor(a, d) % 256 + 1])), 4294967295) % 4 AS h FROM own, tab),
+c AS (SELECT h.conv_id, list_concat(coalesce(b.ms[1 : h], []), h.ms[h + 1 :]) AS ms FROM h LEFT JOIN own b ON b.conv_id = h.base),
+p AS (SELECT conv_id, d, ms[1 : d] AS k, len(ms) AS size FROM (SELECT *, unnest(range(len(ms) + 1)) AS d FROM c)),
+n AS (SELECT k, d, min(conv_id) AS conv_id, count(*) AS n_convs, max(size) = d AS leaf,
+        coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (size = d), '') AS ends,
+        CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(k[d].x, '[^ 	-
+]+')) END AS words FROM p GROUP BY k, d),
+up AS (SELECT k[1 : a] AS k, a AS d, n.d = a + 1 AS child, leaf, (n_convs - 1) * words AS saved FROM (SELECT *, unnest(range(d + 1)) AS a FROM n) n),
+s AS (SELECT k, d, count(*) FILTER (child) AS n_children, count(*) FILTER (leaf) AS n_leaves, sum(saved) AS saved FROM up GROUP BY k, d)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, q.conv_id AS parent_conv_id, n.n_convs, s.n_children, s.n_leaves,
+       CAST(s.saved AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM n JOIN s ON n.d = s.d AND n.k = s.k LEFT JOIN n q ON q.d = n.d - 1 AND q.k = n.k[1 : n.d - 1]
+"""
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fill-in-middle form of every document, cut at lines; digests of the output and of the text rebuilt from it."""
     done = fill_middle.transform(_table(spark, sf_dir, "documents"))
@@ -155,5 +182,5 @@ SELECT doc_id, CAST(len(ls) AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THE
 """
 
 for _query in (op1_decontaminate, op2_suffix_dedup, op3_line_dedup, op4_byte_bpe, op5_simhash, op6_token_counts, op7_secret_scan, op8_quality_trees, op9_chat_format, op10_quality_rules,
-               op11_balanced_shards, op13_fill_middle):
+               op11_balanced_shards, op12_prefix_trie, op13_fill_middle):
     QUERIES[_query.__name__] = _query
