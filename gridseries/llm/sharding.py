@@ -25,9 +25,9 @@ between its pieces cannot be avoided.
 
 Spark side: the texts are read once (size, checksum and link digest); everything
 after that moves rows of about 100 bytes.  Numbering (rows of a link's piece,
-rows without links, slots of a shard) is done in two levels: inside hash buckets
-of about ``BUCKET_ROWS`` rows, then over the totals of the buckets, so no task
-needs a whole shard or link.  Links with more than 1/4096 of all rows are at
+rows without links, slots of a shard) is done in two levels: inside hash buckets,
+as many as the square root of the rows, then over the totals of the buckets, so
+no task needs a whole shard or link.  Links with more than 1/4096 of all rows are at
 most 4,096: they alone are broadcast, and their rows are spread in the join.
 Tables that several jobs read are checkpointed in the shared folder, so a lost
 executor costs tasks only.  The driver sees shards x shards numbers a round.
@@ -41,6 +41,8 @@ fewer rows than shards some shards stay empty.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -51,7 +53,6 @@ from gridseries.session import shared_dir
 SHARDS = 24
 ROUNDS = 12
 OVERHEAD = 8           # bytes a document takes besides its text
-BUCKET_ROWS = 1 << 16
 CELLS = 256            # hash cells inside which requests between two shards are granted in order
 HOT_SHARE = 4096
 
@@ -192,7 +193,7 @@ def balance(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, id_col:
     light = _light(docs, id_col, text_col, link_col).checkpoint()
     n = light.count()
     size = capacities(n, shards)
-    buckets = max(1, -(-n // BUCKET_ROWS))
+    buckets = max(1, math.isqrt(n))
     piece = max(1, n // (2 * shards))
 
     # links of two rows and more, cut into pieces that half a shard can hold

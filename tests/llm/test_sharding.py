@@ -46,8 +46,7 @@ def test_query_keeps_its_law_and_groups_together(spark, sf):
             assert len(at) == 1, (len(t), at)
 
 
-def test_hot_link_takes_few_shards(spark, monkeypatch):
-    monkeypatch.setattr(S, "BUCKET_ROWS", 50)  # many buckets
+def test_hot_link_takes_few_shards(spark):
     rows = [(i, "hot") for i in range(400)] + [(1000 + i, f"t{i // 2}") for i in range(300)] + [(2000 + i, f"own {i}") for i in range(500)]
     got = S.balance(spark.createDataFrame(rows, "doc_id long, text string"), 24)
     done = got.collect()
