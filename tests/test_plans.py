@@ -29,8 +29,12 @@ def test_cell_sum_has_one_shuffle_and_no_join(spark):
     assert "partial_sum" in plan
 
 
-def test_mean_divisor_is_a_subquery_not_a_join(spark):
-    plan = _plan(A.mosaic_mean(fx.emb_series(spark, SF001), fx.EMB_LAYOUT, method="explode"))
+def test_mean_divisor_is_not_a_join(spark):
+    """Dense: counted in the pass that sums the cells.  Given or sparse counts: a scalar subquery."""
+    series = fx.emb_series(spark, SF001)
+    plan = _plan(A.mosaic_mean(series, fx.EMB_LAYOUT, method="explode"))
+    assert "Subquery" not in plan and "Join" not in plan and plan.count("FileScan parquet") == 1
+    plan = _plan(A.mosaic_mean(series, fx.EMB_LAYOUT, method="explode", count=A.time_count(series)))
     assert "Subquery" in plan and "Join" not in plan
 
 
