@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridseries.operators.parts import assign_part_value
+from gridseries.operators.parts import INT_MAX, INT_MIN, assign_part_value, locate_parts
+from gridseries.session import estimated_bytes
 
 
 def filter_time(series: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
@@ -84,6 +85,44 @@ def prune_parts(series: DataFrame, splits: list[int], start: int | None = None,
     return filter_time(pruned, start, end)
 
 
+WINDOW_BYTES = 64 << 20
+
+
+def window_parts(windows: DataFrame, splits: list[int], start_col: str = "start", end_col: str = "end") -> DataFrame:
+    """One row per window and time part that it touches: the windows' columns and ``part``.
+
+    The first and the last part come from the binned range join of
+    ``locate_parts``; a null bound is open, a window that ends before it starts
+    touches nothing.
+    """
+    lo, hi = F.coalesce(F.col(start_col).cast("int"), F.lit(INT_MIN)), F.coalesce(F.col(end_col).cast("int"), F.lit(INT_MAX))
+    w = windows.withColumns({"__lo": lo, "__hi": hi}).filter(F.col("__lo") <= F.col("__hi"))
+    w = locate_parts(locate_parts(w, splits, "__lo", "__first"), splits, "__hi", "__last")
+    return w.withColumn("part", F.explode(F.sequence("__first", "__last")))
+
+
+def filter_windows(series: DataFrame, windows: DataFrame, splits: list[int], start_col: str = "start",
+                   end_col: str = "end") -> DataFrame:
+    """The records of many time windows at once: every record with the columns of each window that holds it.
+
+    ``windows``: one row per window, bounds inclusive.  A record meets the
+    windows of its part by an equi-join on ``part`` and is then compared with
+    their bounds.  While the windows, spread over their parts, stay below
+    ``WINDOW_BYTES`` by the planner's estimate they are broadcast, and the scan
+    reads only the parts that some window touches (dynamic partition pruning);
+    larger tables are joined by a shuffle.
+    """
+    clash = set(series.columns) & set(windows.columns)
+    if clash:
+        raise ValueError(f"windows and series share columns: {', '.join(sorted(clash))}")
+    w = window_parts(windows, splits, start_col, end_col)
+    if estimated_bytes(windows) * (len(splits) + 1) <= WINDOW_BYTES:
+        w = F.broadcast(w)
+    names = [*windows.columns, *series.columns]
+    hits = series.join(w, "part").filter((F.col("time_id") >= F.col("__lo")) & (F.col("time_id") <= F.col("__hi")))
+    return hits.select(*names)
+
+
 def filter_series(series: DataFrame, predicate) -> DataFrame:
     """Any predicate on a record.
 

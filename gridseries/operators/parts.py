@@ -11,18 +11,26 @@ exceeds that many rows), ranked inside the bucket, and offset by the running
 count of the buckets before.  Only the bucket table, at most
 ``2**32 / RANK_BUCKET`` rows (INT range), passes through one window and is
 broadcast.
+
+The part of any time id, also of one that is new or has been moved, comes from
+a binned range join (``locate_parts``): the days between the first and the last
+split are cut into bins, a bin knows the number of splits before it and the few
+splits inside it, and a row meets exactly one bin by an equi-join.
 """
 
 from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 INT_MIN = -(2 ** 31)
 INT_MAX = 2 ** 31 - 1
 RANK_BUCKET = 4096
+BIN_SPLITS = 64
 
 
 def _col(c) -> Column:
@@ -97,7 +105,7 @@ def assign_part(time, splits) -> Column:
     """Part of a time id: number of splits strictly below it.
 
     ``splits`` is a Python list (sorted) or an ARRAY<INT> column; for whole
-    series prefer ``attach_parts``, a join instead of a look-up per row.
+    series prefer ``attach_parts`` or ``locate_parts``, joins instead of a look-up per row.
     """
     t = _col(time)
     if isinstance(splits, Column):
@@ -113,6 +121,48 @@ def assign_part_value(time: int, splits: list[int]) -> int:
     return bisect.bisect_left(list(splits), int(time))
 
 
+def bin_bits(splits) -> int:
+    """log2 of the days per bin: from 64 to 4,096, about ``BIN_SPLITS`` splits in a bin."""
+    span = int(splits[-1]) - int(splits[0]) + 1
+    per_split = max(1, span // len(splits))
+    return min(12, max(6, (per_split * BIN_SPLITS).bit_length() - 1))
+
+
+def part_bins(spark: SparkSession, splits) -> DataFrame:
+    """``(bin, base, inside)`` for the bins from the first to the last split (sorted, at least one).
+
+    ``base`` is the number of splits before the bin, ``inside`` its own splits.
+    The table is built from the split list on the driver, which a metadata record
+    holds anyway; it has at most ``2**32 / 64`` rows and one int per split.
+    """
+    bits = bin_bits(splits)
+    s = np.asarray(splits, dtype=np.int64)
+    bins = np.arange(s[0] >> bits, (s[-1] >> bits) + 1)
+    base = np.searchsorted(s, bins << bits)
+    inside = pa.ListArray.from_arrays(pa.array(np.append(base, len(s)), pa.int32()), pa.array(s, pa.int32()))
+    table = pa.table({"__bin": pa.array(bins, pa.int32()), "__base": pa.array(base, pa.int32()), "__inside": inside})
+    return spark.createDataFrame(table)
+
+
+def locate_parts(series: DataFrame, splits, time_col: str = "time_id", part_col: str = "part") -> DataFrame:
+    """``series`` with ``part_col``, the part of its time ids, whatever was stored there before.
+
+    A binned range join: every row looks up its bin (broadcast: its size is
+    that of the split list on the driver) and counts the splits below it there.
+    Works on streams as well.  A null time id has no part.
+    """
+    columns = [*series.columns, *([] if part_col in series.columns else [part_col])]
+    rest = [c for c in series.columns if c != part_col]
+    if not len(splits):
+        return series.select(*rest, F.when(F.col(time_col).isNotNull(), 0).alias(part_col)).select(*columns)
+    t = F.col(time_col)
+    bins = F.broadcast(part_bins(series.sparkSession, splits))
+    below = F.col("__base") + F.size(F.filter("__inside", lambda s: s < t))
+    part = F.when(t <= F.lit(int(splits[0])), 0).when(t > F.lit(int(splits[-1])), len(splits)).otherwise(below)
+    rows = series.select(*rest).withColumn("__bin", F.shiftright(t, bin_bits(splits)).cast("int"))
+    return rows.join(bins, "__bin", "left").select(*rest, part.cast("int").alias(part_col)).select(*columns)
+
+
 def part_ranges(splits: DataFrame) -> DataFrame:
     """``(part, part_min, part_max)`` for parts 0..len(splits) from split rows.
 
@@ -141,4 +191,5 @@ def attach_parts(series: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 __all__ = ["INT_MIN", "INT_MAX", "time_ranks", "time_parts", "split_points", "splits_array",
-           "blocks_per_part", "assign_part", "assign_part_value", "part_ranges", "attach_parts"]
+           "blocks_per_part", "assign_part", "assign_part_value", "part_ranges", "attach_parts",
+           "bin_bits", "part_bins", "locate_parts"]

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridseries.model import Extent, TileLayout
 
@@ -118,29 +119,75 @@ def strip_pieces(strips: DataFrame, layout: TileLayout, cols: int | None = None,
     return strips.select(*keep, F.inline(F.flatten(F.transform(F.sequence(first_tr, last_tr), pieces_for_tile_row))))
 
 
-def assemble_pieces(pieces: DataFrame, layout: TileLayout, keep=("time_id",)) -> DataFrame:
-    """Gather the pieces of each (keep, tile) and stack them by first row into the tile's cells.
+def assemble_sorted(pieces: DataFrame, layout: TileLayout, by) -> DataFrame:
+    """Stack the pieces of each tile into its cells, in a stream: ``by`` (which includes ``tile_id``) + ``cells``.
 
-    A group is one tile, so no task ever holds more than a tile per record.
-    If ``pieces`` is already hash-partitioned on a subset of the group keys
-    (e.g. ``tile_id, part`` before a catalog write), no further shuffle is planned.
+    All pieces of a record (equal values of ``by``) must be in one partition.
+    Every partition is sorted by (``by``, first row) and read once; a record is
+    complete when its rows are, so a task holds the pieces of one record besides
+    its Arrow batch.  Pieces that leave a gap, overlap or do not fill the tile
+    are an error.  Records come out in the order of ``by``.
     """
-    keep = list(keep)
-    grouped = pieces.groupBy(*keep, "tile_id").agg(
-        F.array_sort(F.collect_list(F.struct("r", "piece"))).alias("ps"))
-    tile = F.flatten(F.transform("ps", lambda x: x["piece"]))
-    # each piece must begin where the one before ends; -1 once one does not
-    rows = F.aggregate("ps", F.lit(0), lambda upto, x: F.when(
-        (upto == x["r"]) & (F.size(x["piece"]) % layout.pixel_cols == 0),
-        upto + (F.size(x["piece"]) / layout.pixel_cols).cast("int")).otherwise(F.lit(-1)))
-    ok = F.assert_true((rows == F.lit(layout.pixel_rows)) & (F.size(tile) == F.lit(layout.cells_per_tile)),
-                       F.lit("strips do not cover the tile exactly"))
-    return grouped.select(*keep, "tile_id", F.when(ok.isNull(), tile).alias("cells"))
+    by = list(by)
+    cell = pieces.schema["piece"].dataType
+    schema = T.StructType([*[pieces.schema[c] for c in by], T.StructField("cells", cell)])
+    width, height = layout.pixel_cols, layout.pixel_rows
+
+    def run(batches):
+        import pyarrow as pa
+
+        key, held, filled = None, [], 0
+
+        def done():
+            if filled != height:
+                raise ValueError("strips do not cover the tile exactly")
+            return key, pa.concat_arrays(held)
+
+        for b in batches:
+            out = []
+            keys = list(zip(*[b.column(c).to_pylist() for c in by]))
+            first, pieces_ = b.column("r").to_pylist(), b.column("piece")
+            for i, k in enumerate(keys):
+                if k != key:
+                    if key is not None:
+                        out.append(done())
+                    key, held, filled = k, [], 0
+                cells = pieces_[i].values
+                rows, rest = divmod(len(cells) if cells is not None else 0, width)
+                if first[i] != filled or rest or not rows:
+                    raise ValueError("strips do not cover the tile exactly")
+                held.append(cells)
+                filled += rows
+            if out:
+                yield _records(out, b.schema, by)
+        if key is not None:
+            yield _records([done()], b.schema, by)
+
+    rows = pieces.select(*by, "r", "piece").sortWithinPartitions(*by, "r")
+    return rows.mapInArrow(run, schema)
+
+
+def _records(done: list, schema, by: list[str]):
+    """One Arrow batch of finished records (key, cells)."""
+    import pyarrow as pa
+
+    ends = [0]
+    for _, cells in done:
+        ends.append(ends[-1] + len(cells))
+    columns = [pa.array([k[i] for k, _ in done], schema.field(c).type) for i, c in enumerate(by)]
+    flat = pa.concat_arrays([cells for _, cells in done])
+    return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=[*by, "cells"])
 
 
 def tile_strips(strips: DataFrame, layout: TileLayout, cols: int | None = None, keep=("time_id",)) -> DataFrame:
-    """Array form from rasters delivered as row strips (for rasters too big for one row)."""
-    return assemble_pieces(strip_pieces(strips, layout, cols, keep), layout, keep)
+    """Array form from rasters delivered as row strips (for rasters too big for one row).
+
+    One shuffle, on the record (``keep``, tile), then the sorted assembly of
+    ``assemble_sorted`` inside the tasks.
+    """
+    by = [*keep, "tile_id"]
+    pieces = strip_pieces(strips, layout, cols, keep)
+    return assemble_sorted(pieces.repartition(*by), layout, by)
 
 
 def tile_bands_long(bands: DataFrame, layout: TileLayout, keep=("time_id",)) -> DataFrame:

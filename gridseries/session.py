@@ -8,7 +8,7 @@ import uuid
 import warnings
 from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -80,6 +80,49 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hpath))
 
 
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies directly in a folder (none if it is not there)."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(hpath)] if fs.exists(hpath) else []
+
+
+def read_file(spark: SparkSession, path: str) -> str:
+    """The text of a small file."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    stream = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(hpath)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def replace_file(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file put in place whole: written beside ``path``, then renamed over it.
+
+    Readers see the old file or the new one, never half of one (the rename is
+    atomic on file systems that have one; object stores put the file in one go).
+    """
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    beside = jvm.org.apache.hadoop.fs.Path(target.getParent(), f"_{target.getName()}.{uuid.uuid4().hex[:12]}")
+    fs = target.getFileSystem(conf)
+    if fs.exists(target) and fs.getFileStatus(target).isDirectory():
+        fs.delete(target, True)  # a record of an older layout
+    out = fs.create(beside, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    rename = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    rename[0] = getattr(jvm.org.apache.hadoop.fs.Options, "Rename").OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(
+        fs.makeQualified(beside), fs.makeQualified(target), rename)
+
+
 _memo: dict = {}
 _memo_lock = threading.RLock()
 
@@ -105,6 +148,11 @@ def remove_path(spark: SparkSession, path: str) -> None:
     fs.delete(hpath, True)
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The planner's estimate of a table's size (of a file scan: its files); no job is run."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 READER_BATCH_BYTES = 32 << 20
 _BATCH_KEY = "spark.sql.parquet.columnarReaderBatchSize"
 
@@ -137,5 +185,5 @@ def check_reader(spark: SparkSession, row_bytes: int) -> None:
                       f"set it to {reader_batch(row_bytes, batch)} or read inside guarded_reader()", stacklevel=3)
 
 
-__all__ = ["check_reader", "guarded_reader", "reader_batch", "remove_path", "session_cached", "build_session", "shared_dir",
+__all__ = ["estimated_bytes", "read_file", "replace_file", "list_names", "check_reader", "guarded_reader", "reader_batch", "remove_path", "session_cached", "build_session", "shared_dir",
            "new_output_path", "path_exists"]

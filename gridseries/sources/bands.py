@@ -28,10 +28,12 @@ GRID_FIELDS = ("xmin", "ymin", "xmax", "ymax", "cols", "rows", "cell_type")
 def read_bands(spark: SparkSession, paths: list[str], schema=None) -> DataFrame:
     """All bands of all inputs in order; ``path_idx`` is always the position in ``paths``.
 
-    One relation over all inputs: planning does not grow with a union.  The
-    position comes from each row's file path, cut to as many levels as the input
-    has and joined to the table of inputs (one equi-join per distinct depth; a
-    stored ``path_idx`` column is ignored).  An input named twice counts twice.
+    One scan over all inputs, however deep their paths are.  The position comes
+    from each row's file path: per depth that occurs among the inputs, the path
+    cut to that depth is looked up in the table of inputs (broadcast: one row per
+    entry of ``paths``), and the deepest input that holds the file wins, so an
+    input inside another one is counted for itself.  An input named twice counts
+    twice; a stored ``path_idx`` column is ignored.
     The schema is taken from the first input (or given) and imposed on the
     others, so opening many inputs does not read every footer on the driver;
     an input with incompatible column types fails when it is read.
@@ -40,16 +42,18 @@ def read_bands(spark: SparkSession, paths: list[str], schema=None) -> DataFrame:
         raise ValueError("no input paths")
     if schema is None:
         schema = spark.read.parquet(paths[0]).schema
-    whole = [_qualified(spark, p) for p in paths]
+    places: dict[str, list[int]] = {}
+    for i, p in enumerate(paths):
+        places.setdefault(_qualified(spark, p), []).append(i)
     rows = spark.read.schema(schema).parquet(*dict.fromkeys(paths))
-    rows = rows.select(*[c for c in rows.columns if c != "path_idx"], F.col("_metadata.file_path").alias("__file"))
-    rows = rows.withColumn("__file", F.regexp_replace("__file", "^file:/+", "file:/"))
-    found = None
-    for depth in sorted({p.count("/") for p in whole}):
-        inputs = spark.createDataFrame([(p, i) for i, p in enumerate(whole) if p.count("/") == depth], "__root string, path_idx int")
-        part = rows.join(inputs, F.substring_index("__file", "/", depth + 1) == F.col("__root")).drop("__root", "__file")
-        found = part if found is None else found.unionByName(part)
-    return found
+    names = [c for c in rows.columns if c != "path_idx"]
+    rows = rows.select(*names, F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/").alias("__file"))
+    depths = sorted({p.count("/") for p in places}, reverse=True)
+    for depth in depths:
+        inputs = spark.createDataFrame([(p, at) for p, at in places.items() if p.count("/") == depth], f"__root{depth} string, __at{depth} array<int>")
+        rows = rows.join(F.broadcast(inputs), F.substring_index("__file", "/", depth + 1) == F.col(f"__root{depth}"), "left")
+    found = F.coalesce(*[F.col(f"__at{depth}") for depth in depths])
+    return rows.select(*names, F.explode(found).alias("path_idx"))
 
 
 def _qualified(spark: SparkSession, path: str) -> str:
@@ -86,16 +90,27 @@ def check_extents(bands: DataFrame) -> DataFrame:
     ).select("path_idx", "n_bands", ((F.col("lo") == first) & (F.col("hi") == first)).alias("extent_ok"))
 
 
-def grid_summary(bands: DataFrame) -> DataFrame:
-    """One aggregate pass: first band's grid, smallest and largest grid, band count.
+def band_steps(timed: DataFrame) -> DataFrame:
+    """Per time id: number of bands, smallest and largest grid, and the first band's place and grid.
 
-    All inputs agree with the first band exactly when ``lo == first == hi``.
+    One pass over the bands' small columns (partial per task); what is left has
+    one row per time step.
     """
     g = _grid_struct()
     # with strips (``row0``) a band is counted once, by its strip at row 0
-    n = F.count_if(F.col("row0") == 0) if "row0" in bands.columns else F.count(F.lit(1))
-    return bands.agg(F.min_by(g, F.struct("path_idx", "band")).alias("first"),
-                     F.min(g).alias("lo"), F.max(g).alias("hi"), n.alias("n_bands"))
+    n = F.count_if(F.col("row0") == 0) if "row0" in timed.columns else F.count(F.lit(1))
+    return timed.groupBy("time_id").agg(n.alias("n_bands"), F.min(g).alias("lo"), F.max(g).alias("hi"),
+                                        F.min(F.struct("path_idx", "band")).alias("place"),
+                                        F.min_by(g, F.struct("path_idx", "band")).alias("grid"))
+
+
+def steps_summary(steps: DataFrame) -> DataFrame:
+    """One row: the first band's grid, smallest and largest grid, band count.
+
+    All inputs agree with the first band exactly when ``lo == first == hi``.
+    """
+    return steps.agg(F.min_by("grid", "place").alias("first"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+                     F.sum("n_bands").alias("n_bands"))
 
 
 def time_bounds(series: DataFrame) -> DataFrame:

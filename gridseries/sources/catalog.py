@@ -3,10 +3,20 @@
 Each file holds one tile's records of one time part in ascending time order,
 so a window reads only its parts (directory pruning) and, inside a file, only
 row groups whose ``time_id`` range meets the window (Parquet statistics).
+
+A catalog is replaced without a gap: the new cells go to a folder of their own
+(``cells-<version>``), the metadata record that names the version is put in
+place last, by one rename, and only then the old folders go.  A replacement
+that breaks off leaves the old catalog as it was, and a catalog may be replaced
+by a series derived from itself.  ``<cells>/_occupied.json`` lists which parts
+each tile has, as rectangles (tiles, parts), so a window builds its folders'
+paths instead of searching for them.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import replace
 
 from pyspark import StorageLevel
@@ -15,9 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridseries.model import CellType, GridMetadata
-from gridseries.operators.filters import part_bounds, prune_parts
-from gridseries.session import check_reader, path_exists, remove_path
-from gridseries.sources.metadata import load_metadata
+from gridseries.operators.filters import filter_windows, part_bounds, prune_parts
+from gridseries.operators.parts import attach_parts, locate_parts, time_parts
+from gridseries.session import check_reader, list_names, path_exists, read_file, remove_path, replace_file
+from gridseries.sources.metadata import load_metadata, store_metadata
 
 RECORD_COLUMNS = ("tile_id", "part", "time_id", "cells")
 
@@ -36,6 +47,7 @@ class Catalog:
     def __init__(self, path: str, meta: GridMetadata, series: DataFrame | None = None, spark: SparkSession | None = None):
         self.path, self.meta, self._series, self.spark = path, meta, series, spark or series.sparkSession
         self.stored = series is None
+        self._rectangles = None
 
     @property
     def series(self) -> DataFrame:
@@ -51,7 +63,17 @@ class Catalog:
         if not self.stored or start is not None and end is not None and start > end:
             return prune_parts(self.series, splits, start, end)
         lo, hi = part_bounds(splits, start, end)
-        return prune_parts(_stored(self.spark, self.path, self.meta, parts=(lo, hi)), splits, start, end)
+        return prune_parts(_stored(self.spark, self.path, self.meta, parts=(lo, hi), occupied=self.occupied()), splits, start, end)
+
+    def windows(self, windows: DataFrame, start_col: str = "start", end_col: str = "end") -> DataFrame:
+        """The records of many time windows in one plan (see ``filter_windows``); only touched parts are read."""
+        return filter_windows(self.series, windows, list(self.meta.splits), start_col, end_col)
+
+    def occupied(self) -> list[list[int]] | None:
+        """Which (tile, part) folders an opened catalog has: [first tile, last tile, first part, last part], or None if not listed."""
+        if self._rectangles is None and self.stored:
+            self._rectangles = _read_occupied(self.spark, _cells_path(self.path, self.meta))
+        return self._rectangles
 
     def extents(self) -> DataFrame:
         """Bounds of every tile, from the metadata."""
@@ -59,19 +81,29 @@ class Catalog:
 
         return tile_extents(self.spark, self.meta.extent, self.meta.layout)
 
-    def write(self, out: str, mode: str = "errorifexists") -> "Catalog":
-        """Write this (derived) series as a catalog of its own: cells, then metadata; time steps are counted anew."""
-        from gridseries.operators.aggregate import time_count
-        from gridseries.sources.metadata import metadata_frame, write_metadata
-
-        prepare_output(self.spark, out, mode)
-        cell_type = CellType.from_spark(self.series.schema["cells"].dataType.elementType)
-        write_catalog(self.series, out, record_bytes=self.meta.layout.cells_per_tile * cell_type.bytes)
-        cells = self.spark.read.schema(record_schema(cell_type.spark_type)).parquet(f"{out.rstrip('/')}/cells")
-        n = int(time_count(cells).first()[0])
-        meta = replace(self.meta, time_count=n, cell_type=cell_type)
-        write_metadata(metadata_frame(self.spark, meta), out)
-        return open_catalog(self.spark, out, meta)
+    def write(self, out: str, mode: str = "errorifexists", k: int | None = None) -> "Catalog":
+        """Write this (derived) series as a catalog: cells, then the metadata record; time steps are counted anew.
+
+        The series keeps its time parts, or gets new ones of ``k`` steps each.
+        ``out`` may be the catalog's own path (``mode="overwrite"``); handles
+        opened before a replacement cannot be read after it.
+        """
+        version = prepare_output(self.spark, out, mode)
+        series, splits = self.series, self.meta.splits
+        cell_type = CellType.from_spark(series.schema["cells"].dataType.elementType)
+        if k is not None:
+            parts = time_parts(series.select("time_id"), k)
+            splits = tuple(int(r["time_id"]) for r in parts.filter("is_split").orderBy("time_id").collect())
+            series = attach_parts(series.drop("part"), parts)
+        meta = replace(self.meta, splits=splits, cell_type=cell_type, extra={"version": version} if version else {})
+        record_bytes = meta.layout.cells_per_tile * cell_type.bytes
+        n_tasks = writer_tasks(self.spark, meta.layout.n_tiles * meta.n_parts, meta.time_count * meta.layout.n_tiles * record_bytes)
+        path = write_catalog(series, out, n_tasks=n_tasks, n_parts=meta.n_parts, record_bytes=record_bytes, version=version)
+        cells = self.spark.read.schema(record_schema(cell_type.spark_type)).parquet(path)
+        counts = cells.groupBy("tile_id", "part").agg(F.count(F.lit(1)).alias("n")).checkpoint()
+        n = counts.filter("tile_id = 0").agg(F.sum("n")).first()[0] or 0
+        write_occupied(self.spark, path, occupied_folders(counts))
+        return publish(self.spark, out, replace(meta, time_count=int(n)))
 
     def create_view(self, name: str) -> str:
         """Register the series as a temporary view for ``spark.sql`` (same plan, same pruning)."""
@@ -91,9 +123,14 @@ class Catalog:
         return self._derive(filter_series(self.series, predicate))
 
     def map_tiles(self, f) -> "Catalog":
+        """A map over the records.  Where it may change the time id (a Python function, or a ``time_id`` expression)
+        the records' time parts are looked up anew, so windows and writes of the result hold."""
         from gridseries.operators.filters import map_tiles
 
-        return self._derive(map_tiles(self.series, f))
+        mapped = map_tiles(self.series, f)
+        if isinstance(f, dict) and "time_id" not in f:
+            return self._derive(mapped)
+        return self._derive(locate_parts(mapped.withColumn("time_id", F.col("time_id").cast("int")), list(self.meta.splits)))
 
     def cache(self) -> "Catalog":
         return self._derive(cache_series(self.series))
@@ -106,15 +143,16 @@ class Catalog:
 
         return time_count(self.series)
 
-    def sum(self, method: str = "auto") -> DataFrame:
+    def sum(self, method: str = "auto", exact: bool = False) -> DataFrame:
+        """Cell sums; ``exact``: rounded once, the same bits for any order of the records."""
         from gridseries.operators.aggregate import mosaic_sum
 
-        return mosaic_sum(self.series, self.meta.layout, method=method)
+        return mosaic_sum(self.series, self.meta.layout, method=method, exact=exact)
 
-    def mean(self, method: str = "auto") -> DataFrame:
+    def mean(self, method: str = "auto", exact: bool = False) -> DataFrame:
         from gridseries.operators.aggregate import mosaic_mean
 
-        return mosaic_mean(self.series, self.meta.layout, method=method)
+        return mosaic_mean(self.series, self.meta.layout, method=method, exact=exact)
 
     def min_max(self, method: str = "auto", of: str = "mean") -> DataFrame:
         """Min and max over the cells of the mean raster, or of the sum raster (``of="sum"``)."""
@@ -134,8 +172,14 @@ def record_schema(cell_type: T.DataType) -> T.StructType:
     ])
 
 
-def to_records(series: DataFrame) -> DataFrame:
-    """A series in storable form: ``tile_id, part, time_id, cells``."""
+def to_records(series: DataFrame, splits=None) -> DataFrame:
+    """A series in storable form: ``tile_id, part, time_id, cells``.
+
+    With ``splits`` the parts are looked up from the time ids, whatever the
+    series holds; else its ``part`` column is taken as it is.
+    """
+    if splits is not None:
+        series = locate_parts(series.withColumn("time_id", F.col("time_id").cast("int")), list(splits))
     return series.select(F.col("tile_id").cast("int"), F.col("part").cast("int"),
                          F.col("time_id").cast("int"), "cells")
 
@@ -168,27 +212,81 @@ MAX_FILE_BYTES = 256 << 20
 MODES = ("errorifexists", "error", "overwrite")
 
 
-def prepare_output(spark: SparkSession, out: str, mode: str) -> None:
-    """Make room for a whole new catalog at ``out``.
+def prepare_output(spark: SparkSession, out: str, mode: str) -> str:
+    """The version under which a whole new catalog may be written at ``out``: "" where there is none yet.
 
-    ``overwrite`` removes the old one first, its metadata before anything else,
-    so a write that breaks off leaves no readable catalog and no old stream
-    rows stay behind.  Appending is the business of ``gridseries.streaming``,
-    which keeps to the stored splits; other modes are refused.
+    ``overwrite`` leaves the old catalog in place and readable until
+    ``publish``.  Appending is the business of ``gridseries.streaming``, which
+    keeps to the stored splits; other modes are refused.
     """
     if mode not in MODES:
         raise ValueError(f"mode {mode!r}: a catalog is written whole ({', '.join(MODES)}); append steps with gridseries.streaming")
-    root = out.rstrip("/")
+    there = [n for n in list_names(spark, out) if n == "metadata.json" or n.startswith(VERSIONED)]
+    if not there:
+        return ""
     if mode != "overwrite":
-        if path_exists(spark, f"{root}/metadata.json") or path_exists(spark, f"{root}/cells"):
-            raise FileExistsError(f"a catalog exists at {out}")
-        return
-    for name in ("metadata.json", "stream", "_stream_checkpoint", "cells"):
-        remove_path(spark, f"{root}/{name}")
+        raise FileExistsError(f"a catalog exists at {out}")
+    return f"-{uuid.uuid4().hex[:12]}"
+
+
+#: Beginnings of the names of a catalog's folders; the version follows.
+VERSIONED = ("cells", "stream", "_stream_checkpoint")
+
+
+def version_of(meta: GridMetadata) -> str:
+    return meta.extra.get("version", "")
+
+
+def _cells_path(out: str, meta: GridMetadata) -> str:
+    return f"{out.rstrip('/')}/cells{version_of(meta)}"
+
+
+def publish(spark: SparkSession, out: str, meta: GridMetadata) -> Catalog:
+    """Put the metadata record in place, which makes its version the catalog, then remove the folders of other versions."""
+    store_metadata(spark, meta, out)
+    mine = {f"{name}{version_of(meta)}" for name in VERSIONED}
+    for name in list_names(spark, out):
+        if name.startswith(VERSIONED) and name not in mine:
+            remove_path(spark, f"{out.rstrip('/')}/{name}")
+    return open_catalog(spark, out, meta)
+
+
+def occupied_folders(counts: DataFrame) -> list[list[int]]:
+    """Rectangles [first tile, last tile, first part, last part] from a table by (tile_id, part); a full grid gives one.
+
+    Tiles with the same parts meet in one row; the driver sees the runs of what
+    is a list of the catalog's folders.
+    """
+    per_tile = counts.groupBy("tile_id").agg(F.array_sort(F.collect_set("part")).alias("parts"))
+    shapes = per_tile.groupBy("parts").agg(F.array_sort(F.collect_list("tile_id")).alias("tiles")).collect()
+    return sorted([*t, *p] for r in shapes for t in _runs(r["tiles"]) for p in _runs(r["parts"]))
+
+
+def _runs(numbers: list[int]) -> list[tuple[int, int]]:
+    """Ascending numbers as runs (first, last)."""
+    if not numbers:
+        return []
+    cuts = [i for i in range(1, len(numbers)) if numbers[i] != numbers[i - 1] + 1]
+    return [(numbers[a], numbers[b - 1]) for a, b in zip([0, *cuts], [*cuts, len(numbers)])]
+
+
+def write_occupied(spark: SparkSession, cells: str, rectangles: list[list[int]]) -> None:
+    replace_file(spark, f"{cells}/{OCCUPIED}", json.dumps({"occupied": rectangles}))
+
+
+def _read_occupied(spark: SparkSession, cells: str) -> list[list[int]] | None:
+    path = f"{cells}/{OCCUPIED}"
+    if not path_exists(spark, path):
+        return None
+    return json.loads(read_file(spark, path))["occupied"]
+
+
+OCCUPIED = "_occupied.json"
+MOST_PATHS = 4096  # a window over more folders lists the catalog as a whole
 
 
 def write_catalog(series: DataFrame, out: str, mode: str = "errorifexists", n_tasks: int | None = None,
-                  clustered: bool = False, record_bytes: int | None = None, n_parts: int | None = None) -> str:
+                  clustered: bool = False, record_bytes: int | None = None, n_parts: int | None = None, version: str = "") -> str:
     """Write a series with ``part`` as one directory per tile and time part.
 
     Each (tile, part) is shuffled to one task, which writes it as one file
@@ -198,10 +296,11 @@ def write_catalog(series: DataFrame, out: str, mode: str = "errorifexists", n_ta
     ``clustered=True``: the input is already partitioned by ``cluster_for_write``.
     ``record_bytes`` (cells x cell bytes) caps files at ``MAX_FILE_BYTES``, so a
     part that holds many steps (k = 0, or a huge k) rolls over into several files.
+    ``version`` (see ``prepare_output``) names the folder.
     """
     if mode not in MODES:
         raise ValueError(f"mode {mode!r} is not one of {', '.join(MODES)}")
-    path = f"{out.rstrip('/')}/cells"
+    path = f"{out.rstrip('/')}/cells{version}"
     rec = to_records(series)
     if not clustered:
         rec = cluster_for_write(rec, n_tasks, n_parts)
@@ -213,33 +312,48 @@ def write_catalog(series: DataFrame, out: str, mode: str = "errorifexists", n_ta
 
 
 def _stored(spark: SparkSession, out: str, meta: GridMetadata, tile_id: int | None = None,
-            parts: tuple[int, int] | None = None) -> DataFrame:
-    """The stored series, or only the folders of one tile or of a range of parts."""
+            parts: tuple[int, int] | None = None, occupied: list[list[int]] | None = None) -> DataFrame:
+    """The stored series, or only the folders of one tile or of a range of parts (built from ``occupied`` where it is known)."""
     schema = record_schema(meta.cell_type.spark_type)
-    root = out.rstrip("/")
-    cells = f"{root}/cells"
+    root, cells = out.rstrip("/"), _cells_path(out, meta)
     reader = spark.read.schema(schema).option("basePath", cells)
+    none = spark.createDataFrame([], schema)
     whole = tile_id is None and (parts is None or parts[1] - parts[0] + 1 >= meta.n_parts)
     if whole:
         series = reader.parquet(cells)
     elif tile_id is not None:
-        if not path_exists(spark, f"{cells}/tile_id={int(tile_id)}"):
-            return spark.createDataFrame([], schema).select(*RECORD_COLUMNS)
-        series = reader.parquet(f"{cells}/tile_id={int(tile_id)}")
+        series = reader.parquet(f"{cells}/tile_id={int(tile_id)}") if path_exists(spark, f"{cells}/tile_id={int(tile_id)}") else none
+    elif occupied is not None:
+        series = _read_paths(reader, cells, window_paths(cells, occupied, *parts), none)
     else:
         names = ",".join(f"part={i}" for i in range(parts[0], parts[1] + 1))
         pattern = f"{cells}/tile_id=*/{{{names}}}"
-        series = reader.parquet(pattern) if _any_path(spark, pattern) else spark.createDataFrame([], schema)
+        series = reader.parquet(pattern) if _any_path(spark, pattern) else none
     series = series.select(*RECORD_COLUMNS)
-    if path_exists(spark, f"{root}/stream/_spark_metadata"):
+    stream = f"{root}/stream{version_of(meta)}"
+    if path_exists(spark, f"{stream}/_spark_metadata"):
         # steps appended by ``gridseries.streaming``; the sink's log lists committed files only
-        more = spark.read.schema(schema).parquet(f"{root}/stream").select(*RECORD_COLUMNS)
+        more = spark.read.schema(schema).parquet(stream).select(*RECORD_COLUMNS)
         if tile_id is not None:
             more = more.filter(F.col("tile_id") == F.lit(int(tile_id)))
+        if parts is not None and not whole:
+            more = more.filter(F.col("part").between(*parts))
         series = series.unionByName(more)
     return series
 
 
+def window_paths(cells: str, occupied: list[list[int]], lo: int, hi: int) -> list[str]:
+    """The folders of the parts lo..hi, from the rectangles of what is there."""
+    return [f"{cells}/tile_id={t}/part={p}" for t0, t1, p0, p1 in occupied
+            for t in range(t0, t1 + 1) for p in range(max(lo, p0), min(hi, p1) + 1)]
+
+
+def _read_paths(reader, cells: str, paths: list[str], none: DataFrame) -> DataFrame:
+    if not paths:
+        return none
+    return reader.parquet(cells) if len(paths) > MOST_PATHS else reader.parquet(*paths)
+
+
 def _any_path(spark: SparkSession, pattern: str) -> bool:
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(pattern)

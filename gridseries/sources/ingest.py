@@ -1,9 +1,11 @@
 """Ingest: decoded bands -> checked, tiled, time-partitioned catalog.
 
-Only small results reach the driver: the first band's grid (one row), the
-first inconsistent input if any (at most one row), the band count and the
-split points (one int per time part).  The cells go from the band table to
-the catalog files inside one Spark job.
+The bands' small columns are scanned once, into one row per time id (written to
+the shared folder); grid checks, band count, split points and time parts come
+from that table.  Only small results reach the driver: the first band's grid
+(one row), the first inconsistent input if any (at most one row), the band count
+and the split points (one int per time part).  The cells go from the band table
+to the catalog files inside one Spark job.
 """
 
 from __future__ import annotations
@@ -14,23 +16,42 @@ from pyspark.sql import functions as F
 from gridseries.functions.bandmeta import TIME_KEY, band_time
 from gridseries.model import CellType, Extent, GridMetadata, TileLayout
 from gridseries.operators.parts import attach_parts, blocks_per_part, time_parts
-from gridseries.operators.tiling import assemble_pieces, strip_pieces, tile_bands
-from gridseries.sources.bands import check_extents, grid_summary
-from gridseries.sources.catalog import Catalog, cluster_for_write, open_catalog, prepare_output, write_catalog, writer_tasks
-from gridseries.sources.metadata import metadata_frame, write_metadata
+from gridseries.operators.tiling import assemble_sorted, strip_pieces, tile_bands
+from gridseries.sources.bands import band_steps, check_extents, steps_summary
+from gridseries.sources.catalog import (Catalog, cluster_for_write, prepare_output, publish, write_catalog, write_occupied,
+                                        writer_tasks)
 from gridseries.session import guarded_reader, new_output_path, remove_path
 
 DEFAULT_BLOCK_SIZE = 128 * 1024 * 1024
 
 
 def timed_bands(bands: DataFrame, time_key: str = TIME_KEY) -> DataFrame:
-    """Bands with their ``time_id`` taken from the band metadata."""
+    """Bands with their ``time_id``: as stored (see ``index_bands``), else taken from the band metadata."""
+    if "time_id" in bands.columns:
+        return bands
     return bands.withColumn("time_id", band_time("metadata", time_key))
 
 
-def plan_ingest(bands: DataFrame, tile_cols: int, tile_rows: int):
+def index_bands(bands: DataFrame, out: str, n_files: int | None = None, time_key: str = TIME_KEY) -> str:
+    """Write a band table with ``time_id`` as a column, in ascending order over all files.
+
+    A window on such a table reaches the scan (``PushedFilters``): files and row
+    groups of other times are left out by their statistics, and no metadata
+    string is parsed.  ``read_bands`` and ``ingest`` take it like any band table
+    (``path_idx`` is kept as ``source_idx``).
+    """
+    timed = timed_bands(bands, time_key)
+    if "path_idx" in timed.columns:
+        timed = timed.withColumnRenamed("path_idx", "source_idx")
+    order = [c for c in ("time_id", "source_idx", "band", "row0") if c in timed.columns]
+    spread = timed.repartitionByRange(n_files, *order) if n_files else timed.repartitionByRange(*order)
+    spread.sortWithinPartitions(*order).write.parquet(out)
+    return out
+
+
+def plan_ingest(bands: DataFrame, steps: DataFrame, tile_cols: int, tile_rows: int):
     """Grid checks from one aggregate row: (extent, cols, rows, cell_type, layout, n_bands)."""
-    s = grid_summary(bands).first()
+    s = steps_summary(steps).first()
     g = s["first"]
     if g is None:
         raise ValueError("no bands to ingest")
@@ -50,40 +71,46 @@ def ingest(bands: DataFrame, out: str, tile_cols: int, tile_rows: int, k: int |
 
     ``k`` time steps go into one part; by default as many as fill
     ``block_size`` bytes of one tile, one at least.  ``mode="overwrite"``
-    replaces the catalog at ``out``, appended steps included.
+    replaces the catalog at ``out``, appended steps included, once the new one
+    is complete.
     """
     spark = bands.sparkSession
-    extent, cols, rows, cell_type, layout, time_count = plan_ingest(bands, tile_cols, tile_rows)
-    prepare_output(spark, out, mode)
+    timed = timed_bands(bands, time_key)
+    # One row per time id, written once to the shared folder (cuts the lineage,
+    # survives executor loss) and reused for checks, split points and the part join.
+    scratch = new_output_path(spark, "time-steps")
+    band_steps(timed).write.parquet(f"{scratch}/steps")
+    steps = spark.read.parquet(f"{scratch}/steps")
+    extent, cols, rows, cell_type, layout, time_count = plan_ingest(bands, steps, tile_cols, tile_rows)
+    version = prepare_output(spark, out, mode)
     strips = "row0" in bands.columns
     cell_cast = F.col("cells").cast(f"array<{cell_type.spark_type.simpleString()}>").alias("cells")
     keep = ("path_idx", "band", "time_id")
-    timed = timed_bands(bands, time_key).select(*keep, *(["row0"] if strips else []), cell_cast)
+    timed = timed.select(*keep, *(["row0"] if strips else []), cell_cast)
     if k is None:
         # at least one step per part: a step larger than a block must not put the whole series into one part
         k = max(1, blocks_per_part(block_size, layout.pixel_cols, layout.pixel_rows, cell_type.bytes))
     # band rows hold whole rasters (strips: assume about a tile row high)
     with guarded_reader(spark, cols * (layout.pixel_rows if strips else rows) * cell_type.bytes):
-        # One row per distinct time id, written once to the shared folder (cuts the
-        # lineage, survives executor loss) and reused for the split points and the
-        # part join.
-        parts_path = new_output_path(spark, "time-parts")
-        time_parts(timed.select("time_id"), k, materialize=False).write.parquet(parts_path)
-        parts = spark.read.parquet(parts_path)
+        time_parts(steps, k, materialize=False).write.parquet(f"{scratch}/parts")
+        parts = spark.read.parquet(f"{scratch}/parts")
         splits = [int(r["time_id"]) for r in parts.filter("is_split").orderBy("time_id").collect()]
-        meta = GridMetadata(time_count, tuple(splits), extent, layout, cell_type)
+        last_part = parts.agg(F.max("part")).first()[0]
+        meta = GridMetadata(time_count, tuple(splits), extent, layout, cell_type, {"version": version} if version else {})
         n_tasks = writer_tasks(spark, layout.n_tiles * meta.n_parts, time_count * cols * rows * cell_type.bytes)
         record_bytes = layout.cells_per_tile * cell_type.bytes
         if strips:
-            # pieces go straight to their writer task; the per-tile assembly then
-            # runs inside it (the (tile_id, part) partitioning satisfies the grouping);
-            # a band is one record, also where another has its time id
+            # pieces go straight to the writer task of their (tile, part), are sorted there and
+            # assembled as they come; a band is one record, also where another has its time id
             pieces = attach_parts(strip_pieces(timed, layout, cols, keep), parts)
-            records = assemble_pieces(cluster_for_write(pieces, n_tasks), layout, keep=(*keep, "part"))
-            write_catalog(records, out, clustered=True, record_bytes=record_bytes)
+            dealt = cluster_for_write(pieces, n_tasks, meta.n_parts)
+            records = assemble_sorted(dealt, layout, ("tile_id", "part", "time_id", "path_idx", "band"))
+            path = write_catalog(records, out, clustered=True, record_bytes=record_bytes, version=version)
         else:
-            write_catalog(attach_parts(tile_bands(timed, layout, cols), parts), out, n_tasks=n_tasks,
-                          record_bytes=record_bytes, n_parts=meta.n_parts)
-    write_metadata(metadata_frame(spark, meta), out)
-    remove_path(spark, parts_path)
-    return open_catalog(spark, out, meta)
+            path = write_catalog(attach_parts(tile_bands(timed, layout, cols), parts), out, n_tasks=n_tasks,
+                                 record_bytes=record_bytes, n_parts=meta.n_parts, version=version)
+    # every tile has every part that has a time id (the last part may have none)
+    write_occupied(spark, path, [[0, layout.n_tiles - 1, 0, int(last_part)]])
+    catalog = publish(spark, out, meta)
+    remove_path(spark, scratch)
+    return catalog

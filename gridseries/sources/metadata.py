@@ -18,12 +18,16 @@ from pyspark.sql import types as T
 
 from gridseries.model import CellType, Extent, GridMetadata, TileLayout
 from gridseries.operators.parts import int_array
+from gridseries.session import path_exists, replace_file
 
 # Key names of the metadata JSON.
 METADATA_KEYS = ("timeCount", "splits", "extent", "tileLayout", "cellType")
 EXTENT_KEYS = ("xmin", "ymin", "xmax", "ymax")
 LAYOUT_KEYS = ("tileCols", "tileRows", "pixelCols", "pixelRows")
 
+#: Further key of a catalog that replaced another one at its path (readers ignore keys they do not know).
+VERSION_KEY = "version"
+
 _EXTENT_SCHEMA = T.StructType([T.StructField(k, T.DoubleType()) for k in EXTENT_KEYS])
 _LAYOUT_SCHEMA = T.StructType([T.StructField(k, T.DoubleType()) for k in LAYOUT_KEYS])
 _K_COUNT, _K_SPLITS, _K_EXTENT, _K_LAYOUT, _K_CELL = METADATA_KEYS
@@ -128,26 +132,40 @@ def metadata_frame(spark: SparkSession, meta: GridMetadata) -> DataFrame:
     return row
 
 
-def write_metadata(meta_df: DataFrame, out: str, mode: str = "errorifexists") -> str:
-    """Write the one-row ``metadata`` struct as one JSON line to ``out/metadata.json`` (a catalog has one record: no append)."""
+def write_metadata(meta_df: DataFrame, out: str, mode: str = "errorifexists", version: str = "") -> str:
+    """Put the one-row ``metadata`` struct in place as one line of JSON, ``out/metadata.json`` (a catalog has one record: no append).
+
+    The file is renamed into place, so a reader finds the old record or the new
+    one.  ``version`` (of a catalog that replaced another) is one key more.
+    """
     if mode not in ("errorifexists", "error", "overwrite"):
         raise ValueError(f"mode {mode!r}: a catalog has one metadata record")
-    path = f"{out.rstrip('/')}/metadata.json"
-    meta_df.select(metadata_to_json("metadata").alias("value")).coalesce(1).write.mode(mode).text(path)
+    spark, path = meta_df.sparkSession, f"{out.rstrip('/')}/metadata.json"
+    if mode != "overwrite" and path_exists(spark, path):
+        raise FileExistsError(f"metadata exists at {path}")
+    record = F.struct("metadata.*", F.lit(version).alias(VERSION_KEY)) if version else F.col("metadata")
+    rows = meta_df.select(metadata_to_json(record).alias("value")).collect()
+    if len(rows) != 1:
+        raise ValueError(f"expected one metadata record, found {len(rows)}")
+    replace_file(spark, path, rows[0]["value"] + "\n")
     return path
 
 
-def read_metadata(spark: SparkSession, out: str) -> DataFrame:
-    """``out/metadata.json`` -> one-row DataFrame with the parsed ``metadata`` struct."""
-    from gridseries.session import path_exists
+def store_metadata(spark: SparkSession, meta: GridMetadata, out: str) -> str:
+    """Put a driver-side record in place, in one step, over an older one if there is one."""
+    return write_metadata(metadata_frame(spark, meta), out, "overwrite", meta.extra.get("version", ""))
 
+
+def read_metadata(spark: SparkSession, out: str) -> DataFrame:
+    """``out/metadata.json`` -> one-row DataFrame with the parsed ``metadata`` struct, and the catalog's ``version`` (null: the first)."""
     path = f"{out.rstrip('/')}/metadata.json"
     if not path_exists(spark, path):
         raise FileNotFoundError(f"no catalog metadata at {path}")
-    return spark.read.text(path).select(metadata_from_json("value").alias("metadata"))
+    return spark.read.text(path).select(metadata_from_json("value").alias("metadata"),
+                                        F.get_json_object("value", f"$.{VERSION_KEY}").alias("version"))
 
 
-def to_record(row) -> GridMetadata:
+def to_record(row, version: str | None = None) -> GridMetadata:
     """Parsed metadata struct (a Row) -> driver-side record."""
     e, l = row[_K_EXTENT], row[_K_LAYOUT]
     return GridMetadata(
@@ -156,6 +174,7 @@ def to_record(row) -> GridMetadata:
         extent=Extent(*[e[k] for k in EXTENT_KEYS]),
         layout=TileLayout(*[l[k] for k in LAYOUT_KEYS]),
         cell_type=CellType.from_code(row[_K_CELL]),
+        extra={"version": version} if version else {},
     )
 
 
@@ -164,4 +183,4 @@ def load_metadata(spark: SparkSession, out: str) -> GridMetadata:
     rows = read_metadata(spark, out).collect()
     if len(rows) != 1:
         raise ValueError(f"expected one metadata record, found {len(rows)}")
-    return to_record(rows[0]["metadata"])
+    return to_record(rows[0]["metadata"], rows[0]["version"])

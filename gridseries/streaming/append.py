@@ -4,7 +4,8 @@ New band files (the band-table layout of ``gridseries.sources.bands``) land in
 a folder; a stateless streaming query tiles them and assigns each time step
 to a part with the catalog's fixed split points (steps after the last split
 go to the open last part, so every part range stays valid and ``prune_parts``
-keeps working).  The output goes through Spark's file sink into
+keeps working; the part comes from a stream-static join with the binned splits,
+see ``locate_parts``).  The output goes through Spark's file sink into
 ``<catalog>/stream``: its commit log makes each micro-batch exactly-once, so
 a failed and replayed batch never duplicates records.  ``open_catalog`` reads
 ``cells`` and ``stream`` together; ``refresh_time_count`` brings the stored
@@ -24,10 +25,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from gridseries.functions.bandmeta import TIME_KEY, band_time
 from gridseries.operators.aggregate import time_count
-from gridseries.operators.parts import assign_part
+from gridseries.operators.parts import locate_parts
 from gridseries.operators.tiling import tile_bands
-from gridseries.sources.catalog import open_catalog
-from gridseries.sources.metadata import load_metadata, metadata_frame, write_metadata
+from gridseries.sources.catalog import open_catalog, version_of
+from gridseries.sources.metadata import load_metadata, store_metadata
 
 
 def band_schema(cell_type: T.DataType = T.FloatType()) -> T.StructType:
@@ -57,8 +58,8 @@ def tiled_stream(bands: DataFrame, catalog_path: str, time_key: str = TIME_KEY)
     timed = checked.select(band_time("metadata", time_key).alias("time_id"),
                            F.when(F.col("ok").isNull(), F.col("cells"))
                            .cast(T.ArrayType(meta.cell_type.spark_type)).alias("cells"))
-    tiles = tile_bands(timed, lay, lay.cols)
-    return tiles.select("tile_id", assign_part("time_id", list(meta.splits)).alias("part"), "time_id", "cells")
+    placed = locate_parts(timed, list(meta.splits))  # once per band, before it is cut into tiles
+    return tile_bands(placed, lay, lay.cols, keep=("time_id", "part")).select("tile_id", "part", "time_id", "cells")
 
 
 def append_bands_stream(spark: SparkSession, band_dir: str, catalog_path: str, checkpoint: str | None = None,
@@ -66,8 +67,8 @@ def append_bands_stream(spark: SparkSession, band_dir: str, catalog_path: str, c
     """Start the append query; with ``available_now`` it processes what is there and stops."""
     meta = load_metadata(spark, catalog_path)
     src = spark.readStream.schema(band_schema(meta.cell_type.spark_type)).parquet(band_dir)
-    out = f"{catalog_path.rstrip('/')}/stream"
-    ckpt = checkpoint or f"{catalog_path.rstrip('/')}/_stream_checkpoint"
+    out = f"{catalog_path.rstrip('/')}/stream{version_of(meta)}"
+    ckpt = checkpoint or f"{catalog_path.rstrip('/')}/_stream_checkpoint{version_of(meta)}"
     w = (tiled_stream(src, catalog_path, time_key).writeStream.format("parquet")
          .option("path", out).option("checkpointLocation", ckpt)
          .partitionBy("tile_id", "part").outputMode("append"))
@@ -83,5 +84,5 @@ def refresh_time_count(spark: SparkSession, catalog_path: str) -> int:
     catalog = open_catalog(spark, catalog_path)
     n = int(time_count(catalog.tile(0)).first()[0])
     if n != catalog.meta.time_count:
-        write_metadata(metadata_frame(spark, replace(catalog.meta, time_count=n)), catalog_path, "overwrite")
+        store_metadata(spark, replace(catalog.meta, time_count=n), catalog_path)
     return n

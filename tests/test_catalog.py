@@ -242,18 +242,33 @@ def test_overwrite_replaces_appended_steps(spark, out_dir):
     assert again.series.count() == cat.open_catalog(spark, out_dir).series.count() == first.meta.time_count * 8
 
 
-def test_broken_overwrite_is_not_readable(spark, out_dir, monkeypatch):
+def test_broken_overwrite_leaves_the_old_catalog(spark, out_dir, monkeypatch):
     from gridseries.sources import ingest as module
 
     bands = fx.emb_bands(spark, SF001)
     ingest(bands, out_dir, 4, 2, k=64)
 
-    def broken(*a, **b):
+    def broken(series, *a, **b):
+        cat.write_catalog(series.limit(3), *a, **b)  # some cells are there already
         raise RuntimeError("stopped")
 
     monkeypatch.setattr(module, "write_catalog", broken)
     with pytest.raises(RuntimeError):
-        ingest(bands, out_dir, 4, 2, k=64, mode="overwrite")
+        ingest(bands, out_dir, 4, 2, k=32, mode="overwrite")
+    old = cat.open_catalog(spark, out_dir)
+    assert old.series.count() == 500 * 8 and old.window(100, 200).count() == 101 * 8 and len(old.meta.splits) == 7
+
+
+def test_broken_first_write_is_not_readable(spark, out_dir, monkeypatch):
+    from gridseries.sources import ingest as module
+
+    def broken(series, *a, **b):
+        cat.write_catalog(series.limit(3), *a, **b)
+        raise RuntimeError("stopped")
+
+    monkeypatch.setattr(module, "write_catalog", broken)
+    with pytest.raises(RuntimeError):
+        ingest(fx.emb_bands(spark, SF001), out_dir, 4, 2, k=64)
     with pytest.raises(FileNotFoundError):
         cat.open_catalog(spark, out_dir)
 
