@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from gridseries.functions.bandmeta import TIME_KEY, band_time
 from gridseries.functions.timeid import time_id
 from gridseries.model import Extent, TileLayout
-from gridseries.operators.filters import filter_time_ts
+from gridseries.operators.filters import filter_time, filter_time_ts
 from gridseries.operators.tiling import cell_to_tile, tile_bands
 from gridseries.session import session_cached
 
@@ -29,6 +29,7 @@ EMB_LAYOUT = TileLayout(tile_cols=4, tile_rows=2, pixel_cols=2, pixel_rows=4)
 EMB_BANDS_PER_INPUT = 250
 EMB_WINDOW = (100, 200)
 EMB_K = 64
+EMB_SHIFT = 10
 WIDE_LAYOUT = TileLayout(tile_cols=1, tile_rows=1, pixel_cols=64, pixel_rows=64)
 
 SHIP_LAYOUT = TileLayout(tile_cols=4, tile_rows=2, pixel_cols=4, pixel_rows=4)
@@ -85,6 +86,55 @@ def emb_input_paths(spark: SparkSession, sf_dir: str) -> list[str]:
     return session_cached(spark, ("emb_inputs", sf_dir), build)
 
 
+def emb_mixed_paths(spark: SparkSession, sf_dir: str) -> list[str]:
+    """F-EMB's inputs at different depths, some inside the folder of another one: input i lies i % 3 folders below input i - i % 3."""
+    def build():
+        from gridseries.session import new_output_path
+
+        root = new_output_path(spark, "emb-mixed")
+        plain = emb_input_paths(spark, sf_dir)
+        paths = [root + f"/in{i - i % 3}" + "/deeper" * (i % 3) for i in range(len(plain))]
+        for path, source in zip(paths, plain):
+            spark.read.parquet(source).coalesce(1).write.parquet(path)
+        return paths
+
+    return session_cached(spark, ("emb_mixed", sf_dir), build)
+
+
+def emb_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-EMB as a band table with a stored, sorted ``time_id`` (``index_bands``), written once per session."""
+    def build():
+        from gridseries.session import new_output_path
+        from gridseries.sources.bands import read_bands
+        from gridseries.sources.ingest import index_bands
+
+        path = index_bands(emb_bands(spark, sf_dir), new_output_path(spark, "emb-indexed"), 8)
+        return read_bands(spark, [path])
+
+    return session_cached(spark, ("emb_indexed", sf_dir), build)
+
+
+def emb_window_series(spark: SparkSession, sf_dir: str, start: int, end: int) -> DataFrame:
+    """F-EMB's series in a time window, from the indexed band table: the window reaches the scan."""
+    bands = filter_time(emb_indexed(spark, sf_dir), start, end)
+    return tile_bands(bands, EMB_LAYOUT, EMB_COLS, keep=("time_id", "label"))
+
+
+def region_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping time windows, one per region: ``window_id, start, end`` (the last one is open at its end)."""
+    r = table(spark, sf_dir, "region")
+    key = F.col("r_regionkey").cast("int")
+    return r.select(key.alias("window_id"), (key * 45 + 30).alias("start"), F.when(key < 4, key * 45 + 110).alias("end"))
+
+
+def ship_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-SHIP's grid in long form with one record per line item: ``time_id, tile_id, pos, v`` (discounted price)."""
+    li = table(spark, sf_dir, "lineitem")
+    tile, pos = cell_to_tile(F.col("l_suppkey") % SHIP_ROWS, F.col("l_partkey") % SHIP_COLS, SHIP_LAYOUT)
+    return li.select(time_id("l_shipdate").alias("time_id"), tile.alias("tile_id"), pos.alias("pos"),
+                     (F.col("l_extendedprice") * (F.lit(1) - F.col("l_discount"))).alias("v"))
+
+
 def emb_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F-EMB in array form: ``time_id, label, tile_id, cells`` (one row per tile and step)."""
     def build():

@@ -94,7 +94,51 @@ def _raster_mean(mean: str) -> str:
 _LOCAL_ADD = _emb("""
 SELECT label, cell_row, cell_col, ROUND(SUM(v), 6) AS sum_v FROM emb_long GROUP BY label, cell_row, cell_col""")
 
+#: Exact sum of doubles v: whole multiples of 2**-100 (2**-50) as 128-bit integers, rounded by the one addition at the end.
+_THIRDS = _emb("""
+, w AS (SELECT tile_id, pos, SUM(CAST(v / 3.0 * pow(2.0, 100) AS HUGEINT)) AS s FROM emb_long GROUP BY tile_id, pos)
+SELECT tile_id, pos, CAST(s // CAST(9007199254740992 AS HUGEINT) AS DOUBLE) * pow(2.0, -47)
+       + CAST(s % CAST(9007199254740992 AS HUGEINT) AS DOUBLE) * pow(2.0, -100) AS sum_v FROM w""")
+
 ORACLE: dict[str, str] = {
+    "read_bands_mixed": """
+SELECT CAST(vec_id // 250 AS INTEGER) AS path_idx, CAST(vec_id % 250 + 1 AS INTEGER) AS band, CAST(len(embedding) AS INTEGER) AS n_cells,
+       ROUND(list_sum(CAST(embedding AS DOUBLE[])), 6) AS cells_sum FROM embeddings""",
+    "tile_strips_catalog": _summary("v"),
+    "write_catalog_replaced": _emb("""
+, h AS (SELECT *, time_id + 1000 AS t FROM emb_long WHERE time_id % 2 = 0),
+r AS (SELECT t, CAST((row_number() OVER (ORDER BY t) - 1) // 16 AS INTEGER) AS part FROM (SELECT DISTINCT t FROM h))
+SELECT tile_id, part, COUNT(DISTINCT t) AS n_records, MIN(t) AS min_time, MAX(t) AS max_time, ROUND(SUM(v), 6) AS sum_v
+FROM h JOIN r USING (t) GROUP BY tile_id, part"""),
+    "filter_time_bands": """
+SELECT CAST(vec_id // 250 AS INTEGER) AS path_idx, CAST(vec_id % 250 + 1 AS INTEGER) AS band, CAST(vec_id AS INTEGER) AS time_id,
+       ROUND(list_sum(CAST(embedding AS DOUBLE[])), 6) AS cells_sum FROM embeddings WHERE vec_id BETWEEN 100 AND 200""",
+    "prune_parts_windows": _emb("""
+, w AS (SELECT CAST(r_regionkey AS INTEGER) AS window_id, r_regionkey * 45 + 30 AS lo,
+        CASE WHEN r_regionkey < 4 THEN r_regionkey * 45 + 110 ELSE 2147483647 END AS hi FROM region)
+SELECT window_id, cell_row, cell_col, ROUND(SUM(v), 6) AS sum_v FROM emb_long JOIN w ON time_id BETWEEN lo AND hi
+GROUP BY window_id, cell_row, cell_col"""),
+    "map_tiles_shifted": _emb("""
+, m AS (SELECT tile_id, time_id + 10 AS t, pos, v FROM emb_long WHERE time_id + 10 BETWEEN 100 AND 200),
+p AS (SELECT t, CAST((SELECT COUNT(*) FROM emb_parts WHERE is_split AND time_id < t) AS INTEGER) AS part FROM (SELECT DISTINCT t FROM m))
+SELECT tile_id, part, t AS time_id, pos, v FROM m JOIN p USING (t)"""),
+    "map_tiles_shifted_written": _emb("""
+, m AS (SELECT tile_id, time_id + 10 AS t, v FROM emb_long),
+p AS (SELECT t, CAST((row_number() OVER (ORDER BY t) - 1) // 32 AS INTEGER) AS part FROM (SELECT DISTINCT t FROM m))
+SELECT tile_id, part, COUNT(DISTINCT t) AS n_records, MIN(t) AS min_time, MAX(t) AS max_time, ROUND(SUM(v), 6) AS sum_v
+FROM m JOIN p USING (t) WHERE t BETWEEN 100 AND 200 GROUP BY tile_id, part"""),
+    "tile_sum_exact": _THIRDS,
+    "tile_sum_exact_arrow": _THIRDS,
+    "mosaic_sum_ship_exact": _ship("""
+, w AS (SELECT CAST(l_suppkey % 8 AS INTEGER) AS cell_row, CAST(l_partkey % 16 AS INTEGER) AS cell_col,
+        SUM(CAST(l_extendedprice * (1 - l_discount) * pow(2.0, 50) AS HUGEINT)) AS s FROM lineitem GROUP BY 1, 2)
+SELECT g.cell_row, g.cell_col, COALESCE(CAST(s // CAST(1125899906842624 AS HUGEINT) AS DOUBLE)
+       + CAST(s % CAST(1125899906842624 AS HUGEINT) AS DOUBLE) * pow(2.0, -50), 0.0) AS sum_v
+FROM ship_grid g LEFT JOIN w USING (cell_row, cell_col)"""),
+    "assign_part_orders": _ship("""
+, d AS (SELECT CAST(date_sub('day', TIMESTAMP '1950-01-01 12:00:00', o_orderdate) AS INTEGER) AS t FROM orders),
+p AS (SELECT t, CAST((SELECT COUNT(*) FROM ship_parts WHERE is_split AND time_id < t) AS INTEGER) AS part FROM (SELECT DISTINCT t FROM d))
+SELECT part, COUNT(*) AS n_rows, MIN(t) AS min_time, MAX(t) AS max_time FROM d JOIN p USING (t) GROUP BY part"""),
     "read_bands": """
 SELECT CAST(vec_id // 250 AS INTEGER) AS path_idx, CAST(vec_id % 250 + 1 AS INTEGER) AS band,
        2 AS n_meta, CAST(len(embedding) AS INTEGER) AS n_cells, 'float32' AS cell_type,

@@ -4,7 +4,8 @@ Each query takes ``(spark, sf_dir)`` and returns a DataFrame over the whole
 input tables; where a time window is the feature, the name says so (``filter_time``,
 ``prune_parts``, ``series_by_part`` and the ``_window`` forms).  Catalog queries ingest F-EMB into a fresh catalog below the
 session's shared folder (``spark.checkpoint.dir``) once per session and input.
-Float sums are rounded to 6 places on both sides (summation order differs).
+Float sums are rounded to 6 places on both sides (summation order differs), but for
+the ``exact`` forms, which are compared as they are.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from gridseries.functions.bandmeta import band_entries, band_time
 from gridseries.functions.timeid import range_length, time_date, time_id
 from gridseries.operators import aggregate as agg
 from gridseries.operators import filters as flt
-from gridseries.operators.parts import attach_parts, part_ranges, split_points, time_parts
+from gridseries.operators.parts import attach_parts, locate_parts, part_ranges, split_points, splits_array, time_parts
 from gridseries.operators.tiling import check_layout, tile_extents_of, tile_strips
 from gridseries.plans import fixtures as fx
 from gridseries.sources import catalog as cat
@@ -62,6 +63,13 @@ def q_read_bands(spark, d):
                     "cell_type", _r(F.aggregate("cells", F.lit(0.0), lambda a, c: a + c.cast("double"))).alias("cells_sum"))
 
 
+def q_read_bands_mixed(spark, d):
+    """The same inputs at different depths, some nested: one scan, the deepest input wins."""
+    b = read_bands(spark, fx.emb_mixed_paths(spark, d))
+    return b.select("path_idx", "band", F.size("cells").alias("n_cells"),
+                    _r(F.aggregate("cells", F.lit(0.0), lambda a, c: a + c.cast("double"))).alias("cells_sum"))
+
+
 def q_band_metadata(spark, d):
     b = fx.emb_bands(spark, d)
     return b.select("path_idx", "band", F.inline(band_entries("metadata"))) \
@@ -128,6 +136,21 @@ def q_write_catalog(spark, d):
     return _catalog_summary(c.series)
 
 
+def q_tile_strips_catalog(spark, d):
+    """Row strips through a whole ingest: sorted assembly in the writer tasks."""
+    path = new_output_path(spark, "emb-strips")
+    c = ingest(fx.emb_strips(spark, d).drop("label"), path, fx.EMB_LAYOUT.tile_cols, fx.EMB_LAYOUT.tile_rows, k=fx.EMB_K)
+    return _catalog_summary(c.series)
+
+
+def q_write_catalog_replaced(spark, d):
+    """A catalog replaced by a series derived from itself: every other step, later by 1,000, in parts of 16 steps."""
+    path = new_output_path(spark, "emb-replace")
+    c = cat.Catalog(path, emb_catalog(spark, d).meta, emb_catalog(spark, d).series).write(path)
+    half = c.filter(F.col("time_id") % 2 == 0).map_tiles({"time_id": F.col("time_id") + 1000})
+    return _catalog_summary(half.write(path, "overwrite", k=16).series)
+
+
 def _meta_columns(m: str = "metadata"):
     return [F.col(f"{m}.timeCount").alias("time_count"),
             F.array_join(F.col(f"{m}.splits"), ",").alias("splits"),
@@ -217,6 +240,19 @@ def q_prune_parts(spark, d):
     return _long(c.window(*fx.EMB_WINDOW)).select("tile_id", "time_id", "pos", "v")
 
 
+def q_filter_time_bands(spark, d):
+    """A window on the indexed band table itself."""
+    b = flt.filter_time(fx.emb_indexed(spark, d), *fx.EMB_WINDOW)
+    return b.select(F.col("source_idx").alias("path_idx"), "band", "time_id",
+                    _r(F.aggregate("cells", F.lit(0.0), lambda a, c: a + c.cast("double"))).alias("cells_sum"))
+
+
+def q_prune_parts_windows(spark, d):
+    """Cell sums of many windows of one table in one plan; only the parts that a window touches are read."""
+    hits = emb_catalog(spark, d).windows(fx.region_windows(spark, d))
+    return agg.local_add(hits, fx.EMB_LAYOUT, ["window_id"]).select("window_id", "cell_row", "cell_col", _r("sum_v").alias("sum_v"))
+
+
 def q_filter_series(spark, d):
     s = fx.emb_series(spark, d)
     return flt.filter_series(s, F.exists("cells", lambda x: x > F.lit(0.25))).select("tile_id", "time_id")
@@ -245,6 +281,20 @@ def q_map_tiles(spark, d):
     return _long(m).select("tile_id", "time_id", "pos", "v")
 
 
+def q_map_tiles_shifted(spark, d):
+    """A catalog's time ids moved by ten days, then a window: parts are looked up anew."""
+    moved = emb_catalog(spark, d).map_tiles({"time_id": F.col("time_id") + fx.EMB_SHIFT})
+    return _long(moved.between(*fx.EMB_WINDOW).series, "part").select("tile_id", "part", "time_id", "pos", "v")
+
+
+def q_map_tiles_shifted_written(spark, d):
+    """The moved series written as a catalog with parts of 32 steps, opened again, then a window."""
+    moved = emb_catalog(spark, d).map_tiles({"time_id": F.col("time_id") + fx.EMB_SHIFT})
+    path = new_output_path(spark, "emb-moved")
+    moved.write(path, k=fx.EMB_K // 2)
+    return _catalog_summary(cat.open_catalog(spark, path).window(*fx.EMB_WINDOW))
+
+
 def q_map_cells(spark, d):
     s = flt.map_cells(fx.emb_series(spark, d), lambda x: x.cast("double") * x.cast("double"))
     return _long(s).select("tile_id", "time_id", "pos", "v")
@@ -253,7 +303,7 @@ def q_map_cells(spark, d):
 # --- aggregates ---------------------------------------------------------------------
 
 def _emb_window(spark, d):
-    return flt.filter_time(fx.emb_series(spark, d), *fx.EMB_WINDOW)
+    return fx.emb_window_series(spark, d, *fx.EMB_WINDOW)
 
 
 def _tile(df: DataFrame) -> DataFrame:
@@ -280,6 +330,25 @@ def q_tile_sum_catalog(spark, d):
     return _tile(agg.tile_sum(emb_catalog(spark, d).series, fx.EMB_LAYOUT))
 
 
+def _thirds(spark, d):
+    """F-EMB's cells divided by 3: doubles that use all their bits, so plain sums depend on the order."""
+    return flt.map_cells(fx.emb_series(spark, d), lambda x: x.cast("double") / F.lit(3.0))
+
+
+def q_tile_sum_exact(spark, d):
+    """Exact sums, not rounded for the comparison."""
+    return agg.tile_sum(_thirds(spark, d), fx.EMB_LAYOUT, method="explode", exact=True)
+
+
+def q_tile_sum_exact_arrow(spark, d):
+    return agg.tile_sum(_thirds(spark, d), fx.EMB_LAYOUT, method="arrow", exact=True)
+
+
+def q_mosaic_sum_ship_exact(spark, d):
+    """Exact sums of discounted prices per cell, line item by line item, not rounded for the comparison."""
+    return agg.mosaic_sum(fx.ship_prices(spark, d), fx.SHIP_LAYOUT, exact=True)
+
+
 def q_mosaic_sum(spark, d):
     return _raster(agg.mosaic_sum(fx.emb_series(spark, d), fx.EMB_LAYOUT))
 
@@ -324,20 +393,20 @@ def q_time_count(spark, d):
 
 
 def q_time_count_window(spark, d):
-    bands = fx.emb_bands(spark, d).select(F.lit(0).alias("tile_id"), band_time("metadata").alias("time_id"))
+    bands = fx.emb_indexed(spark, d).select(F.lit(0).alias("tile_id"), "time_id")
     return agg.time_count(flt.filter_time(bands, *fx.EMB_WINDOW), distinct=False)
 
 
 def q_mosaic_mean(spark, d):
-    return _raster(agg.mosaic_mean(fx.emb_series(spark, d), fx.EMB_LAYOUT, count=q_time_count(spark, d)), "mean_v")
+    return _raster(agg.mosaic_mean(fx.emb_series(spark, d), fx.EMB_LAYOUT), "mean_v")
 
 
 def q_mosaic_mean_arrow(spark, d):
-    return _raster(agg.mosaic_mean(fx.emb_series(spark, d), fx.EMB_LAYOUT, method="arrow", count=q_time_count(spark, d)), "mean_v")
+    return _raster(agg.mosaic_mean(fx.emb_series(spark, d), fx.EMB_LAYOUT, method="arrow"), "mean_v")
 
 
 def q_mosaic_mean_window(spark, d):
-    return _raster(agg.mosaic_mean(_emb_window(spark, d), fx.EMB_LAYOUT, count=q_time_count_window(spark, d)), "mean_v")
+    return _raster(agg.mosaic_mean(_emb_window(spark, d), fx.EMB_LAYOUT), "mean_v")
 
 
 def q_mosaic_mean_catalog(spark, d):
@@ -354,7 +423,7 @@ def q_mosaic_mean_ship(spark, d):
 
 
 def q_min_max(spark, d):
-    m = agg.mosaic_mean(fx.emb_series(spark, d), fx.EMB_LAYOUT, count=q_time_count(spark, d))
+    m = agg.mosaic_mean(fx.emb_series(spark, d), fx.EMB_LAYOUT)
     return agg.min_max(m, "mean_v").select(_r("min_v").alias("min_v"), _r("max_v").alias("max_v"))
 
 
@@ -391,6 +460,14 @@ def q_assign_part(spark, d):
                                  F.max("time_id").alias("max_time"))
 
 
+def q_assign_part_orders(spark, d):
+    """Parts of time ids that the splits were not made from: order days among the parts of the ship days."""
+    splits = splits_array(split_points(fx.ship_days(spark, d), fx.SHIP_K))
+    days = fx.table(spark, d, "orders").select(time_id("o_orderdate").alias("time_id"))
+    return locate_parts(days, splits).groupBy("part").agg(F.count(F.lit(1)).alias("n_rows"), F.min("time_id").alias("min_time"),
+                                                          F.max("time_id").alias("max_time"))
+
+
 def q_part_ranges(spark, d):
     return part_ranges(split_points(timed_bands(fx.emb_bands(spark, d)), fx.EMB_K))
 
@@ -435,6 +512,7 @@ def q_range_length(spark, d):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "read_bands": q_read_bands,
+    "read_bands_mixed": q_read_bands_mixed,
     "band_metadata": q_band_metadata,
     "band_time": q_band_time,
     "infer_grid": q_infer_grid,
@@ -443,9 +521,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "check_layout": q_check_layout,
     "tile_bands": q_tile_bands,
     "tile_strips": q_tile_strips,
+    "tile_strips_catalog": q_tile_strips_catalog,
     "tile_extents": q_tile_extents,
     "time_bounds": q_time_bounds,
     "write_catalog": q_write_catalog,
+    "write_catalog_replaced": q_write_catalog_replaced,
     "write_metadata": q_write_metadata,
     "read_metadata": q_read_metadata,
     "extent_json": q_extent_json,
@@ -456,15 +536,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "to_records": q_to_records,
     "filter_time": q_filter_time,
     "prune_parts": q_prune_parts,
+    "prune_parts_windows": q_prune_parts_windows,
+    "filter_time_bands": q_filter_time_bands,
     "filter_series": q_filter_series,
     "filter_series_python": q_filter_series_python,
     "map_tiles_python": q_map_tiles_python,
     "map_tiles": q_map_tiles,
+    "map_tiles_shifted": q_map_tiles_shifted,
+    "map_tiles_shifted_written": q_map_tiles_shifted_written,
     "map_cells": q_map_cells,
     "tile_sum": q_tile_sum,
     "tile_sum_arrow": q_tile_sum_arrow,
     "tile_sum_window": q_tile_sum_window,
     "tile_sum_catalog": q_tile_sum_catalog,
+    "tile_sum_exact": q_tile_sum_exact,
+    "tile_sum_exact_arrow": q_tile_sum_exact_arrow,
     "mosaic_sum": q_mosaic_sum,
     "mosaic_sum_arrow": q_mosaic_sum_arrow,
     "mosaic_sum_window": q_mosaic_sum_window,
@@ -473,6 +559,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mosaic_sum_catalog_window": q_mosaic_sum_catalog_window,
     "mosaic_sum_ship": q_mosaic_sum_ship,
     "mosaic_sum_ship_window": q_mosaic_sum_ship_window,
+    "mosaic_sum_ship_exact": q_mosaic_sum_ship_exact,
     "time_count": q_time_count,
     "time_count_window": q_time_count_window,
     "mosaic_mean": q_mosaic_mean,
@@ -488,6 +575,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "split_points": q_split_points,
     "split_points_ship": q_split_points_ship,
     "assign_part": q_assign_part,
+    "assign_part_orders": q_assign_part_orders,
     "part_ranges": q_part_ranges,
     "series_by_part": q_series_by_part,
     "cache_series": q_cache_series,
