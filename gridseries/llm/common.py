@@ -10,6 +10,8 @@ Conventions of all operators:
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -66,6 +68,12 @@ def ragged(src: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return src[at]
 
 
+def scratch_file():
+    """A file without a name, for one task, among the folders to which Spark itself spills on this machine."""
+    folders = [d for d in os.environ.get("SPARK_LOCAL_DIRS", "").split(",") if os.path.isdir(d)]
+    return tempfile.TemporaryFile(dir=folders[os.getpid() % len(folders)] if folders else None)
+
+
 class Growing:
     """A numpy array that grows by appending."""
 

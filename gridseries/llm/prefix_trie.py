@@ -45,8 +45,6 @@ whatever their names; an empty table gives no rows, not even a root.
 from __future__ import annotations
 
 import hashlib
-import os
-import tempfile
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +53,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridseries.llm.common import quoted
+from gridseries.llm.common import quoted, scratch_file
 from gridseries.session import shared_dir
 
 BAND = 1 << 16         # levels of a shard; positions of a block
@@ -347,7 +345,7 @@ class TimeQueue:
         times, values = _merged(np.concatenate(self.times), np.concatenate(self.values))
         self._clear()
         self.spilled += spill
-        self.runs.append(Run(times, values, _scratch() if spill else None))
+        self.runs.append(Run(times, values, scratch_file() if spill else None))
 
     def take(self, upto: bytes) -> tuple[np.ndarray, np.ndarray]:
         if self.least is not None and self.least <= upto:
@@ -359,12 +357,6 @@ class TimeQueue:
         return _merged(np.concatenate([t for t, _ in found]), np.concatenate([v for _, v in found]))
 
 
-def _scratch():
-    """A file without a name among the folders to which Spark itself spills on this machine."""
-    folders = [d for d in os.environ.get("SPARK_LOCAL_DIRS", "").split(",") if os.path.isdir(d)]
-    return tempfile.TemporaryFile(dir=folders[os.getpid() % len(folders)] if folders else None)
-
-
 def _fixed(column) -> np.ndarray:
     data = np.frombuffer(b"".join(column.to_pylist()), np.uint8)
     return data.view(_TIME)

@@ -8,25 +8,30 @@ before from two sequential files and writing the next ones.  Runs of neighbours
 with LENGTH common bytes are the equal substrings; each window's place is read
 off the finished transform, and the smallest document of a run decides.
 
-Spark side: a whole corpus has no single transform, so documents become short
-strings that are dealt out by content.  Neighbouring windows whose smallest
-24-gram hash is the same form one string (up to 27 windows); equal substrings
-have equal hashes, so the strings of one hash range are a collection complete in
-itself.  Documents are grouped by id into groups of about ``GROUP_BYTES``.
-
-1. each group sends its distinct hashes; ranges answer which ones other groups
-   have too (one bit each): a hash of one document only cannot repeat;
+Spark side: a whole corpus has no single transform (it would need as many rounds
+as the longest document has bytes), so documents become short strings that are
+dealt out by content.  Neighbouring windows whose smallest 24-gram hash is the
+same form one string (up to 27 windows); equal substrings have equal hashes, so
+the strings of one hash range are a collection complete in itself.  Documents
+are grouped by id into groups of about ``GROUP_BYTES``.
+
+1. each group sends its distinct hashes, with the number of strings where a hash
+   has more than one; ranges answer which ones other groups have too (a hash of
+   one document only cannot repeat) and which ones are hot;
 2. each group sends the distinct strings of shared hashes with their smallest
-   document; ranges build transforms, in collections of at most ``COLLECTION``
+   document; ranges build transforms, in collections of about ``COLLECTION``
    bytes, and answer which windows start in a smaller document;
 3. each group marks and cuts its documents.
 
-The three steps read the same shuffle of the documents.  Hot passages are one
-hash and one string per group, so a passage that a third of all documents share
-costs a row per group, not per document.  A single hash with more than a
-collection of strings is split into windows dealt by their own hash.  Scratch
-files belong to one round of one task, are unlinked when opened and are read by
-nobody else; a lost executor's tasks start over.
+The three steps read the same shuffle of the documents.  A passage that many
+documents share is one string per group where its surroundings are equal too; at
+its edges every document has a string of its own.  A hash with more strings than
+a collection holds is hot: its strings are sent window by window, each window
+under a hash that its own bytes decide among as many parts as are needed, so the
+strings of a hot hash spread over ranges and tasks, and equal windows still meet
+in one transform.  A collection is in memory while it is built (about 20 bytes a
+symbol: its bound keeps it small); the two sequences of a round lie in files without a name where Spark
+spills its own sorts, read by nobody else; a lost executor's tasks start over.
 
 Defined cases: a null text is the empty text; texts shorter than LENGTH stay
 whole; rows without an id neither lose bytes nor cost others any; rows with the
@@ -37,7 +42,6 @@ are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-import tempfile
 
 import numpy as np
 import pyarrow as pa
@@ -45,13 +49,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridseries.llm.common import doc_view, ragged
+from gridseries.llm.common import doc_view, ragged, scratch_file
 
 LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM + 1
 GROUP_BYTES, RANGE_BYTES, COLLECTION = 2 << 20, 32 << 20, 1 << 20
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _ODD = 0x9E3779B97F4A7C15
+_HOT = np.dtype([("hash", np.uint64), ("parts", np.int64)])
 
 
 class Group:
@@ -73,8 +78,10 @@ class Group:
         if n < LENGTH:
             self.start = self.count = self.doc = np.zeros(0, np.int64)
             self.hash = np.zeros(0, np.uint64)
+            self.sums = np.zeros(1, np.uint64)
             return
-        h = _gram_hashes(self.data)
+        h = _gram_hashes(self.data, GRAM)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h)])
         h ^= h >> np.uint64(32)
         h *= _MIX
         h ^= h >> np.uint64(29)
@@ -111,6 +118,39 @@ class Group:
         h, d = self.hash[order], self.id_of[order]
         return np.unique(h[1:][(h[1:] == h[:-1]) & (d[1:] != d[:-1])])
 
+    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct hashes, and how many different strings each has (told apart by the sum of their 24-gram hashes)."""
+        found, item, runs = np.unique(self.hash, return_inverse=True, return_counts=True)
+        several = np.flatnonzero(runs[item] > 1)
+        sums = self.sums[self.start[several] + self.count[several] + LENGTH - GRAM] - self.sums[self.start[several]]
+        order = np.lexsort((sums, item[several]))
+        which, sums = item[several][order], sums[order]
+        new = np.ones(len(which), bool)
+        new[1:] = (which[1:] != which[:-1]) | (sums[1:] != sums[:-1])
+        strings = np.ones(len(found), np.int64)
+        np.maximum(strings, np.bincount(which[new], minlength=len(found)), out=strings)
+        return found, strings
+
+    def spread(self, hot: np.ndarray) -> np.ndarray:
+        """Strings of hot hashes become their windows, each under a hash that its bytes decide; returns these hashes."""
+        if not len(hot) or not len(self.hash):
+            return np.zeros(0, np.uint64)
+        hot = np.unique(hot)
+        at = np.minimum(np.searchsorted(hot["hash"], self.hash), len(hot) - 1)
+        mine = hot["hash"][at] == self.hash
+        n = self.count[mine]
+        start = np.repeat(self.start[mine] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        window = _gram_hashes(self.data, LENGTH)[start] if len(start) else np.zeros(0, np.uint64)
+        window = (window ^ (window >> np.uint64(32))) * _MIX
+        part = (window >> np.uint64(20)) % np.repeat(hot["parts"][at[mine]].astype(np.uint64), n)
+        hashes = np.repeat(self.hash[mine], n) + (part + np.uint64(1)) * np.uint64(_ODD)
+        hashes = (hashes ^ (hashes >> np.uint64(31))) * _MIX
+        hashes ^= hashes >> np.uint64(30)
+        doc = np.repeat(self.doc[mine], n)
+        self.start, self.count = np.append(self.start[~mine], start), np.append(self.count[~mine], np.ones(len(start), np.int64))
+        self.hash, self.doc = np.append(self.hash[~mine], hashes), np.append(self.doc[~mine], doc)
+        return np.unique(hashes)
+
     @property
     def id_of(self) -> np.ndarray:
         return np.array([-1 if i is None else i for i in self.ids], np.int64)[self.doc]
@@ -142,16 +182,16 @@ def _by_hash(strings: list[bytes], keys: list[bytes], hashes: np.ndarray) -> tup
     return [strings[i] for i in order.tolist()], back[item], hash_of[order]
 
 
-def _gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of every run of GRAM bytes, put together from runs of 1, 2, 4, ... bytes."""
+def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of every run of ``gram`` bytes, put together from runs of 1, 2, 4, ... bytes."""
     part = (data.astype(np.uint64) + np.uint64(1)) * _MIX
     out, size, step = None, 0, 1
     while True:
-        if GRAM & step:
+        if gram & step:
             n = len(data) - size - step + 1
             out = part[:n] if out is None else out[:n] * np.uint64(pow(_ODD, step, 1 << 64)) + part[size : size + n]
             size += step
-        if 2 * step > GRAM:
+        if 2 * step > gram:
             return out.copy()
         part = part[:-step] * np.uint64(pow(_ODD, step, 1 << 64)) + part[step:]
         step *= 2
@@ -184,7 +224,7 @@ def build(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     place = np.arange(m)
     most = int(length.sum()) + m
     front, old, who = np.zeros(most, bool), np.ones(most, bool), np.empty(most, np.int32)
-    with tempfile.TemporaryFile() as bwt_file, tempfile.TemporaryFile() as lcp_file:
+    with scratch_file() as bwt_file, scratch_file() as lcp_file:
         data[last].tofile(bwt_file)
         np.zeros(m, np.uint8).tofile(lcp_file)
         n = m
@@ -251,48 +291,24 @@ def first_documents(strings: list[bytes], least: np.ndarray) -> tuple[np.ndarray
     return smallest[found], count
 
 
-def _collections(hashes: np.ndarray, strings: list[bytes]):
-    """Positions of the strings of one collection after the other: whole hashes, about COLLECTION bytes; a hash with
-    more comes alone, marked to be split."""
-    size = np.fromiter(map(len, strings), np.int64, len(strings))
+def _collections(hashes: np.ndarray, strings: list[bytes], most: int):
+    """Positions of the strings of one collection after the other: whole hashes, about ``most`` bytes."""
+    total = np.concatenate([[0], np.cumsum(np.fromiter(map(len, strings), np.int64, len(strings)))])
     lo = 0
-    total = np.concatenate([[0], np.cumsum(size)])
     while lo < len(strings):
-        hi = int(np.searchsorted(total, total[lo] + COLLECTION, side="right")) - 1
+        hi = int(np.searchsorted(total, total[lo] + most, side="right")) - 1
         if hi < len(strings):
             hi = int(np.searchsorted(hashes, hashes[max(hi, lo)], side="left"))
             if hi <= lo:  # one hash has more
                 hi = int(np.searchsorted(hashes, hashes[lo], side="right"))
-        yield lo, hi, total[hi] - total[lo] > 2 * COLLECTION
+        yield lo, hi
         lo = hi
 
 
-def _firsts(hashes: np.ndarray, strings: list[bytes], least: np.ndarray):
+def _firsts(hashes: np.ndarray, strings: list[bytes], least: np.ndarray, most: int):
     """first_documents over collections of bounded size; strings sorted by hash."""
-    firsts, counts = [], []
-    for lo, hi, split in _collections(hashes, strings):
-        if not split:
-            f, c = first_documents(strings[lo:hi], least[lo:hi])
-        else:
-            c = np.fromiter((len(s) - LENGTH + 1 for s in strings[lo:hi]), np.int64, hi - lo)
-            owner = np.repeat(np.arange(lo, hi), c)
-            at = np.arange(len(owner)) - np.repeat(np.cumsum(c) - c, c)
-            parts = max(2, int(c.sum()) * LENGTH // COLLECTION)
-            deal = np.fromiter((int.from_bytes(hashlib.blake2b(strings[o][a : a + LENGTH], digest_size=4).digest(), "big") % parts for o, a in zip(owner, at)), np.int64, len(owner))
-            f = np.empty(len(owner), np.int64)
-            for p in np.unique(deal):
-                mine = np.flatnonzero(deal == p)
-                windows: dict[bytes, int] = {}
-                number = np.array([windows.setdefault(strings[o][a : a + LENGTH], len(windows)) for o, a in zip(owner[mine], at[mine])])
-                small = np.full(len(windows), np.iinfo(np.int64).max)
-                np.minimum.at(small, number, least[owner[mine]])
-                names = list(windows)
-                step = max(1, COLLECTION // LENGTH)  # distinct windows never meet: any cut is complete
-                got = np.concatenate([first_documents(names[i : i + step], small[i : i + step])[0] for i in range(0, len(names), step)])
-                f[mine] = got[number]
-        firsts.append(f)
-        counts.append(c)
-    return np.concatenate(firsts), np.concatenate(counts)
+    found = [first_documents(strings[lo:hi], least[lo:hi]) for lo, hi in _collections(hashes, strings, most)]
+    return np.concatenate([f for f, _ in found]), np.concatenate([c for _, c in found])
 
 
 def _blob(a: np.ndarray) -> bytes:
@@ -319,37 +335,66 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     groups = max(1, total // GROUP_BYTES)
     ranges = max(1, total // RANGE_BYTES)
     builds = max(1, 4 * total // RANGE_BYTES)
+    collection = COLLECTION
+    hot_strings = max(1, collection // (LENGTH + SPAN - 1))  # a collection holds so many
+
     grouped = view.withColumn("g", F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(groups)))
 
+    def hot_of(hashes: np.ndarray, strings: np.ndarray) -> np.ndarray:
+        many = strings > hot_strings
+        hot = np.empty(int(many.sum()), _HOT)
+        hot["hash"], hot["parts"] = hashes[many], strings[many] * (SPAN * LENGTH) // collection + 1
+        return hot
+
     def ask(t: pa.Table) -> pa.Table:
-        hashes = np.unique(_open(t).hash)
+        hashes, strings = _open(t).hashes()
         part, g = _ranges(hashes, ranges), t.column("g")[0].as_py()
-        return _batch([(int(part[a]), g, _blob(hashes[a:b])) for a, b in _cuts(part)], "part g hashes", [pa.int64(), pa.int64(), pa.binary()])
+        out = []
+        for a, b in _cuts(part):
+            several = np.flatnonzero(strings[a:b] > 1)
+            out.append((int(part[a]), g, _blob(hashes[a:b]), _blob(several.astype(np.uint32)), _blob(strings[a:b][several].astype(np.uint32))))
+        return _batch(out, "part g hashes several strings", [pa.int64(), pa.int64(), *[pa.binary()] * 3])
 
     def answer(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
         every = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in rows])
         every.sort()
-        several = np.unique(every[1:][every[1:] == every[:-1]])
-        out = []
+        shared = np.unique(every[1:][every[1:] == every[:-1]])
+        strings, both = np.zeros(len(shared), np.int64), []
         for r in rows:
             mine = np.frombuffer(r["hashes"], np.uint64)
-            both = mine[np.isin(mine, several, assume_unique=True)]
-            if len(both):
-                out.append((r["g"], r["part"], _blob(both)))
-        return _batch(out, "g part hashes", [pa.int64(), pa.int64(), pa.binary()])
+            n = np.ones(len(mine), np.int64)
+            n[np.frombuffer(r["several"], np.uint32)] = np.frombuffer(r["strings"], np.uint32)
+            at = np.flatnonzero(np.isin(mine, shared, assume_unique=True))
+            both.append(mine[at])
+            strings[np.searchsorted(shared, mine[at])] += n[at]
+        hot = hot_of(shared, strings)
+        return _batch([(r["g"], r["part"], _blob(x), _blob(hot[np.isin(hot["hash"], x)])) for r, x in zip(rows, both) if len(x)],
+                      "g part hashes hot", [pa.int64(), pa.int64(), pa.binary(), pa.binary()])
+
+    def sent(group: Group, told: list[np.ndarray], hot: list[np.ndarray]):
+        """The group's items, after its hot strings have become windows: what ``offer`` sends and ``cut`` marks."""
+        here = group.shared_here()
+        found, strings = group.hashes()
+        own = hot_of(found, strings)
+        own = own[np.isin(own["hash"], here)]
+        known = np.concatenate([np.zeros(0, _HOT), *hot])
+        known = np.concatenate([known, own[~np.isin(own["hash"], known["hash"])]])
+        windows = group.spread(known)
+        return known, group.items(np.unique(np.concatenate([here, windows, *told])))
 
     def offer(t: pa.Table, told: pa.Table) -> pa.Table:
         if not t.num_rows:
-            return _batch([], "part g hashes counts text least", [pa.int64(), pa.int64(), *[pa.binary()] * 4])
-        group = _open(t)
-        known = [np.frombuffer(x, np.uint64) for x in told.column("hashes").to_pylist()]
-        hashes, counts, strings, least, _, _ = group.items(np.unique(np.concatenate([group.shared_here(), *known])))
+            return _batch([], "part g hashes counts text least hot", [pa.int64(), pa.int64(), *[pa.binary()] * 5])
+        hot, (hashes, counts, strings, least, _, _) = sent(
+            _open(t), [np.frombuffer(x, np.uint64) for x in told.column("hashes").to_pylist()],
+            [np.frombuffer(x, _HOT) for x in told.column("hot").to_pylist()])
         part, g = _ranges(hashes, builds), t.column("g")[0].as_py()
         pack = zstandard.ZstdCompressor(level=1)
+        # the hot hashes travel once, with the first row, and come back to the group
         return _batch([(int(part[a]), g, _blob(hashes[a:b]), _blob(counts[a:b].astype(np.uint8)),
-                        pack.compress(b"".join(strings[a:b])), _blob(least[a:b])) for a, b in _cuts(part)],
-                      "part g hashes counts text least", [pa.int64(), pa.int64(), *[pa.binary()] * 4])
+                        pack.compress(b"".join(strings[a:b])), _blob(least[a:b]), b"" if a else _blob(hot)) for a, b in _cuts(part)],
+                      "part g hashes counts text least hot", [pa.int64(), pa.int64(), *[pa.binary()] * 5])
 
     def judge(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
@@ -364,7 +409,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         asked = np.concatenate([np.frombuffer(r["least"], np.int64) for r in rows])
         least = np.full(len(strings), np.iinfo(np.int64).max)
         np.minimum.at(least, item, asked)
-        first, count = _firsts(hash_of, strings, least)
+        first, count = _firsts(hash_of, strings, least, collection)
         n = count[item]
         flags = ragged(first, (np.cumsum(count) - count)[item], n) < np.repeat(asked, n)
         out, at, cut = [], 0, np.concatenate([[0], np.cumsum(n)])
@@ -374,11 +419,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             m = len(mine)
             # hashes none of whose windows starts in a smaller document need no answer
             tell = np.isin(mine, np.unique(mine[hit[at : at + m]]))
-            if tell.any():
+            if tell.any() or r["hot"]:
                 out.append((r["g"], r["part"], _blob(mine[tell]),
-                            _blob(np.packbits(flags[cut[at] : cut[at + m]][np.repeat(tell, n[at : at + m])]))))
+                            _blob(np.packbits(flags[cut[at] : cut[at + m]][np.repeat(tell, n[at : at + m])])), r["hot"]))
             at += m
-        return _batch(out, "g part hashes flags", [pa.int64(), pa.int64(), pa.binary(), pa.binary()])
+        return _batch(out, "g part hashes flags hot", [pa.int64(), pa.int64(), *[pa.binary()] * 3])
 
     def cut(t: pa.Table, told: pa.Table) -> pa.Table:
         names, types = "doc_id n_bytes n_removed n_spans kept_sha256 kept", [*[pa.int64()] * 4, pa.string(), pa.binary()]
@@ -386,7 +431,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             return _batch([], names, types)
         group, rows = _open(t), _sorted(told, "part")
         told_hashes = [np.frombuffer(r["hashes"], np.uint64) for r in rows]
-        hashes, counts, _, least, own, item = group.items(np.unique(np.concatenate([group.shared_here(), *told_hashes])))
+        _, (hashes, counts, _, least, own, item) = sent(group, told_hashes, [np.frombuffer(r["hot"], _HOT) for r in rows])
         flags = np.zeros(int(counts.sum()), bool)  # of the items' windows, in order; answers come by rising hash
         at = np.cumsum(counts) - counts
         for r, mine in zip(rows, told_hashes):
@@ -409,10 +454,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out.append((i, s, s - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))
         return _batch(out, names, types)
 
-    asked = grouped.groupBy("g").applyInArrow(ask, "part long, g long, hashes binary")
-    shared = asked.groupBy("part").applyInArrow(answer, "g long, part long, hashes binary")
+    asked = grouped.groupBy("g").applyInArrow(ask, "part long, g long, hashes binary, several binary, strings binary")
+    shared = asked.groupBy("part").applyInArrow(answer, "g long, part long, hashes binary, hot binary")
     offered = grouped.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(
-        offer, "part long, g long, hashes binary, counts binary, text binary, least binary")
-    judged = offered.groupBy("part").applyInArrow(judge, "g long, part long, hashes binary, flags binary")
+        offer, "part long, g long, hashes binary, counts binary, text binary, least binary, hot binary")
+    judged = offered.groupBy("part").applyInArrow(judge, "g long, part long, hashes binary, flags binary, hot binary")
     return grouped.groupBy("g").cogroup(judged.groupBy("g")).applyInArrow(
         cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

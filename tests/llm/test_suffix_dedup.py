@@ -81,3 +81,30 @@ def test_transform_equals_sorted_suffixes():
                 n += 1
             common.append(n)
         assert lcp.tolist() == common
+
+
+def test_hot_passage_with_foreign_neighbours_spreads(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9)))
+    passage = " ".join(word() for _ in range(30))
+    rows = [(i, " ".join([*(word() for _ in range(12)), passage, *(word() for _ in range(12))])) for i in range(2000)]
+    # every document has strings of its own at the passage's edges, under one hash
+    group = S.Group([i for i, _ in rows], [t for _, t in rows])
+    found, strings = group.hashes()
+    assert strings.max() > 1900
+    hot = np.empty(int((strings > 100).sum()), S._HOT)
+    hot["hash"], hot["parts"] = found[strings > 100], strings[strings > 100] * S.SPAN * S.LENGTH // 7600 + 1
+    before = len(group.start)
+    group.spread(hot)
+    assert len(group.start) > before and group.hashes()[1].max() <= 200  # a collection of 7,600 bytes holds 100 strings
+    monkeypatch.setattr(S, "GROUP_BYTES", 30000)
+    monkeypatch.setattr(S, "RANGE_BYTES", 100000)
+    monkeypatch.setattr(S, "COLLECTION", 7600)
+    assert got(S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == plain(rows)
+
+
+def test_long_document_among_odd_rows(spark):
+    rows = [(r.doc_id, r.text) for r in odd_docs(spark).collect()]
+    assert got(S.remove_repeats(odd_docs(spark))) == plain(rows)
+    again = [(7, "long " * 3000), (8, "x" + "long " * 2000), (7, "long " * 3000)]
+    assert got(S.remove_repeats(spark.createDataFrame(again, "doc_id long, text string"))) == plain(again)
