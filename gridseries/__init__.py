@@ -16,7 +16,7 @@ from gridseries.model import CellType, Extent, GridMetadata, RasterExtent, TileL
 from gridseries.session import build_session
 from gridseries.sources.bands import read_bands
 from gridseries.sources.catalog import Catalog, open_catalog
-from gridseries.sources.ingest import ingest
+from gridseries.sources.ingest import index_bands, ingest
 
-__all__ = ["CellType", "Extent", "GridMetadata", "RasterExtent", "TileLayout", "Catalog", "build_session",
+__all__ = ["CellType", "Extent", "GridMetadata", "RasterExtent", "TileLayout", "Catalog", "build_session", "index_bands",
            "ingest", "open_catalog", "read_bands"]

@@ -30,6 +30,7 @@ EMB_BANDS_PER_INPUT = 250
 EMB_WINDOW = (100, 200)
 EMB_K = 64
 EMB_SHIFT = 10
+EMB_LARGE_K = 128
 WIDE_LAYOUT = TileLayout(tile_cols=1, tile_rows=1, pixel_cols=64, pixel_rows=64)
 
 SHIP_LAYOUT = TileLayout(tile_cols=4, tile_rows=2, pixel_cols=4, pixel_rows=4)

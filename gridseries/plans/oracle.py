@@ -107,7 +107,7 @@ SELECT CAST(vec_id // 250 AS INTEGER) AS path_idx, CAST(vec_id % 250 + 1 AS INTE
     "tile_strips_catalog": _summary("v"),
     "write_catalog_replaced": _emb("""
 , h AS (SELECT *, time_id + 1000 AS t FROM emb_long WHERE time_id % 2 = 0),
-r AS (SELECT t, CAST((row_number() OVER (ORDER BY t) - 1) // 16 AS INTEGER) AS part FROM (SELECT DISTINCT t FROM h))
+r AS (SELECT t, CAST((row_number() OVER (ORDER BY t) - 1) // 128 AS INTEGER) AS part FROM (SELECT DISTINCT t FROM h))
 SELECT tile_id, part, COUNT(DISTINCT t) AS n_records, MIN(t) AS min_time, MAX(t) AS max_time, ROUND(SUM(v), 6) AS sum_v
 FROM h JOIN r USING (t) GROUP BY tile_id, part"""),
     "filter_time_bands": """
@@ -124,7 +124,7 @@ p AS (SELECT t, CAST((SELECT COUNT(*) FROM emb_parts WHERE is_split AND time_id
 SELECT tile_id, part, t AS time_id, pos, v FROM m JOIN p USING (t)"""),
     "map_tiles_shifted_written": _emb("""
 , m AS (SELECT tile_id, time_id + 10 AS t, v FROM emb_long),
-p AS (SELECT t, CAST((row_number() OVER (ORDER BY t) - 1) // 32 AS INTEGER) AS part FROM (SELECT DISTINCT t FROM m))
+p AS (SELECT t, CAST((row_number() OVER (ORDER BY t) - 1) // 128 AS INTEGER) AS part FROM (SELECT DISTINCT t FROM m))
 SELECT tile_id, part, COUNT(DISTINCT t) AS n_records, MIN(t) AS min_time, MAX(t) AS max_time, ROUND(SUM(v), 6) AS sum_v
 FROM m JOIN p USING (t) WHERE t BETWEEN 100 AND 200 GROUP BY tile_id, part"""),
     "tile_sum_exact": _THIRDS,

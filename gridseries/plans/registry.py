@@ -144,11 +144,11 @@ def q_tile_strips_catalog(spark, d):
 
 
 def q_write_catalog_replaced(spark, d):
-    """A catalog replaced by a series derived from itself: every other step, later by 1,000, in parts of 16 steps."""
+    """A catalog replaced by a series derived from itself: every other step, later by 1,000, in other parts."""
     path = new_output_path(spark, "emb-replace")
-    c = cat.Catalog(path, emb_catalog(spark, d).meta, emb_catalog(spark, d).series).write(path)
+    c = ingest(fx.emb_bands(spark, d), path, fx.EMB_LAYOUT.tile_cols, fx.EMB_LAYOUT.tile_rows, k=fx.EMB_LARGE_K * 2)
     half = c.filter(F.col("time_id") % 2 == 0).map_tiles({"time_id": F.col("time_id") + 1000})
-    return _catalog_summary(half.write(path, "overwrite", k=16).series)
+    return _catalog_summary(half.write(path, "overwrite", k=fx.EMB_LARGE_K).series)
 
 
 def _meta_columns(m: str = "metadata"):
@@ -288,10 +288,10 @@ def q_map_tiles_shifted(spark, d):
 
 
 def q_map_tiles_shifted_written(spark, d):
-    """The moved series written as a catalog with parts of 32 steps, opened again, then a window."""
+    """The moved series written as a catalog with larger parts, opened again, then a window."""
     moved = emb_catalog(spark, d).map_tiles({"time_id": F.col("time_id") + fx.EMB_SHIFT})
     path = new_output_path(spark, "emb-moved")
-    moved.write(path, k=fx.EMB_K // 2)
+    moved.write(path, k=fx.EMB_LARGE_K)
     return _catalog_summary(cat.open_catalog(spark, path).window(*fx.EMB_WINDOW))
 
 
