@@ -29,7 +29,9 @@ its edges every document has a string of its own.  A hash with more strings than
 a collection holds is hot: its strings are sent window by window, each window
 under a hash that its own bytes decide among as many parts as are needed, so the
 strings of a hot hash spread over ranges and tasks, and equal windows still meet
-in one transform.  A collection is in memory while it is built (about 20 bytes a
+in one transform.  Left out before the construction, both exactly: hashes of one
+document (step 1), and strings that are alone under their hash, which all their
+holders have as a whole.  A collection is in memory while it is built (about 20 bytes a
 symbol: its bound keeps it small); the two sequences of a round lie in files without a name where Spark
 spills its own sorts, read by nobody else; a lost executor's tasks start over.
 
@@ -56,6 +58,7 @@ SPAN = LENGTH - GRAM + 1
 GROUP_BYTES, RANGE_BYTES, COLLECTION = 2 << 20, 32 << 20, 1 << 20
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _ODD = 0x9E3779B97F4A7C15
+FEW = 256  # strings of one hash in one group, up to which copies are not told apart when strings are counted
 _HOT = np.dtype([("hash", np.uint64), ("parts", np.int64)])
 
 
@@ -65,6 +68,7 @@ class Group:
     def __init__(self, ids: list, texts: list):
         raw = [(t or "").encode("utf-8", "replace") for t in texts]
         self.raw, self.ids = raw, ids
+        self.plain_ids = np.array([-1 if i is None else i for i in ids], np.int64)
         self.size = np.fromiter(map(len, raw), np.int64, len(raw))
         self.data = np.frombuffer(b"".join(raw), np.uint8)
         self.begin = np.cumsum(self.size) - self.size
@@ -78,10 +82,8 @@ class Group:
         if n < LENGTH:
             self.start = self.count = self.doc = np.zeros(0, np.int64)
             self.hash = np.zeros(0, np.uint64)
-            self.sums = np.zeros(1, np.uint64)
             return
         h = _gram_hashes(self.data, GRAM)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h)])
         h ^= h >> np.uint64(32)
         h *= _MIX
         h ^= h >> np.uint64(29)
@@ -112,24 +114,34 @@ class Group:
         self.doc = np.searchsorted(self.begin, self.start, side="right") - 1
         self.doc = _last_of_equal(self.begin, self.size, self.start, self.doc)
 
-    def shared_here(self) -> np.ndarray:
+    def by_hash(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The strings ordered by hash, the distinct hashes, and where each begins in that order."""
+        order = np.argsort(self.hash)
+        h = self.hash[order]
+        begin = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+        return order, h[begin], begin
+
+    def shared_here(self, ordered) -> np.ndarray:
         """Hashes that two documents of different ids in this group have."""
-        order = np.lexsort((self.id_of, self.hash))
-        h, d = self.hash[order], self.id_of[order]
-        return np.unique(h[1:][(h[1:] == h[:-1]) & (d[1:] != d[:-1])])
-
-    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct hashes, and how many different strings each has (told apart by the sum of their 24-gram hashes)."""
-        found, item, runs = np.unique(self.hash, return_inverse=True, return_counts=True)
-        several = np.flatnonzero(runs[item] > 1)
-        sums = self.sums[self.start[several] + self.count[several] + LENGTH - GRAM] - self.sums[self.start[several]]
-        order = np.lexsort((sums, item[several]))
-        which, sums = item[several][order], sums[order]
-        new = np.ones(len(which), bool)
-        new[1:] = (which[1:] != which[:-1]) | (sums[1:] != sums[:-1])
-        strings = np.ones(len(found), np.int64)
-        np.maximum(strings, np.bincount(which[new], minlength=len(found)), out=strings)
-        return found, strings
+        order, found, begin = ordered
+        if not len(found):
+            return found
+        ids = self.id_of[order]
+        return found[np.minimum.reduceat(ids, begin) != np.maximum.reduceat(ids, begin)]
+
+    def strings_of(self, ordered, few: int) -> np.ndarray:
+        """About how many different strings each hash has: never fewer than there are; above ``few`` equal ones count
+        once (told apart by the sum of their 24-gram hashes)."""
+        order, found, begin = ordered
+        runs = np.diff(np.append(begin, len(order)))
+        many = np.flatnonzero(runs > few)
+        if len(many):
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_gram_hashes(self.data, GRAM))])
+            for i in many.tolist():
+                mine = order[begin[i] : begin[i] + runs[i]]
+                at = self.start[mine]
+                runs[i] = len(np.unique(sums[at + self.count[mine] + LENGTH - GRAM] - sums[at]))
+        return runs
 
     def spread(self, hot: np.ndarray) -> np.ndarray:
         """Strings of hot hashes become their windows, each under a hash that its bytes decide; returns these hashes."""
@@ -153,7 +165,7 @@ class Group:
 
     @property
     def id_of(self) -> np.ndarray:
-        return np.array([-1 if i is None else i for i in self.ids], np.int64)[self.doc]
+        return self.plain_ids[self.doc]
 
     def items(self, hashes: np.ndarray):
         """The distinct strings of these hashes, by hash and content: hash, windows, bytes, smallest id; and for each
@@ -306,9 +318,22 @@ def _collections(hashes: np.ndarray, strings: list[bytes], most: int):
 
 
 def _firsts(hashes: np.ndarray, strings: list[bytes], least: np.ndarray, most: int):
-    """first_documents over collections of bounded size; strings sorted by hash."""
-    found = [first_documents(strings[lo:hi], least[lo:hi]) for lo, hi in _collections(hashes, strings, most)]
-    return np.concatenate([f for f, _ in found]), np.concatenate([c for _, c in found])
+    """first_documents over collections of bounded size; strings sorted by hash.
+
+    A window occurs under its own hash only, so a string alone under its hash
+    shares no window with another one: its windows start in its smallest holder,
+    and it stays out of the construction.
+    """
+    count = np.fromiter(map(len, strings), np.int64, len(strings)) - LENGTH + 1
+    first, begin = np.repeat(least, count), np.cumsum(count) - count
+    same = hashes[1:] == hashes[:-1]
+    built = np.flatnonzero(np.append(same, False) | np.append(False, same))
+    met = [strings[i] for i in built.tolist()]
+    for lo, hi in _collections(hashes[built], met, most):
+        mine = built[lo:hi]
+        found, n = first_documents(met[lo:hi], least[mine])
+        first[np.repeat(begin[mine] - (np.cumsum(n) - n), n) + np.arange(len(found))] = found
+    return first, count
 
 
 def _blob(a: np.ndarray) -> bytes:
@@ -347,7 +372,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return hot
 
     def ask(t: pa.Table) -> pa.Table:
-        hashes, strings = _open(t).hashes()
+        group = _open(t)
+        ordered = group.by_hash()
+        hashes, strings = ordered[1], group.strings_of(ordered, FEW)
         part, g = _ranges(hashes, ranges), t.column("g")[0].as_py()
         out = []
         for a, b in _cuts(part):
@@ -374,9 +401,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def sent(group: Group, told: list[np.ndarray], hot: list[np.ndarray]):
         """The group's items, after its hot strings have become windows: what ``offer`` sends and ``cut`` marks."""
-        here = group.shared_here()
-        found, strings = group.hashes()
-        own = hot_of(found, strings)
+        ordered = group.by_hash()
+        here = group.shared_here(ordered)
+        own = hot_of(ordered[1], group.strings_of(ordered, hot_strings))
         own = own[np.isin(own["hash"], here)]
         known = np.concatenate([np.zeros(0, _HOT), *hot])
         known = np.concatenate([known, own[~np.isin(own["hash"], known["hash"])]])

@@ -90,13 +90,14 @@ def test_hot_passage_with_foreign_neighbours_spreads(spark, monkeypatch):
     rows = [(i, " ".join([*(word() for _ in range(12)), passage, *(word() for _ in range(12))])) for i in range(2000)]
     # every document has strings of its own at the passage's edges, under one hash
     group = S.Group([i for i, _ in rows], [t for _, t in rows])
-    found, strings = group.hashes()
+    ordered = group.by_hash()
+    found, strings = ordered[1], group.strings_of(ordered, 16)
     assert strings.max() > 1900
     hot = np.empty(int((strings > 100).sum()), S._HOT)
     hot["hash"], hot["parts"] = found[strings > 100], strings[strings > 100] * S.SPAN * S.LENGTH // 7600 + 1
     before = len(group.start)
     group.spread(hot)
-    assert len(group.start) > before and group.hashes()[1].max() <= 200  # a collection of 7,600 bytes holds 100 strings
+    assert len(group.start) > before and group.strings_of(group.by_hash(), 16).max() <= 200  # a collection of 7,600 bytes holds 100 strings
     monkeypatch.setattr(S, "GROUP_BYTES", 30000)
     monkeypatch.setattr(S, "RANGE_BYTES", 100000)
     monkeypatch.setattr(S, "COLLECTION", 7600)
