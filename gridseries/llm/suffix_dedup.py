@@ -58,6 +58,7 @@ SPAN = LENGTH - GRAM + 1
 GROUP_BYTES, RANGE_BYTES, COLLECTION = 2 << 20, 32 << 20, 1 << 20
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _ODD = 0x9E3779B97F4A7C15
+BLOCK = 1 << 15  # windows whose hashes are worked out together
 FEW = 256  # strings of one hash in one group, up to which copies are not told apart when strings are counted
 _HOT = np.dtype([("hash", np.uint64), ("parts", np.int64)])
 
@@ -83,16 +84,7 @@ class Group:
             self.start = self.count = self.doc = np.zeros(0, np.int64)
             self.hash = np.zeros(0, np.uint64)
             return
-        h = _gram_hashes(self.data, GRAM)
-        h ^= h >> np.uint64(32)
-        h *= _MIX
-        h ^= h >> np.uint64(29)
-        step = 1
-        while 2 * step <= SPAN:
-            h = np.minimum(h[:-step], h[step:])
-            step *= 2
-        if SPAN > step:
-            h = np.minimum(h[: len(h) - (SPAN - step)], h[SPAN - step :])
+        h = _window_hashes(self.data)
         ok = np.zeros(n + 1, np.int8)  # windows that lie in one document with an id
         whole = np.flatnonzero((self.size >= LENGTH) & with_id)
         np.add.at(ok, self.begin[whole], 1)
@@ -152,7 +144,9 @@ class Group:
         mine = hot["hash"][at] == self.hash
         n = self.count[mine]
         start = np.repeat(self.start[mine] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        window = _gram_hashes(self.data, LENGTH)[start] if len(start) else np.zeros(0, np.uint64)
+        window = np.zeros(len(start), np.uint64)
+        for i in range(LENGTH):
+            window = window * np.uint64(_ODD) + self.data[start + i] + np.uint64(1)
         window = (window ^ (window >> np.uint64(32))) * _MIX
         part = (window >> np.uint64(20)) % np.repeat(hot["parts"][at[mine]].astype(np.uint64), n)
         hashes = np.repeat(self.hash[mine], n) + (part + np.uint64(1)) * np.uint64(_ODD)
@@ -194,6 +188,24 @@ def _by_hash(strings: list[bytes], keys: list[bytes], hashes: np.ndarray) -> tup
     return [strings[i] for i in order.tolist()], back[item], hash_of[order]
 
 
+def _window_hashes(data: np.ndarray) -> np.ndarray:
+    """The smallest (mixed) gram hash of every window of LENGTH bytes, block by block, so that the steps stay in the cache."""
+    out = np.empty(len(data) - LENGTH + 1, np.uint64)
+    for a in range(0, len(out), BLOCK):
+        h = _gram_hashes(data[a : a + BLOCK + LENGTH - 1], GRAM)
+        h ^= h >> np.uint64(32)
+        h *= _MIX
+        h ^= h >> np.uint64(29)
+        step = 1
+        while 2 * step <= SPAN:
+            h = np.minimum(h[:-step], h[step:])
+            step *= 2
+        if SPAN > step:
+            h = np.minimum(h[: len(h) - (SPAN - step)], h[SPAN - step :])
+        out[a : a + len(h)] = h
+    return out
+
+
 def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     """A hash of every run of ``gram`` bytes, put together from runs of 1, 2, 4, ... bytes."""
     part = (data.astype(np.uint64) + np.uint64(1)) * _MIX
