@@ -166,26 +166,47 @@ class Group:
         of the group's strings with such a hash (``own``) the item it is."""
         at = np.searchsorted(hashes, self.hash)
         own = np.flatnonzero(hashes[np.minimum(at, max(len(hashes) - 1, 0))] == self.hash) if len(hashes) else np.zeros(0, np.int64)
-        text = self.data.tobytes()
-        begin = self.start[own]
-        keys = [text[a:b] for a, b in zip(begin.tolist(), (begin + self.count[own] + LENGTH - 1).tolist())]
-        strings, item, hash_of = _by_hash(sorted(set(keys)), keys, self.hash[own])
+        size = self.count[own] + LENGTH - 1
+        item, strings = _distinct(ragged(self.data, self.start[own], size), size)
+        hash_of = np.zeros(len(strings), np.uint64)
+        hash_of[item] = self.hash[own]
+        order = np.argsort(hash_of, kind="stable")
+        # the few strings that share a hash: by content, so that the order is the same whenever the group is read
+        tied = _of_several(hash_of[order])
+        texts = strings.take(pa.array(order[tied])).to_pylist()
+        order[tied] = [i for *_, i in sorted(zip(hash_of[order[tied]].tolist(), texts, order[tied].tolist()))]
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        item, strings = back[item], strings.take(pa.array(order))
         least = np.full(len(strings), np.iinfo(np.int64).max)
         np.minimum.at(least, item, self.id_of[own])
-        return (hash_of, np.fromiter(map(len, strings), np.int64, len(strings)) - LENGTH + 1, strings, least, own, item)
+        return hash_of[order], np.diff(_offsets(strings)) - LENGTH + 1, strings, least, own, item
 
 
-def _by_hash(strings: list[bytes], keys: list[bytes], hashes: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The strings by hash (equal hashes in the order given), the place of each key among them, and their hashes.
-    A string's hash follows from its content."""
-    number = {k: i for i, k in enumerate(strings)}
-    item = np.fromiter(map(number.__getitem__, keys), np.int64, len(keys))
-    hash_of = np.zeros(len(strings), np.uint64)
-    hash_of[item] = hashes
-    order = np.argsort(hash_of, kind="stable")
-    back = np.empty(len(order), np.int64)
-    back[order] = np.arange(len(order))
-    return [strings[i] for i in order.tolist()], back[item], hash_of[order]
+def _distinct(flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, pa.LargeBinaryArray]:
+    """The different strings among pieces of ``flat`` of the given sizes, and which of them each piece is."""
+    ends = np.append(np.int64(0), np.cumsum(size, dtype=np.int64))
+    pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(flat))])
+    coded = pieces.dictionary_encode()
+    return np.asarray(coded.indices, dtype=np.int64), coded.dictionary
+
+
+def _offsets(strings: pa.LargeBinaryArray) -> np.ndarray:
+    if not len(strings):
+        return np.zeros(1, np.int64)
+    return np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
+
+
+def _bytes(strings: pa.LargeBinaryArray, a: int, b: int) -> bytes:
+    """Strings a to b, one after the other."""
+    ends = _offsets(strings)
+    return strings.buffers()[2][int(ends[a]) : int(ends[b])].to_pybytes() if b > a else b""
+
+
+def _of_several(hashes: np.ndarray) -> np.ndarray:
+    """Places of sorted hashes that occur more than once."""
+    same = hashes[1:] == hashes[:-1]
+    return np.flatnonzero(np.append(same, False) | np.append(False, same)) if len(hashes) else np.zeros(0, np.int64)
 
 
 def _window_hashes(data: np.ndarray) -> np.ndarray:
@@ -329,18 +350,17 @@ def _collections(hashes: np.ndarray, strings: list[bytes], most: int):
         lo = hi
 
 
-def _firsts(hashes: np.ndarray, strings: list[bytes], least: np.ndarray, most: int):
-    """first_documents over collections of bounded size; strings sorted by hash.
+def _firsts(hashes: np.ndarray, strings: pa.LargeBinaryArray, least: np.ndarray, most: int):
+    """first_documents over collections of bounded size, and the windows of each string; strings sorted by hash.
 
     A window occurs under its own hash only, so a string alone under its hash
     shares no window with another one: its windows start in its smallest holder,
     and it stays out of the construction.
     """
-    count = np.fromiter(map(len, strings), np.int64, len(strings)) - LENGTH + 1
+    count = np.diff(_offsets(strings)) - LENGTH + 1
     first, begin = np.repeat(least, count), np.cumsum(count) - count
-    same = hashes[1:] == hashes[:-1]
-    built = np.flatnonzero(np.append(same, False) | np.append(False, same))
-    met = [strings[i] for i in built.tolist()]
+    built = _of_several(hashes)
+    met = strings.take(pa.array(built)).to_pylist()
     for lo, hi in _collections(hashes[built], met, most):
         mine = built[lo:hi]
         found, n = first_documents(met[lo:hi], least[mine])
@@ -432,19 +452,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         pack = zstandard.ZstdCompressor(level=1)
         # the hot hashes travel once, with the first row, and come back to the group
         return _batch([(int(part[a]), g, _blob(hashes[a:b]), _blob(counts[a:b].astype(np.uint8)),
-                        pack.compress(b"".join(strings[a:b])), _blob(least[a:b]), b"" if a else _blob(hot)) for a, b in _cuts(part)],
+                        pack.compress(_bytes(strings, a, b)), _blob(least[a:b]), b"" if a else _blob(hot)) for a, b in _cuts(part)],
                       "part g hashes counts text least hot", [pa.int64(), pa.int64(), *[pa.binary()] * 5])
 
     def judge(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
         unpack = zstandard.ZstdDecompressor()
-        keys: list = []
-        for r in rows:
-            text = unpack.decompress(r["text"])
-            ends = np.cumsum(np.frombuffer(r["counts"], np.uint8).astype(np.int64) + LENGTH - 1).tolist()
-            keys += [text[a:b] for a, b in zip([0, *ends], ends)]
+        texts = b"".join(unpack.decompress(r["text"]) for r in rows)
+        size = np.concatenate([np.frombuffer(r["counts"], np.uint8) for r in rows]).astype(np.int64) + LENGTH - 1
         hashes = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in rows])
-        strings, item, hash_of = _by_hash(list(dict.fromkeys(keys)), keys, hashes)
+        item, strings = _distinct(np.frombuffer(texts, np.uint8), size)
+        hash_of = np.zeros(len(strings), np.uint64)
+        hash_of[item] = hashes
+        order = np.argsort(hash_of, kind="stable")
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        item, strings, hash_of = back[item], strings.take(pa.array(order)), hash_of[order]
         asked = np.concatenate([np.frombuffer(r["least"], np.int64) for r in rows])
         least = np.full(len(strings), np.iinfo(np.int64).max)
         np.minimum.at(least, item, asked)

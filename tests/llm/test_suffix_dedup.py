@@ -109,3 +109,12 @@ def test_long_document_among_odd_rows(spark):
     assert got(S.remove_repeats(odd_docs(spark))) == plain(rows)
     again = [(7, "long " * 3000), (8, "x" + "long " * 2000), (7, "long " * 3000)]
     assert got(S.remove_repeats(spark.createDataFrame(again, "doc_id long, text string"))) == plain(again)
+
+
+def test_groups_without_anything_in_common(spark, monkeypatch):
+    monkeypatch.setattr(S, "GROUP_BYTES", 2000)
+    rng = random.Random(2)
+    rows = [(i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(400))) for i in range(60)]
+    assert got(S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == plain(rows)
+    hashes, counts, strings, least, own, item = S.Group([1], [rows[0][1]]).items(np.zeros(0, np.uint64))
+    assert len(hashes) == len(counts) == len(strings) == len(own) == len(item) == 0
