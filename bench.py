@@ -23,6 +23,7 @@ HEADLINE = [
     "mosaic_mean_catalog", "mosaic_mean_window", "tile_sum", "tile_sum_arrow", "tile_sum_catalog", "tile_strips", "time_count",
     "min_max", "prune_parts", "series_by_part", "local_add", "local_add_arrow", "mosaic_sum_ship", "mosaic_mean_ship",
     "assign_part", "split_points_ship", "time_id", "read_bands", "write_catalog",
+    "tile_sum_exact", "tile_sum_exact_arrow", "mosaic_sum_ship_exact", "prune_parts_windows", "map_tiles_shifted",
 ]
 
 

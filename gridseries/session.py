@@ -102,8 +102,9 @@ def read_file(spark: SparkSession, path: str) -> str:
 def replace_file(spark: SparkSession, path: str, text: str) -> None:
     """A small text file put in place whole: written beside ``path``, then renamed over it.
 
-    Readers see the old file or the new one, never half of one (the rename is
-    atomic on file systems that have one; object stores put the file in one go).
+    Where the file system renames atomically (HDFS, local), readers see the old
+    file or the new one and nothing else.  An object store copies: the file is
+    small and whole beside its place until then.
     """
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()

@@ -17,7 +17,7 @@ NAMES = sorted(QUERIES)
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("embeddings", "lineitem", "events"):
+    for t in ("embeddings", "lineitem", "events", "region", "orders"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{os.path.join(SF001, t)}.parquet')")
     return c
 
