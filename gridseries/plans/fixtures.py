@@ -106,11 +106,9 @@ def emb_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F-EMB as a band table with a stored, sorted ``time_id`` (``index_bands``), written once per session."""
     def build():
         from gridseries.session import new_output_path
-        from gridseries.sources.bands import read_bands
         from gridseries.sources.ingest import index_bands
 
-        path = index_bands(emb_bands(spark, sf_dir), new_output_path(spark, "emb-indexed"), 8)
-        return read_bands(spark, [path])
+        return spark.read.parquet(index_bands(emb_bands(spark, sf_dir), new_output_path(spark, "emb-indexed"), 8))
 
     return session_cached(spark, ("emb_indexed", sf_dir), build)
 
