@@ -102,7 +102,7 @@ def window_parts(windows: DataFrame, splits: list[int], start_col: str = "start"
 
 
 def filter_windows(series: DataFrame, windows: DataFrame, splits: list[int], start_col: str = "start",
-                   end_col: str = "end") -> DataFrame:
+                   end_col: str = "end", directory: dict[str, Column] | None = None) -> DataFrame:
     """The records of many time windows at once: every record with the columns of each window that holds it.
 
     ``windows``: one row per window, bounds inclusive.  A record meets the
@@ -110,16 +110,17 @@ def filter_windows(series: DataFrame, windows: DataFrame, splits: list[int], sta
     their bounds.  While the windows, spread over their parts, stay below
     ``WINDOW_BYTES`` by the planner's estimate they are broadcast, and the scan
     reads only the parts that some window touches (dynamic partition pruning);
-    larger tables are joined by a shuffle.
+    larger tables are joined by a shuffle.  ``directory``: further columns of the
+    series that follow from ``part``, by the expressions given (pruned alike).
     """
     clash = set(series.columns) & set(windows.columns)
     if clash:
         raise ValueError(f"windows and series share columns: {', '.join(sorted(clash))}")
-    w = window_parts(windows, splits, start_col, end_col)
+    w = window_parts(windows, splits, start_col, end_col).withColumns(directory or {})
     if estimated_bytes(windows) * (len(splits) + 1) <= WINDOW_BYTES:
         w = F.broadcast(w)
     names = [*windows.columns, *series.columns]
-    hits = series.join(w, "part").filter((F.col("time_id") >= F.col("__lo")) & (F.col("time_id") <= F.col("__hi")))
+    hits = series.join(w, ["part", *(directory or {})]).filter((F.col("time_id") >= F.col("__lo")) & (F.col("time_id") <= F.col("__hi")))
     return hits.select(*names)
 
 

@@ -4,13 +4,18 @@ Each file holds one tile's records of one time part in ascending time order,
 so a window reads only its parts (directory pruning) and, inside a file, only
 row groups whose ``time_id`` range meets the window (Parquet statistics).
 
+Where that would be more than ``MOST_FOLDERS`` folders of small parts,
+consecutive parts share a folder (``tile_id=T/folder=F``, F = part // parts per
+folder, see ``parts_per_folder``) and ``part`` is a column of the files, so the
+number of files follows the bytes and not the number of parts.
+
 A catalog is replaced without a gap: the new cells go to a folder of their own
 (``cells-<version>``), the metadata record that names the version is put in
 place last, by one rename, and only then the old folders go.  A replacement
 that breaks off leaves the old catalog as it was, and a catalog may be replaced
-by a series derived from itself.  ``<cells>/_occupied.json`` lists which parts
-each tile has, as rectangles (tiles, parts), so a window builds its folders'
-paths instead of searching for them.
+by a series derived from itself.  ``<cells>/_occupied.json`` lists which folders
+each tile has, as rectangles (tiles, folders), and the parts per folder, so a
+window builds its folders' paths instead of searching for them.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from pyspark.sql import types as T
 
 from gridseries.model import CellType, GridMetadata
 from gridseries.operators.filters import filter_windows, part_bounds, prune_parts
-from gridseries.operators.parts import attach_parts, locate_parts, time_parts
+from gridseries.operators.parts import locate_parts, time_parts
 from gridseries.session import check_reader, list_names, path_exists, read_file, remove_path, replace_file
 from gridseries.sources.metadata import load_metadata, store_metadata
 
@@ -47,12 +52,12 @@ class Catalog:
     def __init__(self, path: str, meta: GridMetadata, series: DataFrame | None = None, spark: SparkSession | None = None):
         self.path, self.meta, self._series, self.spark = path, meta, series, spark or series.sparkSession
         self.stored = series is None
-        self._rectangles = None
+        self._listing = None
 
     @property
     def series(self) -> DataFrame:
         if self._series is None:
-            self._series = _stored(self.spark, self.path, self.meta)
+            self._series = _stored(self.spark, self.path, self.meta, per_folder=self.per_folder()).select(*RECORD_COLUMNS)
         return self._series
 
     def tile(self, tile_id: int) -> DataFrame:
@@ -63,17 +68,34 @@ class Catalog:
         if not self.stored or start is not None and end is not None and start > end:
             return prune_parts(self.series, splits, start, end)
         lo, hi = part_bounds(splits, start, end)
-        return prune_parts(_stored(self.spark, self.path, self.meta, parts=(lo, hi), occupied=self.occupied()), splits, start, end)
+        series = _stored(self.spark, self.path, self.meta, parts=(lo, hi), occupied=self.occupied(), per_folder=self.per_folder())
+        return prune_parts(series.select(*RECORD_COLUMNS), splits, start, end)
 
     def windows(self, windows: DataFrame, start_col: str = "start", end_col: str = "end") -> DataFrame:
         """The records of many time windows in one plan (see ``filter_windows``); only touched parts are read."""
-        return filter_windows(self.series, windows, list(self.meta.splits), start_col, end_col)
+        splits, n = list(self.meta.splits), self.per_folder()
+        if n == 1:
+            return filter_windows(self.series, windows, splits, start_col, end_col)
+        series = _stored(self.spark, self.path, self.meta, per_folder=n)
+        return filter_windows(series, windows, splits, start_col, end_col, {FOLDER: folder_of("part", n)}).drop(FOLDER)
 
     def occupied(self) -> list[list[int]] | None:
-        """Which (tile, part) folders an opened catalog has: [first tile, last tile, first part, last part], or None if not listed."""
-        if self._rectangles is None and self.stored:
-            self._rectangles = _read_occupied(self.spark, _cells_path(self.path, self.meta))
-        return self._rectangles
+        """Which folders an opened catalog has: [first tile, last tile, first folder, last folder], or None if not listed.
+
+        A folder holds one part, or ``per_folder()`` of them.
+        """
+        return self._list()[0]
+
+    def per_folder(self) -> int:
+        """Parts per folder of an opened catalog."""
+        return self._list()[1]
+
+    def _list(self) -> tuple[list[list[int]] | None, int]:
+        if not self.stored:
+            return None, 1
+        if self._listing is None:
+            self._listing = _read_occupied(self.spark, _cells_path(self.path, self.meta))
+        return self._listing
 
     def extents(self) -> DataFrame:
         """Bounds of every tile, from the metadata."""
@@ -94,15 +116,20 @@ class Catalog:
         if k is not None:
             parts = time_parts(series.select("time_id"), k)
             splits = tuple(int(r["time_id"]) for r in parts.filter("is_split").orderBy("time_id").collect())
-            series = attach_parts(series.drop("part"), parts)
+            # looked up in the split list (no shuffle); a record without a time has no place in a part
+            series = locate_parts(series.drop("part").filter(F.col("time_id").isNotNull()), splits)
         meta = replace(self.meta, splits=splits, cell_type=cell_type, extra={"version": version} if version else {})
-        record_bytes = meta.layout.cells_per_tile * cell_type.bytes
-        n_tasks = writer_tasks(self.spark, meta.layout.n_tiles * meta.n_parts, meta.time_count * meta.layout.n_tiles * record_bytes)
-        path = write_catalog(series, out, n_tasks=n_tasks, n_parts=meta.n_parts, record_bytes=record_bytes, version=version)
-        cells = self.spark.read.schema(record_schema(cell_type.spark_type)).parquet(path)
-        counts = cells.groupBy("tile_id", "part").agg(F.count(F.lit(1)).alias("n")).checkpoint()
+        n_tiles, record_bytes = meta.layout.n_tiles, meta.layout.cells_per_tile * cell_type.bytes
+        total_bytes = meta.time_count * n_tiles * record_bytes
+        per_folder = parts_per_folder(n_tiles, meta.n_parts, total_bytes)
+        n_tasks = writer_tasks(self.spark, n_tiles * -(-meta.n_parts // per_folder), total_bytes)
+        path = write_catalog(series, out, n_tasks=n_tasks, n_parts=meta.n_parts, record_bytes=record_bytes, version=version,
+                             per_folder=per_folder)
+        cells = self.spark.read.schema(record_schema(cell_type.spark_type, per_folder)).parquet(path)
+        folder = F.col("part" if per_folder == 1 else FOLDER).alias("part")
+        counts = cells.groupBy("tile_id", folder).agg(F.count(F.lit(1)).alias("n")).checkpoint()
         n = counts.filter("tile_id = 0").agg(F.sum("n")).first()[0] or 0
-        write_occupied(self.spark, path, occupied_folders(counts))
+        write_occupied(self.spark, path, occupied_folders(counts), per_folder)
         return publish(self.spark, out, replace(meta, time_count=int(n)))
 
     def create_view(self, name: str) -> str:
@@ -163,15 +190,38 @@ class Catalog:
         return min_max(self.mean(method), "mean_v")
 
 
-def record_schema(cell_type: T.DataType) -> T.StructType:
+def record_schema(cell_type: T.DataType, per_folder: int = 1) -> T.StructType:
     return T.StructType([
         T.StructField("tile_id", T.IntegerType(), False),
+        *([T.StructField(FOLDER, T.IntegerType(), False)] if per_folder > 1 else []),
         T.StructField("part", T.IntegerType(), False),
         T.StructField("time_id", T.IntegerType(), False),
         T.StructField("cells", T.ArrayType(cell_type, True), True),
     ])
 
 
+#: Directory column of catalogs whose parts share folders.
+FOLDER = "folder"
+MOST_FOLDERS = 512  # up to here every part has a folder of its own, whatever its size
+
+
+def parts_per_folder(n_tiles: int, n_parts: int, total_bytes: int, target_bytes: int = 128 << 20) -> int:
+    """How many consecutive parts of a tile share a folder.
+
+    One, unless that makes more than ``MOST_FOLDERS`` folders; then as many as
+    bring the folders down to that number or fill ``target_bytes``, whichever
+    is fewer.  Folders and files thus grow with the bytes only.
+    """
+    part_bytes = max(1, int(total_bytes) // max(1, n_tiles * n_parts))
+    return max(1, min(-(-n_tiles * n_parts // MOST_FOLDERS), int(target_bytes) // part_bytes, n_parts))
+
+
+def folder_of(part, per_folder: int) -> F.Column:
+    """Number of the folder that holds a part."""
+    part = F.col(part) if isinstance(part, str) else part
+    return part if per_folder == 1 else F.floor(part / per_folder).cast("int")
+
+
 def to_records(series: DataFrame, splits=None) -> DataFrame:
     """A series in storable form: ``tile_id, part, time_id, cells``.
 
@@ -196,16 +246,18 @@ def writer_tasks(spark: SparkSession, n_groups: int, total_bytes: int, target_by
     return max(1, min(int(n_groups), max(by_size, cores)))
 
 
-def cluster_for_write(series: DataFrame, n_tasks: int | None = None, n_parts: int | None = None) -> DataFrame:
-    """The catalog's write layout: every ``(tile_id, part)`` in one task.
+def cluster_for_write(series: DataFrame, n_tasks: int | None = None, n_parts: int | None = None, per_folder: int = 1) -> DataFrame:
+    """The catalog's write layout: every folder, ``(tile_id, part)`` or the parts that share one, in one task.
 
-    With ``n_parts`` the dense number ``tile_id * n_parts + part`` decides the
+    With ``n_parts`` the dense number ``tile_id * n_folders + folder`` decides the
     task, so groups spread evenly; else they are hashed.
     """
     if n_tasks and n_parts:
-        number = F.col("tile_id").cast("long") * n_parts + F.least(F.col("part"), F.lit(n_parts - 1))
+        folder = folder_of(F.least(F.col("part"), F.lit(n_parts - 1)), per_folder)
+        number = F.col("tile_id").cast("long") * -(-n_parts // per_folder) + folder
         return series.repartitionById(int(n_tasks), F.pmod(number, F.lit(int(n_tasks))).cast("int"))
-    return series.repartition(int(n_tasks), "tile_id", "part") if n_tasks else series.repartition("tile_id", "part")
+    by = ["tile_id", "part" if per_folder == 1 else folder_of("part", per_folder)]
+    return series.repartition(int(n_tasks), *by) if n_tasks else series.repartition(*by)
 
 
 MAX_FILE_BYTES = 256 << 20
@@ -253,6 +305,7 @@ def publish(spark: SparkSession, out: str, meta: GridMetadata) -> Catalog:
 
 def occupied_folders(counts: DataFrame) -> list[list[int]]:
     """Rectangles [first tile, last tile, first part, last part] from a table by (tile_id, part); a full grid gives one.
+    (``part``: the folder's number, where parts share folders.)
 
     Tiles with the same parts meet in one row; the driver sees the runs of what
     is a list of the catalog's folders.
@@ -270,15 +323,17 @@ def _runs(numbers: list[int]) -> list[tuple[int, int]]:
     return [(numbers[a], numbers[b - 1]) for a, b in zip([0, *cuts], [*cuts, len(numbers)])]
 
 
-def write_occupied(spark: SparkSession, cells: str, rectangles: list[list[int]]) -> None:
-    replace_file(spark, f"{cells}/{OCCUPIED}", json.dumps({"occupied": rectangles}))
+def write_occupied(spark: SparkSession, cells: str, rectangles: list[list[int]], per_folder: int = 1) -> None:
+    shared = {"partsPerFolder": per_folder} if per_folder > 1 else {}
+    replace_file(spark, f"{cells}/{OCCUPIED}", json.dumps({"occupied": rectangles} | shared))
 
 
-def _read_occupied(spark: SparkSession, cells: str) -> list[list[int]] | None:
+def _read_occupied(spark: SparkSession, cells: str) -> tuple[list[list[int]] | None, int]:
     path = f"{cells}/{OCCUPIED}"
     if not path_exists(spark, path):
-        return None
-    return json.loads(read_file(spark, path))["occupied"]
+        return None, 1
+    listing = json.loads(read_file(spark, path))
+    return listing["occupied"], int(listing.get("partsPerFolder", 1))
 
 
 OCCUPIED = "_occupied.json"
@@ -286,11 +341,14 @@ MOST_PATHS = 4096  # a window over more folders lists the catalog as a whole
 
 
 def write_catalog(series: DataFrame, out: str, mode: str = "errorifexists", n_tasks: int | None = None,
-                  clustered: bool = False, record_bytes: int | None = None, n_parts: int | None = None, version: str = "") -> str:
+                  clustered: bool = False, record_bytes: int | None = None, n_parts: int | None = None, version: str = "",
+                  per_folder: int = 1) -> str:
     """Write a series with ``part`` as one directory per tile and time part.
 
     Each (tile, part) is shuffled to one task, which writes it as one file
     sorted by time; parts are sized by the split rule to about a block each.
+    Small parts may share a folder and its file (``per_folder`` of them, see
+    ``parts_per_folder``; to be passed to ``write_occupied`` too).
     ``n_tasks`` (see ``writer_tasks``) fixes the shuffle width, so adaptive
     execution cannot merge all groups into a few long-running writer tasks.
     ``clustered=True``: the input is already partitioned by ``cluster_for_write``.
@@ -303,18 +361,25 @@ def write_catalog(series: DataFrame, out: str, mode: str = "errorifexists", n_ta
     path = f"{out.rstrip('/')}/cells{version}"
     rec = to_records(series)
     if not clustered:
-        rec = cluster_for_write(rec, n_tasks, n_parts)
-    w = rec.sortWithinPartitions("tile_id", "part", "time_id").write.mode(mode)
+        rec = cluster_for_write(rec, n_tasks, n_parts, per_folder)
+    folder = ["part"]
+    if per_folder > 1:
+        rec, folder = rec.withColumn(FOLDER, folder_of("part", per_folder)), [FOLDER, "part"]
+    w = rec.sortWithinPartitions("tile_id", *folder, "time_id").write.mode(mode)
     if record_bytes:
         w = w.option("maxRecordsPerFile", max(1, MAX_FILE_BYTES // int(record_bytes)))
-    w.partitionBy("tile_id", "part").parquet(path)
+    w.partitionBy("tile_id", folder[0]).parquet(path)
     return path
 
 
 def _stored(spark: SparkSession, out: str, meta: GridMetadata, tile_id: int | None = None,
-            parts: tuple[int, int] | None = None, occupied: list[list[int]] | None = None) -> DataFrame:
-    """The stored series, or only the folders of one tile or of a range of parts (built from ``occupied`` where it is known)."""
-    schema = record_schema(meta.cell_type.spark_type)
+            parts: tuple[int, int] | None = None, occupied: list[list[int]] | None = None, per_folder: int = 1) -> DataFrame:
+    """The stored series, or only the folders of one tile or of a range of parts (built from ``occupied`` where it is known).
+
+    Where parts share folders, with the folder's number as a column more.
+    """
+    schema = record_schema(meta.cell_type.spark_type, per_folder)
+    columns = [*RECORD_COLUMNS, *([FOLDER] if per_folder > 1 else [])]
     root, cells = out.rstrip("/"), _cells_path(out, meta)
     reader = spark.read.schema(schema).option("basePath", cells)
     none = spark.createDataFrame([], schema)
@@ -324,16 +389,19 @@ def _stored(spark: SparkSession, out: str, meta: GridMetadata, tile_id: int | No
     elif tile_id is not None:
         series = reader.parquet(f"{cells}/tile_id={int(tile_id)}") if path_exists(spark, f"{cells}/tile_id={int(tile_id)}") else none
     elif occupied is not None:
-        series = _read_paths(reader, cells, window_paths(cells, occupied, *parts), none)
+        folders = [p // per_folder for p in parts]
+        series = _read_paths(reader, cells, window_paths(cells, occupied, *folders, "part" if per_folder == 1 else FOLDER), none)
     else:
         names = ",".join(f"part={i}" for i in range(parts[0], parts[1] + 1))
         pattern = f"{cells}/tile_id=*/{{{names}}}"
         series = reader.parquet(pattern) if _any_path(spark, pattern) else none
-    series = series.select(*RECORD_COLUMNS)
+    series = series.select(*columns)
     stream = f"{root}/stream{version_of(meta)}"
     if path_exists(spark, f"{stream}/_spark_metadata"):
         # steps appended by ``gridseries.streaming``; the sink's log lists committed files only
-        more = spark.read.schema(schema).parquet(stream).select(*RECORD_COLUMNS)
+        more = spark.read.schema(record_schema(meta.cell_type.spark_type)).parquet(stream).select(*RECORD_COLUMNS)
+        if per_folder > 1:
+            more = more.withColumn(FOLDER, folder_of("part", per_folder))
         if tile_id is not None:
             more = more.filter(F.col("tile_id") == F.lit(int(tile_id)))
         if parts is not None and not whole:
@@ -342,9 +410,9 @@ def _stored(spark: SparkSession, out: str, meta: GridMetadata, tile_id: int | No
     return series
 
 
-def window_paths(cells: str, occupied: list[list[int]], lo: int, hi: int) -> list[str]:
+def window_paths(cells: str, occupied: list[list[int]], lo: int, hi: int, name: str = "part") -> list[str]:
     """The folders of the parts lo..hi, from the rectangles of what is there."""
-    return [f"{cells}/tile_id={t}/part={p}" for t0, t1, p0, p1 in occupied
+    return [f"{cells}/tile_id={t}/{name}={p}" for t0, t1, p0, p1 in occupied
             for t in range(t0, t1 + 1) for p in range(max(lo, p0), min(hi, p1) + 1)]
 
 
@@ -376,7 +444,7 @@ def open_catalog(spark: SparkSession, out: str, meta: GridMetadata | None = None
 def scan_tile(catalog: Catalog, tile_id: int) -> DataFrame:
     """The series of one tile: of an opened catalog only the tile's folder is listed and read."""
     if catalog.stored:
-        return _stored(catalog.spark, catalog.path, catalog.meta, tile_id=tile_id)
+        return _stored(catalog.spark, catalog.path, catalog.meta, tile_id=tile_id, per_folder=catalog.per_folder()).select(*RECORD_COLUMNS)
     return catalog.series.filter(F.col("tile_id") == F.lit(int(tile_id)))
 
 

@@ -18,7 +18,7 @@ from gridseries.model import CellType, Extent, GridMetadata, TileLayout
 from gridseries.operators.parts import attach_parts, blocks_per_part, time_parts
 from gridseries.operators.tiling import assemble_sorted, strip_pieces, tile_bands
 from gridseries.sources.bands import band_steps, check_extents, steps_summary
-from gridseries.sources.catalog import (Catalog, cluster_for_write, prepare_output, publish, write_catalog, write_occupied,
+from gridseries.sources.catalog import (Catalog, cluster_for_write, parts_per_folder, prepare_output, publish, write_catalog, write_occupied,
                                         writer_tasks)
 from gridseries.session import guarded_reader, new_output_path, remove_path
 
@@ -97,20 +97,23 @@ def ingest(bands: DataFrame, out: str, tile_cols: int, tile_rows: int, k: int |
         splits = [int(r["time_id"]) for r in parts.filter("is_split").orderBy("time_id").collect()]
         last_part = parts.agg(F.max("part")).first()[0]
         meta = GridMetadata(time_count, tuple(splits), extent, layout, cell_type, {"version": version} if version else {})
-        n_tasks = writer_tasks(spark, layout.n_tiles * meta.n_parts, time_count * cols * rows * cell_type.bytes)
+        total_bytes = time_count * cols * rows * cell_type.bytes
+        per_folder = parts_per_folder(layout.n_tiles, meta.n_parts, total_bytes)
+        n_tasks = writer_tasks(spark, layout.n_tiles * -(-meta.n_parts // per_folder), total_bytes)
         record_bytes = layout.cells_per_tile * cell_type.bytes
+        placed = attach_parts(timed, parts)  # once per band, before it is cut into tiles
         if strips:
             # pieces go straight to the writer task of their (tile, part), are sorted there and
             # assembled as they come; a band is one record, also where another has its time id
-            pieces = attach_parts(strip_pieces(timed, layout, cols, keep), parts)
-            dealt = cluster_for_write(pieces, n_tasks, meta.n_parts)
+            pieces = strip_pieces(placed, layout, cols, (*keep, "part"))
+            dealt = cluster_for_write(pieces, n_tasks, meta.n_parts, per_folder)
             records = assemble_sorted(dealt, layout, ("tile_id", "part", "time_id", "path_idx", "band"))
-            path = write_catalog(records, out, clustered=True, record_bytes=record_bytes, version=version)
+            path = write_catalog(records, out, clustered=True, record_bytes=record_bytes, version=version, per_folder=per_folder)
         else:
-            path = write_catalog(attach_parts(tile_bands(timed, layout, cols), parts), out, n_tasks=n_tasks,
-                                 record_bytes=record_bytes, n_parts=meta.n_parts, version=version)
+            path = write_catalog(tile_bands(placed, layout, cols, ("time_id", "part")), out, n_tasks=n_tasks,
+                                 record_bytes=record_bytes, n_parts=meta.n_parts, version=version, per_folder=per_folder)
     # every tile has every part that has a time id (the last part may have none)
-    write_occupied(spark, path, [[0, layout.n_tiles - 1, 0, int(last_part)]])
+    write_occupied(spark, path, [[0, layout.n_tiles - 1, 0, int(last_part) // per_folder]], per_folder)
     catalog = publish(spark, out, meta)
     remove_path(spark, scratch)
     return catalog
