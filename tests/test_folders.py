@@ -94,3 +94,13 @@ def test_appended_steps_beside_shared_folders(spark, bands, out_dir):
     assert c.window(240, 259).count() == 20 * 8
     windows = spark.createDataFrame([(1, 245, 254)], "w int, start int, end int")
     assert c.windows(windows).count() == 80
+
+
+def test_windows_prune_shared_folders(spark, small_parts, out_dir):
+    spark.createDataFrame([(1, 70, 80), (2, 75, 210), (3, 495, None)], "w int, start int, end int").write.parquet(out_dir)
+    windows = spark.read.parquet(out_dir)
+    hits = small_parts.windows(windows)
+    assert "dynamicpruning" in hits._jdf.queryExecution().executedPlan().toString()
+    assert hits.columns == [*windows.columns, *small_parts.series.columns]
+    want = small_parts.series.join(windows, F.expr("time_id >= start and time_id <= coalesce(end, 2147483647)"))
+    assert same(hits, want.select(hits.columns))
