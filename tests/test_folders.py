@@ -104,3 +104,15 @@ def test_windows_prune_shared_folders(spark, small_parts, out_dir):
     assert hits.columns == [*windows.columns, *small_parts.series.columns]
     want = small_parts.series.join(windows, F.expr("time_id >= start and time_id <= coalesce(end, 2147483647)"))
     assert same(hits, want.select(hits.columns))
+
+
+def test_derived_records_written_with_small_parts(spark, small_parts, out_dir):
+    half = small_parts.series.withColumn("cells", F.transform("cells", lambda v: v.cast("double") * 0.5))
+    kept = half.filter((F.col("tile_id") != 3) | (F.col("time_id") < 20))
+    cat.Catalog(small_parts.path, small_parts.meta, cat.to_records(kept)).write(out_dir)
+    back = cat.open_catalog(spark, out_dir)
+    assert back.meta.cell_type.name == "float64" and same(back.series, kept)
+    assert len(back.series.inputFiles()) <= cat.MOST_FOLDERS and back.occupied() == [[0, 2, 0, 62], [3, 3, 0, 2], [4, 7, 0, 62]]
+    assert same(back.window(10, 30), filter_time(kept, 10, 30))
+    back.filter(F.col("time_id") < 100).write(out_dir, "overwrite")
+    assert same(cat.open_catalog(spark, out_dir).series, kept.filter("time_id < 100"))
