@@ -76,9 +76,9 @@ def drop_boilerplate(pages: DataFrame, host_col: str = "source", text_col: str =
     lines = F.split(text, "\n")
     joined = keyed.join(by_page, "__page", "left").withColumn("__n_lines", F.size(lines)) \
         .withColumn("__n_dropped", F.coalesce(F.array_size("__bad"), F.lit(0)))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__bad"))
-    cut = F.expr("array_join(transform(__keep, p -> __split[p]), '\n')")
-    return joined.withColumn("__keep", F.when(F.col("__n_dropped") > 0, kept)) \
-        .withColumn("__split", F.when(F.col("__n_dropped") > 0, lines)) \
+    # inside a lambda: the array steps are evaluated as they are, outside the join's generated code (with them in it, executors' memory jumped in that stage)
+    cut = F.expr("""transform(array(struct(__split AS l, __bad AS bad)), x -> array_join(
+        transform(array_except(sequence(0, size(x.l) - 1), x.bad), p -> x.l[p]), '\n'))[0]""")
+    return joined.withColumn("__split", F.when(F.col("__n_dropped") > 0, lines)) \
         .withColumn(text_col, F.when(F.col("__n_dropped") > 0, cut).otherwise(quoted(text_col).cast("string"))) \
         .select(*[quoted(c) for c in pages.columns], "__n_lines", "__n_dropped")

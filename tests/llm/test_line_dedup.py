@@ -45,3 +45,13 @@ def test_plan_has_no_python_and_no_hint(spark):
 
 def out_counts(df):
     return df.agg(F.count(F.lit(1))).first()[0]
+
+
+def test_array_steps_stay_out_of_the_joins_code(spark):
+    lines = [f"own {i}" for i in range(300)]
+    rows = [("a", "\n".join(["menu", *lines[i::7], "menu", "foot"])) for i in range(20)]
+    df = spark.createDataFrame([(i, h, t) for i, (h, t) in enumerate(rows)], "doc_id long, source string, text string")
+    out = line_dedup.drop_boilerplate(df, ratio=0.5)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "AS __keep" not in plan and plan.count("array_except(") == plan.count("array_join(transform(array_except(")
+    assert [r.text for r in out.orderBy("doc_id").collect()] == plain(rows, 0.5, 5)
