@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from gridseries.functions.bandmeta import TIME_KEY, band_time
 from gridseries.model import CellType, Extent, GridMetadata, TileLayout
-from gridseries.operators.parts import attach_parts, blocks_per_part, time_parts
+from gridseries.operators.parts import assign_part_value, blocks_per_part, locate_parts, time_parts
 from gridseries.operators.tiling import assemble_sorted, strip_pieces, tile_bands
 from gridseries.sources.bands import band_steps, check_extents, steps_summary
 from gridseries.sources.catalog import (Catalog, cluster_for_write, parts_per_folder, prepare_output, publish, write_catalog, write_occupied,
@@ -77,7 +77,7 @@ def ingest(bands: DataFrame, out: str, tile_cols: int, tile_rows: int, k: int |
     spark = bands.sparkSession
     timed = timed_bands(bands, time_key)
     # One row per time id, written once to the shared folder (cuts the lineage,
-    # survives executor loss) and reused for checks, split points and the part join.
+    # survives executor loss) and reused for checks and split points.
     scratch = new_output_path(spark, "time-steps")
     band_steps(timed).write.parquet(f"{scratch}/steps")
     steps = spark.read.parquet(f"{scratch}/steps")
@@ -92,16 +92,17 @@ def ingest(bands: DataFrame, out: str, tile_cols: int, tile_rows: int, k: int |
         k = max(1, blocks_per_part(block_size, layout.pixel_cols, layout.pixel_rows, cell_type.bytes))
     # band rows hold whole rasters (strips: assume about a tile row high)
     with guarded_reader(spark, cols * (layout.pixel_rows if strips else rows) * cell_type.bytes):
-        time_parts(steps, k, materialize=False).write.parquet(f"{scratch}/parts")
-        parts = spark.read.parquet(f"{scratch}/parts")
+        parts = time_parts(steps, k, materialize=False)
         splits = [int(r["time_id"]) for r in parts.filter("is_split").orderBy("time_id").collect()]
-        last_part = parts.agg(F.max("part")).first()[0]
+        last_part = assign_part_value(steps.agg(F.max("time_id")).first()[0], splits)
         meta = GridMetadata(time_count, tuple(splits), extent, layout, cell_type, {"version": version} if version else {})
         total_bytes = time_count * cols * rows * cell_type.bytes
         per_folder = parts_per_folder(layout.n_tiles, meta.n_parts, total_bytes)
         n_tasks = writer_tasks(spark, layout.n_tiles * -(-meta.n_parts // per_folder), total_bytes)
         record_bytes = layout.cells_per_tile * cell_type.bytes
-        placed = attach_parts(timed, parts)  # once per band, before it is cut into tiles
+        # once per band, before it is cut into tiles, from the split list (no shuffle of the cells);
+        # a band without a time has no place in a part
+        placed = locate_parts(timed.filter(F.col("time_id").isNotNull()), splits)
         if strips:
             # pieces go straight to the writer task of their (tile, part), are sorted there and
             # assembled as they come; a band is one record, also where another has its time id
@@ -113,7 +114,7 @@ def ingest(bands: DataFrame, out: str, tile_cols: int, tile_rows: int, k: int |
             path = write_catalog(tile_bands(placed, layout, cols, ("time_id", "part")), out, n_tasks=n_tasks,
                                  record_bytes=record_bytes, n_parts=meta.n_parts, version=version, per_folder=per_folder)
     # every tile has every part that has a time id (the last part may have none)
-    write_occupied(spark, path, [[0, layout.n_tiles - 1, 0, int(last_part) // per_folder]], per_folder)
+    write_occupied(spark, path, [[0, layout.n_tiles - 1, 0, last_part // per_folder]], per_folder)
     catalog = publish(spark, out, meta)
     remove_path(spark, scratch)
     return catalog
