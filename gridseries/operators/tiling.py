@@ -77,16 +77,30 @@ def tile_cells_expr(cells, layout: TileLayout, cols: int | None = None) -> Colum
     return F.transform(F.sequence(F.lit(0), F.lit(layout.n_tiles - 1)), one_tile)
 
 
+MOST_SLICES = 16  # more slices in one expression make code too large for the JIT
+
+
 def tile_bands(bands: DataFrame, layout: TileLayout, cols: int | None = None, keep=("time_id",)) -> DataFrame:
     """Array form: one row per (band, tile) with the tile's cells row-major.
 
     ``bands`` holds the whole raster of a time step in ``cells``.  Output columns:
-    ``keep`` + ``tile_id`` + ``cells``.
+    ``keep`` + ``tile_id`` + ``cells``.  Tiles of up to ``MOST_SLICES`` rows are cut
+    by plain slices, which Spark compiles; a slice inside a lambda boxes every cell
+    of the band for each row of each tile.  Higher tiles keep the expression of
+    constant size (``tile_cells_expr``).
     """
     size_ok = F.assert_true(F.size("cells") == F.lit(layout.cols * layout.rows),
                             F.lit(f"band does not hold {layout.cols}x{layout.rows} cells"))
-    tiles = tile_cells_expr(F.when(size_ok.isNull(), F.col("cells")), layout, cols)
-    return bands.select(*keep, F.inline(tiles))
+    whole = F.when(size_ok.isNull(), F.col("cells"))
+    if layout.pixel_rows > MOST_SLICES:
+        return bands.select(*keep, F.inline(tile_cells_expr(whole, layout, cols)))
+    cols, pr, pc = cols or layout.cols, layout.pixel_rows, layout.pixel_cols
+    numbers = F.sequence(F.lit(0), F.lit(layout.n_tiles - 1))
+    tiles = bands.select(*keep, whole.alias("cells"), F.explode(numbers).alias("tile_id"))
+    col = F.col("tile_id") % layout.tile_cols
+    start = F.floor(F.col("tile_id") / layout.tile_cols) * (pr * cols) + col * pc + 1
+    rows = [F.slice("cells", (start + r * cols).cast("int"), F.lit(pc)) for r in range(pr)]
+    return tiles.select(*keep, "tile_id", F.concat(*rows).alias("cells"))
 
 
 def strip_pieces(strips: DataFrame, layout: TileLayout, cols: int | None = None, keep=("time_id",)) -> DataFrame:

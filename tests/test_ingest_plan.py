@@ -1,6 +1,11 @@
-"""The ingest's heavy step: bands get their part without a shuffle of the cells."""
+"""The ingest's heavy step: bands get their part without a shuffle of the cells, and tiles are cut by compiled slices."""
 
-from gridseries.operators.filters import filter_time
+from pyspark.sql import functions as F
+
+from gridseries.model import TileLayout
+from gridseries.operators.filters import filter_time, map_cells
+from gridseries.operators.tiling import MOST_SLICES, tile_bands, tile_cells_expr
+from gridseries.sources import catalog as cat
 from gridseries.sources import ingest as ing
 
 BANDS = "path_idx INT, band INT, time_id INT, xmin DOUBLE, ymin DOUBLE, xmax DOUBLE, ymax DOUBLE, cols INT, rows INT, " \
@@ -41,3 +46,22 @@ def test_band_without_a_time_keeps_parts_and_splits_in_step(spark, out_dir):
     for t in range(4):
         assert sorted(r["time_id"] for r in catalog.window(t, t).collect()) == [t, t]
     assert catalog.series.count() == 8
+
+
+def test_tiles_are_cut_by_compiled_slices(spark, out_dir, monkeypatch):
+    catalog, plan = written_plan(spark, out_dir, monkeypatch)
+    assert "flatten(" not in plan and "concat(slice(" in plan
+    derived = cat.to_records(map_cells(catalog.series, lambda v: v * 2))
+    back = cat.Catalog(catalog.path, catalog.meta, derived).write(out_dir + "-derived")
+    got = {(r["tile_id"], r["time_id"]): r["cells"] for r in back.series.collect()}
+    assert got == {(t, i): [2.0 * (i * 8 + r * 4 + t * 2 + c) for r in range(2) for c in range(2)] for t in (0, 1) for i in range(20)}
+
+
+def test_slices_and_expression_cut_the_same_tiles(spark):
+    for lay in (TileLayout(3, 2, 5, 1), TileLayout(1, 3, 2, MOST_SLICES), TileLayout(2, 2, 1, MOST_SLICES + 1)):
+        n = lay.cols * lay.rows
+        b = spark.range(4).select(F.col("id").cast("int").alias("time_id"),
+                                  F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.when(i % 7 != F.col("id"), i.cast("float"))).alias("cells"))
+        a = tile_bands(b, lay).select("time_id", "tile_id", "cells").collect()
+        e = b.select("time_id", F.inline(tile_cells_expr("cells", lay))).collect()
+        assert sorted(map(str, a)) == sorted(map(str, e)) and len(a) == 4 * lay.n_tiles
