@@ -13,11 +13,12 @@ as the longest document has bytes), so documents become short strings that are
 dealt out by content.  Neighbouring windows whose smallest 24-gram hash is the
 same form one string (up to 27 windows); equal substrings have equal hashes, so
 the strings of one hash range are a collection complete in itself.  Documents
-are grouped by id into groups of about ``GROUP_BYTES``.
+are grouped by id into groups of about ``GROUP_BYTES``, on large tables of up to
+four times as many: each group sends a row to each range.
 
-1. each group sends its distinct hashes, with the number of strings where a hash
-   has more than one; ranges answer which ones other groups have too (a hash of
-   one document only cannot repeat) and which ones are hot;
+1. each group sends its distinct hashes (``KEY`` bytes of each), with the number of
+   strings where a hash has more than one; ranges answer by a bit which ones other
+   groups have too (a hash of one document only cannot repeat) and which ones are hot;
 2. each group sends the distinct strings of shared hashes with their smallest
    document; ranges build transforms, in collections of about ``COLLECTION``
    bytes, and answer which windows start in a smaller document;
@@ -26,14 +27,19 @@ are grouped by id into groups of about ``GROUP_BYTES``.
 The three steps read the same shuffle of the documents.  A passage that many
 documents share is one string per group where its surroundings are equal too; at
 its edges every document has a string of its own.  A hash with more strings than
-a collection holds is hot: its strings are sent window by window, each window
+``HOT`` collections hold is hot: its strings are sent window by window, each window
 under a hash that its own bytes decide among as many parts as are needed, so the
 strings of a hot hash spread over ranges and tasks, and equal windows still meet
-in one transform.  Left out before the construction, both exactly: hashes of one
-document (step 1), and strings that are alone under their hash, which all their
-holders have as a whole.  A collection is in memory while it is built (about 20 bytes a
-symbol: its bound keeps it small); the two sequences of a round lie in files without a name where Spark
-spills its own sorts, read by nobody else; a lost executor's tasks start over.
+in one transform.  Left out before the construction, all exactly: hashes of one
+document (step 1), strings that are alone under their hash, which all their
+holders have as a whole, and strings that differ from all others of their hash so
+near to the gram that no window can be the same (``_may_share``).  A collection is
+in memory while it is built (about 20 bytes a symbol: its bound keeps it small); the
+two sequences of a round lie in files without a name where Spark spills its own
+sorts, read by nobody else; a lost executor's tasks start over.
+
+The steps look values up in sorted order, all rows of a task together; work is in
+proportion to the text.  Only the number of rows grows as groups times ranges.
 
 Defined cases: a null text is the empty text; texts shorter than LENGTH stay
 whole; rows without an id neither lose bytes nor cost others any; rows with the
@@ -55,11 +61,16 @@ from gridseries.llm.common import doc_view, ragged, scratch_file
 
 LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM + 1
+#: A window begins 0 to SPAN - 1 bytes before its gram; by this distance, the bytes that it has for certain before and behind the gram.
+AROUND = [(SPAN * i // 4, SPAN - SPAN * (i + 1) // 4) for i in range(4)]
 GROUP_BYTES, RANGE_BYTES, COLLECTION = 2 << 20, 32 << 20, 1 << 20
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _ODD = 0x9E3779B97F4A7C15
+GROUPS = 1000  # beyond so many groups they grow, up to four times GROUP_BYTES
 BLOCK = 1 << 15  # windows whose hashes are worked out together
 FEW = 256  # strings of one hash in one group, up to which copies are not told apart when strings are counted
+HOT = 4  # a hash is hot when its strings fill more collections; up to then they are one collection
+KEY = 5  # bytes of a hash within its range; two hashes that agree in them only send strings in vain
 _HOT = np.dtype([("hash", np.uint64), ("parts", np.int64)])
 
 
@@ -73,6 +84,7 @@ class Group:
         self.size = np.fromiter(map(len, raw), np.int64, len(raw))
         self.data = np.frombuffer(b"".join(raw), np.uint8)
         self.begin = np.cumsum(self.size) - self.size
+        self._ordered = None
         self._runs()
 
     def _runs(self) -> None:
@@ -87,9 +99,9 @@ class Group:
         h = _window_hashes(self.data)
         ok = np.zeros(n + 1, np.int8)  # windows that lie in one document with an id
         whole = np.flatnonzero((self.size >= LENGTH) & with_id)
-        np.add.at(ok, self.begin[whole], 1)
-        np.add.at(ok, ends[whole] - LENGTH + 1, -1)
-        ok = np.cumsum(ok[: len(h)]).astype(bool)
+        ok[self.begin[whole]] = 1
+        ok[ends[whole] - LENGTH + 1] = -1  # a document of LENGTH bytes or more: no place is the next one's begin
+        ok = np.cumsum(ok[: len(h)], dtype=np.int8).view(bool)
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | ~ok[:-1]
         new[self.begin[self.begin < len(h)]] = True
@@ -100,18 +112,18 @@ class Group:
         nth = np.arange(int(pieces.sum())) - np.repeat(first, pieces)
         self.start = np.repeat(start, pieces) + nth * SPAN
         self.count = np.minimum(SPAN, np.repeat(stop, pieces) - self.start)
-        # a smallest hash is small: mixed once more, so that ranges of hashes are even
-        self.hash = (h[self.start] ^ (h[self.start] >> np.uint64(31))) * _MIX
-        self.hash ^= self.hash >> np.uint64(30)
+        self.hash = _spaced(h[self.start])
         self.doc = np.searchsorted(self.begin, self.start, side="right") - 1
         self.doc = _last_of_equal(self.begin, self.size, self.start, self.doc)
 
     def by_hash(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The strings ordered by hash, the distinct hashes, and where each begins in that order."""
-        order = np.argsort(self.hash)
-        h = self.hash[order]
-        begin = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-        return order, h[begin], begin
+        if self._ordered is None:
+            order = np.argsort(self.hash)
+            h = self.hash[order]
+            begin = _first_of_each(h)
+            self._ordered = order, h[begin], begin
+        return self._ordered
 
     def shared_here(self, ordered) -> np.ndarray:
         """Hashes that two documents of different ids in this group have."""
@@ -155,6 +167,7 @@ class Group:
         doc = np.repeat(self.doc[mine], n)
         self.start, self.count = np.append(self.start[~mine], start), np.append(self.count[~mine], np.ones(len(start), np.int64))
         self.hash, self.doc = np.append(self.hash[~mine], hashes), np.append(self.doc[~mine], doc)
+        self._ordered = None
         return np.unique(hashes)
 
     @property
@@ -164,10 +177,12 @@ class Group:
     def items(self, hashes: np.ndarray):
         """The distinct strings of these hashes, by hash and content: hash, windows, bytes, smallest id; and for each
         of the group's strings with such a hash (``own``) the item it is."""
-        at = np.searchsorted(hashes, self.hash)
-        own = np.flatnonzero(hashes[np.minimum(at, max(len(hashes) - 1, 0))] == self.hash) if len(hashes) else np.zeros(0, np.int64)
+        order, found, begin = self.by_hash()
+        mine = np.zeros(len(order), bool)
+        mine[order] = np.repeat(_among(found, hashes), np.diff(np.append(begin, len(order))))
+        own = np.flatnonzero(mine)
         size = self.count[own] + LENGTH - 1
-        item, strings = _distinct(ragged(self.data, self.start[own], size), size)
+        item, strings = _distinct(_pieces(self.data, self.start[own], size), size)
         hash_of = np.zeros(len(strings), np.uint64)
         hash_of[item] = self.hash[own]
         order = np.argsort(hash_of, kind="stable")
@@ -203,6 +218,44 @@ def _bytes(strings: pa.LargeBinaryArray, a: int, b: int) -> bytes:
     return strings.buffers()[2][int(ends[a]) : int(ends[b])].to_pybytes() if b > a else b""
 
 
+def _first_of_each(ordered: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, np.int64)
+
+
+def _sorted_set(*parts: np.ndarray) -> np.ndarray:
+    every = np.concatenate([np.zeros(0, np.uint64), *parts])
+    every.sort()
+    return every[_first_of_each(every)]
+
+
+def _among(values: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Whether each of the values is among ``some``, which rise; the values rise too, so that they are looked up side by side."""
+    if not len(some):
+        return np.zeros(len(values), bool)
+    return some[np.minimum(np.searchsorted(some, values), len(some) - 1)] == values
+
+
+def _blocks(lens: np.ndarray, most: int = 1 << 18):
+    """a, b: pieces a to b have about ``most`` elements together, or are one piece."""
+    total = np.cumsum(lens, dtype=np.int64)
+    a = 0
+    while a < len(lens):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + most, side="right")))
+        yield a, b
+        a = b
+
+
+def _pieces(src: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """``ragged``, block by block: its places take eight bytes an element, and fit the cache."""
+    out, at = np.empty(int(lens.sum()), src.dtype), 0
+    for a, b in _blocks(lens):
+        got = ragged(src, starts[a:b], lens[a:b])
+        out[at : at + len(got)] = got
+        at += len(got)
+    return out
+
+
 def _of_several(hashes: np.ndarray) -> np.ndarray:
     """Places of sorted hashes that occur more than once."""
     same = hashes[1:] == hashes[:-1]
@@ -213,10 +266,7 @@ def _window_hashes(data: np.ndarray) -> np.ndarray:
     """The smallest (mixed) gram hash of every window of LENGTH bytes, block by block, so that the steps stay in the cache."""
     out = np.empty(len(data) - LENGTH + 1, np.uint64)
     for a in range(0, len(out), BLOCK):
-        h = _gram_hashes(data[a : a + BLOCK + LENGTH - 1], GRAM)
-        h ^= h >> np.uint64(32)
-        h *= _MIX
-        h ^= h >> np.uint64(29)
+        h = _mixed_grams(data[a : a + BLOCK + LENGTH - 1])
         step = 1
         while 2 * step <= SPAN:
             h = np.minimum(h[:-step], h[step:])
@@ -227,6 +277,21 @@ def _window_hashes(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def _mixed_grams(data: np.ndarray) -> np.ndarray:
+    h = _gram_hashes(data, GRAM)
+    h ^= h >> np.uint64(32)
+    h *= _MIX
+    h ^= h >> np.uint64(29)
+    return h
+
+
+def _spaced(h: np.ndarray) -> np.ndarray:
+    """A smallest hash is small: mixed once more, so that ranges of hashes are even."""
+    h = (h ^ (h >> np.uint64(31))) * _MIX
+    h ^= h >> np.uint64(30)
+    return h
+
+
 def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     """A hash of every run of ``gram`` bytes, put together from runs of 1, 2, 4, ... bytes."""
     part = (data.astype(np.uint64) + np.uint64(1)) * _MIX
@@ -252,6 +317,23 @@ def _ranges(hashes: np.ndarray, n: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
+def _keys(hashes: np.ndarray, n: int) -> bytes:
+    """``KEY`` bytes of each hash of one range, by which its hashes are told apart: the range's number says what the bits before them are."""
+    key = (hashes << np.uint64(n.bit_length() - 1)) >> np.uint64(64 - 8 * KEY)
+    return np.ascontiguousarray(key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY]).tobytes()
+
+
+def _keys_read(blob: bytes) -> np.ndarray:
+    key = np.zeros((len(blob) // KEY, 8), np.uint8)
+    key[:, :KEY] = np.frombuffer(blob, np.uint8).reshape(-1, KEY)
+    return key.view("<u8").ravel().astype(np.uint64, copy=False)
+
+
+def _groups(total: int) -> int:
+    """Groups for so many bytes of text; a group sends a row to every range, so they are larger where there are many."""
+    return max(1, total // min(max(GROUP_BYTES, total // GROUPS), 4 * GROUP_BYTES))
+
+
 def _cuts(part: np.ndarray) -> list[tuple[int, int]]:
     if not len(part):
         return []
@@ -350,16 +432,56 @@ def _collections(hashes: np.ndarray, strings: list[bytes], most: int):
         lo = hi
 
 
+def _may_share(hashes: np.ndarray, strings: pa.LargeBinaryArray) -> np.ndarray:
+    """Which of these strings may share a window with another one of them; never false for one that does.
+
+    A window that two strings share holds the gram whose hash is theirs, with the
+    bytes of one entry of ``AROUND`` before and behind it: both strings have these
+    bytes around the gram.  Every place of the gram counts; a string without it
+    (a window of a hot hash) is kept.
+    """
+    ends = _offsets(strings)
+    keep, keys, whose = np.ones(len(strings), bool), [], []
+    for lo, hi in _blocks(np.diff(ends)):
+        data = np.frombuffer(_bytes(strings, lo, hi), np.uint8)
+        size = np.diff(ends[lo : hi + 1])
+        begin = np.cumsum(size) - size
+        at = np.flatnonzero(_spaced(_mixed_grams(data)) == np.repeat(hashes[lo:hi], size)[: len(data) - GRAM + 1])
+        mine = np.searchsorted(begin, at, side="right") - 1
+        inside = at + GRAM <= (begin + size)[mine]
+        at, mine = at[inside], mine[inside]
+        keep[lo + mine] = False
+        for before, behind in AROUND:
+            room = (at - begin[mine] >= before) & (at + GRAM + behind <= (begin + size)[mine])
+            first = at[room] - before
+            key = np.full(len(first), before, np.uint64)
+            for i in range(before + GRAM + behind):
+                key = key * np.uint64(_ODD) + data[first + i] + np.uint64(1)
+            keys.append((key ^ (key >> np.uint64(32))) * _MIX)
+            whose.append(lo + mine[room])
+    if keys:
+        key, whose = np.concatenate(keys), np.concatenate(whose)
+        order = np.argsort(key)
+        key, whose = key[order], whose[order]
+        begin = _first_of_each(key)
+        if len(begin):
+            several = np.minimum.reduceat(whose, begin) != np.maximum.reduceat(whose, begin)
+            keep[whose[np.repeat(several, np.diff(np.append(begin, len(key))))]] = True
+    return keep
+
+
 def _firsts(hashes: np.ndarray, strings: pa.LargeBinaryArray, least: np.ndarray, most: int):
     """first_documents over collections of bounded size, and the windows of each string; strings sorted by hash.
 
     A window occurs under its own hash only, so a string alone under its hash
     shares no window with another one: its windows start in its smallest holder,
-    and it stays out of the construction.
+    and it stays out of the construction.  So does one that differs from all
+    others of its hash too close to the gram (``_may_share``).
     """
     count = np.diff(_offsets(strings)) - LENGTH + 1
     first, begin = np.repeat(least, count), np.cumsum(count) - count
     built = _of_several(hashes)
+    built = built[_may_share(hashes[built], strings.take(pa.array(built)))]
     met = strings.take(pa.array(built)).to_pylist()
     for lo, hi in _collections(hashes[built], met, most):
         mine = built[lo:hi]
@@ -389,18 +511,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary): what is left of every document."""
     view = doc_view(docs, id_col, text_col)
     total = view.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
-    groups = max(1, total // GROUP_BYTES)
+    groups = _groups(total)
     ranges = max(1, total // RANGE_BYTES)
     builds = max(1, 4 * total // RANGE_BYTES)
     collection = COLLECTION
-    hot_strings = max(1, collection // (LENGTH + SPAN - 1))  # a collection holds so many
+    hot_strings = max(1, HOT * collection // (LENGTH + SPAN - 1))  # window by window they would take many times as many bytes
 
     grouped = view.withColumn("g", F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(groups)))
 
+    def parts_of(strings: np.ndarray) -> np.ndarray:
+        """Among how many parts the windows of hashes with so many strings are spread; 0: not hot."""
+        return np.where(strings > hot_strings, strings * (SPAN * LENGTH) // collection + 1, 0)
+
     def hot_of(hashes: np.ndarray, strings: np.ndarray) -> np.ndarray:
-        many = strings > hot_strings
-        hot = np.empty(int(many.sum()), _HOT)
-        hot["hash"], hot["parts"] = hashes[many], strings[many] * (SPAN * LENGTH) // collection + 1
+        parts = parts_of(strings)
+        hot = np.empty(int((parts > 0).sum()), _HOT)
+        hot["hash"], hot["parts"] = hashes[parts > 0], parts[parts > 0]
         return hot
 
     def ask(t: pa.Table) -> pa.Table:
@@ -411,43 +537,61 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         out = []
         for a, b in _cuts(part):
             several = np.flatnonzero(strings[a:b] > 1)
-            out.append((int(part[a]), g, _blob(hashes[a:b]), _blob(several.astype(np.uint32)), _blob(strings[a:b][several].astype(np.uint32))))
-        return _batch(out, "part g hashes several strings", [pa.int64(), pa.int64(), *[pa.binary()] * 3])
+            out.append((int(part[a]), g, _keys(hashes[a:b], ranges), _blob(several.astype(np.uint32)), _blob(strings[a:b][several].astype(np.uint32))))
+        return _batch(out, "part g keys several strings", [pa.int64(), pa.int64(), *[pa.binary()] * 3])
 
     def answer(t: pa.Table) -> pa.Table:
+        """For each row a bit for each of its hashes: another group has it too; and the hot ones by their place in the row."""
         rows = t.to_pylist()
-        every = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in rows])
-        every.sort()
-        shared = np.unique(every[1:][every[1:] == every[:-1]])
-        strings, both = np.zeros(len(shared), np.int64), []
-        for r in rows:
-            mine = np.frombuffer(r["hashes"], np.uint64)
-            n = np.ones(len(mine), np.int64)
-            n[np.frombuffer(r["several"], np.uint32)] = np.frombuffer(r["strings"], np.uint32)
-            at = np.flatnonzero(np.isin(mine, shared, assume_unique=True))
-            both.append(mine[at])
-            strings[np.searchsorted(shared, mine[at])] += n[at]
-        hot = hot_of(shared, strings)
-        return _batch([(r["g"], r["part"], _blob(x), _blob(hot[np.isin(hot["hash"], x)])) for r, x in zip(rows, both) if len(x)],
-                      "g part hashes hot", [pa.int64(), pa.int64(), pa.binary(), pa.binary()])
-
-    def sent(group: Group, told: list[np.ndarray], hot: list[np.ndarray]):
+        every = np.concatenate([_keys_read(r["keys"]) for r in rows])
+        ends = np.cumsum([len(r["keys"]) // KEY for r in rows])
+        n = np.ones(len(every), np.int64)
+        for r, end in zip(rows, ends.tolist()):
+            n[np.frombuffer(r["several"], np.uint32) + np.int64(end - len(r["keys"]) // KEY)] = np.frombuffer(r["strings"], np.uint32)
+        order = np.argsort(every)
+        begin = _first_of_each(every[order])
+        runs = np.diff(np.append(begin, len(order)))
+        strings = np.add.reduceat(n[order], begin) if len(begin) else n
+        shared = np.empty(len(every), bool)
+        shared[order] = np.repeat(runs > 1, runs)
+        hot = np.zeros(len(every), np.int64)
+        hot[order] = np.repeat(parts_of(strings) * (runs > 1), runs)
+        out = []
+        for r, end in zip(rows, ends.tolist()):
+            a = end - len(r["keys"]) // KEY
+            if shared[a:end].any():
+                at = np.flatnonzero(hot[a:end])
+                out.append((r["g"], r["part"], np.packbits(shared[a:end]).tobytes(), _blob(at.astype(np.uint32)), _blob(hot[a:end][at])))
+        return _batch(out, "g part shared hot parts", [pa.int64(), pa.int64(), *[pa.binary()] * 3])
+
+    def told_of(hashes: np.ndarray, told: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """What the ranges told a group with these distinct hashes: the shared ones, and the hot ones with their parts."""
+        part = _ranges(hashes, ranges)
+        shared, hot = np.zeros(len(hashes), bool), [np.zeros(0, _HOT)]
+        for r in told.to_pylist():
+            a, b = np.searchsorted(part, [r["part"], r["part"] + 1]).tolist()
+            shared[a:b] = np.unpackbits(np.frombuffer(r["shared"], np.uint8), count=b - a)
+            if r["hot"]:
+                at = np.frombuffer(r["hot"], np.uint32)
+                hot.append(np.empty(len(at), _HOT))
+                hot[-1]["hash"], hot[-1]["parts"] = hashes[a:b][at], np.frombuffer(r["parts"], np.int64)
+        return hashes[shared], np.concatenate(hot)
+
+    def sent(group: Group, told: np.ndarray, hot: np.ndarray):
         """The group's items, after its hot strings have become windows: what ``offer`` sends and ``cut`` marks."""
         ordered = group.by_hash()
         here = group.shared_here(ordered)
         own = hot_of(ordered[1], group.strings_of(ordered, hot_strings))
         own = own[np.isin(own["hash"], here)]
-        known = np.concatenate([np.zeros(0, _HOT), *hot])
-        known = np.concatenate([known, own[~np.isin(own["hash"], known["hash"])]])
+        known = np.concatenate([hot, own[~np.isin(own["hash"], hot["hash"])]])
         windows = group.spread(known)
-        return known, group.items(np.unique(np.concatenate([here, windows, *told])))
+        return known, group.items(_sorted_set(here, windows, told))
 
     def offer(t: pa.Table, told: pa.Table) -> pa.Table:
         if not t.num_rows:
             return _batch([], "part g hashes counts text least hot", [pa.int64(), pa.int64(), *[pa.binary()] * 5])
-        hot, (hashes, counts, strings, least, _, _) = sent(
-            _open(t), [np.frombuffer(x, np.uint64) for x in told.column("hashes").to_pylist()],
-            [np.frombuffer(x, _HOT) for x in told.column("hot").to_pylist()])
+        group = _open(t)
+        hot, (hashes, counts, strings, least, _, _) = sent(group, *told_of(group.by_hash()[1], told))
         part, g = _ranges(hashes, builds), t.column("g")[0].as_py()
         pack = zstandard.ZstdCompressor(level=1)
         # the hot hashes travel once, with the first row, and come back to the group
@@ -472,19 +616,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         least = np.full(len(strings), np.iinfo(np.int64).max)
         np.minimum.at(least, item, asked)
         first, count = _firsts(hash_of, strings, least, collection)
-        n = count[item]
-        flags = ragged(first, (np.cumsum(count) - count)[item], n) < np.repeat(asked, n)
-        out, at, cut = [], 0, np.concatenate([[0], np.cumsum(n)])
-        hit = np.add.reduceat(np.append(flags, False), cut[:-1]) > 0
-        for r in rows:
-            mine = np.frombuffer(r["hashes"], np.uint64)
-            m = len(mine)
-            # hashes none of whose windows starts in a smaller document need no answer
-            tell = np.isin(mine, np.unique(mine[hit[at : at + m]]))
-            if tell.any() or r["hot"]:
-                out.append((r["g"], r["part"], _blob(mine[tell]),
-                            _blob(np.packbits(flags[cut[at] : cut[at + m]][np.repeat(tell, n[at : at + m])])), r["hot"]))
-            at += m
+        n, begin = count[item], (np.cumsum(count) - count)[item]
+        flags, cut = np.empty(int(n.sum()), bool), np.concatenate([[0], np.cumsum(n)])
+        hit = np.empty(len(item), bool)
+        for a, b in _blocks(n):
+            mine = ragged(first, begin[a:b], n[a:b]) < np.repeat(asked[a:b], n[a:b])
+            flags[cut[a] : cut[b]] = mine
+            hit[a:b] = np.logical_or.reduceat(mine, cut[a:b] - cut[a])
+        # hashes none of whose windows starts in a smaller document need no answer; a row's hashes rise
+        ends = np.cumsum([len(r["counts"]) for r in rows])
+        new = np.ones(len(hashes), bool)
+        new[1:] = hashes[1:] != hashes[:-1]
+        new[ends[:-1]] = True
+        run = np.flatnonzero(new)
+        tell = np.repeat(np.logical_or.reduceat(hit, run), np.diff(np.append(run, len(hashes))))
+        out = []
+        for r, end in zip(rows, ends.tolist()):
+            a = end - len(r["counts"])
+            mine = tell[a:end]
+            if mine.any() or r["hot"]:
+                out.append((r["g"], r["part"], _blob(hashes[a:end][mine]), _blob(np.packbits(flags[cut[a] : cut[end]][np.repeat(mine, n[a:end])])), r["hot"]))
         return _batch(out, "g part hashes flags hot", [pa.int64(), pa.int64(), *[pa.binary()] * 3])
 
     def cut(t: pa.Table, told: pa.Table) -> pa.Table:
@@ -493,21 +644,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             return _batch([], names, types)
         group, rows = _open(t), _sorted(told, "part")
         told_hashes = [np.frombuffer(r["hashes"], np.uint64) for r in rows]
-        _, (hashes, counts, _, least, own, item) = sent(group, told_hashes, [np.frombuffer(r["hot"], _HOT) for r in rows])
-        flags = np.zeros(int(counts.sum()), bool)  # of the items' windows, in order; answers come by rising hash
+        told_all = np.concatenate([np.zeros(0, np.uint64), *told_hashes])  # answers come by rising hash
+        _, (hashes, counts, _, least, own, item) = sent(group, told_all, np.concatenate([np.zeros(0, _HOT), *[np.frombuffer(r["hot"], _HOT) for r in rows]]))
+        flags = np.zeros(int(counts.sum()), bool)  # of the items' windows, in order
         at = np.cumsum(counts) - counts
+        which = _among(hashes, told_all)
+        windows = np.concatenate([[0], np.cumsum(counts[which])])
+        bits, end = np.zeros(int(windows[-1]), bool), 0
         for r, mine in zip(rows, told_hashes):
-            which = np.flatnonzero(np.isin(hashes, mine))
-            n = counts[which]
-            place = np.repeat(at[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            flags[place] = np.unpackbits(np.frombuffer(r["flags"], np.uint8), count=len(place)).astype(bool)
-        n = counts[item]
-        hit = ragged(flags, at[item], n) | np.repeat(group.id_of[own] > least[item], n)
-        begin = np.repeat(group.start[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        begin = begin[hit]
-        size = len(group.data) + 1
-        gone = np.bincount(begin, minlength=size) - np.bincount(begin + LENGTH, minlength=size)
-        lost = np.cumsum(gone[:-1]) > 0
+            a, b, end = int(windows[end]), int(windows[end + len(mine)]), end + len(mine)
+            bits[a:b] = np.unpackbits(np.frombuffer(r["flags"], np.uint8), count=b - a)
+        flags[np.repeat(which, counts)] = bits
+        n, later = counts[item], group.id_of[own] > least[item]
+        gone = np.zeros(len(group.data) + 1, np.int8)  # at most LENGTH windows cover a byte
+        for a, b in _blocks(n):
+            mine = ragged(flags, at[item[a:b]], n[a:b]) | np.repeat(later[a:b], n[a:b])
+            places = np.repeat(group.start[own[a:b]] - (np.cumsum(n[a:b]) - n[a:b]), n[a:b]) + np.arange(len(mine))
+            # a window begins at a place once
+            gone[places[mine]] += 1
+            gone[places[mine] + LENGTH] -= 1
+        lost = np.cumsum(gone[:-1], dtype=np.int8) > 0
         out = []
         for i, raw, a, s in zip(group.ids, group.raw, group.begin.tolist(), group.size.tolist()):
             mine = lost[a : a + s]
@@ -516,8 +672,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out.append((i, s, s - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))
         return _batch(out, names, types)
 
-    asked = grouped.groupBy("g").applyInArrow(ask, "part long, g long, hashes binary, several binary, strings binary")
-    shared = asked.groupBy("part").applyInArrow(answer, "g long, part long, hashes binary, hot binary")
+    asked = grouped.groupBy("g").applyInArrow(ask, "part long, g long, keys binary, several binary, strings binary")
+    shared = asked.groupBy("part").applyInArrow(answer, "g long, part long, shared binary, hot binary, parts binary")
     offered = grouped.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(
         offer, "part long, g long, hashes binary, counts binary, text binary, least binary, hot binary")
     judged = offered.groupBy("part").applyInArrow(judge, "g long, part long, hashes binary, flags binary, hot binary")

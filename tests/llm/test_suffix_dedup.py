@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from gridseries.llm import queries, suffix_dedup as S
 
@@ -118,3 +119,89 @@ def test_groups_without_anything_in_common(spark, monkeypatch):
     assert got(S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == plain(rows)
     hashes, counts, strings, least, own, item = S.Group([1], [rows[0][1]]).items(np.zeros(0, np.uint64))
     assert len(hashes) == len(counts) == len(strings) == len(own) == len(item) == 0
+
+
+def hash_of(string):
+    return S._spaced(S._mixed_grams(np.frombuffer(string, np.uint8)).min(keepdims=True))[0]
+
+
+def around(rng, gram, most):
+    """Strings of one hash: the gram among foreign bytes, all windows of which hold it."""
+    found = []
+    while len(found) < most:
+        a, b = rng.randrange(27), rng.randrange(27)
+        if a + b < 26:
+            continue
+        text = "".join(rng.choice("abcdefghijkl") for _ in range(a)).encode() + gram + "".join(rng.choice("abcdefghijkl") for _ in range(b)).encode()
+        if hash_of(text) == hash_of(gram):
+            found.append(text)
+    return found
+
+
+def smallest_gram(rng):
+    return min(("".join(rng.choice("abcdefghijkl ") for _ in range(S.GRAM)).encode() for _ in range(20000)),
+               key=lambda g: int(S._mixed_grams(np.frombuffer(g, np.uint8))[0]))
+
+
+def test_strings_that_share_no_window_stay_out_of_the_construction(monkeypatch):
+    rng = random.Random(4)
+    strings = sorted(set(around(rng, smallest_gram(rng), 40)))
+    built, build = [], S.build
+    monkeypatch.setattr(S, "build", lambda some: built.extend(some) or build(some))
+    hashes = np.full(len(strings), hash_of(strings[0]))
+    least = np.arange(len(strings))
+    first, count = S._firsts(hashes, pa.array(strings, pa.large_binary()), least, 1 << 20)
+    assert not built  # one hash, but foreign bytes on both sides of the gram
+    assert first.tolist() == np.repeat(least, count).tolist()
+
+
+def test_strings_that_share_a_window_are_kept():
+    rng = random.Random(6)
+    gram = smallest_gram(rng)
+    base = around(rng, gram, 12)
+    strings = set(base)
+    for s in base:  # a piece of a string among other bytes, from one byte too few to all of it
+        at = s.index(gram)
+        for _ in range(6):
+            a, b = rng.randrange(at + 1), rng.randrange(len(s) - at - S.GRAM + 1)
+            t = b"mno"[: rng.randrange(4)] + s[at - a : at + S.GRAM + b] + b"pqr"[: rng.randrange(4)]
+            if len(t) >= S.LENGTH and hash_of(t) == hash_of(gram):
+                strings.add(t)
+    for unit in (b"ab", b"a", b"abcde"):  # the gram at several places
+        strings |= {(unit * 60)[:n] for n in (50, 51, 60, 76)} | {b"x" + (unit * 60)[:n] for n in (50, 60)}
+    strings = sorted(strings)
+    hashes = np.array([hash_of(s) for s in strings])
+    order = np.argsort(hashes, kind="stable")
+    strings, hashes = [strings[i] for i in order], hashes[order]
+    kept = S._may_share(hashes, pa.array(strings, pa.large_binary()))
+    held = Counter(w for s in strings for w in {s[a : a + 50] for a in range(len(s) - 49)})
+    share = np.array([any(held[s[a : a + 50]] > 1 for a in range(len(s) - 49)) for s in strings])
+    assert share.sum() > 20 and kept[share].all() and not kept.all()
+    least = np.array(rng.sample(range(1000), len(strings)))
+    first, count = S._firsts(hashes, pa.array(strings, pa.large_binary()), least, 1 << 20)
+    want = [min(i for t, i in zip(strings, least.tolist()) if s[a : a + 50] in t) for s in strings for a in range(len(s) - 49)]
+    assert first.tolist() == want
+
+
+def test_groups_and_keys_on_large_tables():
+    assert [S._groups(n) for n in (0, 1 << 20, 100 << 20)] == [1, 1, 50]
+    # 6 GB of Parquet are some 10 GB of text: rows from groups to ranges grow as the product
+    assert S._groups(10 << 30) <= 1300
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 3, 7, 64, 100, 1000):
+        hashes = np.sort(rng.integers(0, 1 << 64, 4000, np.uint64))
+        part = S._ranges(hashes, n)
+        for a, b in S._cuts(part):
+            keys = S._keys_read(S._keys(hashes[a:b], n))
+            assert len(keys) == b - a == len(np.unique(keys))
+
+
+def test_many_groups_and_ranges_over_hot_hashes(spark, monkeypatch):
+    rng = random.Random(12)
+    monkeypatch.setattr(S, "GROUP_BYTES", 1500)
+    monkeypatch.setattr(S, "RANGE_BYTES", 4000)
+    monkeypatch.setattr(S, "COLLECTION", 600)
+    line = " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(12))
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    rows = [(rng.randrange(400), text(rng.randrange(60)) + line[rng.randrange(3) :] + text(rng.randrange(60)) + rng.choice(["", line])) for _ in range(500)]
+    assert got(S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == plain(rows)
