@@ -14,7 +14,7 @@ dealt out by content.  Neighbouring windows whose smallest 24-gram hash is the
 same form one string (up to 27 windows); equal substrings have equal hashes, so
 the strings of one hash range are a collection complete in itself.  Documents
 are grouped by id into groups of about ``GROUP_BYTES``, on large tables of up to
-four times as many: each group sends a row to each range.
+twice as many: each group sends a row to each range.
 
 1. each group sends its distinct hashes (``KEY`` bytes of each), with the number of
    strings where a hash has more than one; ranges answer by a bit which ones other
@@ -66,7 +66,7 @@ AROUND = [(SPAN * i // 4, SPAN - SPAN * (i + 1) // 4) for i in range(4)]
 GROUP_BYTES, RANGE_BYTES, COLLECTION = 2 << 20, 32 << 20, 1 << 20
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _ODD = 0x9E3779B97F4A7C15
-GROUPS = 1000  # beyond so many groups they grow, up to four times GROUP_BYTES
+GROUPS = 1000  # beyond so many groups they grow, up to twice GROUP_BYTES
 BLOCK = 1 << 15  # windows whose hashes are worked out together
 FEW = 256  # strings of one hash in one group, up to which copies are not told apart when strings are counted
 HOT = 4  # a hash is hot when its strings fill more collections; up to then they are one collection
@@ -96,15 +96,20 @@ class Group:
             self.start = self.count = self.doc = np.zeros(0, np.int64)
             self.hash = np.zeros(0, np.uint64)
             return
-        h = _window_hashes(self.data)
         ok = np.zeros(n + 1, np.int8)  # windows that lie in one document with an id
         whole = np.flatnonzero((self.size >= LENGTH) & with_id)
         ok[self.begin[whole]] = 1
         ok[ends[whole] - LENGTH + 1] = -1  # a document of LENGTH bytes or more: no place is the next one's begin
-        ok = np.cumsum(ok[: len(h)], dtype=np.int8).view(bool)
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | ~ok[:-1]
-        new[self.begin[self.begin < len(h)]] = True
+        ok = np.cumsum(ok[: n - LENGTH + 1], dtype=np.int8).view(bool)
+        new = np.zeros(len(ok), bool)
+        new[0], new[1:] = True, ~ok[:-1]
+        new[self.begin[self.begin < len(ok)]] = True
+        hashes, last = [], np.zeros(1, np.uint64)
+        for a, h in _window_hashes(self.data):
+            here = new[a : a + len(h)]
+            here |= np.concatenate([last, h[:-1]]) != h
+            last = h[-1:]
+            hashes.append(h[here & ok[a : a + len(h)]])
         start = np.flatnonzero(new & ok)
         stop = np.flatnonzero(np.concatenate([(new | ~ok)[1:] & ok[:-1], [ok[-1]]])) + 1
         pieces = -(-(stop - start) // SPAN)
@@ -112,7 +117,7 @@ class Group:
         nth = np.arange(int(pieces.sum())) - np.repeat(first, pieces)
         self.start = np.repeat(start, pieces) + nth * SPAN
         self.count = np.minimum(SPAN, np.repeat(stop, pieces) - self.start)
-        self.hash = _spaced(h[self.start])
+        self.hash = np.repeat(_spaced(np.concatenate(hashes)), pieces)
         self.doc = np.searchsorted(self.begin, self.start, side="right") - 1
         self.doc = _last_of_equal(self.begin, self.size, self.start, self.doc)
 
@@ -139,12 +144,15 @@ class Group:
         order, found, begin = ordered
         runs = np.diff(np.append(begin, len(order)))
         many = np.flatnonzero(runs > few)
-        if len(many):
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_gram_hashes(self.data, GRAM))])
-            for i in many.tolist():
-                mine = order[begin[i] : begin[i] + runs[i]]
-                at = self.start[mine]
-                runs[i] = len(np.unique(sums[at + self.count[mine] + LENGTH - GRAM] - sums[at]))
+        for i in many.tolist():
+            mine = order[begin[i] : begin[i] + runs[i]]
+            size = self.count[mine] + LENGTH - 1
+            found = []
+            for a, b in _blocks(size):
+                sums = np.cumsum(_gram_hashes(ragged(self.data, self.start[mine[a:b]], size[a:b]), GRAM))
+                end = np.cumsum(size[a:b])
+                found.append(sums[end - GRAM] - np.append(np.uint64(0), sums)[end - size[a:b]])
+            runs[i] = len(np.unique(np.concatenate(found)))
         return runs
 
     def spread(self, hot: np.ndarray) -> np.ndarray:
@@ -262,10 +270,10 @@ def _of_several(hashes: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(same, False) | np.append(False, same)) if len(hashes) else np.zeros(0, np.int64)
 
 
-def _window_hashes(data: np.ndarray) -> np.ndarray:
-    """The smallest (mixed) gram hash of every window of LENGTH bytes, block by block, so that the steps stay in the cache."""
-    out = np.empty(len(data) - LENGTH + 1, np.uint64)
-    for a in range(0, len(out), BLOCK):
+def _window_hashes(data: np.ndarray):
+    """The smallest (mixed) gram hash of every window of LENGTH bytes, block by block with the block's begin: the steps stay
+    in the cache, and a group's hashes, eight times its bytes, are never held."""
+    for a in range(0, len(data) - LENGTH + 1, BLOCK):
         h = _mixed_grams(data[a : a + BLOCK + LENGTH - 1])
         step = 1
         while 2 * step <= SPAN:
@@ -273,8 +281,7 @@ def _window_hashes(data: np.ndarray) -> np.ndarray:
             step *= 2
         if SPAN > step:
             h = np.minimum(h[: len(h) - (SPAN - step)], h[SPAN - step :])
-        out[a : a + len(h)] = h
-    return out
+        yield a, h
 
 
 def _mixed_grams(data: np.ndarray) -> np.ndarray:
@@ -331,7 +338,7 @@ def _keys_read(blob: bytes) -> np.ndarray:
 
 def _groups(total: int) -> int:
     """Groups for so many bytes of text; a group sends a row to every range, so they are larger where there are many."""
-    return max(1, total // min(max(GROUP_BYTES, total // GROUPS), 4 * GROUP_BYTES))
+    return max(1, total // min(max(GROUP_BYTES, total // GROUPS), 2 * GROUP_BYTES))
 
 
 def _cuts(part: np.ndarray) -> list[tuple[int, int]]:
